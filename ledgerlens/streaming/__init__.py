@@ -1,0 +1,8 @@
+"""Streaming.
+
+The source queries are batch reports over whole tables: they contain no
+watermark, event-time window, stateful operator or unbounded input, so there is
+no streaming operator to provide. Every operator in :mod:`ledgerlens.operators`
+is a plain DataFrame function; a caller that receives payments as a stream can
+apply them per micro-batch with ``foreachBatch``.
+"""
