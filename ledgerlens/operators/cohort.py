@@ -4,25 +4,33 @@ Every active month is its own cohort: a user active in January and March is
 counted in the January cohort at offsets 0 and 2 and in the March cohort at
 offset 0.
 
-Plan shape, and why it holds at scale:
-
-* A19 is a ``DISTINCT (user, month)``; partial aggregation runs map-side, so a
-  user with a huge number of payments leaves each map task as at most one row
-  per active month, and the shuffle is keyed by (user, month), not by user.
-* Payments without an owner would all hash to one reduce task of the
-  self-join. They can never match (NULL keys), so they are split off before the
-  join and added back as the rows the outer join would have produced.
-* The self-join then sees only known users, whose fan-out is bounded by the
-  number of calendar months in the window, squared, per user. Both sides are
-  the same relation, so the exchange is reused.
-* After the distinct, (user, activity, offset) is unique, so the per-cohort
-  ``COUNT(DISTINCT user)`` equals ``COUNT(*)`` and needs no second
-  de-duplicating shuffle; the partial count runs right after the join.
+The source pairs every active month of a user with each later one through a
+self-join. Here the same pairs come from one aggregate instead:
+
+* Only months from the window start to the reporting month can be active, so
+  a user's active months fit in ``ceil(M / 62)`` bigint bit masks, M being the
+  number of months in the window (18 for the tested reporting date). Each mask
+  is a ``bit_or`` aggregate per user: it has a map-side partial, so a user with
+  a third of all payments leaves every map task as one row, and the state per
+  user is a few longs whatever the data size.
+* Pairs (active month, later active month) are generated per user from the
+  masks inside the task that holds the user and are counted right away by a
+  partial aggregate keyed by (month, offset); at most M*(M+1)/2 pairs per user.
+  There is no join, so no sort, no second scan and no exchange keyed by user
+  alone.
+* Because each (user, month, offset) occurs once, the per-cohort
+  ``COUNT(DISTINCT user)`` of the source is a plain count.
+* Payments without an owner form one NULL group. They never match in the
+  source's join, so they only add the row (month, NULL offset, 0 users) for
+  each month in which they occur.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import as_of_lit, month_start, to_pst
@@ -32,6 +40,20 @@ from ledgerlens.functions.timefn import PST_OFFSET_HOURS
 ACTIVITY_START = "2021-01-01 00:00:00"
 # Payment states that count as activity.
 ACTIVE_PAYMENT_STATES = ("settled", "initiated")
+# Months per bigint mask word (the sign bit is left unused).
+MASK_BITS = 62
+
+
+def _active_payments(payments_clean: DataFrame, as_of: str, start: str) -> DataFrame:
+    upper_pst = month_start(to_pst(as_of_lit(as_of)))
+    shift = F.make_dt_interval(hours=F.lit(PST_OFFSET_HOURS))
+    # The PST bounds are moved onto the stored UTC column (a constant shift),
+    # so the range reaches the parquet scan as a pushed filter.
+    in_window = F.col("payment_created_at_utc").between(
+        F.lit(start).cast("timestamp_ntz") + shift, upper_pst + shift)
+    return payments_clean.where(F.col("contribution_id").isNotNull()
+                                & F.col("payment_state").isin(*ACTIVE_PAYMENT_STATES)
+                                & in_window)
 
 
 def monthly_activity(payments_clean: DataFrame, as_of: str,
@@ -39,73 +61,84 @@ def monthly_activity(payments_clean: DataFrame, as_of: str,
     """Distinct (user_id, PST month) of contribution payments that are
     settled or initiated, created (PST) between ``start`` and the start of
     the PST month of ``as_of``, both ends included."""
-    upper_pst = month_start(to_pst(as_of_lit(as_of)))
-    shift = F.make_dt_interval(hours=F.lit(PST_OFFSET_HOURS))
-    # The PST bound is moved onto the stored UTC column (a constant shift), so
-    # the range reaches the parquet scan as a pushed filter.
-    in_window = F.col("payment_created_at_utc").between(
-        F.lit(start).cast("timestamp_ntz") + shift, upper_pst + shift)
-    return (payments_clean
-            .where(F.col("contribution_id").isNotNull()
-                   & F.col("payment_state").isin(*ACTIVE_PAYMENT_STATES)
-                   & in_window)
+    return (_active_payments(payments_clean, as_of, start)
             .select("user_id", month_start("payment_created_at").alias("payment_created_at"))
             .distinct())
 
 
-def _month_index(ts):
-    return F.year(ts) * 12 + F.month(ts)
-
-
-def _split_owners(activity: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (activity.where(F.col("user_id").isNotNull()),
-            activity.where(F.col("user_id").isNull()))
-
-
-def _known_pairs(known: DataFrame) -> DataFrame:
-    a = known.alias("a")
-    r = known.alias("r")
-    # Each known user matches at least itself (r.month = a.month), so the
-    # source's LEFT JOIN equals this inner join for them.
-    joined = a.join(r, (F.col("a.user_id") == F.col("r.user_id"))
-                    & (F.col("r.payment_created_at") >= F.col("a.payment_created_at")), "inner")
-    # Both ends are month starts, so AGE's years*12 + months is the plain
-    # month-number difference.
-    return joined.select(
-        F.col("a.user_id").alias("user_id"),
-        F.col("a.payment_created_at").alias("activity"),
-        F.col("r.payment_created_at").alias("futureActivity"),
-        (_month_index(F.col("r.payment_created_at"))
-         - _month_index(F.col("a.payment_created_at"))).alias("diff"),
-    )
-
-
-def _ownerless_rows(unknown: DataFrame) -> DataFrame:
-    return unknown.select(
-        "user_id",
-        F.col("payment_created_at").alias("activity"),
-        F.lit(None).cast("timestamp_ntz").alias("futureActivity"),
-        F.lit(None).cast("int").alias("diff"),
-    )
-
-
-def activity_pairs(activity: DataFrame) -> DataFrame:
+def window_months(as_of: str, start: str = ACTIVITY_START) -> int:
+    """Number of calendar months a payment can fall in (a parameter bound,
+    not a data statistic)."""
+    upper = datetime.fromisoformat(as_of) - timedelta(hours=PST_OFFSET_HOURS)
+    first = datetime.fromisoformat(start)
+    return max(0, upper.year * 12 + upper.month - (first.year * 12 + first.month) + 1)
+
+
+class _Masks:
+    def __init__(self, payments_clean: DataFrame, as_of: str, start: str):
+        self.months = window_months(as_of, start)
+        self.words = max(1, math.ceil(self.months / MASK_BITS))
+        self.cols = [f"mask{w}" for w in range(self.words)]
+        first = datetime.fromisoformat(start)
+        self.first_month = F.lit(f"{first.year:04d}-{first.month:02d}-01").cast("date")
+        created = F.col("payment_created_at")
+        idx = ((F.year(created) - first.year) * 12 + F.month(created) - first.month).cast("int")
+        aggs = []
+        for w, name in enumerate(self.cols):
+            lo, hi = w * MASK_BITS, (w + 1) * MASK_BITS
+            bit = F.expr(f"CASE WHEN month_idx >= {lo} AND month_idx < {hi} "
+                         f"THEN shiftleft(CAST(1 AS BIGINT), month_idx - {lo}) END")
+            aggs.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")).alias(name))
+        self.df = (_active_payments(payments_clean, as_of, start)
+                   .select("user_id", idx.alias("month_idx"))
+                   .groupBy("user_id").agg(*aggs))
+
+    def bit_set(self, idx: str) -> Column:
+        arms = " ".join(f"WHEN {idx} < {(w + 1) * MASK_BITS} "
+                        f"THEN shiftright({name}, {idx} - {w * MASK_BITS})"
+                        for w, name in enumerate(self.cols))
+        return F.expr(f"(CASE {arms} END & 1) = 1")
+
+    def month(self, idx: str) -> Column:
+        return F.add_months(self.first_month, F.col(idx)).cast("timestamp_ntz")
+
+    def starts(self) -> DataFrame:
+        last = F.lit(max(self.months, 1) - 1)
+        return (self.df.select("user_id", *self.cols, F.explode(F.sequence(F.lit(0), last)).alias("a"))
+                .where(self.bit_set("a")))
+
+    def pairs(self) -> DataFrame:
+        last = F.lit(max(self.months, 1) - 1)
+        return (self.starts().where(F.col("user_id").isNotNull())
+                .select("user_id", "a", *self.cols, F.explode(F.sequence(F.col("a"), last)).alias("r"))
+                .where(self.bit_set("r")))
+
+
+def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
     """Each (user, active month) with each same-or-later active month of
-    the same user and the month offset; ownerless rows keep NULLs."""
-    known, unknown = _split_owners(activity)
-    return _known_pairs(known).unionByName(_ownerless_rows(unknown))
+    the same user and the month offset (AGE in months, exact here since both
+    are month starts); ownerless rows keep NULLs."""
+    m = _Masks(payments_clean, as_of, start)
+    known = m.pairs().select(
+        "user_id", m.month("a").alias("activity"), m.month("r").alias("futureActivity"),
+        (F.col("r") - F.col("a")).alias("diff"))
+    ownerless = m.starts().where(F.col("user_id").isNull()).select(
+        "user_id", m.month("a").alias("activity"),
+        F.lit(None).cast("timestamp_ntz").alias("futureActivity"),
+        F.lit(None).cast("int").alias("diff"))
+    return known.unionByName(ownerless)
 
 
-def cohort_counts(activity: DataFrame) -> DataFrame:
+def cohort_counts(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
     """Distinct users per (cohort month, offset). A month with ownerless
     payments also gets the row (month, NULL, 0)."""
-    known, unknown = _split_owners(activity)
-    counted = _known_pairs(known).groupBy("activity", "diff").agg(
-        F.count(F.lit(1)).alias("retained"))
-    ownerless = (unknown.select(F.col("payment_created_at").alias("activity"))
-                 .distinct()
-                 .select("activity", F.lit(None).cast("int").alias("diff"),
-                         F.lit(0).cast("bigint").alias("retained")))
+    m = _Masks(payments_clean, as_of, start)
+    counted = (m.pairs()
+               .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
+               .agg(F.count(F.lit(1)).alias("retained")))
+    ownerless = m.starts().where(F.col("user_id").isNull()).select(
+        m.month("a").alias("activity"), F.lit(None).cast("int").alias("diff"),
+        F.lit(0).cast("bigint").alias("retained"))
     return counted.unionByName(ownerless)
 
 

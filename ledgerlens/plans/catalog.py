@@ -91,15 +91,17 @@ def q_monthly_activity(spark, sf_dir):
 
 @register("activity_pairs")
 def q_activity_pairs(spark, sf_dir):
-    return report(cohort.activity_pairs(Workspace(spark, sf_dir).activity))
+    ws = Workspace(spark, sf_dir)
+    return report(cohort.activity_pairs(ws.payments, ws.as_of))
 
 
 @register("cohort_counts")
 def q_cohort_counts(spark, sf_dir):
-    return report(cohort.cohort_counts(Workspace(spark, sf_dir).activity))
+    ws = Workspace(spark, sf_dir)
+    return report(cohort.cohort_counts(ws.payments, ws.as_of))
 
 
 @register("cohort_retention")
 def q_cohort_retention(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
-    return report(cohort.cohort_retention(cohort.cohort_counts(ws.activity)))
+    return report(cohort.cohort_retention(cohort.cohort_counts(ws.payments, ws.as_of)))
