@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import DEFAULT_AS_OF
-from ledgerlens.operators import cleaning, cohort
+from ledgerlens.operators import cleaning, cohort, revenue
 from ledgerlens.sources import fixture_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,158 @@ def q_cohort_counts(spark, sf_dir):
 def q_cohort_retention(spark, sf_dir):
     ws = Workspace(spark, sf_dir)
     return report(cohort.cohort_retention(cohort.cohort_counts(ws.payments, ws.as_of)))
+
+
+# ---------------------------------------------------------------- cleaning
+
+@register("clean_payments")
+def q_clean_payments(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments)
+
+
+@register("payment_method")
+def q_payment_method(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments.select(
+        "payment_id", "payment_type", "payment_method_type"))
+
+
+@register("payment_purpose")
+def q_payment_purpose(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments.select(
+        "payment_id", "payment_type", "contribution_id", "payment_is_for"))
+
+
+@register("clean_funds")
+def q_clean_funds(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds)
+
+
+@register("fund_full_name")
+def q_fund_full_name(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds.select(
+        "fund_id", "beneficiary_first_name", "beneficiary_middle_name", "beneficiary_last_name",
+        "beneficiary_full_name", "beneficiary_full_name_middle"))
+
+
+@register("age_parts")
+def q_age_parts(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    funds = ws.funds.select(F.lit("fund").alias("kind"), F.col("fund_id").alias("id"),
+                            F.col("beneficiary_dob").alias("dob"),
+                            F.col("beneficiary_age_years").alias("age_years"),
+                            F.col("beneficiary_age_months").alias("age_months"))
+    users = ws.users.select(F.lit("user").alias("kind"), F.col("user_id").alias("id"),
+                            F.col("user_dob").alias("dob"),
+                            F.col("user_age_years").alias("age_years"),
+                            F.col("user_age_months").alias("age_months"))
+    return report(funds.unionByName(users))
+
+
+@register("fund_description")
+def q_fund_description(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds.select("fund_id", "fund_description"))
+
+
+@register("balance_band")
+def q_balance_band(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds.select(
+        "fund_id", "fund_balance_usd", "fund_balance_group"))
+
+
+@register("fund_flags")
+def q_fund_flags(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds.select(
+        "fund_id", "my529_upgrade_started_at_set", "my529_upgrade_established_at_set",
+        "fund_is_active", "fund_is_from_gift"))
+
+
+@register("fund_backers")
+def q_fund_backers(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).funds.select(
+        "fund_id", "fund_backers", "num_fund_backers"))
+
+
+@register("clean_users")
+def q_clean_users(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).users)
+
+
+@register("user_admin_flag")
+def q_user_admin_flag(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).users.select("user_id", "user_email", "user_is_admin"))
+
+
+@register("user_active_flag")
+def q_user_active_flag(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).users.select("user_id", "user_status", "user_is_active"))
+
+
+@register("user_foundation_flag")
+def q_user_foundation_flag(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).users.select(
+        "user_id", "user_utm_source", "user_from_foundation"))
+
+
+@register("user_era")
+def q_user_era(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).users.select("user_id", "user_created_at", "user_era"))
+
+
+@register("clean_contributions")
+def q_clean_contributions(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).contributions)
+
+
+@register("clean_transactions")
+def q_clean_transactions(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).transactions)
+
+
+@register("card_ach_transactions")
+def q_card_ach_transactions(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).card_ach)
+
+
+# ---------------------------------------------------------------- revenue
+
+def _ledgers(ws: Workspace):
+    pay = revenue.revenue_from_payments(ws.src.payments)
+    comm = revenue.revenue_from_commissions(ws.src.affiliate_links, ws.src.affiliate_commissions)
+    return pay, comm
+
+
+@register("revenue_from_payments")
+def q_revenue_from_payments(spark, sf_dir):
+    return report(revenue.revenue_from_payments(Workspace(spark, sf_dir).src.payments))
+
+
+@register("revenue_from_commissions")
+def q_revenue_from_commissions(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return report(revenue.revenue_from_commissions(ws.src.affiliate_links,
+                                                   ws.src.affiliate_commissions))
+
+
+@register("revenue_by_stream")
+def q_revenue_by_stream(spark, sf_dir):
+    return report(revenue.revenue_by_stream(*_ledgers(Workspace(spark, sf_dir))))
+
+
+@register("user_dimension")
+def q_user_dimension(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return report(revenue.user_dimension(ws.src.users, ws.src.funds))
+
+
+@register("user_revenue")
+def q_user_revenue(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return report(revenue.user_revenue(revenue.revenue_by_stream(*_ledgers(ws))))
+
+
+@register("paying_users")
+def q_paying_users(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    dim = revenue.user_dimension(ws.src.users, ws.src.funds)
+    rev = revenue.user_revenue(revenue.revenue_by_stream(*_ledgers(ws)))
+    return report(revenue.paying_users(dim, rev))
