@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import DEFAULT_AS_OF
-from ledgerlens.operators import cleaning, cohort, revenue
+from ledgerlens.operators import churn, cleaning, cohort, revenue
 from ledgerlens.sources import fixture_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,24 @@ class Workspace:
         return cleaning.card_ach_transactions(self.src.stripe_transactions,
                                               self.src.ach_transactions)
 
+    @cached_property
+    def latest_transactions(self) -> DataFrame:
+        return churn.latest_transaction_per_payment(self.transactions)
+
+    @cached_property
+    def payments_extended(self) -> DataFrame:
+        return churn.payments_extended(self.payments, self.latest_transactions, self.card_ach,
+                                       self.funds)
+
+    @cached_property
+    def fee_payments(self) -> DataFrame:
+        return churn.fee_payments_per_user(self.users, self.payments, self.latest_transactions,
+                                           self.card_ach, self.funds)
+
+    @cached_property
+    def churn(self) -> DataFrame:
+        return churn.churn_status(churn.fee_next_payment(self.fee_payments), self.as_of)
+
     @cached_property
     def activity(self) -> DataFrame:
         return cohort.monthly_activity(self.payments, self.as_of)
@@ -260,3 +278,64 @@ def q_paying_users(spark, sf_dir):
     dim = revenue.user_dimension(ws.src.users, ws.src.funds)
     rev = revenue.user_revenue(revenue.revenue_by_stream(*_ledgers(ws)))
     return report(revenue.paying_users(dim, rev))
+
+
+# ---------------------------------------------------------------- churn
+
+_ATTEMPT_KEY = ("payment_id", "cc_or_ach_transaction_id")
+
+
+@register("latest_transaction_per_payment")
+def q_latest_transaction_per_payment(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).latest_transactions)
+
+
+@register("payments_extended")
+def q_payments_extended(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments_extended)
+
+
+@register("payment_category")
+def q_payment_category(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments_extended.select(
+        *_ATTEMPT_KEY, "payment_type", "fund_plan_manager", "fund_lpoa_status", "payment_category"))
+
+
+@register("cma_subtype")
+def q_cma_subtype(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments_extended.select(
+        *_ATTEMPT_KEY, "payment_category", "payment_category_cma_type"))
+
+
+@register("payment_workflow_state")
+def q_payment_workflow_state(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments_extended.select(
+        *_ATTEMPT_KEY, "payment_state", "transaction_state", "payment_workflow_state"))
+
+
+@register("cancel_issue_flag")
+def q_cancel_issue_flag(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).payments_extended.select(
+        *_ATTEMPT_KEY, "payment_type", "cc_or_ach_error_code", "payment_counts_cancel_issue"))
+
+
+@register("fee_payments_per_user")
+def q_fee_payments_per_user(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).fee_payments)
+
+
+@register("fee_next_payment")
+def q_fee_next_payment(spark, sf_dir):
+    return report(churn.fee_next_payment(Workspace(spark, sf_dir).fee_payments))
+
+
+@register("next_expected_month")
+def q_next_expected_month(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).churn.select(
+        "user_id", *_ATTEMPT_KEY, "payment_workflow_state", "current_payment_created_at_month",
+        "next_actual_payment_created_at_month", "next_expected_payment_created_at_month"))
+
+
+@register("churn_status")
+def q_churn_status(spark, sf_dir):
+    return report(Workspace(spark, sf_dir).churn)
