@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens import DEFAULT_AS_OF
-from ledgerlens.operators import churn, cleaning, cohort, revenue
+from ledgerlens.operators import churn, cleaning, cohort, funnel, revenue
 from ledgerlens.sources import fixture_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -339,3 +339,30 @@ def q_next_expected_month(spark, sf_dir):
 @register("churn_status")
 def q_churn_status(spark, sf_dir):
     return report(Workspace(spark, sf_dir).churn)
+
+
+# ---------------------------------------------------------------- funnel
+
+@register("boost_payments")
+def q_boost_payments(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return report(funnel.boost_payments(ws.payments, ws.funds))
+
+
+@register("fund_conversion_rates")
+def q_fund_conversion_rates(spark, sf_dir):
+    return report(funnel.fund_conversion_rates(Workspace(spark, sf_dir).funds))
+
+
+@register("contribution_conversion_rates")
+def q_contribution_conversion_rates(spark, sf_dir):
+    return report(funnel.contribution_conversion_rates(Workspace(spark, sf_dir).contributions))
+
+
+@register("conversion_funnel")
+def q_conversion_funnel(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return report(funnel.conversion_funnel(
+        ws.users, funnel.boost_payments(ws.payments, ws.funds),
+        funnel.fund_conversion_rates(ws.funds),
+        funnel.contribution_conversion_rates(ws.contributions)))
