@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ledgerlens import DEFAULT_AS_OF
 from ledgerlens.operators import churn, cleaning, cohort, funnel, revenue
-from ledgerlens.sources import fixture_sources
+from ledgerlens.sources import Sources, fixture_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -46,11 +46,12 @@ def report(df: DataFrame) -> DataFrame:
 class Workspace:
     """Source tables and cleaned relations for one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF):
+    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF,
+                 sources: Sources | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.as_of = as_of
-        self.src = fixture_sources(spark, sf_dir)
+        self.src = sources if sources is not None else fixture_sources(spark, sf_dir)
 
     @cached_property
     def payments(self) -> DataFrame:
