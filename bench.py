@@ -44,6 +44,7 @@ def headline(ws: Workspace) -> dict:
             ws.transactions, "row_number"),
         "latest_transaction_per_payment__first_distinct": lambda: churn.latest_transaction_per_payment(
             ws.transactions, "first_distinct"),
+        "revenue_from_payments__stack": lambda: revenue.revenue_from_payments(src.payments, "stack"),
         "revenue_from_payments__explode": lambda: revenue.revenue_from_payments(src.payments, "explode"),
         "revenue_from_payments__union": lambda: revenue.revenue_from_payments(src.payments, "union"),
     }

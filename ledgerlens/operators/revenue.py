@@ -37,32 +37,42 @@ def _stream_rules():
     )
 
 
-def revenue_from_payments(payments: DataFrame, strategy: str = "explode") -> DataFrame:
+def revenue_from_payments(payments: DataFrame, strategy: str = "stack") -> DataFrame:
     """The payment ledger with three streams.
 
-    ``explode`` (default) reads payments once: each row carries an array with
-    one struct per stream it qualifies for, which is exploded in place. The
-    ``union`` strategy is the literal three filtered scans plus UNION ALL, kept
-    for benchmarking. Both first keep only the states any stream accepts, a
-    plain-column predicate that reaches the parquet scan.
+    ``stack`` (default) reads payments once and turns each row into one
+    candidate row per stream with the built-in ``stack`` generator, keeping
+    the candidates whose stream condition holds. ``union`` is the literal
+    three filtered scans plus UNION ALL; ``explode`` builds an array of
+    per-stream structs and drops the empty ones with a lambda, which leaves
+    whole-stage code generation. Both alternatives are kept for
+    benchmarking. All three first keep only the states some stream accepts,
+    a plain-column predicate that reaches the parquet scan.
     """
     base = payments.where(F.col("state").isin(*FEE_STATES))
     common = [to_pst("createdAt").alias("payment_created_at"),
               F.col("ownerId").alias("user_id"), F.col("fundID").alias("fund_id")]
+    rules = _stream_rules()
     if strategy == "union":
         parts = [base.where(cond).select(F.lit(name).alias("revenue_stream"), *common,
                                          usd(amount).alias("revenue_usd"))
-                 for name, cond, amount in _stream_rules()]
+                 for name, cond, amount in rules]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.select(*LEDGER_COLUMNS)
-    entries = F.array(*[
-        F.when(cond, F.struct(F.lit(name).alias("revenue_stream"), usd(amount).alias("revenue_usd")))
-        for name, cond, amount in _stream_rules()])
-    exploded = base.select(*common, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-    return exploded.select(F.col("e.revenue_stream").alias("revenue_stream"), "payment_created_at",
-                           "user_id", "fund_id", F.col("e.revenue_usd").alias("revenue_usd"))
+    if strategy == "explode":
+        entries = F.array(*[
+            F.when(cond, F.struct(F.lit(name).alias("revenue_stream"), usd(amount).alias("revenue_usd")))
+            for name, cond, amount in rules])
+        exploded = base.select(*common, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
+        return exploded.select(F.col("e.revenue_stream").alias("revenue_stream"), "payment_created_at",
+                               "user_id", "fund_id", F.col("e.revenue_usd").alias("revenue_usd"))
+    args = [F.lit(len(rules))]
+    for name, cond, amount in rules:
+        args += [F.lit(name), F.coalesce(cond, F.lit(False)), usd(amount)]
+    stacked = base.select(*common, F.stack(*args).alias("revenue_stream", "__books", "revenue_usd"))
+    return stacked.where(F.col("__books")).select(*LEDGER_COLUMNS)
 
 
 def revenue_from_commissions(affiliate_links: DataFrame, affiliate_commissions: DataFrame) -> DataFrame:

@@ -8,14 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _asc_nulls_last_key(cols: Sequence[str]):
-    # Sort key for min_by that orders like ASC NULLS LAST on every column.
-    parts = []
-    for c in cols:
-        parts += [F.col(c).isNull(), F.col(c)]
-    return F.struct(*parts)
-
-
 def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequence[str],
                   order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
     """Add ``LEAD(value, 1) OVER (PARTITION BY partition_by ORDER BY bucket_by,
@@ -28,13 +20,15 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
 
     1. a window per (partition, bucket) gives the next row inside the bucket
        and marks the bucket's last row;
-    2. the first row of every bucket is found with ``min_by`` (a partial
-       aggregate, no sort), and a window over buckets per partition key passes
-       it back to the preceding bucket. That window holds one row per bucket,
-       not per input row;
+    2. the same window flags each bucket's first row; a window over those
+       first rows per partition key passes each one back to the preceding
+       bucket. That window holds one row per bucket, not per input row;
     3. the last row of each bucket takes the next bucket's first row through
        an equi-join on the bucket key (exactly one match per row).
 
+    Both consumers of step 1 read the same exchange, so the input is scanned
+    and shuffled once.
+
     The result equals the single window exactly, including NULL values of the
     next row. Partition and bucket columns must not be NULL (map a nullable
     bucket to a sentinel that sorts last before calling).
@@ -43,19 +37,19 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
     group = partition_by + bucket_by
     outs = list(values)
     w1 = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
-    local = df.select(
+    # An input already hash-partitioned by the partition key alone (say, after
+    # a sort-merge join on it) would satisfy the window's distribution and keep
+    # a hot key in one task; repartitioning on the full bucket key prevents it.
+    local = df.repartition(*group).select(
         "*",
         *[F.lead(F.col(values[o]), 1).over(w1).alias(f"__lead_{o}") for o in outs],
         F.lead(F.lit(1), 1).over(w1).isNull().alias("__last"),
+        (F.row_number().over(w1) == 1).alias("__first"),
     )
-
-    firsts = (df.groupBy(*group)
-              .agg(F.min_by(F.struct(*[F.col(values[o]).alias(o) for o in outs]),
-                            _asc_nulls_last_key(order_by)).alias("__first")))
     w2 = Window.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_last() for c in bucket_by])
-    following = firsts.select(
+    following = local.where(F.col("__first")).select(
         *[F.col(c).alias(f"__g_{c}") for c in group],
-        *[F.lead(F.col(f"__first.{o}"), 1).over(w2).alias(f"__next_{o}") for o in outs])
+        *[F.lead(F.col(values[o]), 1).over(w2).alias(f"__next_{o}") for o in outs])
 
     # ``local`` is already hash-partitioned by the bucket key (the window's
     # exchange), so only the small ``following`` relation moves for this join.
