@@ -24,8 +24,12 @@ def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> Da
     task). Rows of ``many`` with a NULL key never match in either form.
     """
     keys = list(keys)
+    # NULL keys match in neither branch; they are dropped before any exchange.
+    many = many.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
     matched = one.join(many, keys, "inner")
     right_only = [c for c in many.columns if c not in keys]
+    # The anti side only needs the key columns; Catalyst prunes ``many`` down
+    # to them (a narrow second read) and de-duplicates them map-side.
     missing = (one.join(many.select(*keys).distinct(), keys, "left_anti")
                .select(*one.columns,
                        *[F.lit(None).cast(many.schema[c].dataType).alias(c) for c in right_only]))
