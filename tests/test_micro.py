@@ -228,3 +228,123 @@ def test_cohort_masks_span_several_words(spark):
               for r in cohort.cohort_counts(p, as_of).collect()}
     assert counts == {(2021, 1, 0): 1, (2021, 1, 69): 1, (2026, 10, 0): 1}
     assert datetime(2026, 10, 1) in {r.futureActivity for r in cohort.activity_pairs(p, as_of).collect()}
+
+
+def _extended(spark, payments, transactions=(), card=(), ach=(), funds=()):
+    p = cleaning.clean_payments(table(spark, PAYMENTS, list(payments)))
+    t = churn.latest_transaction_per_payment(cleaning.clean_transactions(table(spark, TRANSACTIONS, list(transactions))))
+    cat = cleaning.card_ach_transactions(table(spark, STRIPE, list(card)), table(spark, ACH, list(ach)))
+    f = cleaning.clean_funds(table(spark, FUNDS, list(funds)), DEFAULT_AS_OF)
+    return churn.payments_extended(p, t, cat, f)
+
+
+def test_ach_payment_without_transaction_or_times_is_ach_completed(spark):
+    # Q15: 'pull pending' needs transaction_state <> 'settled', which is NULL here.
+    out = one(_extended(spark, [{"id": 1, "type": "ach", "state": "initiated", "bankAccountId": 5}]))
+    assert out.payment_workflow_state == "ach completed"
+    assert out.payment_category == "cma"          # no fund: LPOA status IS NULL
+    assert out.payment_category_cma_type == "anomaly"
+
+
+def test_workflow_state_arms(spark):
+    created = ts("2021-05-05 00:00:00")
+    rows = _extended(spark, [
+        {"id": 1, "type": "stripe", "state": "initiated", "creditCardId": 3, "pushSettledAt": created},
+        {"id": 2, "type": "ach", "state": "initiated", "bankAccountId": 3},
+        {"id": 3, "type": "ach", "state": "initiated", "bankAccountId": 3, "settledAt": created},
+        {"id": 4, "type": "voluntary-fee", "state": "pending"},
+        {"id": 5, "type": "paper", "state": "settled"},
+        {"id": 6, "type": "paper", "state": "pending"},
+        {"id": 7, "type": "stripe", "state": "settled", "creditCardId": 3},
+    ], transactions=[{"id": 20, "paymentID": 2, "type": "ach-pull", "state": "initiated", "createdAt": created}])
+    got = {r.payment_id: r.payment_workflow_state for r in rows.collect()}
+    assert got == {1: "data error - stripe", 2: "pull pending", 3: "data error - ach",
+                   4: "voluntary fee anomaly", 5: "ach completed",
+                   6: "data anomaly - unaccounted for", 7: "stripe completed"}
+
+
+def test_category_arms_follow_source_order(spark):
+    rows = _extended(spark, [
+        {"id": 1, "type": "ach", "fundID": 10}, {"id": 2, "type": "ach", "fundID": 11},
+        {"id": 3, "type": "ach", "fundID": 12}, {"id": 4, "type": "ach", "fundID": 13},
+        {"id": 5, "type": "ach", "fundID": 14},
+    ], funds=[{"id": 10, "programManager": "cyp", "lpoaStatus": "pending"},
+              {"id": 11, "programManager": "safe", "lpoaStatus": "completed"},
+              {"id": 12, "programManager": "my529", "lpoaStatus": "pending"},
+              {"id": 13, "programManager": None, "lpoaStatus": "completed"},
+              {"id": 14, "programManager": "safe", "lpoaStatus": "pending"}])
+    got = {r.payment_id: (r.payment_category, r.payment_category_cma_type) for r in rows.collect()}
+    # Q6: 'cma-my529' is unreachable; the subtype's first arm already catches
+    # my529 plans and completed LPOAs, so a completed 'safe' fund is 'cma' with
+    # a NULL subtype.
+    assert got == {1: ("bill.com", None), 2: ("cma", None), 3: ("cma", None), 4: ("my529", None),
+                   5: ("cma", "cma-safe")}
+
+
+def test_attempt_fan_out_makes_a_payment_its_own_next(spark):
+    # Q17: two attempts of one payment; the first one's "next" is the payment itself,
+    # in the same month, so it is no expected-month match: Anomaly.
+    created = "2021-01-10 12:00:00"
+    p = cleaning.clean_payments(table(spark, PAYMENTS, [
+        {"id": 1, "ownerId": 1, "fundID": 1, "type": "voluntary-fee", "state": "settled",
+         "creditCardId": 1, "createdAt": ts(created)}]))
+    t = churn.latest_transaction_per_payment(cleaning.clean_transactions(table(spark, TRANSACTIONS, [
+        {"id": 10, "paymentID": 1, "type": "ach-pull", "state": "settled", "createdAt": ts(created)}])))
+    cat = cleaning.card_ach_transactions(table(spark, STRIPE, [
+        {"transactionId": 10, "id": 100, "createdAt": ts(created), "declineCode": "E1"},
+        {"transactionId": 10, "id": 101, "createdAt": ts(created)}]), table(spark, ACH, []))
+    f = cleaning.clean_funds(table(spark, FUNDS, [{"id": 1, "owner": 1}]), DEFAULT_AS_OF)
+    u = cleaning.clean_users(table(spark, USERS, [{"id": 1}]), DEFAULT_AS_OF)
+    fee = churn.fee_payments_per_user(u, p, t, cat, f)
+    rows = {r.cc_or_ach_transaction_id: r for r in
+            churn.churn_status(churn.fee_next_payment(fee), DEFAULT_AS_OF).collect()}
+    assert rows[100].next_actual_payment_id == 1
+    assert rows[100].next_actual_cc_or_ach_transaction_id == 101
+    assert rows[100].churn_status == "Anomaly"
+    assert rows[101].next_actual_payment_id is None
+    assert rows[101].churn_status == "Voluntary Churn"
+
+
+def test_repeated_contributor_rows_double_sums_not_counts(spark):
+    # Q18 and Q3: the "avg" columns are sums over all joined rows.
+    from builders import table as mk
+    contributors = mk(spark, "id bigint, userID bigint, createdAt timestamp_ntz, updatedAt timestamp_ntz, "
+                             "deletedAt timestamp_ntz, type string, relationship string, fundID bigint",
+                      [{"id": 1, "userID": 9, "type": "owner", "fundID": 4},
+                       {"id": -2, "userID": 9, "type": "owner", "fundID": 4}])
+    contributions = mk(spark, "createdAt timestamp_ntz, updatedAt timestamp_ntz, deletedAt timestamp_ntz, "
+                              "id bigint, originalContributionId bigint, state string, frequency string, "
+                              "variant string, createdAsStarterGift boolean, amount bigint, tip bigint, "
+                              "processingFee bigint, bankAccountID bigint, creditCardID bigint, "
+                              "stripeSubscriptionID string, recipientName string, recipientParentName string, "
+                              "recipientMessage string, recipientEmailAddress string, userID bigint, "
+                              "collegeFundID bigint",
+                       [{"id": 50, "state": "active", "frequency": "monthly", "amount": 1000,
+                         "userID": 9, "collegeFundID": 4},
+                        {"id": 51, "state": "active", "frequency": "onetime", "amount": 250,
+                         "userID": 9, "collegeFundID": 4},
+                        {"id": 52, "state": "edited", "frequency": "onetime", "amount": 999,
+                         "userID": 9, "collegeFundID": 4}])
+    rates = one(funnel.contribution_conversion_rates(cleaning.clean_contributions(contributors, contributions)))
+    assert (rates.num_contributions, rates.num_contributions_recurring, rates.num_contributions_onetime) == (2, 1, 1)
+    assert rates.avg_recurring_contribution_amount_usd == Decimal("20.00")
+    assert rates.avg_onetime_contribution_amount_usd == Decimal("5.00")
+
+
+def test_ledger_keeps_null_amounts_and_books_three_streams(spark):
+    # Q20: one settled fee payment books a fee, a tip and a processing fee;
+    # a NULL amount stays as a NULL ledger row.
+    from ledgerlens.operators import revenue
+    p = table(spark, PAYMENTS, [
+        {"id": 1, "ownerId": 2, "type": "voluntary-fee", "state": "settled", "amount": None, "tip": 100,
+         "processingFee": 30, "createdAt": ts("2021-01-01 00:00:00")},
+        {"id": 2, "ownerId": 2, "type": "voluntary-fee", "state": "initiated", "amount": 500,
+         "createdAt": ts("2021-01-01 00:00:00")},
+        {"id": 3, "ownerId": 2, "type": "ach", "state": "pending", "amount": 500},
+    ])
+    for strategy in ("stack", "union", "explode"):
+        got = sorted(((r.revenue_stream, r.revenue_usd) for r in
+                      revenue.revenue_from_payments(p, strategy).collect()), key=repr)
+        assert got == sorted([("Subscription Fees", None), ("Tips", Decimal("1.00")),
+                              ("Processing Fees", Decimal("0.30")),
+                              ("Subscription Fees", Decimal("5.00"))], key=repr), strategy
