@@ -31,9 +31,9 @@ SIDE_TRANSACTION_TYPES = ("ach-push-tip", "ach-push-fee")
 # not go through, as the churn rules test them.
 SUCCESS_STATES = ("stripe completed", "ach completed")
 UNSUCCESSFUL_STATES = ("cancelled", "returned", "refunded")
-# Fixed value: width of the payment-id range that, with the month, forms a
-# bucket of the two-level LEAD.
-PAYMENT_ID_BUCKET = 1 << 16
+# Bucket width of the two-level LEAD: payment ids are grouped in ranges of
+# 2**16 within a month.
+PAYMENT_ID_BUCKET_BITS = 16
 
 
 def latest_transaction_per_payment(transactions_clean: DataFrame, strategy: str = "row_number") -> DataFrame:
@@ -208,7 +208,7 @@ def fee_next_payment(fee_payments: DataFrame) -> DataFrame:
         .alias("next_expected_payment_created_at_month"),
         # Bucket keys: monotone in the LEAD order, never NULL.
         F.coalesce(F.year(month) * 12 + F.month(month), F.lit(2 ** 31 - 1)).alias("__month_key"),
-        F.floor(F.col("payment_id") / PAYMENT_ID_BUCKET).alias("__id_key"),
+        F.shiftright(F.col("payment_id"), PAYMENT_ID_BUCKET_BITS).alias("__id_key"),
     )
     led = lead_in_order(prepared, ["user_id"], ["__month_key", "__id_key"],
                         ["payment_id", "cc_or_ach_transaction_id"], _NEXT_VALUES)

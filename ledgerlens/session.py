@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 # Settings the operators rely on for correct results (UTC wall clock, ANSI
@@ -16,8 +13,8 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
-    # Hash keys never collapse NULL-key rows of an outer join into a single
-    # partition unnoticed: AQE splits such partitions like any skewed one.
+    # A shuffle partition above 4x the median (and the byte threshold) is
+    # split, including the NULL-key partition of an outer join's preserved side.
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
@@ -50,18 +47,18 @@ def build_session(master: str | None = None, app_name: str = "ledgerlens",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and it is used as is. Only when the
-    setting is absent (local tests) a fresh scratch folder is created.
+    On a cluster that setting names a folder every executor can reach, and it
+    is used as is. A caller without one (local tests) must pass ``fallback``
+    explicitly; the library never invents a machine-local folder.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
     if not configured:
-        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-",
-                                      dir=os.environ.get("TMPDIR", "/tmp"))
+        raise ValueError("spark.checkpoint.dir is not set; name a shared folder")
     spark.sparkContext.setCheckpointDir(configured)
     return configured

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -17,6 +18,6 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     session = build_session("local[4]", app_name="ledgerlens-tests", shuffle_partitions=8,
                             extra={"spark.driver.memory": "4g"})
-    ensure_checkpoint_dir(session)
+    ensure_checkpoint_dir(session, fallback=tempfile.mkdtemp(prefix="ledgerlens-ckpt-"))
     yield session
     session.stop()
