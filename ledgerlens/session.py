@@ -40,8 +40,10 @@ def build_session(master: str | None = None, app_name: str = "ledgerlens",
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    # An existing session keeps its static settings; SQL settings are applied
+    # to it at runtime.
     for key, value in conf.items():
-        if not key.startswith(("spark.ui", "spark.driver", "spark.executor")):
+        if key.startswith("spark.sql."):
             spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
