@@ -22,7 +22,7 @@ self-join. Here the same pairs come from one aggregate instead:
   ``COUNT(DISTINCT user)`` of the source is a plain count.
 * Payments without an owner form one NULL group. They never match in the
   source's join, so they only add the row (month, NULL offset, 0 users) for
-  each month in which they occur.
+  each month in which they occur; the same pass emits it.
 """
 
 from __future__ import annotations
@@ -102,16 +102,19 @@ class _Masks:
     def month(self, idx: str) -> Column:
         return F.add_months(self.first_month, F.col(idx)).cast("timestamp_ntz")
 
-    def starts(self) -> DataFrame:
-        last = F.lit(max(self.months, 1) - 1)
-        return (self.df.select("user_id", *self.cols, F.explode(F.sequence(F.lit(0), last)).alias("a"))
-                .where(self.bit_set("a")))
-
     def pairs(self) -> DataFrame:
+        """(user_id, a, r): every active month ``a`` of a user with each of the
+        user's active months ``r >= a``. The ownerless group keeps one row per
+        active month with ``r`` NULL, which is the row the source's outer
+        self-join produces for it; everything comes from one pass."""
         last = F.lit(max(self.months, 1) - 1)
-        return (self.starts().where(F.col("user_id").isNotNull())
-                .select("user_id", "a", *self.cols, F.explode(F.sequence(F.col("a"), last)).alias("r"))
-                .where(self.bit_set("r")))
+        starts = (self.df.select("user_id", *self.cols,
+                                 F.explode(F.sequence(F.lit(0), last)).alias("a"))
+                  .where(self.bit_set("a")))
+        later = F.when(F.col("user_id").isNotNull(), F.sequence(F.col("a"), last))
+        return (starts.select("user_id", "a", *self.cols, F.explode_outer(later).alias("r"))
+                .where(F.col("user_id").isNull() | self.bit_set("r"))
+                .select("user_id", "a", "r"))
 
 
 def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
@@ -119,27 +122,19 @@ def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_
     the same user and the month offset (AGE in months, exact here since both
     are month starts); ownerless rows keep NULLs."""
     m = _Masks(payments_clean, as_of, start)
-    known = m.pairs().select(
+    return m.pairs().select(
         "user_id", m.month("a").alias("activity"), m.month("r").alias("futureActivity"),
         (F.col("r") - F.col("a")).alias("diff"))
-    ownerless = m.starts().where(F.col("user_id").isNull()).select(
-        "user_id", m.month("a").alias("activity"),
-        F.lit(None).cast("timestamp_ntz").alias("futureActivity"),
-        F.lit(None).cast("int").alias("diff"))
-    return known.unionByName(ownerless)
 
 
 def cohort_counts(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
     """Distinct users per (cohort month, offset). A month with ownerless
-    payments also gets the row (month, NULL, 0)."""
+    payments also gets the row (month, NULL, 0): counting user ids skips the
+    ownerless group's NULL id."""
     m = _Masks(payments_clean, as_of, start)
-    counted = (m.pairs()
-               .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
-               .agg(F.count(F.lit(1)).alias("retained")))
-    ownerless = m.starts().where(F.col("user_id").isNull()).select(
-        m.month("a").alias("activity"), F.lit(None).cast("int").alias("diff"),
-        F.lit(0).cast("bigint").alias("retained"))
-    return counted.unionByName(ownerless)
+    return (m.pairs()
+            .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
+            .agg(F.count("user_id").alias("retained")))
 
 
 def cohort_retention(counts: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Plan shape, invariants and label coverage."""
 
+import re
 import tempfile
 
 import pytest
@@ -109,3 +110,19 @@ def test_every_reachable_label_occurs_medium(spark):
     from ledgerlens.operators import funnel
     assert labels(funnel.boost_payments(ws.payments, ws.funds), "boost_payment_state") == {
         "Redeemed", "Unconfirmed", "Clawed"}
+
+
+def test_lead_is_partitioned_by_bucket_not_by_user(spark):
+    text = plan(QUERIES["churn_status"](spark, SMALL))
+    assert "hashpartitioning(user_id" in text
+    exchanges = [line for line in text.splitlines() if "hashpartitioning(user_id" in line]
+    # the per-row window shuffles on (user, month, id range); only the small
+    # per-bucket relation is shuffled by user alone
+    assert any("__month_key" in line and "__id_key" in line for line in exchanges)
+
+
+def test_cohort_is_one_bit_or_aggregate(spark):
+    text = plan(QUERIES["cohort_counts"](spark, SMALL))
+    assert "bit_or" in text
+    scans = [line for line in text.splitlines() if re.match(r"^\(\d+\) Scan parquet", line)]
+    assert len(scans) == 1
