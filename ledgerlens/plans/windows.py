@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,12 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
     3. the last row of each bucket takes the next bucket's first row through
        an equi-join on the bucket key (exactly one match per row).
 
-    Both consumers of step 1 read the same exchange, so the input is scanned
-    and shuffled once.
+    Step 1's output has two consumers (steps 2 and 3), which Catalyst would
+    prune to different columns and so plan twice, input scan and joins
+    included. It is therefore persisted (memory, spilling to disk; lost blocks
+    are recomputed from lineage): the input is read, shuffled and sorted once.
+    The cached relation keeps the bucket-key partitioning, so step 3's join
+    moves only the small per-bucket relation.
 
     The result equals the single window exactly, including NULL values of the
     next row. Partition and bucket columns must not be NULL (map a nullable
@@ -45,7 +50,7 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
         *[F.lead(F.col(values[o]), 1).over(w1).alias(f"__lead_{o}") for o in outs],
         F.lead(F.lit(1), 1).over(w1).isNull().alias("__last"),
         (F.row_number().over(w1) == 1).alias("__first"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     w2 = Window.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_last() for c in bucket_by])
     following = local.where(F.col("__first")).select(
         *[F.col(c).alias(f"__g_{c}") for c in group],
