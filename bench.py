@@ -76,6 +76,9 @@ def main() -> None:
         for i in range(runs + 1):
             t = time.perf_counter()
             report(build()).write.format("noop").mode("overwrite").save()
+            # Operators may persist intermediates; drop them so no run reads
+            # another run's cache.
+            spark.catalog.clearCache()
             if i:
                 samples.append(time.perf_counter() - t)
         timings[name] = round(statistics.median(samples), 3)

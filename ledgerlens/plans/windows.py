@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +18,18 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
     month and a coarse id range). A plain window would send every row of a hot
     partition key to one task; here the work is split in two levels:
 
-    1. a window per (partition, bucket) gives the next row inside the bucket
-       and marks the bucket's last row;
-    2. the same window flags each bucket's first row; a window over those
-       first rows per partition key passes each one back to the preceding
-       bucket. That window holds one row per bucket, not per input row;
-    3. the last row of each bucket takes the next bucket's first row through
-       an equi-join on the bucket key (exactly one match per row).
+    1. a window per (partition, bucket) gives each row the next row inside its
+       bucket and flags the bucket's first and last rows;
+    2. every row but a bucket's last keeps that in-bucket LEAD;
+    3. the bucket boundary rows (first and last of each bucket, at most two per
+       bucket) go through a window per partition key, in which a bucket's last
+       row is directly followed by the next bucket's first row; the last rows
+       take their LEAD from there.
 
-    Step 1's output has two consumers (steps 2 and 3), which Catalyst would
-    prune to different columns and so plan twice, input scan and joins
-    included. It is therefore persisted (memory, spilling to disk; lost blocks
-    are recomputed from lineage): the input is read, shuffled and sorted once.
-    The cached relation keeps the bucket-key partitioning, so step 3's join
-    moves only the small per-bucket relation.
+    The two parts are a UNION ALL, with no join. Both read every column of the
+    bucketed input, so they share one exchange and the input is read and
+    shuffled once. The second-level window holds at most two rows per bucket,
+    not one per input row.
 
     The result equals the single window exactly, including NULL values of the
     next row. Partition and bucket columns must not be NULL (map a nullable
@@ -41,26 +38,24 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
     partition_by, bucket_by, order_by = list(partition_by), list(bucket_by), list(order_by)
     group = partition_by + bucket_by
     outs = list(values)
-    w1 = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    in_bucket = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
     # An input already hash-partitioned by the partition key alone (say, after
     # a sort-merge join on it) would satisfy the window's distribution and keep
     # a hot key in one task; repartitioning on the full bucket key prevents it.
     local = df.repartition(*group).select(
         "*",
-        *[F.lead(F.col(values[o]), 1).over(w1).alias(f"__lead_{o}") for o in outs],
-        F.lead(F.lit(1), 1).over(w1).isNull().alias("__last"),
-        (F.row_number().over(w1) == 1).alias("__first"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    w2 = Window.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_last() for c in bucket_by])
-    following = local.where(F.col("__first")).select(
-        *[F.col(c).alias(f"__g_{c}") for c in group],
-        *[F.lead(F.col(values[o]), 1).over(w2).alias(f"__next_{o}") for o in outs])
-
-    # ``local`` is already hash-partitioned by the bucket key (the window's
-    # exchange), so only the small ``following`` relation moves for this join.
-    cond = [F.col(c) == F.col(f"__g_{c}") for c in group]
-    joined = local.join(following, cond, "left")
-    return joined.select(
-        *df.columns,
-        *[F.when(F.col("__last"), F.col(f"__next_{o}")).otherwise(F.col(f"__lead_{o}")).alias(o)
-          for o in outs])
+        *[F.lead(F.col(values[o]), 1).over(in_bucket).alias(f"__lead_{o}") for o in outs],
+        F.lead(F.lit(1), 1).over(in_bucket).isNull().alias("__last"),
+        (F.row_number().over(in_bucket) == 1).alias("__first"),
+    )
+    inner = local.where(~F.col("__last")).select(
+        *df.columns, *[F.col(f"__lead_{o}").alias(o) for o in outs])
+
+    across = Window.partitionBy(*partition_by).orderBy(
+        *[F.col(c).asc_nulls_last() for c in bucket_by + order_by])
+    boundary = (local.where(F.col("__first") | F.col("__last"))
+                .select(*df.columns, "__last",
+                        *[F.lead(F.col(values[o]), 1).over(across).alias(f"__next_{o}") for o in outs])
+                .where(F.col("__last"))
+                .select(*df.columns, *[F.col(f"__next_{o}").alias(o) for o in outs]))
+    return inner.unionByName(boundary)
