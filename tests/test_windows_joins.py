@@ -46,3 +46,54 @@ def test_left_join_fanout_equals_left_join(spark):
     got = left_join_fanout(one, many, ["k"]).select("k", "name", "v")
     want = one.join(many, "k", "left").select("k", "name", "v")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_hot_user_is_spread_over_partitions(spark):
+    rnd = random.Random(1)
+    rows = [(0 if i % 3 == 0 else rnd.randint(1, 500), rnd.randint(1, 12), i * 7, i, "s") for i in range(30000)]
+    df = spark.createDataFrame(rows, "user long, month int, pid long, attempt long, state string")
+    prepared = df.select("*", F.col("month").alias("mkey"), F.shiftright("pid", 10).alias("ikey"))
+    previous = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = lead_in_order(prepared, ["user"], ["mkey", "ikey"], ["pid", "attempt"], {"next_pid": "pid"})
+        per_task = (got.where("user = 0").groupBy(F.spark_partition_id().alias("p")).count()
+                    .collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", previous)
+    hot_rows = sum(r["count"] for r in per_task)
+    assert hot_rows == 10000
+    # A plain per-user window would hold all 10,000 rows in one task.
+    assert len(per_task) >= 4 and max(r["count"] for r in per_task) < hot_rows / 2
+
+
+def test_fanout_join_lets_aqe_split_the_hot_key(spark):
+    # Key 0 holds a third of the right side; with 32 shuffle partitions its
+    # partition is far above 4x the median, so AQE splits it in the inner join.
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.shuffle.partitions": "32"}
+    previous = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        one = spark.range(0, 200, numPartitions=4).select(
+            F.col("id").alias("k"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("name"))
+        many = spark.range(0, 200000, numPartitions=16).select(
+            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 200).alias("k"),
+            F.col("id").alias("v"))
+        out = left_join_fanout(one, many, ["k"])
+        assert len(out.collect()) == 200000
+        jvm = spark._jvm
+        text = jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(
+            out._jdf.queryExecution(), "simple")
+        assert "SortMergeJoin(skew=true)" in text
+    finally:
+        for k, v in previous.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
