@@ -24,13 +24,20 @@ def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> Da
     task). Rows of ``many`` with a NULL key never match in either form.
     """
     keys = list(keys)
-    # NULL keys match in neither branch; they are dropped before any exchange.
-    many = many.where(F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
-    matched = one.join(many, keys, "inner")
+    known = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
     right_only = [c for c in many.columns if c not in keys]
+    padding = [F.lit(None).cast(many.schema[c].dataType).alias(c) for c in right_only]
+    # NULL keys match in neither form. Filtering them explicitly on both sides
+    # makes the two reads of ``one`` identical (one exchange, reused), and
+    # drops ``many``'s NULL keys before any exchange.
+    one_known = one.where(known)
+    many = many.where(known)
+    matched = one_known.join(many, keys, "inner")
     # The anti side only needs the key columns; Catalyst prunes ``many`` down
     # to them (a narrow second read) and de-duplicates them map-side.
-    missing = (one.join(many.select(*keys).distinct(), keys, "left_anti")
-               .select(*one.columns,
-                       *[F.lit(None).cast(many.schema[c].dataType).alias(c) for c in right_only]))
-    return matched.unionByName(missing)
+    missing = (one_known.join(many.select(*keys).distinct(), keys, "left_anti")
+               .select(*one.columns, *padding))
+    # Rows of ``one`` without a key keep their single NULL-padded row; for a
+    # primary key this branch reads nothing (parquet null counts are zero).
+    keyless = one.where(~known).select(*one.columns, *padding)
+    return matched.unionByName(missing).unionByName(keyless)
