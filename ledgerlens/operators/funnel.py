@@ -92,20 +92,23 @@ def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: Dat
     without), fund and contribution conversion, missing values as FALSE / 0.
 
     A user whose admin flag is NULL is dropped, as ``NOT NULL`` is not true.
-    The two one-row-per-user relations are joined first; the boosts, which may
-    concentrate on one owner, are joined last through the skew-safe fan-out
-    join.
+    The boosts, which may concentrate on one owner, are joined to the users
+    first through the skew-safe fan-out join (whose dimension side is then
+    only the filtered users). The two one-row-per-user relations follow as
+    LEFT joins whose large side is the preserved one, which adaptive execution
+    can split.
     """
     zero = F.lit(Decimal("0.00"))
     users = users_clean.where(F.col("user_is_active") & ~F.col("user_is_admin")).select(
         "user_created_at", "user_id", "user_email")
     f = fund_rates.withColumnRenamed("fund_owner_user_id", "user_id")
     c = contribution_rates.withColumnRenamed("contributor_user_id", "user_id")
-    per_user = users.join(f, "user_id", "left").join(c, "user_id", "left")
     b = boosts.select(F.col("fund_owner_user_id").alias("user_id"),
                       F.col("fund_id").alias("__boost_fund"),
                       "boost_payment_created_at", "boost_payment_state")
-    joined = left_join_fanout(per_user, b, ["user_id"])
+    joined = (left_join_fanout(users, b, ["user_id"])
+              .join(f, "user_id", "left")
+              .join(c, "user_id", "left"))
     n_all = F.coalesce(F.col("num_contributions"), F.lit(0).cast("bigint"))
     n_rec = F.coalesce(F.col("num_contributions_recurring"), F.lit(0).cast("bigint"))
     n_one = F.coalesce(F.col("num_contributions_onetime"), F.lit(0).cast("bigint"))
