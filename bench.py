@@ -57,7 +57,7 @@ def main() -> None:
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     scratch = tempfile.mkdtemp(prefix="ledgerlens-bench-")
     spark = build_session(f"local[{cpus}]", app_name="ledgerlens-bench",
-                          shuffle_partitions=max(8, 2 * cpus),
+                          shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", max(8, 2 * cpus))),
                           extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
                                  "spark.local.dir": scratch})
 
