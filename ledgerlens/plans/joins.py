@@ -21,7 +21,9 @@ def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> Da
 
     the inner join can be split, and the anti join only sees the distinct keys
     (partially aggregated on the map side, so a hot key ships once per map
-    task). Rows of ``many`` with a NULL key never match in either form.
+    task). Rows of ``many`` with a NULL key never match in either form; rows
+    of ``one`` with a NULL key are passed through NULL-padded in a third
+    branch.
     """
     keys = list(keys)
     known = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
