@@ -2,8 +2,8 @@
 
 They rename to snake_case, convert cents to exact decimal currency, shift UTC
 timestamps to the fixed PST offset and derive the class labels. Each is a
-single ``select`` (plus one join for contributions), so Catalyst prunes every
-column a later operator does not read straight down to the parquet scan.
+single ``select`` (plus the contributor-contribution join), so Catalyst prunes
+every column a later operator does not read straight down to the parquet scan.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import (
     age_parts, as_of_lit, collapse_blanks, concat_pg, date_to_pst, to_pst, usd, usd_or_zero,
 )
+from ledgerlens.plans.joins import left_join_fanout
 
 # Payment type lists of the payment method classes.
 LEGACY_TYPES = ("authorize-net", "uesp")
@@ -54,11 +55,6 @@ BALANCE_BANDS = (
 ZERO_BAND = "00: $0"
 TOP_BAND = (50000, "08: $50,000+")
 
-PAYMENT_TIMESTAMPS = (
-    ("createdAt", "payment_created_at"),
-    ("updatedAt", "payment_updated_at"),
-    ("deletedAt", "payment_deleted_at"),
-)
 PAYMENT_ACH_TIMESTAMPS = (
     ("initiatedAt", "payment_initiated_at"),
     ("pullSettledAt", "payment_pull_settled_at"),
@@ -294,41 +290,51 @@ INACTIVE_CONTRIBUTION_STATES = ("cancelled", "invalid", "edited")
 
 def clean_contributions(contributors: DataFrame, contributions: DataFrame) -> DataFrame:
     """Every contributor with each of its contributions to the same fund
-    (LEFT JOIN on user and fund; contributors without one are kept)."""
-    c = contributors.alias("c")
-    cc = contributions.alias("cc")
-    joined = c.join(cc, (F.col("c.userID") == F.col("cc.userID"))
-                    & (F.col("c.fundID") == F.col("cc.collegeFundID")), "left")
+    (LEFT JOIN on user and fund; contributors without one are kept).
+
+    One (user, fund) pair may own a large share of the contributions, and the
+    contributions are the non-preserved side, which adaptive execution cannot
+    split; the join therefore goes through the skew-safe fan-out form.
+    """
+    c = contributors.select(
+        F.col("userID").alias("__user"), F.col("fundID").alias("__fund"),
+        *[F.col(n).alias(f"c_{n}") for n in ("id", "userID", "createdAt", "updatedAt", "deletedAt",
+                                            "type", "relationship", "fundID")])
+    cc = contributions.select(
+        F.col("userID").alias("__user"), F.col("collegeFundID").alias("__fund"),
+        *[F.col(n).alias(f"cc_{n}") for n in contributions.columns
+          if n not in ("userID", "collegeFundID")])
+    joined = left_join_fanout(c, cc, ["__user", "__fund"])
     return joined.select(
-        F.col("c.id").alias("contributor_id"),
-        F.col("c.userID").alias("contributor_user_id"),
-        to_pst("c.createdAt").alias("contributor_created_at"),
-        to_pst("c.updatedAt").alias("contributor_updated_at"),
-        to_pst("c.deletedAt").alias("contributor_deleted_at"),
-        F.col("c.type").alias("contributor_type"),
-        F.col("c.relationship").alias("contributor_relationship"),
-        to_pst("cc.createdAt").alias("contribution_created_at"),
-        to_pst("cc.updatedAt").alias("contribution_updated_at"),
-        to_pst("cc.deletedAt").alias("contribution_deleted_at"),
-        F.col("c.fundID").alias("fund_id"),
-        F.col("cc.id").alias("contribution_id"),
-        F.col("cc.originalContributionId").alias("contribution_original_id"),
-        F.col("cc.state").alias("contribution_state"),
-        F.col("cc.frequency").alias("contribution_frequency"),
-        F.col("cc.variant").alias("contribution_variant"),
-        F.col("cc.createdAsStarterGift").alias("contribution_created_at_starter_gift"),
-        (~F.col("cc.state").isin(*INACTIVE_CONTRIBUTION_STATES)).alias("contribution_is_active"),
-        (F.col("cc.frequency") != "onetime").alias("contribution_is_recurring"),
-        usd("cc.amount").alias("contribution_amount_usd"),
-        usd("cc.tip").alias("contribution_tip_usd"),
-        usd("cc.processingFee").alias("contribution_processing_fee_usd"),
-        F.col("cc.bankAccountID").alias("contribution_bank_account_id"),
-        F.col("cc.creditCardID").alias("contribution_credit_card_id"),
-        F.col("cc.stripeSubscriptionID").alias("contribution_stripe_subscription_id"),
-        F.col("cc.recipientName").alias("contribution_recipient_name"),
-        F.col("cc.recipientParentName").alias("contribution_recipient_parent_name"),
-        F.col("cc.recipientMessage").alias("contribution_recipient_message"),
-        F.col("cc.recipientEmailAddress").alias("contribution_recipient_email"),
+        F.col("c_id").alias("contributor_id"),
+        F.col("c_userID").alias("contributor_user_id"),
+        to_pst("c_createdAt").alias("contributor_created_at"),
+        to_pst("c_updatedAt").alias("contributor_updated_at"),
+        to_pst("c_deletedAt").alias("contributor_deleted_at"),
+        F.col("c_type").alias("contributor_type"),
+        F.col("c_relationship").alias("contributor_relationship"),
+        to_pst("cc_createdAt").alias("contribution_created_at"),
+        to_pst("cc_updatedAt").alias("contribution_updated_at"),
+        to_pst("cc_deletedAt").alias("contribution_deleted_at"),
+        F.col("c_fundID").alias("fund_id"),
+        F.col("cc_id").alias("contribution_id"),
+        F.col("cc_originalContributionId").alias("contribution_original_id"),
+        F.col("cc_state").alias("contribution_state"),
+        F.col("cc_frequency").alias("contribution_frequency"),
+        F.col("cc_variant").alias("contribution_variant"),
+        F.col("cc_createdAsStarterGift").alias("contribution_created_at_starter_gift"),
+        (~F.col("cc_state").isin(*INACTIVE_CONTRIBUTION_STATES)).alias("contribution_is_active"),
+        (F.col("cc_frequency") != "onetime").alias("contribution_is_recurring"),
+        usd("cc_amount").alias("contribution_amount_usd"),
+        usd("cc_tip").alias("contribution_tip_usd"),
+        usd("cc_processingFee").alias("contribution_processing_fee_usd"),
+        F.col("cc_bankAccountID").alias("contribution_bank_account_id"),
+        F.col("cc_creditCardID").alias("contribution_credit_card_id"),
+        F.col("cc_stripeSubscriptionID").alias("contribution_stripe_subscription_id"),
+        F.col("cc_recipientName").alias("contribution_recipient_name"),
+        F.col("cc_recipientParentName").alias("contribution_recipient_parent_name"),
+        F.col("cc_recipientMessage").alias("contribution_recipient_message"),
+        F.col("cc_recipientEmailAddress").alias("contribution_recipient_email"),
     )
 
 
