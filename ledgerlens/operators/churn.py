@@ -9,9 +9,10 @@ Plan notes for scale:
   the first arm of A11, is exactly ``payment_type = 'voluntary-fee'``). That
   predicate is applied to the payments before any join, where it can reach the
   scan; Catalyst cannot derive it from a filter on the computed category.
-* The joins of A10 are LEFT joins with the payments as the preserved side;
-  adaptive execution splits a skewed payment-side partition, which includes
-  the NULL-key partition of payments that have no transaction.
+* The joins of A10 are LEFT joins with the payments as the preserved side.
+  The newest transaction and the fund are unique per key; the card/ACH
+  attempts are not, so that join uses the skew-safe fan-out form, which also
+  keeps payments without a transaction (NULL key) out of the exchange.
 * A16's LEAD per user is computed in two levels (see
   :func:`ledgerlens.plans.windows.lead_in_order`) so that one user with a
   large share of all payments does not end up in a single window task.
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import as_of_lit, month_start
+from ledgerlens.plans.joins import left_join_fanout
 from ledgerlens.plans.windows import lead_in_order
 
 # Transaction types that are not the payment's own transfer.
@@ -143,15 +145,17 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
     card/ACH attempt of that transaction (one row per attempt, payments
     without attempts kept once) and its fund's plan manager and LPOA status."""
     attempts = card_ach.select(
-        F.col("transaction_id").alias("__attempt_tx"),
+        "transaction_id",
         F.col("transaction_type").alias("cc_ach_transaction_type"),
         "cc_or_ach_created_at", "cc_or_ach_transaction_id", "cc_or_ach_error_code",
         F.col("transaction_amount_usd").alias("cc_or_ach_transaction_amount_usd"),
         "ach_file_id", "ach_transaction_routing_number", "cc_or_ach_transaction_succeeded")
     funds = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_plan_manager", "fund_lpoa_status")
-    joined = (payments_clean
-              .join(latest_transactions, "payment_id", "left")
-              .join(attempts, F.col("transaction_id") == F.col("__attempt_tx"), "left")
+    with_tx = payments_clean.join(latest_transactions, "payment_id", "left")
+    # One transaction may carry very many attempts (the non-preserved side),
+    # and payments without a transaction have a NULL key: the fan-out form
+    # splits the first and passes the second through without an exchange.
+    joined = (left_join_fanout(with_tx, attempts, ["transaction_id"])
               .join(funds, F.col("fund_id") == F.col("__fund"), "left"))
     c = F.col
     return joined.select(
