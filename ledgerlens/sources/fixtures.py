@@ -1,6 +1,6 @@
 """Shape the driver's TPC-H-like tables into the ten payment-domain tables.
 
-The reference ships no data, so each source table is derived by a fixed rule
+The source queries come without data, so each source table is derived by a fixed rule
 from ``orders``, ``customer``, ``lineitem``, ``supplier`` and ``part``; the
 rules are written out in FIXTURES.md and, independently, as DuckDB SQL in
 ``oracle/``. Everything here is narrow per-row projection except
