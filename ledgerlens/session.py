@@ -16,6 +16,10 @@ BASE_CONF = {
     # A shuffle partition above 4x the median (and the byte threshold) is
     # split, including the NULL-key partition of an outer join's preserved side.
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    # No operator broadcasts by hand: a join side is broadcast only when its
+    # size (estimated, then measured at runtime by AQE) is under this bound,
+    # otherwise the join shuffles. Spark's default, stated explicitly.
+    "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
