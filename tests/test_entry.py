@@ -18,5 +18,6 @@ def test_entry_queries_and_oracle_agree(spark):
     df = module.entry(spark)
     assert df.columns == ["activity", "diff", "retained", "total", "retention_rate"]
     assert df.count() > 0
-    assert set(module.queries()) == set(module.oracle_sql())
-    assert len(module.queries()) == 42
+    own = {name for name in module.queries() if name != "pipeline" and not name.startswith("op")}
+    assert own <= set(module.oracle_sql()) <= set(module.queries())
+    assert len(own) == 42
