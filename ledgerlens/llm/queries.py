@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import mixing, simhash_dedup, token_store
+from ledgerlens.llm import chat_preferences, decontaminate, langid, mixing, pii, quality, simhash_dedup, token_store
 from ledgerlens.llm.common import table
 
 
@@ -21,6 +21,23 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "bits")
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s.getField("kind") == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k.name) for k in pii.BASE_KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).alias("n_added"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s.getField("score"))), F.lit(0.0)).alias("top_score"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -30,13 +47,36 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k (chosen) and 2k + 1 (rejected) are a pair, for every k."""
+    turns = table(spark, sf_dir, "conversations").select(
+        F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+    pairs = chat_preferences.preference_pairs(turns)
+
+    def digest(c: str):
+        return F.md5(F.col(c).cast("binary")).alias(f"{c}_md5")
+
+    return pairs.select(
+        "pair_id", "status", "prefix_turns", digest("prompt"), digest("chosen"), digest("rejected"),
+        chat_preferences.joined_mask(F.col("chosen_mask")).alias("chosen_mask"), chat_preferences.joined_mask(F.col("rejected_mask")).alias("rejected_mask"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.sampled(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_shards, op6_simhash_dedup, op9_mixing)
+    f.__name__: f for f in (op1_decontaminate, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {}
