@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat_preferences, decontaminate, langid, mixing, pii, quality, simhash_dedup, token_store
+from ledgerlens.llm import ann, chat_preferences, decontaminate, langid, mixing, pii, quality, simhash_dedup, token_store
 from ledgerlens.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "similarity", F.col("start").alias("start_word"), F.col("end").alias("end_word"), "bits")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -76,7 +81,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
+    f.__name__: f for f in (op1_decontaminate, op2_ann, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {}
