@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat_preferences, decontaminate, langid, mixing, pii, quality, simhash_dedup, token_store
+from ledgerlens.llm import ann, chat_preferences, decontaminate, langid, mixing, pii, pitman_yor, quality, simhash_dedup, token_store
 from ledgerlens.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_ann, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
+    f.__name__: f for f in (op1_decontaminate, op2_ann, op3_pitman_yor, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
 }
 
 ORACLE_SQL: dict[str, str] = {}
