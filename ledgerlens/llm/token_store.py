@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -139,33 +140,74 @@ class WaveletMatrix:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer and the chunks it has encoded so far in this process."""
+    """The tokenizer, which of its ids end a word, and the chunks that this
+    process has encoded so far."""
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
+    ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return tokenizer, ends_word, {}
 
 
 #: Chunks a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 500_000
 
 
-def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text (without the end id) as little-endian unsigned 32-bit.
+def chunks_of(text: bytes) -> list[bytes]:
+    """Chunks of a text between ASCII white space, A-Z lower-cased.
 
-    The tokenizer's words never reach across white space and it drops white
-    space, so a text's ids are those of its chunks between ASCII white space, in
-    order; each chunk goes through the tokenizers library once a worker.
-    """
-    tokenizer, known = _tokenizer(path)
-    chunks = [t.split() for t in texts]
-    new = [c for c in {c for cs in chunks for c in cs} if c not in known]
+    The tokenizer lower-cases letters, drops white space and never reaches
+    across it, so chunks are encoded one by one. Texts that may spell a special
+    token, whose case counts, keep their letters."""
+    return text.split() if b"<|" in text else text.lower().split()
+
+
+def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
+    """Ids of each of ``texts``, encoded in lines of many."""
+    # Words of letters that no normal form changes are one word to the tokenizer
+    # as well, and it marks the last token of a word. A token of another text
+    # belongs to it by its first character.
+    plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
+    rest = sorted(set(range(len(texts))).difference(plain))
+    out: list[bytes] = [b""] * len(texts)
+
+    def lines(some: list[int], run) -> Iterator[tuple[list[int], list, np.ndarray]]:
+        cut = [some[a:a + 500] for a in range(0, len(some), 500)]
+        for line, e in zip(cut, run(["\n".join([texts[i] for i in x]) for x in cut], add_special_tokens=False), strict=True):
+            yield line, e, np.array(e.ids, dtype="<u4")
+
+    def put(line: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+        for i, a, b in zip(line, cuts, cuts[1:], strict=False):
+            out[i] = raw[a:b]
+
+    for line, _, ids in lines(plain, tokenizer.encode_batch_fast):
+        ends = np.flatnonzero(ends_word[ids]) + 1
+        if len(ends) == len(line):
+            put(line, ids, ends)
+        else:
+            rest += line
+    for line, e, ids in lines(rest, tokenizer.encode_batch):
+        first = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+        put(line, ids, np.searchsorted(first, np.cumsum([len(texts[i]) + 1 for i in line])))
+    return out
+
+
+def encode(texts: list[bytes], path: str) -> list[bytes]:
+    """Ids of each text (without the end id) as little-endian unsigned 32-bit;
+    a chunk goes through the tokenizers library once a worker."""
+    tokenizer, ends_word, known = _tokenizer(path)
+    chunks = [chunks_of(t) for t in texts]
+    new = set(chain.from_iterable(chunks)).difference(known)
     if len(known) + len(new) > CACHE_CHUNKS:
         known.clear()
-        new = list({c for cs in chunks for c in cs})
-    for a in range(0, len(new), 20_000):
-        some = new[a:a + 20_000]
-        for c, e in zip(some, tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        new = set(chain.from_iterable(chunks))
+    # A full stop or comma after a letter or digit is a word of its own.
+    ended = {c for c in new if c[-1] in b".," and c[-2:-1].isalnum()}
+    whole = list((new - ended) | {c[:-1] for c in ended if c[:-1] not in known} | ({b".", b","} - known.keys()))
+    known.update(zip(whole, _encode(tokenizer, ends_word, [c.decode("utf-8", "replace") for c in whole]), strict=True))
+    known.update((c, known[c[:-1]] + known[c[-1:]]) for c in ended)
     get = known.__getitem__
     return [b"".join(map(get, cs)) for cs in chunks]
 
@@ -213,17 +255,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
                  partitions: int | None = None) -> None:
     """Write the ids of all of ``docs`` to a new folder ``path``.
 
-    A range exchange puts documents in ascending order of doc_id (by text, where
-    rows repeat a doc_id) into partitions of bounded size; a partition writes
-    one or more shards. Null texts are empty and hold the end id alone. Rows
+    A range exchange puts documents in ascending order of doc_id (where rows
+    repeat one, of a hash of the text) into partitions of bounded size; a
+    partition writes one or more shards. Null texts are empty and hold the end id alone. Rows
     without doc_id are left out: they have no place in the order.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")) \
+        .withColumn("tie", F.xxhash64("text"))
     if partitions is None:
         chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         partitions = max(1, -(-chars // PART_CHARS))
-    ranged = rows.repartitionByRange(int(partitions), "doc_id", "text") if partitions > 1 else rows.coalesce(1)
-    ranged = ranged.sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
+    ranged = rows.repartitionByRange(int(partitions), "doc_id", "tie") if partitions > 1 else rows.coalesce(1)
+    ranged = ranged.sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     ranged.mapInArrow(_shards(tokenizer, end_id, shard_tokens), SCHEMA).write.parquet(path)
 
 
