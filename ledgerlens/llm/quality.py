@@ -1,17 +1,17 @@
 """Quality classifier from weak labels (operator 8).
 
 Heuristic labellers vote on every document, for its quality and for its toxicity.
-Expectation-maximisation over the counts of vote patterns estimates how often
-each labeller votes what in either class; the posterior class of a pattern is
-the label that a hashed linear scorer is trained on; the scorer judges every
-document by its whole text.
+Expectation-maximisation over the counts of vote patterns estimates the accuracy
+of every labeller; the posterior class of a pattern is the label that a hashed
+linear scorer is trained on; the scorer judges every document by its whole text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +34,19 @@ CACHE_WORDS = 200_000
 # Votes.
 YES, NO, ABSTAIN = 1, 0, 2
 
-#: Labellers of bad style: name, the measure's upper bound of a sure NO and lower
-#: bound of a YES, as shares; between them they abstain.
+#: Labellers of bad style: name of a measure, and the share from which on it is
+#: bad. Each finds one kind of bad text, so it votes YES or abstains; below the
+#: first bound in all measures the labeller "plain" votes NO.
 STYLE_RULES = (
     ("upper_case", 0.25, 0.6),
     ("marked_words", 0.2, 0.45),
     ("lone_symbols", 0.12, 0.3),
-    ("repeated_lines", 0.2, 0.5),
-    ("odd_words", 0.2, 0.5),
+    ("repeated_lines", 0.4, 0.6),
+    ("long_words", 0.1, 0.3),
+    ("word_runs", 0.1, 0.3),
 )
-#: Labellers of toxicity: word lists by whole words and by beginnings.
+#: Labellers of toxicity: words, and beginnings of words, of the word lists. A
+#: hit is a YES; without a hit in any the labeller "unlisted" votes NO.
 LIST_RULES = ("words", "begin5", "begin4")
 
 _EDGE = b".,;:!?\"'()[]{}"
@@ -57,19 +60,20 @@ def shape(word: bytes) -> bytes:
     return case + (b"9" if any(48 <= c <= 57 for c in core) else b"") + b":" + tail
 
 
-def style(words: Counter, lines: list[bytes]) -> list[float]:
-    """The measures of ``STYLE_RULES`` on a text's words and lines."""
+def style(text: bytes, tokens: list[bytes], words: Counter) -> list[float]:
+    """The measures of ``STYLE_RULES`` on a text, its words and their counts."""
     n = max(1, sum(words.values()))
-    upper = marked = lone = odd = 0
+    upper = marked = lone = long = 0
     for w, c in words.items():
         kind, _, tail = shape(w).partition(b":")
         upper += c * (kind[:1] == b"U")
         marked += c * (kind[:1] != b"s" and len(tail) > 0)
         lone += c * (kind[:1] == b"s")
-        odd += c * (len(w) > 30 or b"9" in kind)
-    filled = [x for x in map(bytes.strip, lines) if x]
+        long += c * (len(w) > 30)
+    filled = [x for x in map(bytes.strip, text.split(b"\n")) if x]
     again = len(filled) - len(set(filled))
-    return [upper / n, marked / n, lone / n, again / max(1, len(filled)), odd / n]
+    runs = sum(map(eq, tokens, tokens[1:]))
+    return [upper / n, marked / n, lone / n, again / max(1, len(filled)), long / n, runs / n]
 
 
 def _bucket(text: bytes) -> int:
@@ -132,46 +136,43 @@ def word_lists(labelled: DataFrame, bound: int = LABELLED_DOCS) -> np.ndarray:
     return np.sort(counts["bucket"].to_numpy()[strong].astype(np.int64))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: float = 0.8, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation of a two-class model whose labellers vote
-    independently given the class.
+def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: float = 0.9, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """Expectation-maximisation of the labellers' accuracies.
 
     ``patterns`` holds votes (rows by labellers), ``counts`` how many documents
-    have each. Returns the posterior of class YES by pattern and the table
-    [class, labeller, vote] of vote rates. Starts from labellers that are right
-    ``expected`` of the time when they vote.
+    have each. Given the class, labellers vote or abstain independently, each
+    at rates of its own; rates start from votes that are right with
+    ``expected``. Returns the posterior of class YES by pattern and, for each
+    labeller, the share of its votes that agree with the posterior.
     """
-    n = patterns.shape[1]
-    one_hot = np.stack([patterns == v for v in (NO, YES, ABSTAIN)], axis=2).astype(float)  # pattern, labeller, vote
-    rate = np.empty((2, n, 3))
-    share = (one_hot * counts[:, None, None]).sum(axis=0) / max(1, counts.sum())
-    for c in (NO, YES):
-        votes = (share[:, NO] + share[:, YES])[:, None]
-        rate[c] = np.concatenate([np.where(np.array([NO, YES]) == c, expected, 1 - expected) * votes, 1 - votes], axis=1)
-    rate = np.clip(rate, 1e-4, None)
-    pi = prior
-    post = np.zeros(len(patterns))
+    votes = np.stack([patterns == v for v in (NO, YES, ABSTAIN)], axis=2).astype(float)  # pattern, labeller, vote
+    total = max(1.0, float(counts.sum()))
+    said = (counts[:, None, None] * votes).sum(axis=0)[:, :ABSTAIN].sum(axis=1, keepdims=True) / total
+    right = np.array([[expected, 1 - expected], [1 - expected, expected]])
+    rate = np.stack([np.concatenate([said * right[c], 1 - said], axis=1) for c in (NO, YES)])
+    rate = np.clip(rate, 1e-6, None)
+    pi, post = prior, np.zeros(len(patterns))
     for _ in range(rounds):
-        rate /= rate.sum(axis=2, keepdims=True)
-        like = np.einsum("plv,clv->pc", one_hot, np.log(rate)) + np.log([1 - pi, pi])
-        new = 1 / (1 + np.exp(np.clip(like[:, NO] - like[:, YES], -50, 50)))
-        done = np.abs(new - post).max(initial=0) < 1e-6
+        like = np.einsum("pjv,cjv->pc", votes, np.log(rate / rate.sum(axis=2, keepdims=True)))
+        new = 1 / (1 + np.exp(-np.clip(like[:, YES] - like[:, NO] + np.log(pi / (1 - pi)), -50, 50)))
+        done = np.abs(new - post).max(initial=0) < 1e-7
         post = new
         if done:
             break
-        for c, p in ((NO, 1 - post), (YES, post)):
-            weight = counts * p
-            rate[c] = (np.einsum("p,plv->lv", weight, one_hot) + 0.5) / (weight.sum() + 1.5)
-        pi = float(np.clip((counts * post).sum() / max(1, counts.sum()), 1e-3, 0.999))
-    return post, rate
-
-
-def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 12, step: float = 0.3, decay: float = 2e-4, keep: float = 0.0) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic scorer over hashed features, by AdaGrad on
-    soft targets in a fixed order; weights within ``keep`` of zero become zero."""
-    w, g, b, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3), 0.0, 1e-3
+        rate = np.stack([np.einsum("p,pjv->jv", counts * p, votes) + 0.1 for p in (1 - post, post)])
+        pi = float(np.clip((counts * post).sum() / total, 1e-3, 0.5))
+    agree = np.einsum("p,pj->j", counts * (1 - post), votes[:, :, NO]) + np.einsum("p,pj->j", counts * post, votes[:, :, YES])
+    return post, agree / np.maximum(1e-9, np.einsum("p,pjv->j", counts, votes[:, :, :ABSTAIN]))
+
+
+def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 8, step: float = 0.3, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic scorer over hashed features, by proximal
+    AdaGrad on soft targets in a fixed order. Every step shrinks the weights it
+    touches towards zero, so words that tell nothing weigh nothing however many
+    of them a long text holds."""
+    w, g, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3), 1e-3
     if not len(rows):
-        return w, b
+        return w, 0.0
     b = float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     order = np.random.default_rng(7).permutation(len(rows))
     for _ in range(epochs):
@@ -184,12 +185,12 @@ def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[some]
             grad = np.bincount(at, weights=err[row] * x, minlength=BUCKETS) / len(some)
             hot = np.flatnonzero(grad)
-            grad[hot] += decay * w[hot]
             g[hot] += grad[hot] ** 2
-            w[hot] -= step * grad[hot] / np.sqrt(g[hot])
+            rate = step / np.sqrt(g[hot])
+            moved = w[hot] - rate * grad[hot]
+            w[hot] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - rate * shrink)
             gb += err.mean() ** 2
             b -= step * err.mean() / np.sqrt(gb)
-    w[np.abs(w) <= keep] = 0.0
     return w, b
 
 
@@ -199,21 +200,23 @@ class QualityModel:
     toxic_bias: float
     style: np.ndarray
     style_bias: float
-    #: Estimated rates [class, labeller, vote], for reports.
-    style_rates: np.ndarray = field(repr=False)
-    toxic_rates: np.ndarray = field(repr=False)
+    #: Estimated accuracies: the style labellers, "plain" and the labels; the
+    #: list labellers, "unlisted" and the labels.
+    style_accuracy: np.ndarray
+    toxic_accuracy: np.ndarray
 
 
 #: Scale of shares of word forms and of measures as features.
 _SHARE = 10.0
 
 
-def style_features(words: Counter, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def style_features(words: Counter, measures: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shares of word forms and the measures of a text."""
     n = max(1, sum(words.values()))
     held: Counter = Counter()
     for w, c in words.items():
         held[shape_term(w)] += c
-    for (name, _, _), value in zip(STYLE_RULES, style(words, lines), strict=True):
+    for (name, _, _), value in zip(STYLE_RULES, measures, strict=True):
         held[_bucket(b"m" + name.encode())] += value * n
     return np.fromiter(held.keys(), np.int64, len(held)), np.fromiter(held.values(), float, len(held)) * (_SHARE / n)
 
@@ -228,9 +231,11 @@ def _votes(lists: np.ndarray):
                 known = {}
             votes, terms, forms, shares = [], [], [], []
             for text, sampled in zip(as_bytes(part.column("text")), part.column("sampled").to_pylist(), strict=True):
-                words = Counter(text.split())
-                lines = text.split(b"\n")
-                row = [NO if v <= low else YES if v >= high else ABSTAIN for v, (_, low, high) in zip(style(words, lines), STYLE_RULES, strict=True)]
+                tokens = text.split()
+                words = Counter(tokens)
+                measures = style(text, tokens, words)
+                row = [YES if v >= high else ABSTAIN for v, (_, _, high) in zip(measures, STYLE_RULES, strict=True)]
+                row.append(NO if all(v <= low for v, (_, low, _) in zip(measures, STYLE_RULES, strict=True)) else ABSTAIN)
                 hit = [False] * len(LIST_RULES)
                 all_terms: set[int] = set()
                 for w in words:
@@ -240,9 +245,10 @@ def _votes(lists: np.ndarray):
                         hit[i] |= b in names
                     if sampled:
                         all_terms.update(got)
-                row += [YES if h else NO for h in hit] if len(names) else [ABSTAIN] * len(hit)
+                row += [YES if h else ABSTAIN for h in hit]
+                row.append(NO if names and not any(hit) else ABSTAIN)
                 votes.append("".join(map(str, row)))
-                at, x = style_features(words, lines) if sampled else (np.empty(0, np.int64), np.empty(0))
+                at, x = style_features(words, measures) if sampled else (np.empty(0, np.int64), np.empty(0))
                 terms.append(sorted(all_terms))
                 forms.append(at.tolist())
                 shares.append(x.tolist())
@@ -267,16 +273,16 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     # One row a pattern: at most three to the number of labellers.
     patterns = voted.select("doc_id", "votes").join(gold, "doc_id", "left") \
         .groupBy("votes", said("quality", 0).alias("q"), said("toxic", 1).alias("t")).count().toPandas()
-    n_style = len(STYLE_RULES)
+    n_style = len(STYLE_RULES) + 1
     posterior: list[dict[str, float]] = []
-    rates = []
+    accuracies = []
     for cut, mark, prior in ((slice(0, n_style), "q", 0.1), (slice(n_style, None), "t", 0.1)):
         key = patterns["votes"].str[cut] + patterns[mark]
         sums = patterns["count"].groupby(key).sum()
         table = np.array([[int(c) for c in k] for k in sums.index], np.int64).reshape(len(sums), -1)
-        post, rate = estimate(table, sums.to_numpy(float), prior)
+        post, accuracy = estimate(table, sums.to_numpy(float), prior)
         posterior.append(dict(zip(sums.index, post, strict=True)))
-        rates.append(rate)
+        accuracies.append(accuracy)
     train = voted.where("sampled").join(gold, "doc_id", "left").select("doc_id", "votes", said("quality", 0).alias("q"), said("toxic", 1).alias("t"), "terms", "forms", "shares") \
         .toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     votes = train.column("votes").to_pylist()
@@ -285,9 +291,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     as_rows = lambda name: [np.asarray(x.values if hasattr(x, "values") else x) for x in train.column(name)]
     terms = [(t.astype(np.int64), np.ones(len(t))) for t in as_rows("terms")]
     forms = [(f.astype(np.int64), s.astype(float)) for f, s in zip(as_rows("forms"), as_rows("shares"), strict=True)]
-    toxic, toxic_bias = train_linear(terms, bad_words, keep=0.25)
+    toxic, toxic_bias = train_linear(terms, bad_words)
     shapes, style_bias = train_linear(forms, bad_style)
-    return QualityModel(toxic, toxic_bias, shapes, style_bias, *rates)
+    return QualityModel(toxic, toxic_bias, shapes, style_bias, *accuracies)
 
 
 def scorer(docs: DataFrame, model: QualityModel):
@@ -302,7 +308,8 @@ def scorer(docs: DataFrame, model: QualityModel):
         for texts in batches:
             quality, toxicity = [], []
             for text in as_bytes(texts):
-                words = Counter(text.split())
+                tokens = text.split()
+                words = Counter(tokens)
                 if len(known) > CACHE_WORDS:
                     known = {}
                 z = m.toxic_bias
@@ -314,7 +321,7 @@ def scorer(docs: DataFrame, model: QualityModel):
                         if b not in seen:
                             seen.add(b)
                             z += x
-                at, x = style_features(words, text.split(b"\n"))
+                at, x = style_features(words, style(text, tokens, words))
                 s = m.style_bias + float(m.style[at] @ x)
                 quality.append(1 / (1 + float(np.exp(np.clip(s, -30, 30)))))
                 toxicity.append(1 / (1 + float(np.exp(np.clip(-z, -30, 30)))))
