@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ledgerlens.llm.common import as_bytes, cut_lineage, slices
@@ -26,7 +27,7 @@ from ledgerlens.llm.common import as_bytes, cut_lineage, slices
 #: of documents (for the scorer), by smallest hash of the document's id.
 LABELLED_DOCS = 10_000
 TRAIN_DOCS = 10_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 #: A posterior above which a document is rejected.
 REJECT = 0.5
 CACHE_WORDS = 200_000
@@ -76,25 +77,26 @@ def style(text: bytes, tokens: list[bytes], words: Counter) -> list[float]:
     return [upper / n, marked / n, lone / n, again / max(1, len(filled)), long / n, runs / n]
 
 
-def _bucket(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) % BUCKETS
+def _term(text: bytes) -> int:
+    """32-bit hash of a term; its remainder is the scorer's bucket."""
+    return xxhash.xxh32_intdigest(text)
 
 
 def list_terms(word: bytes) -> list[int]:
-    """Buckets of a word and its beginnings, for the lists and the scorer."""
+    """Terms of a word: the word itself and its beginnings."""
     w = word.lower().strip(_EDGE)
     if not w:
         return []
     text = w.decode("utf-8", "ignore")
-    out = [_bucket(b"w" + w)]
+    out = [_term(b"w" + w)]
     for k in (5, 4):
         if len(text) >= k:
-            out.append(_bucket(b"%d" % k + text[:k].encode()))
+            out.append(_term(b"%d" % k + text[:k].encode()))
     return out
 
 
 def shape_term(word: bytes) -> int:
-    return _bucket(b"s" + shape(word))
+    return _term(b"s" + shape(word)) % BUCKETS
 
 
 def _by_hash(rows: DataFrame, bound: int, salt: int) -> Column:
@@ -105,45 +107,59 @@ def _by_hash(rows: DataFrame, bound: int, salt: int) -> Column:
     return h <= F.lit(-1 if top is None else top)
 
 
+@arrow_udf(T.LongType())
+def copy_key(texts: pa.Array) -> pa.Array:
+    """Least hash of a text's runs of five words: near copies mostly agree."""
+    out = []
+    for text in as_bytes(texts):
+        words = text.lower().split()
+        runs = [b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))]
+        out.append(min(map(xxhash.xxh3_64_intdigest, runs)) - (1 << 63))
+    return pa.array(out, pa.int64())
+
+
 def word_lists(labelled: DataFrame, bound: int = LABELLED_DOCS) -> np.ndarray:
-    """Buckets over-represented in the toxic texts of a bounded sample of rows
-    ``doc_id, text, toxic``: each in three or more of them and at ten times the
-    rate in the others, by at least four standard deviations."""
-    sample = labelled.where(_by_hash(labelled, bound, 5))
+    """Terms over-represented in the toxic texts of a bounded sample of rows
+    ``doc_id, text, toxic``, of near copies one: each in five or more of them
+    and in two of a hundred, and at ten times the rate in the others."""
+    sample = labelled.where(_by_hash(labelled, bound, 5)).select("text", "toxic", copy_key("text").alias("key"))
+    # Of copies any may stand for the others; the least text makes it the same.
+    sample = sample.groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            held = np.zeros((2, BUCKETS), np.int32)
-            docs = [0, 0]
+            held: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(as_bytes(part.column("text")), part.column("toxic").to_pylist(), strict=True):
-                terms = {b for w in set(text.split()) for b in list_terms(w)}
-                held[toxic][list(terms)] += 1
-                docs[toxic] += 1
-            at = np.flatnonzero(held.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([docs[0], *held[0][at].tolist()], pa.int64()), pa.array([docs[1], *held[1][at].tolist()], pa.int64())], names=["bucket", "clean", "bad"])
-
-    # At most BUCKETS + 1 rows reach the driver, fewer by the filter.
-    counts = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "bucket int, clean long, bad long") \
-        .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("bucket = -1 or bad >= 3").toPandas()
-    total = counts[counts["bucket"] == -1]
-    counts = counts[counts["bucket"] != -1]
+                held[toxic].update({t for w in set(text.split()) for t in list_terms(w)})
+                held[toxic][-1] += 1
+            terms = list(held[0].keys() | held[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array([held[0][t] for t in terms], pa.int64()), pa.array([held[1][t] for t in terms], pa.int64())], names=["term", "clean", "bad"])
+
+    # Term -1 counts texts. A term in five toxic texts is one of at most a fifth
+    # of the sample's words and beginnings in toxic texts.
+    counts = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "term long, clean long, bad long") \
+        .groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("term = -1 or bad >= 5").toPandas()
+    total = counts[counts["term"] == -1]
+    counts = counts[counts["term"] != -1]
     if not len(total) or not len(counts):
         return np.empty(0, np.int64)
     n_clean, n_bad = max(1, int(total["clean"].iloc[0])), max(1, int(total["bad"].iloc[0]))
     rate = (counts["clean"].to_numpy() + 0.5) / (n_clean + 1)
     bad = counts["bad"].to_numpy()
-    strong = (bad / n_bad >= 10 * rate) & (bad - n_bad * rate >= 4 * np.sqrt(n_bad * rate * (1 - np.minimum(rate, 0.999)) + 0.25))
-    return np.sort(counts["bucket"].to_numpy()[strong].astype(np.int64))
+    strong = (bad >= 0.02 * n_bad) & (bad / n_bad >= 10 * rate)
+    return np.sort(counts["term"].to_numpy()[strong].astype(np.int64))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: float = 0.9, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: float = 0.9, trusted: float = 0.98, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation of the labellers' accuracies.
 
     ``patterns`` holds votes (rows by labellers), ``counts`` how many documents
     have each. Given the class, labellers vote or abstain independently, each
     at rates of its own; rates start from votes that are right with
-    ``expected``. Returns the posterior of class YES by pattern and, for each
-    labeller, the share of its votes that agree with the posterior.
+    ``expected``. The last labeller, the given labels, stays at ``trusted``,
+    which ties the classes to their meaning. Returns the posterior of class YES
+    by pattern and, for each labeller, the share of its votes that agree with
+    the posterior.
     """
     votes = np.stack([patterns == v for v in (NO, YES, ABSTAIN)], axis=2).astype(float)  # pattern, labeller, vote
     total = max(1.0, float(counts.sum()))
@@ -151,6 +167,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: f
     right = np.array([[expected, 1 - expected], [1 - expected, expected]])
     rate = np.stack([np.concatenate([said * right[c], 1 - said], axis=1) for c in (NO, YES)])
     rate = np.clip(rate, 1e-6, None)
+    right = np.array([[trusted, 1 - trusted], [1 - trusted, trusted]])
+    labels = np.clip(np.stack([np.append(said[-1] * right[c], 1 - said[-1]) for c in (NO, YES)]), 1e-6, None)
+    rate[:, -1] = labels
     pi, post = prior, np.zeros(len(patterns))
     for _ in range(rounds):
         like = np.einsum("pjv,cjv->pc", votes, np.log(rate / rate.sum(axis=2, keepdims=True)))
@@ -160,6 +179,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: f
         if done:
             break
         rate = np.stack([np.einsum("p,pjv->jv", counts * p, votes) + 0.1 for p in (1 - post, post)])
+        rate[:, -1] = labels
         pi = float(np.clip((counts * post).sum() / total, 1e-3, 0.5))
     agree = np.einsum("p,pj->j", counts * (1 - post), votes[:, :, NO]) + np.einsum("p,pj->j", counts * post, votes[:, :, YES])
     return post, agree / np.maximum(1e-9, np.einsum("p,pjv->j", counts, votes[:, :, :ABSTAIN]))
@@ -217,7 +237,7 @@ def style_features(words: Counter, measures: list[float]) -> tuple[np.ndarray, n
     for w, c in words.items():
         held[shape_term(w)] += c
     for (name, _, _), value in zip(STYLE_RULES, measures, strict=True):
-        held[_bucket(b"m" + name.encode())] += value * n
+        held[_term(b"m" + name.encode()) % BUCKETS] += value * n
     return np.fromiter(held.keys(), np.int64, len(held)), np.fromiter(held.values(), float, len(held)) * (_SHARE / n)
 
 
@@ -244,7 +264,7 @@ def _votes(lists: np.ndarray):
                     for i, b in enumerate(got):
                         hit[i] |= b in names
                     if sampled:
-                        all_terms.update(got)
+                        all_terms.update(b % BUCKETS for b in got)
                 row += [YES if h else ABSTAIN for h in hit]
                 row.append(NO if names and not any(hit) else ABSTAIN)
                 votes.append("".join(map(str, row)))
@@ -316,7 +336,7 @@ def scorer(docs: DataFrame, model: QualityModel):
                 seen: set[int] = set()
                 for w in words:
                     if (got := known.get(w)) is None:
-                        got = known[w] = tuple((b, float(m.toxic[b])) for b in list_terms(w) if m.toxic[b])
+                        got = known[w] = tuple((b, float(m.toxic[b])) for b in (t % BUCKETS for t in list_terms(w)) if m.toxic[b])
                     for b, x in got:
                         if b not in seen:
                             seen.add(b)
