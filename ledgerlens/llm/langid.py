@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,20 +50,26 @@ OTHER_SCRIPT = len(SCRIPTS)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def script_of(word: str) -> int:
-    """Index of the script of a word's first letter that has a known one."""
-    for char in word:
-        point = ord(char)
-        for i, (_, ranges) in enumerate(SCRIPTS):
-            if any(a <= point <= b for a, b in ranges):
-                return i
-    return OTHER_SCRIPT
+_EDGES = np.array(sorted({x for _, ranges in SCRIPTS for a, b in ranges for x in (a, b + 1)}), np.uint32)
+_SCRIPT_AT = np.full(len(_EDGES) + 1, OTHER_SCRIPT)
+for _i, (_, _ranges) in enumerate(SCRIPTS):
+    for _a, _b in _ranges:
+        _SCRIPT_AT[np.searchsorted(_EDGES, _a, side="right"):np.searchsorted(_EDGES, _b, side="right") + 1] = _i
 
 
-def trigrams(word: str) -> list[int]:
-    """Buckets of the trigrams of a word between boundary marks."""
-    padded = f"^{word}$"
-    return [xxhash.xxh32_intdigest(padded[i:i + 3].encode("utf-8", "replace")) % BUCKETS for i in range(len(padded) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words: the buckets of all trigrams between boundary marks, where each
+    word's begin, and the script of each word's first letter."""
+    chars = np.frombuffer(("^" + "$^".join(words) + "$").encode("utf-32-le", "replace"), "<u4")
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    first = np.cumsum(sizes + 2) - (sizes + 2)
+    c = chars.astype(np.uint64)
+    h = (c[:-2] * np.uint64(0x9E3779B1) ^ c[1:-1] * np.uint64(0x85EBCA77C2B2AE63)) * np.uint64(0xC2B2AE3D27D4EB4F) + c[2:] * np.uint64(0x165667B19E3779F9)
+    buckets = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
+    inside = np.ones(len(chars), bool)
+    inside[first + sizes], inside[first + sizes + 1] = False, False  # would cross a boundary
+    starts = np.cumsum(sizes) - sizes  # as many trigrams as letters
+    return buckets[inside[:-2]], starts, _SCRIPT_AT[np.searchsorted(_EDGES, chars[first + 1], side="right")]
 
 
 @dataclass(frozen=True)
@@ -74,11 +80,13 @@ class LanguageModel:
     #: Whether a language is a candidate for a script.
     allowed: np.ndarray
 
-    def word_score(self, word: str) -> np.ndarray:
-        at = trigrams(word)
-        scores = self.log_p[:, at].sum(axis=1)
-        may = self.allowed[:, script_of(word)]
-        return np.where(may, scores, scores - 50.0) if may.any() else scores
+    def word_scores(self, words: list[str]) -> np.ndarray:
+        """Scores of words by languages; a language that is no candidate for a
+        word's script loses 50, unless none is."""
+        at, starts, scripts = trigrams(words)
+        scores = np.add.reduceat(self.log_p.T[at], starts, axis=0)
+        may = self.allowed.T[scripts]
+        return np.where(may | ~may.any(axis=1, keepdims=True), scores, scores - 50.0)
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
@@ -93,15 +101,13 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             grams: dict[str, np.ndarray] = {}
-            known: dict[str, list[int]] = {}
+            held: dict[str, list[str]] = {}
             for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True):
-                row = grams.setdefault(lang, np.zeros(BUCKETS + OTHER_SCRIPT + 1, np.int64))
-                at: list[int] = []
-                for w in _WORD.findall(text.lower()):
-                    if (got := known.get(w)) is None:
-                        got = known[w] = [*trigrams(w), BUCKETS + script_of(w)]
-                    at += got
-                row += np.bincount(np.array(at, np.int64), minlength=len(row))
+                held.setdefault(lang, []).extend(_WORD.findall(text.lower()))
+            for lang, words in held.items():
+                if words:
+                    at, _, scripts = trigrams(words)
+                    grams[lang] = np.bincount(np.concatenate([at, BUCKETS + scripts]), minlength=BUCKETS + OTHER_SCRIPT + 1)
             for lang, row in grams.items():
                 at = np.flatnonzero(row)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], names=["lang", "bucket", "n"])
@@ -176,16 +182,14 @@ def label_spans(docs: DataFrame, model: LanguageModel, penalty: float = SWITCH_P
         for part in slices(batches, "text"):
             if len(known) > CACHE_WORDS:
                 known, table, sizes = {}, [], []
-            numbers = []
-            for text in part.column("text").to_pylist():
-                words = _WORD.findall(text.lower()) if text and m.langs else []
-                for w in set(words):
-                    if w not in known:
-                        known[w] = len(table)
-                        table.append(m.word_score(w))
-                        sizes.append(len(w))
-                numbers.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-            scores = np.array(table) if table else np.zeros((0, max(1, len(m.langs))))
+            found = [_WORD.findall(text.lower()) if text and m.langs else [] for text in part.column("text").to_pylist()]
+            new = list(set(chain.from_iterable(found)).difference(known))
+            if new:
+                known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+                table = [np.concatenate([*table, m.word_scores(new)])]
+                sizes += map(len, new)
+            numbers = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in found]
+            scores = table[0] if table else np.zeros((0, max(1, len(m.langs))))
             letters = np.array(sizes, np.int64)
             langs, shares, spans = [], [], []
             for at, lab in zip(numbers, viterbi([scores[x] for x in numbers], penalty), strict=True):
