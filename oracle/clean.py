@@ -32,12 +32,14 @@ def blanks(expr: str) -> str:
     return f"trim(replace(replace(replace({expr}, ' ', '<>'), '><', ''), '<>', ' '))"
 
 
+# Source and output names of timestamps.
 _ACH_TIMES = [("initiatedAt", "payment_initiated_at"), ("pullSettledAt", "payment_pull_settled_at"),
               ("pushedAt", "payment_pushed_at"), ("pushSettledAt", "payment_push_settled_at"),
               ("settledAt", "payment_settled_at"), ("refundedAt", "payment_refunded_at"),
               ("cancelRequestedAt", "payment_cancel_requested_at"),
               ("cancelledAt", "payment_cancelled_at")]
 
+# The value lists and patterns below are fixed values.
 CLEAN: dict[str, str] = {}
 
 CLEAN["p_clean"] = f"""
@@ -77,6 +79,7 @@ SELECT
 FROM src_payments
 """
 
+# Source and output names of timestamps.
 _FUND_TIMES = [("createdAt", "fund_created_at"), ("updatedAt", "fund_updated_at"),
                ("deletedAt", "fund_deleted_at"), ("abandonedAt", "fund_abandoned_at"),
                ("establishedAt", "fund_established_at"), ("fundedAt", "fund_funded_at"),
@@ -87,6 +90,10 @@ _FUND_TIMES = [("createdAt", "fund_created_at"), ("updatedAt", "fund_updated_at"
                ("upgradeStartedAt", "my529_upgrade_started_at"),
                ("upgradeEstablishedAt", "my529_upgrade_established_at")]
 
+# Lower bounds (USD) and labels of the balance bands.
+_BAND_BOUNDS = "[100, 500, 1000, 5000, 10000, 15000, 50000]"
+_BAND_LABELS = ("['01: $1-$99', '02: $100-$499', '03: $500-$999', '04: $1,000-$4,999', '05: $5,000-$9,999', "
+                "'06: $10,000-$14,999', '07: $15,000-$49,999', '08: $50,000+']")
 _BAL = cents('"collegeSavingsBalance"')
 
 CLEAN["f_clean"] = f"""
@@ -116,15 +123,8 @@ SELECT
   "upgradeEstablishedAt" IS NOT NULL AS my529_upgrade_established_at_set,
   "fundName" AS fund_name, owner AS fund_owner_user_id,
   {_BAL} AS fund_balance_usd,
-  CASE WHEN {cents('coalesce("collegeSavingsBalance", 0)')} = 0 THEN '00: $0'
-       WHEN {_BAL} < 100 THEN '01: $1-$99'
-       WHEN {_BAL} < 500 THEN '02: $100-$499'
-       WHEN {_BAL} < 1000 THEN '03: $500-$999'
-       WHEN {_BAL} < 5000 THEN '04: $1,000-$4,999'
-       WHEN {_BAL} < 10000 THEN '05: $5,000-$9,999'
-       WHEN {_BAL} < 15000 THEN '06: $10,000-$14,999'
-       WHEN {_BAL} < 50000 THEN '07: $15,000-$49,999'
-       WHEN {_BAL} >= 50000 THEN '08: $50,000+' END AS fund_balance_group,
+  CASE WHEN coalesce("collegeSavingsBalance", 0) = 0 THEN '00: $0'
+       ELSE {_BAND_LABELS}[1 + len(list_filter({_BAND_BOUNDS}, lambda b: b <= {_BAL}))] END AS fund_balance_group,
   status AS fund_status, "lpoaStatus" AS fund_lpoa_status, "statusReason" AS fund_status_reason,
   "accountNumber" AS fund_account_number,
   {cents('"feeBalance"')} AS fee_balance_usd,
