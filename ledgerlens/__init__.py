@@ -5,6 +5,6 @@ library collects to the driver or uses Python UDFs; planning is left to
 Catalyst and adaptive query execution.
 """
 
-from ledgerlens.session import build_session, ensure_checkpoint_dir  # noqa: F401
+from ledgerlens.session import build_session  # noqa: F401
 
 DEFAULT_AS_OF = "2022-06-20 12:00:00"

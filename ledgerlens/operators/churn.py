@@ -11,15 +11,17 @@ Plan notes for scale:
   scan; Catalyst cannot derive it from a filter on the computed category.
 * The joins of A10 are LEFT joins with the payments as the preserved side.
   The newest transaction and the fund are unique per key; the card/ACH
-  attempts are not, so that join uses the skew-safe fan-out form, which also
-  keeps payments without a transaction (NULL key) out of the exchange.
-* A16's LEAD per user is computed in two levels (see
+  attempts are not, so that join uses the skew-safe fan-out form, whose two
+  branches share one exchange of payments with their newest transaction.
+* A16's LEAD per user is computed in three levels (see
   :func:`ledgerlens.plans.windows.lead_in_order`) so that one user with a
   large share of all payments does not end up in a single window task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,29 +35,24 @@ SIDE_TRANSACTION_TYPES = ("ach-push-tip", "ach-push-fee")
 # not go through, as the churn rules test them.
 SUCCESS_STATES = ("stripe completed", "ach completed")
 UNSUCCESSFUL_STATES = ("cancelled", "returned", "refunded")
-# Bucket width of the two-level LEAD: payment ids are grouped in ranges of
-# 2**16 within a month.
+#: Payment ids are grouped in ranges of 2**16 within a month by default. Set
+#: it so that a range holds some thousand of a hot user's payments.
 PAYMENT_ID_BUCKET_BITS = 16
 
 
-def latest_transaction_per_payment(transactions_clean: DataFrame, strategy: str = "row_number") -> DataFrame:
+def latest_transaction_per_payment(transactions_clean: DataFrame) -> DataFrame:
     """Per payment, its newest transaction that is not a tip or fee push.
 
     Newest means ``transaction_created_at`` descending with NULLs first (a
     transaction without a creation time counts as newest); equal times are
-    broken by the higher transaction id, so the choice is deterministic.
-
-    ``row_number`` (default) keeps rank 1, which Spark turns into a partial
-    top-1 before the shuffle. ``first_distinct`` is the source's literal form,
-    five FIRST_VALUEs over one window and a DISTINCT, kept for benchmarking.
+    broken by the higher transaction id, so the choice is deterministic. Rank 1
+    is kept, which Spark turns into a partial top-1 before the shuffle.
     """
     cols = ("transaction_id", "transaction_created_at", "transaction_state",
             "transaction_type_detail", "transaction_settled_at")
     w = Window.partitionBy("payment_id").orderBy(
         F.col("transaction_created_at").desc_nulls_first(), F.col("transaction_id").desc())
     rows = transactions_clean.where(~F.col("transaction_type_detail").isin(*SIDE_TRANSACTION_TYPES))
-    if strategy == "first_distinct":
-        return rows.select("payment_id", *[F.first(c).over(w).alias(c) for c in cols]).distinct()
     return (rows.withColumn("__rank", F.row_number().over(w))
             .where(F.col("__rank") == 1)
             .select("payment_id", *cols))
@@ -118,6 +115,7 @@ def cancel_issue_flag(ptype: Column, pstate: Column, error_code: Column) -> Colu
     return ach | card
 
 
+# Payment columns of the extended relation.
 _PAYMENT_COLUMNS = (
     "payment_id", "user_id", "fund_id", "fund_plan_manager", "fund_lpoa_status", "contribution_id",
     "payment_amount_usd", "payment_processing_fee_usd", "payment_subscription_fee_usd", "payment_tip_usd",
@@ -154,8 +152,8 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
     with_tx = payments_clean.join(latest_transactions, "payment_id", "left")
     # One transaction may carry very many attempts (the non-preserved side),
     # and payments without a transaction have a NULL key: the fan-out form
-    # splits the first and passes the second through without an exchange.
-    joined = (left_join_fanout(with_tx, attempts, ["transaction_id"])
+    # splits the first and deals the second by payment.
+    joined = (left_join_fanout(with_tx, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
               .join(funds, F.col("fund_id") == F.col("__fund"), "left"))
     c = F.col
     return joined.select(
@@ -197,12 +195,13 @@ _NEXT_VALUES = {
 }
 
 
-def fee_next_payment(fee_payments: DataFrame) -> DataFrame:
+def fee_next_payment(fee_payments: DataFrame, id_bits: int = PAYMENT_ID_BUCKET_BITS) -> DataFrame:
     """The expected next month and the user's next fee payment.
 
     The next payment is the following row per user in order of payment month
     (NULL months last), then payment id, then attempt id; the source orders by
     month only, which leaves ties between payments of one month undefined.
+    Payment ids are dealt in ranges of ``2**id_bits`` within a month.
     """
     month = F.col("payment_created_at_month")
     prepared = fee_payments.select(
@@ -212,7 +211,7 @@ def fee_next_payment(fee_payments: DataFrame) -> DataFrame:
         .alias("next_expected_payment_created_at_month"),
         # Bucket keys: monotone in the LEAD order, never NULL.
         F.coalesce(F.year(month) * 12 + F.month(month), F.lit(2 ** 31 - 1)).alias("__month_key"),
-        F.shiftright(F.col("payment_id"), PAYMENT_ID_BUCKET_BITS).alias("__id_key"),
+        F.shiftright(F.col("payment_id"), id_bits).alias("__id_key"),
     )
     led = lead_in_order(prepared, ["user_id"], ["__month_key", "__id_key"],
                         ["payment_id", "cc_or_ach_transaction_id"], _NEXT_VALUES)
@@ -222,35 +221,39 @@ def fee_next_payment(fee_payments: DataFrame) -> DataFrame:
         "next_expected_payment_created_at_month", *_NEXT_VALUES)
 
 
-def next_expected_month(state: Column, expected: Column, next_month: Column, next_state: Column) -> Column:
+def next_expected_month(state: Column, expected: Column, next_month: Column, next_state: Column,
+                        success: Sequence[str] = SUCCESS_STATES) -> Column:
     """Expected month moved to the next successful payment's month when
     it comes later (Retained keeps the expected month)."""
-    next_ok = next_state.isin(*SUCCESS_STATES)
-    return (F.when(state.isin(*SUCCESS_STATES) & (next_month == expected) & next_ok, expected)
+    next_ok = next_state.isin(*success)
+    return (F.when(state.isin(*success) & (next_month == expected) & next_ok, expected)
             .when((next_month >= expected) & next_ok, next_month)
             .otherwise(expected))
 
 
 def churn_label(current_month_utc: Column, month: Column, state: Column, expected: Column,
-                next_month: Column, next_state: Column) -> Column:
+                next_month: Column, next_state: Column, success: Sequence[str] = SUCCESS_STATES,
+                unsuccessful: Sequence[str] = UNSUCCESSFUL_STATES) -> Column:
     """Current Month / Retained / Resurrected / Stale / Involuntary Churn /
     Voluntary Churn / Anomaly, first match wins. ``expected`` is the plain
     expected month (not the A17 override)."""
-    ok = state.isin(*SUCCESS_STATES)
-    next_ok = next_state.isin(*SUCCESS_STATES)
+    ok = state.isin(*success)
+    next_ok = next_state.isin(*success)
     on_time = next_month == expected
     return (F.when(current_month_utc == month, "Current Month")
             .when(ok & on_time & next_ok, "Retained")
             .when(on_time & next_ok, "Resurrected")
-            .when(state.isin(*UNSUCCESSFUL_STATES) & (on_time | next_month.isNull())
-                  & (next_state.isin(*UNSUCCESSFUL_STATES) | next_state.isNull()), "Stale")
-            .when(ok & on_time & next_state.isin(*UNSUCCESSFUL_STATES), "Involuntary Churn")
+            .when(state.isin(*unsuccessful) & (on_time | next_month.isNull())
+                  & (next_state.isin(*unsuccessful) | next_state.isNull()), "Stale")
+            .when(ok & on_time & next_state.isin(*unsuccessful), "Involuntary Churn")
             .when((ok & next_month.isNull()) | (ok & (next_month > expected)), "Voluntary Churn")
             .otherwise("Anomaly"))
 
 
-def churn_status(next_payments: DataFrame, as_of: str) -> DataFrame:
+def churn_status(next_payments: DataFrame, as_of: str, success: Sequence[str] = SUCCESS_STATES,
+                 unsuccessful: Sequence[str] = UNSUCCESSFUL_STATES) -> DataFrame:
     """A18 (with A17): churn class of every subscription-fee payment attempt.
+    ``success`` and ``unsuccessful`` are the workflow states that count as such.
 
     The current month compares against the reporting instant truncated
     without the PST shift, as the source does.
@@ -262,11 +265,11 @@ def churn_status(next_payments: DataFrame, as_of: str) -> DataFrame:
         "current_payment_created_at_month",
         next_expected_month(c("payment_workflow_state"), expected,
                             c("next_actual_payment_created_at_month"),
-                            c("next_actual_payment_workflow_state"))
+                            c("next_actual_payment_workflow_state"), success)
         .alias("next_expected_payment_created_at_month"),
         *_NEXT_VALUES,
         churn_label(month_start(as_of_lit(as_of)), c("current_payment_created_at_month"),
                     c("payment_workflow_state"), expected,
                     c("next_actual_payment_created_at_month"),
-                    c("next_actual_payment_workflow_state")).alias("churn_status"),
+                    c("next_actual_payment_workflow_state"), success, unsuccessful).alias("churn_status"),
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.functions import (
     age_parts, as_of_lit, collapse_blanks, concat_pg, date_to_pst, to_pst, usd, usd_or_zero,
@@ -55,6 +56,7 @@ BALANCE_BANDS = (
 ZERO_BAND = "00: $0"
 TOP_BAND = (50000, "08: $50,000+")
 
+# Source and output names of timestamps.
 PAYMENT_ACH_TIMESTAMPS = (
     ("initiatedAt", "payment_initiated_at"),
     ("pullSettledAt", "payment_pull_settled_at"),
@@ -149,6 +151,7 @@ def full_name(*parts) -> Column:
     return collapse_blanks(concat_pg(*spaced))
 
 
+# Source and output names of timestamps.
 FUND_TIMESTAMPS = (
     ("createdAt", "fund_created_at"),
     ("updatedAt", "fund_updated_at"),
@@ -174,6 +177,7 @@ def clean_funds(funds: DataFrame, as_of: str) -> DataFrame:
     """
     f = F.col
     years, months = age_parts(as_of_lit(as_of), f("dob"))
+    json_backers = isinstance(funds.schema["backers"].dataType, T.StringType)
     cols = [
         f("id").alias("fund_id"),
         f("uuid").alias("fund_uuid"),
@@ -206,8 +210,9 @@ def clean_funds(funds: DataFrame, as_of: str) -> DataFrame:
         f("gender").alias("fund_gender"),
         (f("status") != "inactive").alias("fund_is_active"),
         f("coverUrl").alias("fund_cover_photo"),
-        F.to_json(f("backers")).alias("fund_backers"),
-        F.array_size(f("backers")).alias("num_fund_backers"),
+        # Stored as an array or as JSON text of one.
+        (f("backers") if json_backers else F.to_json(f("backers"))).alias("fund_backers"),
+        (F.json_array_length(f("backers")) if json_backers else F.array_size(f("backers"))).alias("num_fund_backers"),
         f("fromGift").isNotNull().alias("fund_is_from_gift"),
         f("fromGift").alias("from_gift_id"),
         f("planId").alias("fund_plan_id"),

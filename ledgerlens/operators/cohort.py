@@ -28,6 +28,7 @@ self-join. Here the same pairs come from one aggregate instead:
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,8 @@ ACTIVE_PAYMENT_STATES = ("settled", "initiated")
 MASK_BITS = 62
 
 
-def _active_payments(payments_clean: DataFrame, as_of: str, start: str) -> DataFrame:
+def _active_payments(payments_clean: DataFrame, as_of: str, start: str,
+                     states: Sequence[str]) -> DataFrame:
     upper_pst = month_start(to_pst(as_of_lit(as_of)))
     shift = F.make_dt_interval(hours=F.lit(PST_OFFSET_HOURS))
     # The PST bounds are moved onto the stored UTC column (a constant shift),
@@ -52,16 +54,16 @@ def _active_payments(payments_clean: DataFrame, as_of: str, start: str) -> DataF
     in_window = F.col("payment_created_at_utc").between(
         F.lit(start).cast("timestamp_ntz") + shift, upper_pst + shift)
     return payments_clean.where(F.col("contribution_id").isNotNull()
-                                & F.col("payment_state").isin(*ACTIVE_PAYMENT_STATES)
+                                & F.col("payment_state").isin(*states)
                                 & in_window)
 
 
-def monthly_activity(payments_clean: DataFrame, as_of: str,
-                     start: str = ACTIVITY_START) -> DataFrame:
+def monthly_activity(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START,
+                     states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
     """Distinct (user_id, PST month) of contribution payments that are
     settled or initiated, created (PST) between ``start`` and the start of
     the PST month of ``as_of``, both ends included."""
-    return (_active_payments(payments_clean, as_of, start)
+    return (_active_payments(payments_clean, as_of, start, states)
             .select("user_id", month_start("payment_created_at").alias("payment_created_at"))
             .distinct())
 
@@ -75,7 +77,7 @@ def window_months(as_of: str, start: str = ACTIVITY_START) -> int:
 
 
 class _Masks:
-    def __init__(self, payments_clean: DataFrame, as_of: str, start: str):
+    def __init__(self, payments_clean: DataFrame, as_of: str, start: str, states: Sequence[str]):
         self.months = window_months(as_of, start)
         self.words = max(1, math.ceil(self.months / MASK_BITS))
         self.cols = [f"mask{w}" for w in range(self.words)]
@@ -89,7 +91,7 @@ class _Masks:
             bit = F.expr(f"CASE WHEN month_idx >= {lo} AND month_idx < {hi} "
                          f"THEN shiftleft(CAST(1 AS BIGINT), month_idx - {lo}) END")
             aggs.append(F.coalesce(F.bit_or(bit), F.lit(0).cast("bigint")).alias(name))
-        self.df = (_active_payments(payments_clean, as_of, start)
+        self.df = (_active_payments(payments_clean, as_of, start, states)
                    .select("user_id", idx.alias("month_idx"))
                    .groupBy("user_id").agg(*aggs))
 
@@ -117,21 +119,23 @@ class _Masks:
                 .select("user_id", "a", "r"))
 
 
-def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
+def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START,
+                   states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
     """Each (user, active month) with each same-or-later active month of
     the same user and the month offset (AGE in months, exact here since both
     are month starts); ownerless rows keep NULLs."""
-    m = _Masks(payments_clean, as_of, start)
+    m = _Masks(payments_clean, as_of, start, states)
     return m.pairs().select(
         "user_id", m.month("a").alias("activity"), m.month("r").alias("futureActivity"),
         (F.col("r") - F.col("a")).alias("diff"))
 
 
-def cohort_counts(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
+def cohort_counts(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START,
+                  states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
     """Distinct users per (cohort month, offset). A month with ownerless
     payments also gets the row (month, NULL, 0): counting user ids skips the
     ownerless group's NULL id."""
-    m = _Masks(payments_clean, as_of, start)
+    m = _Masks(payments_clean, as_of, start, states)
     return (m.pairs()
             .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
             .agg(F.count("user_id").alias("retained")))

@@ -17,24 +17,31 @@ BOOST_AMOUNT_USD = 529
 EXCLUDED_CONTRIBUTION_STATES = ("cancelled", "edited")
 
 
-def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame) -> DataFrame:
+def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
+                   amount_usd: int | Decimal = BOOST_AMOUNT_USD) -> DataFrame:
     """A5: distinct boost payments of exactly the promotion amount with the
     fund's owner and a state: Clawed (deleted), Unconfirmed (never initiated)
     or Redeemed. The source's 'Settled' and 'Anomaly' arms come after two arms
-    that test the same column for NULL and NOT NULL, so they never fire."""
+    that test the same column for NULL and NOT NULL, so they never fire.
+
+    The rows are dealt by all columns before the DISTINCT. Without that it would
+    reuse the join's partitioning by fund, and adaptive execution could not
+    split a fund (or the payments without one) that holds many of the rows.
+    """
     boosts = payments_clean.where((F.col("payment_type") == BOOST_TYPE)
-                                  & (F.col("payment_amount_usd") == BOOST_AMOUNT_USD))
+                                  & (F.col("payment_amount_usd") == amount_usd))
     owners = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_owner_user_id")
     joined = boosts.join(owners, F.col("fund_id") == F.col("__fund"), "left")
     state = (F.when(F.col("payment_deleted_at").isNotNull(), "Clawed")
              .when(F.col("payment_initiated_at").isNull(), "Unconfirmed")
              .otherwise("Redeemed"))
-    return joined.select(
+    out = joined.select(
         F.col("payment_created_at").alias("boost_payment_created_at"),
         "contribution_id", "fund_id", "fund_owner_user_id",
         F.col("payment_initiated_at").alias("payment_redeemed_at"),
         state.alias("boost_payment_state"),
-    ).distinct()
+    )
+    return out.repartition(*out.columns).distinct()
 
 
 def fund_conversion_rates(funds_clean: DataFrame) -> DataFrame:
@@ -92,11 +99,10 @@ def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: Dat
     without), fund and contribution conversion, missing values as FALSE / 0.
 
     A user whose admin flag is NULL is dropped, as ``NOT NULL`` is not true.
-    The boosts, which may concentrate on one owner, are joined to the users
-    first through the skew-safe fan-out join (whose dimension side is then
-    only the filtered users). The two one-row-per-user relations follow as
-    LEFT joins whose large side is the preserved one, which adaptive execution
-    can split.
+    The two one-row-per-user relations are joined to the filtered users first,
+    while a user is still one row. The boosts, which may concentrate on one
+    owner, come last through the skew-safe fan-out join, so that no later join
+    relies on its partitioning and adaptive execution can split it.
     """
     zero = F.lit(Decimal("0.00"))
     users = users_clean.where(F.col("user_is_active") & ~F.col("user_is_admin")).select(
@@ -106,9 +112,8 @@ def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: Dat
     b = boosts.select(F.col("fund_owner_user_id").alias("user_id"),
                       F.col("fund_id").alias("__boost_fund"),
                       "boost_payment_created_at", "boost_payment_state")
-    joined = (left_join_fanout(users, b, ["user_id"])
-              .join(f, "user_id", "left")
-              .join(c, "user_id", "left"))
+    rated = users.join(f, "user_id", "left").join(c, "user_id", "left")
+    joined = left_join_fanout(rated, b, ["user_id"])
     n_all = F.coalesce(F.col("num_contributions"), F.lit(0).cast("bigint"))
     n_rec = F.coalesce(F.col("num_contributions_recurring"), F.lit(0).cast("bigint"))
     n_one = F.coalesce(F.col("num_contributions_onetime"), F.lit(0).cast("bigint"))

@@ -37,37 +37,18 @@ def _stream_rules():
     )
 
 
-def revenue_from_payments(payments: DataFrame, strategy: str = "stack") -> DataFrame:
+def revenue_from_payments(payments: DataFrame) -> DataFrame:
     """The payment ledger with three streams.
 
-    ``stack`` (default) reads payments once and turns each row into one
-    candidate row per stream with the built-in ``stack`` generator, keeping
-    the candidates whose stream condition holds. ``union`` is the literal
-    three filtered scans plus UNION ALL; ``explode`` builds an array of
-    per-stream structs and drops the empty ones with a lambda, which leaves
-    whole-stage code generation. Both alternatives are kept for
-    benchmarking. All three first keep only the states some stream accepts,
-    a plain-column predicate that reaches the parquet scan.
+    Reads payments once and turns each row into one candidate row per stream
+    with the built-in ``stack`` generator, keeping the candidates whose stream
+    condition holds. Only the states that some stream accepts are read, a
+    plain-column predicate that reaches the parquet scan.
     """
     base = payments.where(F.col("state").isin(*FEE_STATES))
     common = [to_pst("createdAt").alias("payment_created_at"),
               F.col("ownerId").alias("user_id"), F.col("fundID").alias("fund_id")]
     rules = _stream_rules()
-    if strategy == "union":
-        parts = [base.where(cond).select(F.lit(name).alias("revenue_stream"), *common,
-                                         usd(amount).alias("revenue_usd"))
-                 for name, cond, amount in rules]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.select(*LEDGER_COLUMNS)
-    if strategy == "explode":
-        entries = F.array(*[
-            F.when(cond, F.struct(F.lit(name).alias("revenue_stream"), usd(amount).alias("revenue_usd")))
-            for name, cond, amount in rules])
-        exploded = base.select(*common, F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e"))
-        return exploded.select(F.col("e.revenue_stream").alias("revenue_stream"), "payment_created_at",
-                               "user_id", "fund_id", F.col("e.revenue_usd").alias("revenue_usd"))
     args = [F.lit(len(rules))]
     for name, cond, amount in rules:
         args += [F.lit(name), F.coalesce(cond, F.lit(False)), usd(amount)]
@@ -75,7 +56,20 @@ def revenue_from_payments(payments: DataFrame, strategy: str = "stack") -> DataF
     return stacked.where(F.col("__books")).select(*LEDGER_COLUMNS)
 
 
-def revenue_from_commissions(affiliate_links: DataFrame, affiliate_commissions: DataFrame) -> DataFrame:
+def ledger_user_ids(payments: DataFrame, affiliate_links: DataFrame, affiliate_commissions: DataFrame,
+                    excluded_user: int = EXCLUDED_COMMISSION_USER) -> DataFrame:
+    """``user_id`` of every ledger row (A1), without its amounts: the keys of
+    :func:`user_revenue` from a scan of three payment columns."""
+    books = F.lit(False)
+    for _, cond, _ in _stream_rules():
+        books = books | F.coalesce(cond, F.lit(False))
+    payers = payments.where(F.col("state").isin(*FEE_STATES)).where(books).select(F.col("ownerId").alias("user_id"))
+    paid = revenue_from_commissions(affiliate_links, affiliate_commissions, excluded_user).select("user_id")
+    return payers.unionByName(paid)
+
+
+def revenue_from_commissions(affiliate_links: DataFrame, affiliate_commissions: DataFrame,
+                             excluded_user: int = EXCLUDED_COMMISSION_USER) -> DataFrame:
     """Described affiliate commissions, except the excluded user's, booked
     as 'Backer Payouts' at the link's creation time.
 
@@ -84,7 +78,7 @@ def revenue_from_commissions(affiliate_links: DataFrame, affiliate_commissions:
     a link with very many commissions.
     """
     ac = affiliate_commissions.where(F.col("description").isNotNull()
-                                     & (F.col("userId") != EXCLUDED_COMMISSION_USER))
+                                     & (F.col("userId") != excluded_user))
     joined = affiliate_links.alias("al").join(
         ac.alias("ac"), F.col("al.id") == F.col("ac.affiliateLinkId"), "inner")
     return joined.select(
@@ -125,10 +119,12 @@ def user_revenue(ledger: DataFrame) -> DataFrame:
         F.sum("revenue_usd").alias("user_revenue_usd"))
 
 
-def paying_users(dimension: DataFrame, revenue: DataFrame) -> DataFrame:
+def paying_users(dimension: DataFrame, revenue: DataFrame, revenue_users: DataFrame | None = None) -> DataFrame:
     """A4: every user with each of their revenue groups; users without revenue
-    are kept once with NULL revenue columns."""
-    joined = left_join_fanout(dimension, revenue, ["user_id"])
+    are kept once with NULL revenue columns. ``revenue_users`` (see
+    :func:`ledger_user_ids`) spares the search for users without revenue the
+    second read of the amounts."""
+    joined = left_join_fanout(dimension, revenue, ["user_id"], many_keys=revenue_users)
     return joined.select(
         "user_id", "is_owner", "utm_source", "revenue_stream", "payment_created_at",
         F.coalesce(F.col("utm_source") == "foundation", F.lit(False)).alias("is_foundation"),

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ledgerlens import DEFAULT_AS_OF
 from ledgerlens.operators import churn, cleaning, cohort, funnel, revenue
+from ledgerlens.plans import reports
 from ledgerlens.sources import Sources, fixture_sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,10 +47,10 @@ def report(df: DataFrame) -> DataFrame:
 class Workspace:
     """Source tables and cleaned relations for one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, as_of: str = DEFAULT_AS_OF,
+    def __init__(self, spark: SparkSession, sf_dir: str | None = None, as_of: str = DEFAULT_AS_OF,
                  sources: Sources | None = None):
-        self.spark = spark
-        self.sf_dir = sf_dir
+        if sources is None and sf_dir is None:
+            raise ValueError("name a data folder or give the source tables")
         self.as_of = as_of
         self.src = sources if sources is not None else fixture_sources(spark, sf_dir)
 
@@ -122,8 +123,7 @@ def q_cohort_counts(spark, sf_dir):
 
 @register("cohort_retention")
 def q_cohort_retention(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    return report(cohort.cohort_retention(cohort.cohort_counts(ws.payments, ws.as_of)))
+    return report(reports.cohort_retention_report(fixture_sources(spark, sf_dir), DEFAULT_AS_OF))
 
 
 # ---------------------------------------------------------------- cleaning
@@ -275,10 +275,7 @@ def q_user_revenue(spark, sf_dir):
 
 @register("paying_users")
 def q_paying_users(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    dim = revenue.user_dimension(ws.src.users, ws.src.funds)
-    rev = revenue.user_revenue(revenue.revenue_by_stream(*_ledgers(ws)))
-    return report(revenue.paying_users(dim, rev))
+    return report(reports.paying_users_report(fixture_sources(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- churn
@@ -339,7 +336,7 @@ def q_next_expected_month(spark, sf_dir):
 
 @register("churn_status")
 def q_churn_status(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).churn)
+    return report(reports.churn_report(fixture_sources(spark, sf_dir), DEFAULT_AS_OF))
 
 
 # ---------------------------------------------------------------- funnel
@@ -362,8 +359,4 @@ def q_contribution_conversion_rates(spark, sf_dir):
 
 @register("conversion_funnel")
 def q_conversion_funnel(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
-    return report(funnel.conversion_funnel(
-        ws.users, funnel.boost_payments(ws.payments, ws.funds),
-        funnel.fund_conversion_rates(ws.funds),
-        funnel.contribution_conversion_rates(ws.contributions)))
+    return report(reports.conversion_funnel_report(fixture_sources(spark, sf_dir), DEFAULT_AS_OF))

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> DataFrame:
+#: Values of the hashed second join key; it carries no information of its own.
+_SPREAD = 1023
+
+
+def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str], spread_nulls_by: Column | None = None,
+                     many_keys: DataFrame | None = None) -> DataFrame:
     """``one LEFT JOIN many USING (keys)`` for a left side that holds each key
     at most once and a right side that may hold a key very often.
 
@@ -21,25 +27,41 @@ def left_join_fanout(one: DataFrame, many: DataFrame, keys: Sequence[str]) -> Da
 
     the inner join can be split, and the anti join only sees the distinct keys
     (partially aggregated on the map side, so a hot key ships once per map
-    task). Rows of ``many`` with a NULL key never match in either form; rows
-    of ``one`` with a NULL key are passed through NULL-padded in a third
-    branch.
+    task).
+
+    It can be split only if both its sides are read from an exchange. An input
+    that is already partitioned by the keys would not be exchanged again, so the
+    join uses one more key, a hash of the others, by which no input is
+    partitioned. Rows of ``one`` with a NULL key get a hash that no row of
+    ``many`` has and are dealt by ``spread_nulls_by`` (default: a hash of the
+    row), so both branches read all of ``one`` alike and share its exchange.
+    Rows of ``many`` with a NULL key never match and are dropped. ``many_keys``
+    names a cheaper relation with the same keys for the anti join.
     """
     keys = list(keys)
-    known = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    spread = F.xxhash64(*one.columns) if spread_nulls_by is None else spread_nulls_by
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    hashed = F.xxhash64(*keys).bitwiseAND(F.lit(_SPREAD))
+    names = [f"__key_{i}" for i in range(len(keys))]
+
+    def filled(k: str, i: int) -> Column:
+        kind = one.schema[k].dataType
+        zero = F.lit("" if isinstance(kind, T.StringType) else 0).cast(kind)
+        return F.coalesce(F.col(k), spread.cast(kind), zero) if i == 0 else F.coalesce(F.col(k), zero)
+
+    left = one.withColumns({
+        **{n: filled(k, i) for i, (n, k) in enumerate(zip(names, keys, strict=True))},
+        "__hash": F.when(known, hashed).otherwise(F.lit(-1).cast("long"))})
+
+    def right(df: DataFrame, *columns: str) -> DataFrame:
+        cast = [F.col(k).cast(one.schema[k].dataType).alias(n) for n, k in zip(names, keys, strict=True)]
+        return df.where(known).select(*cast, hashed.alias("__hash"), *columns)
+
     right_only = [c for c in many.columns if c not in keys]
     padding = [F.lit(None).cast(many.schema[c].dataType).alias(c) for c in right_only]
-    # NULL keys match in neither form. Filtering them explicitly on both sides
-    # makes the two reads of ``one`` identical (one exchange, reused), and
-    # drops ``many``'s NULL keys before any exchange.
-    one_known = one.where(known)
-    many = many.where(known)
-    matched = one_known.join(many, keys, "inner")
-    # The anti side only needs the key columns; Catalyst prunes ``many`` down
-    # to them (a narrow second read) and de-duplicates them map-side.
-    missing = (one_known.join(many.select(*keys).distinct(), keys, "left_anti")
-               .select(*one.columns, *padding))
-    # Rows of ``one`` without a key keep their single NULL-padded row; for a
-    # primary key this branch reads nothing (parquet null counts are zero).
-    keyless = one.where(~known).select(*one.columns, *padding)
-    return matched.unionByName(missing).unionByName(keyless)
+    matched = left.join(right(many, *right_only), [*names, "__hash"], "inner").select(*one.columns, *right_only)
+    distinct = right(many if many_keys is None else many_keys).distinct()
+    missing = left.join(distinct, [*names, "__hash"], "left_anti").select(*one.columns, *padding)
+    return matched.unionByName(missing)

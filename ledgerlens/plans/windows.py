@@ -14,48 +14,50 @@ def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequenc
     order_by)`` for every ``out_name -> value`` of ``values``; all ordering is
     ascending with NULLs last and must be unique within a partition.
 
-    ``bucket_by`` are columns that are monotone in that order (for example the
-    month and a coarse id range). A plain window would send every row of a hot
-    partition key to one task; here the work is split in two levels:
-
-    1. a window per (partition, bucket) gives each row the next row inside its
-       bucket and flags the bucket's first and last rows;
-    2. every row but a bucket's last keeps that in-bucket LEAD;
-    3. the bucket boundary rows (first and last of each bucket, at most two per
-       bucket) go through a window per partition key, in which a bucket's last
-       row is directly followed by the next bucket's first row; the last rows
-       take their LEAD from there.
-
-    The two parts are a UNION ALL, with no join. Both read every column of the
-    bucketed input, so they share one exchange and the input is read and
-    shuffled once. The second-level window holds at most two rows per bucket,
-    not one per input row.
+    ``bucket_by`` are columns that are monotone in that order, coarse to fine
+    (for example the month and an id range). A plain window would send every row
+    of a hot partition key to one task; here the work is split in levels:
+
+    1. a window per (partition, all bucket columns) gives each row the next row
+       inside its bucket and flags the bucket's first and last rows;
+    2. the first and last rows of the buckets go on to a window with one bucket
+       column less, in which a bucket's last row is directly followed by the
+       next bucket's first row, and so on up to the partition key alone;
+    3. a row takes its LEAD from the first level at which it is not the last.
+
+    The levels are joined by UNION ALL; the first reads the input through one
+    shared exchange. A window above the first holds at most two rows of each
+    bucket below it. Buckets of a single row give no reduction at their own
+    level (with one payment a month and user, the id ranges split nothing), but
+    the last window never holds more than two rows of each value of the first
+    bucket column.
 
     The result equals the single window exactly, including NULL values of the
     next row. Partition and bucket columns must not be NULL (map a nullable
     bucket to a sentinel that sorts last before calling).
     """
     partition_by, bucket_by, order_by = list(partition_by), list(bucket_by), list(order_by)
-    group = partition_by + bucket_by
     outs = list(values)
-    in_bucket = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    own = df.columns
     # An input already hash-partitioned by the partition key alone (say, after
     # a sort-merge join on it) would satisfy the window's distribution and keep
     # a hot key in one task; repartitioning on the full bucket key prevents it.
-    local = df.repartition(*group).select(
-        "*",
-        *[F.lead(F.col(values[o]), 1).over(in_bucket).alias(f"__lead_{o}") for o in outs],
-        F.lead(F.lit(1), 1).over(in_bucket).isNull().alias("__last"),
-        (F.row_number().over(in_bucket) == 1).alias("__first"),
-    )
-    inner = local.where(~F.col("__last")).select(
-        *df.columns, *[F.col(f"__lead_{o}").alias(o) for o in outs])
-
-    across = Window.partitionBy(*partition_by).orderBy(
-        *[F.col(c).asc_nulls_last() for c in bucket_by + order_by])
-    boundary = (local.where(F.col("__first") | F.col("__last"))
-                .select(*df.columns, "__last",
-                        *[F.lead(F.col(values[o]), 1).over(across).alias(f"__next_{o}") for o in outs])
-                .where(F.col("__last"))
-                .select(*df.columns, *[F.col(f"__next_{o}").alias(o) for o in outs]))
-    return inner.unionByName(boundary)
+    rows = df.repartition(*partition_by, *bucket_by)
+    done = []
+    for level in range(len(bucket_by), -1, -1):
+        group = [*partition_by, *bucket_by[:level]]
+        window = Window.partitionBy(*group).orderBy(
+            *[F.col(c).asc_nulls_last() for c in [*bucket_by[level:], *order_by]])
+        led = rows.select(
+            "*", *[F.lead(F.col(values[o]), 1).over(window).alias(f"__lead_{o}") for o in outs],
+            F.lead(F.lit(1), 1).over(window).isNull().alias("__last"),
+            (F.row_number().over(window) == 1).alias("__first"))
+        # Rows that are not the last of a bucket below have their LEAD already.
+        mine = F.lit(True) if level == len(bucket_by) else F.col("__open")
+        settled = ~F.col("__last") if level else F.lit(True)
+        done.append(led.where(mine & settled).select(*own, *[F.col(f"__lead_{o}").alias(o) for o in outs]))
+        rows = led.where(F.col("__first") | F.col("__last")).select(*own, (mine & F.col("__last")).alias("__open"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out

@@ -52,19 +52,3 @@ def build_session(master: str | None = None, app_name: str = "ledgerlens",
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster that setting names a folder every executor can reach, and it
-    is used as is. A caller without one (local tests) must pass ``fallback``
-    explicitly; the library never invents a machine-local folder.
-    """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    if not configured:
-        raise ValueError("spark.checkpoint.dir is not set; name a shared folder")
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.sources import fixtures
+from ledgerlens.sources.schemas import declared
 
 SOURCE_TABLES = (
     "payments", "users", "funds", "contributors", "contributions", "transactions",
@@ -33,7 +34,8 @@ class Sources:
 
 
 def read_sources(spark: SparkSession, base_path: str) -> Sources:
-    return Sources(lambda name: spark.read.parquet(f"{base_path}/{name}"))
+    """The tables of a warehouse folder, with their declared columns and types."""
+    return Sources(lambda name: declared(spark.read.parquet(f"{base_path}/{name}"), name))
 
 
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

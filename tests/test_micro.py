@@ -129,8 +129,6 @@ def test_expected_month_and_latest_transaction(spark):
     ]))
     latest = one(churn.latest_transaction_per_payment(t))
     assert latest.transaction_id == 11
-    both = churn.latest_transaction_per_payment(t, "first_distinct").collect()
-    assert [r.transaction_id for r in both] == [11]
 
 
 def _fee_rows(spark, rows):
@@ -342,9 +340,56 @@ def test_ledger_keeps_null_amounts_and_books_three_streams(spark):
          "createdAt": ts("2021-01-01 00:00:00")},
         {"id": 3, "ownerId": 2, "type": "ach", "state": "pending", "amount": 500},
     ])
-    for strategy in ("stack", "union", "explode"):
-        got = sorted(((r.revenue_stream, r.revenue_usd) for r in
-                      revenue.revenue_from_payments(p, strategy).collect()), key=repr)
-        assert got == sorted([("Subscription Fees", None), ("Tips", Decimal("1.00")),
-                              ("Processing Fees", Decimal("0.30")),
-                              ("Subscription Fees", Decimal("5.00"))], key=repr), strategy
+    got = sorted(((r.revenue_stream, r.revenue_usd) for r in revenue.revenue_from_payments(p).collect()), key=repr)
+    assert got == sorted([("Subscription Fees", None), ("Tips", Decimal("1.00")),
+                          ("Processing Fees", Decimal("0.30")),
+                          ("Subscription Fees", Decimal("5.00"))], key=repr)
+
+
+def test_failed_returned_counts_as_unsuccessful_when_named(spark):
+    from ledgerlens.plans.reports import churn_report  # noqa: F401  (same parameters)
+    c = F.lit
+    month, due = ts("2021-01-01 00:00:00"), ts("2021-02-01 00:00:00")
+    args = (c(ts("2022-06-01 00:00:00")), c(month), c("ach completed"), c(due), c(due), c("failed/returned"))
+    row = spark.range(1).select(
+        churn.churn_label(*args).alias("default"),
+        churn.churn_label(*args, unsuccessful=(*churn.UNSUCCESSFUL_STATES, "failed/returned")).alias("named")).first()
+    assert (row.default, row.named) == ("Anomaly", "Involuntary Churn")
+
+
+def test_backers_as_json_text(spark):
+    f = table(spark, FUNDS, [{"id": 1, "description": "x"}, {"id": 2, "description": "x"}]).withColumn(
+        "backers", F.when(F.col("id") == 1, '["a","b","c"]').cast("string"))
+    rows = {r.fund_id: (r.fund_backers, r.num_fund_backers) for r in cleaning.clean_funds(f, DEFAULT_AS_OF).collect()}
+    assert rows == {1: ('["a","b","c"]', 3), 2: (None, None)}
+
+
+def test_declared_types_of_zone_aware_parquet(spark, tmp_path):
+    from ledgerlens.sources import read_sources
+    from ledgerlens.sources.schemas import SCHEMAS
+    t = table(spark, TRANSACTIONS, [{"id": 1, "paymentID": 2, "type": "a", "state": "s", "createdAt": ts("2021-07-01 12:30:00")}])
+    t.withColumn("createdAt", F.col("createdAt").cast("timestamp")).withColumn("extra", F.lit(1)) \
+        .write.parquet(str(tmp_path / "transactions"))
+    got = read_sources(spark, str(tmp_path)).transactions
+    assert got.schema.simpleString() == SCHEMAS["transactions"].simpleString()
+    assert one(got).createdAt == ts("2021-07-01 12:30:00")
+    t.drop("state").write.parquet(str(tmp_path / "bad" / "transactions"))
+    with pytest.raises(ValueError, match="state"):
+        read_sources(spark, str(tmp_path / "bad")).transactions  # noqa: B018
+
+
+def test_null_keys_of_payments_and_attempts_of_both_kinds(spark):
+    payments = cleaning.clean_payments(table(spark, PAYMENTS, [
+        {"id": 1, "ownerId": 1, "fundID": None, "type": "voluntary-fee", "state": "settled", "createdAt": ts("2021-01-01 00:00:00")},
+        {"id": 2, "ownerId": 1, "fundID": 7, "type": "ach", "state": "settled", "createdAt": ts("2021-01-01 00:00:00")}]))
+    tx = cleaning.clean_transactions(table(spark, TRANSACTIONS, [
+        {"id": 5, "paymentID": 1, "type": "ach-pull", "state": "settled", "createdAt": ts("2021-01-01 00:00:00")},
+        {"id": 6, "paymentID": None, "type": "ach-pull", "state": "settled", "createdAt": ts("2021-01-01 00:00:00")}]))
+    attempts = cleaning.card_ach_transactions(
+        table(spark, STRIPE, [{"id": 50, "transactionId": 5, "amount": 100}, {"id": 51, "transactionId": None, "amount": 1}]),
+        table(spark, ACH, [{"id": 50, "transactionID": 5, "amount": 100}]))
+    funds = cleaning.clean_funds(table(spark, FUNDS, [{"id": 7, "description": "x"}]), DEFAULT_AS_OF)
+    got = churn.payments_extended(payments, churn.latest_transaction_per_payment(tx), attempts, funds).collect()
+    assert sorted((r.payment_id, r.transaction_id, r.cc_or_ach_transaction_id) for r in got if r.transaction_id) == [(1, 5, 50), (1, 5, 50)]
+    assert len({r.cc_ach_transaction_type for r in got if r.payment_id == 1}) == 2
+    assert [(r.transaction_id, r.cc_or_ach_transaction_id) for r in got if r.payment_id == 2] == [(None, None)]

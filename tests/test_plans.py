@@ -82,7 +82,9 @@ def test_invariants_medium(spark):
     comm = revenue.revenue_from_commissions(ws.src.affiliate_links, ws.src.affiliate_commissions)
     ledger = revenue.revenue_by_stream(pay, comm)
     assert ledger.count() == pay.count() + comm.count()
-    assert revenue.revenue_from_payments(ws.src.payments, "union").count() == pay.count()
+    keys = revenue.ledger_user_ids(ws.src.payments, ws.src.affiliate_links, ws.src.affiliate_commissions)
+    assert keys.count() == ledger.count()
+    assert keys.distinct().exceptAll(ledger.select("user_id").distinct()).count() == 0
     per_user = revenue.user_revenue(ledger)
     assert per_user.agg(F.sum("user_revenue_usd")).first()[0] == ledger.agg(F.sum("revenue_usd")).first()[0]
 
