@@ -10,8 +10,8 @@ the number of times an id occurs and the place of its n-th occurrence from the
 compressed planes alone.
 
 File format: a Parquet folder, one row a shard and one file a shard, with the
-columns of ``SCHEMA``; the planes are deflated one by one, so a reader of one
-plane inflates that one.
+columns of ``SCHEMA``; every plane is compressed by itself (Zstandard), so a
+reader of one plane unpacks that one.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,11 +148,11 @@ def _tokenizer(path: str):
     tokenizer = Tokenizer.from_file(path)
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    return tokenizer, ends_word, {}
+    return tokenizer, ends_word, [{}, {}]
 
 
-#: Chunks a worker remembers; beyond that it starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks a worker remembers: when half of them are new, the other half goes.
+CACHE_CHUNKS = 1_000_000
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -197,12 +198,15 @@ def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
 def encode(texts: list[bytes], path: str) -> list[bytes]:
     """Ids of each text (without the end id) as little-endian unsigned 32-bit;
     a chunk goes through the tokenizers library once a worker."""
-    tokenizer, ends_word, known = _tokenizer(path)
+    tokenizer, ends_word, caches = _tokenizer(path)
+    if len(caches[0]) > CACHE_CHUNKS // 2:
+        caches[:] = {}, caches[0]
+    known, older = caches
     chunks = [chunks_of(t) for t in texts]
     new = set(chain.from_iterable(chunks)).difference(known)
-    if len(known) + len(new) > CACHE_CHUNKS:
-        known.clear()
-        new = set(chain.from_iterable(chunks))
+    again = new.intersection(older)
+    known.update((c, older[c]) for c in again)
+    new -= again
     # A full stop or comma after a letter or digit is a word of its own.
     ended = {c for c in new if c[-1] in b".," and c[-2:-1].isalnum()}
     whole = list((new - ended) | {c[:-1] for c in ended if c[:-1] not in known} | ({b".", b","} - known.keys()))
@@ -212,6 +216,10 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     return [b"".join(map(get, cs)) for cs in chunks]
 
 
+def _pack(array: np.ndarray) -> bytes:
+    return zstandard.compress(array.tobytes(), 1)
+
+
 def _shards(path: str, end_id: int, shard_tokens: int):
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -219,9 +227,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
         sizes = np.array([len(x) // 4 for x in ids], dtype="<i8")
         m = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4"))
         return {
-            "first_doc": doc_ids[0], "part": part, "seq": seq, "n_tokens": m.n, "doc_ids": zlib.compress(np.array(doc_ids, dtype="<i8").tobytes(), 1),
-            "doc_sizes": zlib.compress(sizes.tobytes(), 1), "alphabet": zlib.compress(m.alphabet.astype("<u4").tobytes(), 1), "zeros": m.zeros,
-            "planes": [zlib.compress(p.tobytes(), 1) for p in m.planes], "ranks": [zlib.compress(r.astype("<u4").tobytes(), 1) for r in m.ranks]}
+            "first_doc": doc_ids[0], "part": part, "seq": seq, "n_tokens": m.n, "doc_ids": _pack(np.array(doc_ids, dtype="<i8")),
+            "doc_sizes": _pack(sizes), "alphabet": _pack(m.alphabet.astype("<u4")), "zeros": m.zeros,
+            "planes": [_pack(p) for p in m.planes], "ranks": [_pack(r.astype("<u4")) for r in m.ranks]}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, doc_ids, ids, held = None, 0, [], [], 0
@@ -245,7 +253,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
 
 def matrix(row: dict) -> WaveletMatrix:
     """The wavelet matrix of a shard's row."""
-    unpack = zlib.decompress
+    unpack = zstandard.decompress
     return WaveletMatrix(
         row["n_tokens"], np.frombuffer(unpack(row["alphabet"]), "<u4"), list(row["zeros"]),
         [np.frombuffer(unpack(p), np.uint8) for p in row["planes"]], [np.frombuffer(unpack(r), "<u4") for r in row["ranks"]])
@@ -285,7 +293,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 ids = matrix(row).decode().astype("<u4")
-                doc_ids, sizes = np.frombuffer(zlib.decompress(row["doc_ids"]), "<i8"), np.frombuffer(zlib.decompress(row["doc_sizes"]), "<i8")
+                doc_ids, sizes = np.frombuffer(zstandard.decompress(row["doc_ids"]), "<i8"), np.frombuffer(zstandard.decompress(row["doc_sizes"]), "<i8")
                 ends = np.cumsum(sizes)
                 whole, cuts = memoryview(ids.tobytes()), [0, *(4 * ends).tolist()]
                 crcs = [zlib.crc32(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
