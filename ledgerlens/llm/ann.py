@@ -86,12 +86,13 @@ class Centroids:
         row, place = np.nonzero(dist <= dist.min(axis=1, keepdims=True) * ratio)
         return row, near[row, place]
 
-    def search(self, q: np.ndarray, ratio: float) -> np.ndarray:
-        """Lists of one query: best-first search of the graph from its first
-        point on, as long as the point to expand is within ``ratio`` of the
-        nearest found; then the lists within ``ratio``. Ratios hold for distances
-        from the query brought to the common length, whose direction alone ranks
-        inner products."""
+    def search(self, q: np.ndarray, ratio: float, sizes: dict[int, int], least: int) -> np.ndarray:
+        """Lists of one query: best-first search of the graph from some spread
+        points on, as long as the point to expand is within ``ratio`` of the
+        nearest found or the lists expanded hold fewer than ``least`` entries;
+        then the lists within ``ratio``, and the next ones up to ``least``
+        entries. Ratios hold for distances from the query brought to the common
+        length, whose direction alone ranks inner products."""
         size = float(np.sqrt(q @ q))
         x = np.concatenate([q * (self.radius / size), [0.0]])
         known: dict[int, float] = {}
@@ -106,12 +107,19 @@ class Centroids:
 
         queue: list[tuple[float, int]] = []
         visit(np.arange(0, len(self.points), max(1, len(self.points) // 8)))
-        best = queue[0][0]
-        while queue and queue[0][0] <= best * ratio + 1e-12:
+        best, held = queue[0][0], 0
+        while queue and (queue[0][0] <= best * ratio + 1e-12 or held < least):
             _, node = heapq.heappop(queue)
+            held += sizes.get(node, 0)
             visit(self.graph[node])
             best = min(best, queue[0][0]) if queue else best
-        return np.array([n for n, dist in known.items() if dist <= best * ratio + 1e-12], np.int64)
+        out, held = [], 0
+        for dist, n in sorted((dist, n) for n, dist in known.items()):
+            if dist > best * ratio + 1e-12 and held >= least:
+                break
+            out.append(n)
+            held += sizes.get(n, 0)
+        return np.array(out, np.int64)
 
 
 def _halved(x: np.ndarray, size: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -208,6 +216,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, search_ratio
     posted = entries.select("rep", "v").mapInPandas(deal, "rep long, list int")
     sizes = {r["list"]: r["count"] for r in posted.groupBy("list").count().toLocalIterator()}  # at most MAX_LISTS
     groups = spark.sparkContext.broadcast(_groups(sizes, GROUP_ROWS, MIN_GROUPS))
+    # A vector stands in at most ``copies`` lists, so these hold enough of them.
+    least = copies * (top + 1)
     # One search for each distinct query vector.
     rep_of = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
     blocks = max(1, -(-rep_of.count() // QUERY_BLOCK))
@@ -228,7 +238,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, search_ratio
             rows = []
             for q, v in zip(pdf["q"].tolist(), pdf["v"], strict=True):
                 by_group: dict[int, list[int]] = {}
-                for x in model.value.search(np.asarray(v, float), search_ratio).tolist():
+                for x in model.value.search(np.asarray(v, float), search_ratio, sizes, least).tolist():
                     for g in groups.value.get(x, ()):
                         by_group.setdefault(g, []).append(x)
                 rows += [(g, q, v, xs) for g, xs in by_group.items()]
