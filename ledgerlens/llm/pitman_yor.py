@@ -150,7 +150,7 @@ def vocabulary(texts: DataFrame, min_share: float = MIN_SHARE) -> Vocabulary:
 
 def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """``part, slice, data``: blocks of tokens by part of the vocabulary, and one
-    block a slice (part -1) with its documents."""
+    block a slice (part below 0) with its documents."""
     shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most 1 / MIN_SHARE words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             row_cut = np.append(0, np.cumsum(per_word))[word_cut]
             n_train = sum(not x[2] for x in held)
             name = (task << 32) + seq
-            parts, data = [-1], [_pack(
+            parts, data = [-1 - (task + seq) % v.parts], [_pack(
                 np.array([-1 if x[0] is None else x[0] for x in held], np.int64), np.array([x[0] is None for x in held]), np.array([x[1] for x in held]),
                 lengths + 1)]
             for p in range(v.parts):
