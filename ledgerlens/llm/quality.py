@@ -296,10 +296,10 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     n_style = len(STYLE_RULES) + 1
     posterior: list[dict[str, float]] = []
     accuracies = []
-    for cut, mark, prior in ((slice(0, n_style), "q", 0.1), (slice(n_style, None), "t", 0.1)):
+    for cut, mark, width, prior in ((slice(0, n_style), "q", n_style + 1, 0.1), (slice(n_style, None), "t", len(LIST_RULES) + 2, 0.1)):
         key = patterns["votes"].str[cut] + patterns[mark]
         sums = patterns["count"].groupby(key).sum()
-        table = np.array([[int(c) for c in k] for k in sums.index], np.int64).reshape(len(sums), -1)
+        table = np.array([[int(c) for c in k] for k in sums.index], np.int64).reshape(len(sums), width)
         post, accuracy = estimate(table, sums.to_numpy(float), prior)
         posterior.append(dict(zip(sums.index, post, strict=True)))
         accuracies.append(accuracy)

@@ -88,4 +88,73 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_ann, op3_pitman_yor, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_preferences": """
+WITH turns AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS is_chosen, turn,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY pair_id, is_chosen ORDER BY turn NULLS FIRST, role, text) AS place,
+         '<|' || role || '|>' || chr(10) AS head, head || text || '<|end|>' || chr(10) AS rendered
+  FROM turns),
+agreed AS (
+  SELECT pair_id, place, count(*) FILTER (is_chosen) AS c, count(*) FILTER (NOT is_chosen) AS r,
+         c = r AND count(DISTINCT rendered) = 1 AND count(DISTINCT role) = 1 AS same
+  FROM placed GROUP BY pair_id, place),
+pairs AS (
+  SELECT pair_id, sum(c) AS n_c, sum(r) AS n_r,
+         CASE WHEN n_c = 0 THEN n_r WHEN n_r = 0 THEN n_c ELSE coalesce(min(place) FILTER (NOT same) - 1, n_c) END AS n
+  FROM agreed GROUP BY pair_id),
+completed AS (
+  SELECT p.*, n, sum(length(rendered)) OVER (PARTITION BY pair_id, is_chosen ORDER BY place) AS stop
+  FROM placed p JOIN pairs USING (pair_id) WHERE place > n),
+sides AS (
+  SELECT pair_id, is_chosen, string_agg(rendered, '' ORDER BY place) AS text,
+         string_agg((stop - length(rendered) + length(head)) || ':' || (stop - 1), ',' ORDER BY place) FILTER (role = 'assistant') AS mask
+  FROM completed GROUP BY pair_id, is_chosen),
+prompts AS (
+  SELECT pair_id, string_agg(rendered, '' ORDER BY place) AS text FROM placed JOIN pairs USING (pair_id)
+  WHERE place <= n AND (is_chosen OR n_c = 0) GROUP BY pair_id)
+SELECT q.pair_id,
+       CASE WHEN n_c = 0 THEN 'rejected_only' WHEN n_r = 0 THEN 'chosen_only' WHEN n_c = n AND n_r = n THEN 'identical' ELSE 'pair' END AS status,
+       CAST(n AS INTEGER) AS prefix_turns, md5(coalesce(p.text, '')) AS prompt_md5, md5(coalesce(c.text, '')) AS chosen_md5,
+       md5(coalesce(r.text, '')) AS rejected_md5, coalesce(c.mask, '') AS chosen_mask, coalesce(r.mask, '') AS rejected_mask
+FROM pairs q
+LEFT JOIN prompts p ON p.pair_id = q.pair_id
+LEFT JOIN sides c ON c.pair_id = q.pair_id AND c.is_chosen
+LEFT JOIN sides r ON r.pair_id = q.pair_id AND NOT r.is_chosen
+""",
+    "op9_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         coalesce(length(text), 0) / greatest(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0), 1)::DOUBLE AS mean,
+         (('0x' || substr(md5('mix-1|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM documents),
+sources AS (
+  SELECT source, source_size, 3.0::DOUBLE * source_size AS cap,
+         [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)),
+-- What all would take at the level at which each source stops.
+stops AS (
+  SELECT a.cap / a.weight AS level, sum(least(b.cap, a.cap / a.weight * b.weight)) AS takes FROM sources a, sources b GROUP BY a.source, level),
+low AS (
+  SELECT coalesce((SELECT max(level) FROM stops WHERE takes <= (SELECT sum(source_size) FROM sources) * (1 + 1e-12)), 0) AS below),
+level AS (
+  SELECT (sum(source_size) - coalesce(sum(cap) FILTER (cap / weight <= below), 0)) / nullif(sum(weight) FILTER (cap / weight > below), 0) AS x
+  FROM sources, low),
+targets AS (
+  SELECT source, source_size, coalesce(least(cap, x * weight), cap) AS target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 1 END AS epochs,
+         CASE WHEN source_size > 0 THEN greatest(0.0, target - epochs * source_size) ELSE 0 END AS rest
+  FROM sources, level),
+ordered AS (
+  SELECT doc_id, source, size,
+         sum(size) OVER (PARTITION BY source ORDER BY -ln(u) / greatest(0.25, 1 - abs(mean - 6.5) / 10), doc_id, size ROWS UNBOUNDED PRECEDING) AS reached
+  FROM sized)
+SELECT doc_id, size, source_size, target, o.source, CAST(epochs + (size > 0 AND 2 * reached - size <= 2 * rest)::INT AS INTEGER) AS times,
+       CAST(size * times AS BIGINT) AS taken
+FROM ordered o JOIN targets t ON o.source IS NOT DISTINCT FROM t.source
+""",
+}
