@@ -8,10 +8,9 @@ linear scorer is trained on; the scorer judges every document by its whole text.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from operator import eq
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ TRAIN_DOCS = 10_000
 BUCKETS = 1 << 20
 #: A posterior above which a document is rejected.
 REJECT = 0.5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 
 # Votes.
 YES, NO, ABSTAIN = 1, 0, 2
@@ -50,53 +49,109 @@ STYLE_RULES = (
 #: hit is a YES; without a hit in any the labeller "unlisted" votes NO.
 LIST_RULES = ("words", "begin5", "begin4")
 
-_EDGE = b".,;:!?\"'()[]{}"
-
-
-def shape(word: bytes) -> bytes:
-    """A word's form: its case, whether it has digits, and what trails it."""
-    core = word.strip(b"!#$%&*+-./:;<=>?@[]^_`{|}~,()\"'")
-    tail = word[len(word.rstrip(b"!#$%&*+-/<=>?@^_`|~")):][:4] if core else word[:4]
-    case = b"U" if core.isupper() and len(core) > 1 else b"C" if core[:1].isupper() else b"l" if core else b"s"
-    return case + (b"9" if any(48 <= c <= 57 for c in core) else b"") + b":" + tail
-
-
-def style(text: bytes, tokens: list[bytes], words: Counter) -> list[float]:
-    """The measures of ``STYLE_RULES`` on a text, its words and their counts."""
-    n = max(1, sum(words.values()))
-    upper = marked = lone = long = 0
-    for w, c in words.items():
-        kind, _, tail = shape(w).partition(b":")
-        upper += c * (kind[:1] == b"U")
-        marked += c * (kind[:1] != b"s" and len(tail) > 0)
-        lone += c * (kind[:1] == b"s")
-        long += c * (len(w) > 30)
-    filled = [x for x in map(bytes.strip, text.split(b"\n")) if x]
-    again = len(filled) - len(set(filled))
-    runs = sum(map(eq, tokens, tokens[1:]))
-    return [upper / n, marked / n, lone / n, again / max(1, len(filled)), long / n, runs / n]
-
-
-def _term(text: bytes) -> int:
-    """32-bit hash of a term; its remainder is the scorer's bucket."""
-    return xxhash.xxh32_intdigest(text)
-
-
-def list_terms(word: bytes) -> list[int]:
-    """Terms of a word: the word itself and its beginnings."""
-    w = word.lower().strip(_EDGE)
-    if not w:
-        return []
-    text = w.decode("utf-8", "ignore")
-    out = [_term(b"w" + w)]
-    for k in (5, 4):
-        if len(text) >= k:
-            out.append(_term(b"%d" % k + text[:k].encode()))
+def _set(chars: bytes) -> np.ndarray:
+    """Which byte values are in ``chars``; a blank always is."""
+    out = np.zeros(256, bool)
+    out[list(chars + b" ")] = True
     return out
 
 
-def shape_term(word: bytes) -> int:
-    return _term(b"s" + shape(word)) % BUCKETS
+_EDGE = _set(b".,;:!?\"'()[]{}")
+_SYMBOL = _set(b"!#$%&*+-./:;<=>?@[]^_`{|}~,()\"'")
+_MARK = _set(b"!#$%&*+-/<=>?@^_`|~")
+_UPPER, _LOWER, _DIGIT = (_set(bytes(range(a, b))) & (np.arange(256) != 32) for a, b in ((65, 91), (97, 123), (48, 58)))
+_FOLD = np.arange(256, dtype=np.uint64) + np.where(_UPPER, 32, 0).astype(np.uint64) + np.uint64(1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(x: np.ndarray, salt: int) -> np.ndarray:
+    x = (x + np.uint64(salt * 0x632BE5AB)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(32)).astype(np.int64)
+
+
+def analyse(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms, flags and forms of words, all as arrays.
+
+    Terms (three 32-bit hashes, -1: none): the word in lower case without
+    punctuation around it, and its first five and four bytes. Flags: upper case,
+    marked by symbols behind it, symbols alone, over 30 bytes. Form: a bucket of
+    its case, whether it has digits, and up to four symbols behind it.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    c = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    pos, word = np.arange(len(c)), np.repeat(np.arange(len(words)), sizes + 1)
+
+    def span(outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character of each word that is not ``outside``."""
+        return np.minimum.reduceat(np.where(outside, len(c), pos), starts), np.maximum.reduceat(np.where(outside, -1, pos), starts)
+
+    first, last = span(_EDGE[c])
+    place = pos - first[word]
+    inside = (place >= 0) & (pos <= last[word])
+    power = np.cumprod(np.full(int(sizes.max(initial=0)) + 1, _BASE))
+    value = np.where(inside, _FOLD[c] * power[np.where(inside, place, 0)], np.uint64(0))
+    terms = []
+    for salt, length in ((1, 0), (5, 5), (4, 4)):
+        h = _hash(np.add.reduceat(np.where(place < length, value, np.uint64(0)) if length else value, starts), salt)
+        terms.append(np.where(last - first + 1 >= max(1, length), h, -1))
+    first, last = span(_SYMBOL[c])
+    core = last >= 0
+    inside = (pos >= first[word]) & (pos <= last[word])
+    upper, lower, digit = (np.logical_or.reduceat(t[c] & inside, starts) for t in (_UPPER, _LOWER, _DIGIT))
+    shout = upper & ~lower & (last > first)
+    case = np.where(~core, 0, np.where(shout, 1, np.where(_UPPER[c[np.minimum(first, len(c) - 1)]], 2, 3)))
+    tail = np.where(core, span(_MARK[c])[1] + 1, starts)
+    end = starts + sizes
+    code = np.zeros(len(words), np.uint64)
+    for j in range(4):
+        code = code * np.uint64(257) + np.where(tail + j < end, c[np.minimum(tail + j, len(c) - 1)] + np.uint64(1), np.uint64(0))
+    forms = _hash(code * np.uint64(8) + (case * 2 + digit).astype(np.uint64), 7) % BUCKETS
+    return np.stack(terms, axis=1), np.stack([case == 1, core & (tail < end), ~core, sizes > 30], axis=1), forms
+
+
+#: Scale of shares of word forms and of measures as features.
+_SHARE = 10.0
+_MEASURES = np.array([xxhash.xxh32_intdigest(b"m" + name.encode()) % BUCKETS for name, _, _ in STYLE_RULES], np.int64)
+
+
+class Words:
+    """The words a worker has met, with what ``analyse`` says, by number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.terms, self.flags, self.forms = np.zeros((0, 3), np.int64), np.zeros((0, 4), bool), np.zeros(0, np.int64)
+
+    def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of all texts in a row, and how many each text has."""
+        if len(self.known) > CACHE_WORDS:
+            self.clear()
+        tokens = [t.split() for t in texts]
+        new = list(set(chain.from_iterable(tokens)).difference(self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.terms, self.flags, self.forms = (np.concatenate(x) for x in zip((self.terms, self.flags, self.forms), analyse(new), strict=True))
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum())), sizes
+
+    def measures(self, texts: list[bytes], numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The measures of ``STYLE_RULES``: texts by rules."""
+        doc, n = np.repeat(np.arange(len(texts)), sizes), np.maximum(sizes, 1)
+
+        def share(of: np.ndarray) -> np.ndarray:
+            return np.bincount(doc[of], minlength=len(texts)) / n
+
+        upper, marked, lone, long = (share(self.flags[numbers, k]) for k in range(4))
+        runs = np.zeros(len(numbers), bool)
+        runs[1:] = (numbers[1:] == numbers[:-1]) & (doc[1:] == doc[:-1])
+        again = []
+        for text in texts:
+            filled = [x for x in map(bytes.strip, text.split(b"\n")) if x]
+            again.append((len(filled) - len(set(filled))) / max(1, len(filled)))
+        return np.stack([upper, marked, lone, np.array(again), long, share(runs)], axis=1)
 
 
 def _by_hash(rows: DataFrame, bound: int, salt: int) -> Column:
@@ -127,13 +182,18 @@ def word_lists(labelled: DataFrame, bound: int = LABELLED_DOCS) -> np.ndarray:
     sample = sample.groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for part in slices(batches, "text"):
-            held: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(as_bytes(part.column("text")), part.column("toxic").to_pylist(), strict=True):
-                held[toxic].update({t for w in set(text.split()) for t in list_terms(w)})
-                held[toxic][-1] += 1
-            terms = list(held[0].keys() | held[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array([held[0][t] for t in terms], pa.int64()), pa.array([held[1][t] for t in terms], pa.int64())], names=["term", "clean", "bad"])
+            numbers, sizes = words.number(as_bytes(part.column("text")))
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            rows = np.unique(np.concatenate([words.terms[numbers, k] << 24 | doc for k in range(3)])) if len(numbers) else np.empty(0, np.int64)
+            rows = rows[rows >= 0]
+            terms, place = np.unique(rows >> 24, return_inverse=True)
+            bad = np.bincount(place, weights=toxic[rows & 0xFFFFFF], minlength=len(terms)).astype(np.int64)
+            clean = np.bincount(place, minlength=len(terms)) - bad
+            n = [int((toxic == k).sum()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, -1)), pa.array(np.append(clean, n[0])), pa.array(np.append(bad, n[1]))], names=["term", "clean", "bad"])
 
     # Term -1 counts texts. A term in five toxic texts is one of at most a fifth
     # of the sample's words and beginnings in toxic texts.
@@ -226,57 +286,41 @@ class QualityModel:
     toxic_accuracy: np.ndarray
 
 
-#: Scale of shares of word forms and of measures as features.
-_SHARE = 10.0
-
-
-def style_features(words: Counter, measures: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed shares of word forms and the measures of a text."""
-    n = max(1, sum(words.values()))
-    held: Counter = Counter()
-    for w, c in words.items():
-        held[shape_term(w)] += c
-    for (name, _, _), value in zip(STYLE_RULES, measures, strict=True):
-        held[_term(b"m" + name.encode()) % BUCKETS] += value * n
-    return np.fromiter(held.keys(), np.int64, len(held)), np.fromiter(held.values(), float, len(held)) * (_SHARE / n)
-
-
 def _votes(lists: np.ndarray):
-    names = {int(b) for b in lists}
+    low, high = (np.array([r[k] for r in STYLE_RULES]) for k in (1, 2))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, list[int]] = {}
+        words = Words()
         for part in slices(batches, "text"):
-            if len(known) > CACHE_WORDS:
-                known = {}
-            votes, terms, forms, shares = [], [], [], []
-            for text, sampled in zip(as_bytes(part.column("text")), part.column("sampled").to_pylist(), strict=True):
-                tokens = text.split()
-                words = Counter(tokens)
-                measures = style(text, tokens, words)
-                row = [YES if v >= high else ABSTAIN for v, (_, _, high) in zip(measures, STYLE_RULES, strict=True)]
-                row.append(NO if all(v <= low for v, (_, low, _) in zip(measures, STYLE_RULES, strict=True)) else ABSTAIN)
-                hit = [False] * len(LIST_RULES)
-                all_terms: set[int] = set()
-                for w in words:
-                    if (got := known.get(w)) is None:
-                        got = known[w] = list_terms(w)
-                    for i, b in enumerate(got):
-                        hit[i] |= b in names
-                    if sampled:
-                        all_terms.update(b % BUCKETS for b in got)
-                row += [YES if h else ABSTAIN for h in hit]
-                row.append(NO if names and not any(hit) else ABSTAIN)
-                votes.append("".join(map(str, row)))
-                at, x = style_features(words, measures) if sampled else (np.empty(0, np.int64), np.empty(0))
-                terms.append(sorted(all_terms))
+            texts = as_bytes(part.column("text"))
+            numbers, sizes = words.number(texts)
+            measures = words.measures(texts, numbers, sizes)
+            doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
+            listed = np.isin(words.terms, lists)
+            hit = np.stack([np.bincount(doc[listed[numbers, k]], minlength=len(texts)) > 0 for k in range(len(LIST_RULES))], axis=1)
+            row = np.concatenate([
+                np.where(measures >= high, YES, ABSTAIN), np.where((measures <= low).all(axis=1), NO, ABSTAIN)[:, None],
+                np.where(hit, YES, ABSTAIN), np.where(hit.any(axis=1) | (not len(lists)), ABSTAIN, NO)[:, None]], axis=1)
+            terms, forms, shares = [], [], []
+            for i, sampled in enumerate(part.column("sampled").to_pylist()):
+                mine = np.unique(numbers[ends[i] - sizes[i]:ends[i]]) if sampled else numbers[:0]
+                t = words.terms[mine]
+                at, x = _style_features(words.forms[numbers[ends[i] - sizes[i]:ends[i]]], measures[i]) if sampled else (mine, mine.astype(float))
+                terms.append(np.unique(t[t >= 0] % BUCKETS).tolist())
                 forms.append(at.tolist())
                 shares.append(x.tolist())
+            votes = ["".join(map(str, r)) for r in row.tolist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sampled"), pa.array(votes, pa.string()), pa.array(terms, pa.list_(pa.int32())), pa.array(forms, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "sampled", "votes", "terms", "forms", "shares"])
 
     return run
 
 
+def _style_features(forms: np.ndarray, measures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed shares of word forms of a text, and its measures."""
+    at, n = np.unique(forms, return_counts=True)
+    return np.concatenate([at, _MEASURES]), _SHARE * np.concatenate([n / max(1, len(forms)), measures])
+
+
 def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS, train_docs: int = TRAIN_DOCS) -> QualityModel:
     """The scorer for ``docs``. ``labels`` (doc_id, quality, toxic) is one more
     labeller on the documents that it covers and abstains on the others; where
@@ -324,28 +368,24 @@ def scorer(docs: DataFrame, model: QualityModel):
     @arrow_udf("struct<quality:double,toxicity:double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        known: dict[bytes, float] = {}
-        for texts in batches:
+        words = Words()
+        for column in batches:
             quality, toxicity = [], []
-            for text in as_bytes(texts):
-                tokens = text.split()
-                words = Counter(tokens)
-                if len(known) > CACHE_WORDS:
-                    known = {}
-                z = m.toxic_bias
-                seen: set[int] = set()
-                for w in words:
-                    if (got := known.get(w)) is None:
-                        got = known[w] = tuple((b, float(m.toxic[b])) for b in (t % BUCKETS for t in list_terms(w)) if m.toxic[b])
-                    for b, x in got:
-                        if b not in seen:
-                            seen.add(b)
-                            z += x
-                at, x = style_features(words, style(text, tokens, words))
-                s = m.style_bias + float(m.style[at] @ x)
-                quality.append(1 / (1 + float(np.exp(np.clip(s, -30, 30)))))
-                toxicity.append(1 / (1 + float(np.exp(np.clip(-z, -30, 30)))))
-            yield pa.StructArray.from_arrays([pa.array(quality, pa.float64()), pa.array(toxicity, pa.float64())], names=["quality", "toxicity"])
+            rows = pa.RecordBatch.from_arrays([column], names=["text"])
+            for part in slices([rows], "text"):
+                texts = as_bytes(part.column("text"))
+                numbers, sizes = words.number(texts)
+                doc = np.repeat(np.arange(len(texts)), sizes)
+                formed = np.bincount(doc, weights=m.style[words.forms[numbers]], minlength=len(texts)) / np.maximum(sizes, 1)
+                bad = m.style_bias + _SHARE * (formed + words.measures(texts, numbers, sizes) @ m.style[_MEASURES])
+                # Most words weigh nothing; each bucket counts once a text.
+                weigh = (m.toxic[words.terms % BUCKETS] != 0) & (words.terms >= 0)
+                rows = np.unique(np.concatenate([(words.terms[numbers, k] % BUCKETS << 24 | doc)[weigh[numbers, k]] for k in range(3)]))
+                toxic = np.bincount(rows & 0xFFFFFF, weights=m.toxic[rows >> 24], minlength=len(texts))
+                quality.append(1 / (1 + np.exp(np.clip(bad, -30, 30))))
+                toxicity.append(1 / (1 + np.exp(-np.clip(m.toxic_bias + toxic, -30, 30))))
+            join = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0))
+            yield pa.StructArray.from_arrays([join(quality), join(toxicity)], names=["quality", "toxicity"])
 
     return score
 
