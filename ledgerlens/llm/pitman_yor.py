@@ -4,9 +4,9 @@ The model predicts a token from the word before it. Every frequent word (and the
 start of a text) has a context restaurant; tokens after other words go straight
 to the root restaurant, the common parent of all context restaurants, whose base
 is uniform over the known words and one unknown word. The customers of the root
-are the tables of its children and the tokens it serves itself. Gibbs sampling
-takes customers from their tables and seats them anew by the Chinese-restaurant
-rule; probabilities are averaged over sweeps after a burn-in.
+are the tables of its children and the tokens it serves itself. A Gibbs sweep
+takes all customers of every dish from their tables and seats them anew by the
+Chinese-restaurant rule; probabilities are averaged over sweeps after a burn-in.
 
 How the work is spread. Tokens travel as 64-bit hashes in compressed blocks, one
 for each slice of documents and part of the vocabulary; a part holds all
@@ -20,6 +20,7 @@ scoring pass does instead of storing tables.
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -38,13 +39,12 @@ from ledgerlens.llm.common import as_bytes, crc_mod, cut_lineage, slices
 MIN_SHARE = 1 / 20_000
 STRENGTH = 1.0
 SWEEPS, BURN_IN = 4, 2
-#: Customers of each dish that a sweep seats anew, chosen at random.
-MOVES = 3
+#: Largest dish whose number of tables is drawn at once; of larger ones all
+#: customers move, in so many groups.
+DIRECT, VISITS = 2048, 8
 #: Tokens of a slice of documents, and of a part of the vocabulary.
 SLICE_TOKENS, PART_TOKENS = 1_000_000, 4_000_000
 MIN_PARTS = 64
-#: Tables that a dish may open beyond its first seating.
-SLACK = 32
 
 _END = xxhash.xxh3_64_intdigest(b"end of text", 1)  # no word holds a blank
 _START_CTX = 1
@@ -215,85 +215,202 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     return rows.mapInArrow(run, "part int, slice long, data binary")
 
 
+#: By discount: row c - 1 holds the logarithms of the generalised Stirling
+#: numbers of c customers at 1 to c tables, for c up to what was asked so far.
+_STIRLING: dict[float, list[np.ndarray]] = {}
+
+
+def _stirling(c: int, discount: float) -> np.ndarray:
+    if discount not in _STIRLING and len(_STIRLING) >= 2:  # root and contexts
+        _STIRLING.clear()
+    rows = _STIRLING.setdefault(discount, [np.zeros(1)])
+    while len(rows) < c:
+        n, old = len(rows), rows[-1]
+        stay = np.append(old + np.log(n - discount * np.arange(1, n + 1)), -np.inf)
+        rows.append(np.logaddexp(stay, np.append(-np.inf, old)))
+    return rows[c - 1]
+
+
+def table_numbers(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes with ``c`` customers, 1 to DIRECT, drawn anew
+    from their exact distribution: weight to the power of t times the Stirling
+    number of c and t."""
+    out = np.ones(len(c), np.int64)
+    order = np.argsort(c, kind="stable")
+    values, first = np.unique(c[order], return_index=True)
+    log_w = np.log(weight)
+    for n, rows in zip(values.tolist(), np.split(order, first)[1:], strict=True):
+        if n < 2:
+            continue
+        known, t = _stirling(n, discount), np.arange(1, n + 1)
+        step = max(1, 1_000_000 // n)
+        for a in range(0, len(rows), step):
+            some = rows[a:a + step]
+            p = log_w[some, None] * t + known
+            p = np.cumsum(np.exp(p - p.max(axis=1, keepdims=True)), axis=1)
+            out[some] = 1 + (p[:, :-1] <= (rng.random(len(some)) * p[:, -1])[:, None]).sum(axis=1)
+    return out
+
+
+def _openings(c: int, t: int, m: int, weight: float, discount: float, rng: np.random.Generator) -> list[int]:
+    """Which of ``m`` customers who come one by one to a dish of ``c`` at ``t``
+    tables open a table. The wait for the next one is beta-geometric."""
+    out, i = [], 0
+    while True:
+        chance = rng.beta(weight, c + i - discount * t)
+        wait = math.log(1.0 - rng.random()) / math.log1p(-chance) if 0 < chance < 1 else 0.0 if chance else math.inf
+        if wait >= m - i:
+            return out
+        i += int(wait)
+        out.append(i)
+        i, t = i + 1, t + 1
+
+
+def _seat(sizes: np.ndarray, opened: list[int], m: int, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes after ``m`` customers of whom those in ``opened`` open tables. From
+    the last new table back: who came after its opening and sits at it or at an
+    older one is dealt by an urn."""
+    c, t, left, stop = int(sizes.sum()), len(sizes) + len(opened), 0, m
+    new = []
+    for o in reversed(opened):
+        left += stop - o - 1
+        t, stop = t - 1, o
+        got = int(rng.binomial(left, rng.beta(1 - discount, c + o - discount * t)))
+        new.append(1 + got)
+        left -= got
+    share = rng.gamma(sizes - discount)
+    return np.append(sizes + rng.multinomial(left + stop, share / share.sum()), np.array(new[::-1], np.int64))
+
+
+def _log_norm(c: int, t: int, m: int, opened: list[int], weight: float, discount: float) -> float:
+    """Logarithm of the product of all that ``m`` customers choose from."""
+    total, low = 0.0, 0
+    for high in [*(o + 1 for o in opened), m]:
+        at = c - discount * t + weight
+        total += math.lgamma(at + high) - math.lgamma(at + low)
+        low, t = high, t + 1
+    return total
+
+
+def visit(sizes: np.ndarray, weight: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes after every customer of a dish has left and come back once, in
+    VISITS groups. A group's new seats are accepted or refused (Metropolis and
+    Hastings), which makes up for weights that hang on the order of coming."""
+    todo = sizes.copy()
+    for left in range(VISITS, 0, -1):
+        m = -(-int(todo.sum()) // left)
+        out = rng.multivariate_hypergeometric(todo, m, method="marginals")
+        todo, rest = todo - out, sizes - out
+        stay = rest > 0
+        base = rest[stay]
+        c, t = int(base.sum()), len(base)
+        gone = out[~stay]
+        old: list[int] = []
+        if len(gone):  # when those who open the emptied tables again would come
+            at = rng.choice(m, int(gone.sum()), replace=False)
+            old = sorted(np.minimum.reduceat(at, np.cumsum(gone) - gone).tolist())
+        new = _openings(c, t, m, weight, discount, rng)
+        gain = _log_norm(c, t, m, new, weight, discount) - _log_norm(c, t, m, old, weight, discount)
+        if math.log(1.0 - rng.random()) <= gain:
+            sizes = _seat(base, new, m, discount, rng)
+            todo = np.append(todo[stay], np.zeros(len(new), np.int64))
+    return sizes
+
+
+def _start(c: int, weight: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Sizes to begin with: the restaurant rule makes them a Poisson number of
+    independent sizes whose sum is ``c``; here the last table takes the rest."""
+    low, high = -745.0, 0.0  # logarithm of 1 - z, where the expected sum is c
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if math.log(weight) + math.log1p(-math.exp(mid)) + (discount - 1) * mid < math.log(c) else (mid, high)
+    z = -math.expm1(low)
+    n = int(rng.poisson(min(-weight / discount * math.expm1(discount * low), c)))
+    sizes = np.empty(0, np.int64)
+    while len(sizes) < n:
+        some = rng.geometric(np.maximum(rng.beta(discount, 1 - discount, 2 * n + 16), 1e-15))
+        sizes = np.append(sizes, some[rng.random(len(some)) < z ** (some - 1.0)])
+    sizes = sizes[:n]
+    sizes = sizes[np.cumsum(np.minimum(sizes, c)) < c]
+    return np.append(sizes, c - sizes.sum())
+
+
 class Tables:
-    """Tables of many dishes, each with ``c`` customers, side by side in one
-    array; a dish's tables are in use from its start on."""
+    """Tables of many dishes, each with ``c`` customers at ``t`` tables.
+
+    Of a dish of at most DIRECT customers a sweep draws the number of tables from
+    its exact distribution, whatever it was; sizes do not matter and are drawn
+    when they are asked for. Sizes of larger dishes are kept and every customer
+    moves. Tables are opened as needed.
+    """
 
     def __init__(self, c: np.ndarray, weight: np.ndarray, room: np.ndarray, rng: np.random.Generator):
-        """First seating: about as many tables as customers open who come one by
-        one and find ``weight`` for a new table; all but the first hold one."""
+        """First seating, which sweeps replace: about as many tables, ``room`` at
+        most, as customers open who come one by one and find ``weight`` for a new
+        table; all but the first hold one."""
         self.c = c.astype(np.int64)
         extra = rng.poisson(weight * np.log((np.maximum(self.c, 1) + weight) / (1 + weight)))
-        self.t = np.where(self.c > 0, 1 + np.minimum(extra, np.maximum(self.c - 1, 0)), 0)
-        self.cap = np.minimum(np.maximum(room, self.t), self.t + SLACK)
-        self.start = np.cumsum(self.cap) - self.cap
-        self.sizes = np.zeros(int(self.cap.sum()), np.int64)
-        some = np.flatnonzero(self.t > 0)
-        place = np.repeat(self.start[some], self.t[some]) + _within(self.t[some])
-        self.sizes[place] = 1
-        self.sizes[self.start[some]] += self.c[some] - self.t[some]
-
-    def _pick(self, rows: np.ndarray, rng: np.random.Generator, less: float) -> np.ndarray:
-        """A table of each dish in ``rows``, by its size less ``less``."""
-        total = np.cumsum(self.sizes)
-        low = np.where(self.start[rows] > 0, total[self.start[rows] - 1], 0)
-        out = np.empty(len(rows), np.int64)
-        left = np.arange(len(rows))
-        while len(left):
-            r = rows[left]
-            at = np.searchsorted(total, low[left] + np.floor(rng.random(len(left)) * self.c[r]).astype(np.int64), side="right")
-            ok = np.ones(len(left), bool) if not less else rng.random(len(left)) * self.sizes[at] < self.sizes[at] - less
-            out[left[ok]] = at[ok]
-            left = left[~ok]
-        return out
+        self.t = np.where(self.c > 0, 1 + np.minimum(extra, np.maximum(np.minimum(room, self.c) - 1, 0)), 0)
+        self.discount: float | None = None
+        self.held = {r: self._first(r) for r in np.flatnonzero(self.c > DIRECT).tolist()}
+
+    def _first(self, r: int) -> np.ndarray:
+        return np.append(self.c[r] - self.t[r] + 1, np.ones(int(self.t[r]) - 1, np.int64))
+
+    def sizes_of(self, r: int, rng: np.random.Generator) -> np.ndarray:
+        """Sizes of a dish's tables, drawn for their number if not kept."""
+        if r in self.held:
+            return self.held[r]
+        c, t = int(self.c[r]), int(self.t[r])
+        if not c or self.discount is None:
+            return self._first(r) if c else np.empty(0, np.int64)
+        opened = []
+        for n in range(c, 1, -1):  # whether the n-th customer opened a table
+            if t > 1 and (t == n or rng.random() < math.exp(_stirling(n - 1, self.discount)[t - 2] - _stirling(n, self.discount)[t - 1])):
+                opened.append(n - 2)
+                t -= 1
+        return _seat(np.ones(1, np.int64), opened[::-1], c - 1, self.discount, rng)
 
-    def remove(self, rows: np.ndarray, rng: np.random.Generator) -> None:
-        """One customer of each dish in ``rows`` leaves; an empty table closes
-        and the dish's last table takes its place."""
-        at = self._pick(rows, rng, 0.0)
-        self.sizes[at] -= 1
-        self.c[rows] -= 1
-        shut = self.sizes[at] == 0
-        r, a = rows[shut], at[shut]
-        last = self.start[r] + self.t[r] - 1
-        self.sizes[a] = self.sizes[last]
-        self.sizes[last] = 0
-        self.t[r] -= 1
-
-    def add(self, rows: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """One customer of each dish in ``rows`` sits down: at a table by its
-        size less the discount, at a new one by ``weight``."""
-        old = self.c[rows] - discount * self.t[rows]
-        fresh = (rng.random(len(rows)) * (old + weight) >= old) | (self.t[rows] == 0)
-        fresh &= self.t[rows] < self.cap[rows]
-        sit = rows[~fresh]
-        if len(sit):
-            self.sizes[self._pick(sit, rng, discount)] += 1
-        r = rows[fresh]
-        self.sizes[self.start[r] + self.t[r]] = 1
-        self.t[r] += 1
-        self.c[rows] += 1
+    @property
+    def start(self) -> np.ndarray:
+        """Where the tables of each dish begin in ``sizes``."""
+        return np.cumsum(self.t) - self.t
+
+    @property
+    def sizes(self) -> np.ndarray:
+        rng = np.random.default_rng(17)
+        return np.concatenate([np.empty(0, np.int64), *(self.sizes_of(r, rng) for r in range(len(self.c)))])
 
     def sweep(self, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-        """``MOVES`` customers of each dish leave and sit down again. A lone
-        customer's table is opened again whatever happens."""
-        rows = np.flatnonzero(self.c > 1)
-        for _ in range(MOVES if len(rows) else 0):
-            self.remove(rows, rng)
-            self.add(rows, weight[rows], discount, rng)
+        """All customers of each dish leave and sit down again: at a table by its
+        size less the discount, at a new one by ``weight``."""
+        if self.discount is None:
+            self.held = {r: _start(int(self.c[r]), float(weight[r]), discount, rng) for r in self.held}
+        self.discount = discount
+        rows = np.flatnonzero((self.c > 1) & (self.c <= DIRECT))
+        self.t[rows] = table_numbers(self.c[rows], weight[rows], discount, rng)
+        for r, sizes in self.held.items():
+            self.held[r] = visit(sizes, float(weight[r]), discount, rng)
+            self.t[r] = len(self.held[r])
 
     def resize(self, c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> None:
         """Customers come or leave until dishes have ``c`` of them."""
-        while len(rows := np.flatnonzero(self.c > c)):
-            self.remove(rows, rng)
-        while len(rows := np.flatnonzero(self.c < c)):
-            self.add(rows, weight[rows], discount, rng)
-
-
-def _within(counts: np.ndarray) -> np.ndarray:
-    """0, 1, ... within each of runs of ``counts``."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
+        c = c.astype(np.int64)
+        for r in np.flatnonzero((c != self.c) & (c > DIRECT)).tolist():
+            sizes, more = self.sizes_of(r, rng), int(c[r] - self.c[r])
+            if more < 0:
+                sizes = sizes - rng.multivariate_hypergeometric(sizes, -more, method="marginals")
+                sizes = sizes[sizes > 0]
+            else:
+                if not len(sizes):
+                    sizes, more = np.ones(1, np.int64), more - 1
+                sizes = _seat(sizes, _openings(int(sizes.sum()), len(sizes), more, float(weight[r]), discount, rng), more, discount, rng)
+            self.held[r], self.t[r] = sizes, len(sizes)
+        for r in [r for r in self.held if c[r] <= DIRECT]:
+            del self.held[r]
+        rows = np.flatnonzero((c != self.c) & (c <= DIRECT))
+        self.t[rows] = np.where(c[rows] > 0, table_numbers(c[rows], weight[rows], discount, rng), 0)
+        self.c, self.discount = c.copy(), discount
 
 
 @dataclass(frozen=True)
@@ -364,7 +481,7 @@ class Part:
             base = np.full(len(self.number), setting.root_weight(state.tables))
             mine = np.where(self.rare, customers, 0)
             if root is None:
-                root = Tables(mine, base, np.where(self.rare, np.maximum(self.total, mine), 0), rng)
+                root = Tables(mine, base, mine, rng)
             else:
                 root.resize(mine, base, d0, rng)
             root.sweep(base, d0, rng)
@@ -492,7 +609,7 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State]]:
         rare = sums.get(ROOT_TABLES, 0)
         weight = np.full(n_freq, setting.root_weight(rare + (int(frequent.t.sum()) if frequent else n_freq)))
         if frequent is None:
-            frequent = Tables(c, weight, np.maximum(vocab.counts, c), rng)
+            frequent = Tables(c, weight, c, rng)
         else:
             frequent.resize(c, weight, setting.discounts[0], rng)
         frequent.sweep(weight, setting.discounts[0], rng)

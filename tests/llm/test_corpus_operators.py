@@ -151,6 +151,30 @@ def test_seating_matches_the_restaurant_rule():
     assert np.mean(together) == pytest.approx((1 - d) / (1 - d + a), abs=0.01)
 
 
+@pytest.mark.parametrize(("c", "a", "d"), [(300, 5.0, 0.6), (3000, 0.7, 0.6), (3000, 200.0, 0.5)])
+def test_sweeps_reseat_dishes_of_many_customers(c, a, d):
+    # P(t tables) ~ a^t S(c, t), from the recurrence of the Stirling numbers.
+    row = np.zeros(c + 1)
+    row[1], t = 1.0, np.arange(c + 1)
+    for n in range(1, c):  # row t carries a^t
+        row = np.append(0, row[:-1]) * a + np.maximum(n - d * t, 0) * row
+        row /= row.max()
+    p = row / row.sum()
+    mean = (p * t).sum()
+    sd = math.sqrt((p * (t - mean) ** 2).sum())
+    rng = np.random.default_rng(3)
+    n = 40
+    dishes = pitman_yor.Tables(np.full(n, c), np.full(n, a), np.full(n, 1), rng)  # all at one table
+    for _ in range(8):
+        dishes.sweep(np.full(n, a), d, rng)
+    got = []
+    for _ in range(12):
+        dishes.sweep(np.full(n, a), d, rng)
+        got.append(dishes.t.copy())
+    assert np.mean(got) == pytest.approx(mean, abs=0.35 * sd)
+    assert np.std(got) == pytest.approx(sd, rel=0.25)
+
+
 def test_scoring_odd_and_empty_tables(spark):
     got = pitman_yor.score_documents(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in got)
