@@ -1,21 +1,24 @@
 """Language-model scoring with a hierarchical Pitman-Yor model (operator 3).
 
-The model predicts a token from the word before it. Every frequent word (and the
-start of a text) has a context restaurant; tokens after other words go straight
-to the root restaurant, the common parent of all context restaurants, whose base
-is uniform over the known words and one unknown word. The customers of the root
-are the tables of its children and the tokens it serves itself. A Gibbs sweep
+The model predicts a token from the word before it. Every word (and the start of
+a text) has a context restaurant; the root restaurant is the common parent of
+all context restaurants, its base is uniform over the known words and one
+unknown word. The customers of the root are the tables of its children. A Gibbs
+sweep
 takes all customers of every dish from their tables and seats them anew by the
 Chinese-restaurant rule; probabilities are averaged over sweeps after a burn-in.
 
 How the work is spread. Tokens travel as 64-bit hashes in compressed blocks, one
 for each slice of documents and part of the vocabulary; a part holds all
-occurrences of its words, so its dishes are seated in one task. A frequent word
-is dealt by word and context instead, its root dish is seated by the driver:
-there are at most 1 / MIN_SHARE frequent words. After each sweep the tasks
-return sums of tables by context, at most as many, and nothing else. Seeds depend
-on part and sweep alone, so a part's seating can be replayed anywhere, which the
-scoring pass does instead of storing tables.
+occurrences of its words, so its dishes are seated in one task. A frequent word,
+one that holds an eighth of a part or more, is dealt by word and context instead
+and its root dish is seated by the driver: there are at most eight such words a
+part. Contexts are known by their 64-bit hashes. After each sweep every part's
+tables by context are summed over the parts, bucket by bucket of the hashes, and
+the totals go back to the parts that hold the context; the driver gets sums over
+the root and of the frequent words alone. Seeds depend on part and sweep alone,
+so a part's seating can be replayed anywhere, which the scoring pass does
+instead of storing tables.
 """
 
 from __future__ import annotations
@@ -23,20 +26,21 @@ from __future__ import annotations
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import as_bytes, crc_mod, cut_lineage, slices
 
-#: Least share of training tokens of a word that is a context: at most 20,000.
-MIN_SHARE = 1 / 20_000
+#: A word with this share of a part's training tokens is dealt by context.
+DEAL_SHARE = 1 / 8
 STRENGTH = 1.0
 SWEEPS, BURN_IN = 4, 2
 #: Largest dish whose number of tables is drawn at once; of larger ones all
@@ -45,9 +49,11 @@ DIRECT, VISITS = 2048, 8
 #: Tokens of a slice of documents, and of a part of the vocabulary.
 SLICE_TOKENS, PART_TOKENS = 1_000_000, 4_000_000
 MIN_PARTS = 64
+#: Most buckets of contexts.
+BUCKETS = 1024
 
 _END = xxhash.xxh3_64_intdigest(b"end of text", 1)  # no word holds a blank
-_START_CTX = 1
+_START = xxhash.xxh3_64_intdigest(b"start of text", 1)
 _CODEC = "zstd"
 
 
@@ -112,8 +118,7 @@ class Vocabulary:
 
     tokens: int
     types: int
-    #: Ascending hashes of the frequent words and their counts; the context of
-    #: entry i is i + 2 (0: no context restaurant, 1: start of a text).
+    #: Ascending hashes of the frequent words and their counts.
     frequent: np.ndarray
     counts: np.ndarray
     parts: int
@@ -131,27 +136,27 @@ class Vocabulary:
         return out
 
     @property
-    def contexts(self) -> int:
-        return len(self.frequent) + 2
+    def buckets(self) -> int:
+        return min(self.parts, BUCKETS)
 
 
-def vocabulary(texts: DataFrame, min_share: float = MIN_SHARE) -> Vocabulary:
+def vocabulary(texts: DataFrame, deal_share: float = DEAL_SHARE) -> Vocabulary:
     counts = cut_lineage(unigrams(texts))
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens = total.n or 0
-    rows = counts.where(F.col("n") >= max(1, int(np.ceil(tokens * min_share)))).where(F.col("n") > 1).toPandas()  # at most 1 / min_share
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
     parts = MIN_PARTS
     while parts * PART_TOKENS < tokens:
         parts *= 2
+    rows = counts.where(F.col("n") >= max(2, int(np.ceil(tokens / parts * deal_share)))).toPandas()  # at most parts / deal_share
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
     return Vocabulary(tokens, total.v, h[order], rows["n"].to_numpy(np.int64)[order], parts)
 
 
 def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """``part, slice, data``: blocks of tokens by part of the vocabulary, and one
     block a slice (part below 0) with its documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most 1 / MIN_SHARE words
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)  # at most 1 / DEAL_SHARE words a part
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = shared.value
@@ -171,13 +176,18 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             h[ends] = _END
             own = v.number(h)
             ctx = np.empty(len(h), np.uint64)
-            ctx[1:] = np.where(own[:-1] > 0, own[:-1] + 1, 0)
-            ctx[np.append(0, ends[:-1] + 1)] = _START_CTX
+            ctx[1:] = h[:-1]
+            ctx[np.append(0, ends[:-1] + 1)] = _START
+            contexts, ctx_place = np.unique(ctx, return_inverse=True)
             doc = np.repeat(np.arange(len(held), dtype=np.uint64), lengths + 1)
             key = np.where(own > 0, _mix(h + ctx * np.uint64(0x9E3779B97F4A7C15)), h)
             words, first, number = np.unique(key, return_index=True, return_inverse=True)
-            rows, counts = np.unique(number.astype(np.uint64) << np.uint64(32) | ctx << np.uint64(16) | doc, return_counts=True)
-            per_word = np.bincount((rows >> np.uint64(32)).astype(np.int64), minlength=len(words))
+            # Below 2^64: slices hold few words or one document.
+            n_ctx, n_docs = np.uint64(len(contexts)), np.uint64(len(held))
+            rows, counts = np.unique((number.astype(np.uint64) * n_ctx + ctx_place.astype(np.uint64)) * n_docs + doc, return_counts=True)
+            pair, row_doc = np.divmod(rows, n_docs)
+            row_word, row_ctx = np.divmod(pair, n_ctx)
+            per_word = np.bincount(row_word.astype(np.int64), minlength=len(words))
             word_cut = np.searchsorted(words >> bits, np.arange(v.parts + 1, dtype=np.uint64))
             row_cut = np.append(0, np.cumsum(per_word))[word_cut]
             n_train = sum(not x[2] for x in held)
@@ -188,18 +198,23 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             for p in range(v.parts):
                 a, b = word_cut[p], word_cut[p + 1]
                 if a < b:
-                    r = rows[row_cut[p]:row_cut[p + 1]]
-                    n = counts[row_cut[p]:row_cut[p + 1]]
+                    some = slice(row_cut[p], row_cut[p + 1])
+                    here, at = np.unique(row_ctx[some], return_inverse=True)
+                    n = counts[some]
                     parts.append(p)
                     data.append(_pack(
-                        np.array([len(held), n_train]), _planes(words[a:b]), own[first[a:b]].astype(np.uint16), per_word[a:b].astype(np.uint32 if per_word[a:b].max() > 65535 else np.uint16),
-                        (r >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.uint16), (r & np.uint64(0xFFFF)).astype(np.uint16), n.astype(np.uint8 if n.max() < 256 else np.uint32)))
+                        np.array([len(held), n_train]), _planes(words[a:b]), own[first[a:b]], per_word[a:b].astype(np.uint32 if per_word[a:b].max() > 65535 else np.uint16),
+                        _planes(contexts[here.astype(np.int64)]), at.astype(np.uint16 if len(here) < 65_536 else np.uint32), row_doc[some].astype(np.uint16), n.astype(np.uint8 if n.max() < 256 else np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array(data, pa.binary())], names=["part", "slice", "data"])
 
         for some in slices(batches, "text"):
             task = some.column("task")[0].as_py()
             for d, out, text in zip(some.column("doc_id").to_pylist(), some.column("held_out").to_pylist(), as_bytes(some.column("text")), strict=True):
                 words = text.lower().split()
+                if held and len(words) >= SLICE_TOKENS:
+                    yield flush()
+                    seq, size = seq + 1, 0
+                    held.clear()
                 # Third: not learned from. A null id is in neither remainder.
                 held.append((d, bool(out), out is None or out, words))
                 size += len(words) + 1
@@ -415,8 +430,9 @@ class Tables:
 
 @dataclass(frozen=True)
 class State:
-    """What a sweep needs from all parts together: tables of the contexts,
-    customers and tables of the root, root probabilities of frequent words."""
+    """What a sweep needs from all parts together: tables of the contexts (in a
+    part, by its contexts), customers and tables of the root, root probabilities
+    of frequent words."""
 
     context_tables: np.ndarray
     customers: int
@@ -442,7 +458,8 @@ class Setting:
 class Part:
     """One part of the vocabulary: words and the types (word, context) in it.
 
-    ``number`` tells a frequent word (its place + 1) from others (0).
+    ``number`` tells a frequent word (its place + 1) from others (0). ``ctx`` is
+    the place + 1 among the part's contexts; 0 goes straight to the root.
     """
 
     def __init__(self, number: np.ndarray, word: np.ndarray, ctx: np.ndarray, count: np.ndarray):
@@ -488,31 +505,34 @@ class Part:
             yield table_of, customers, root.t
 
 
-def _load(blocks: list[tuple[int, bytes]]) -> tuple[Part, dict]:
-    """The part that blocks (of one part, by slice) hold, and its entries: the
-    type, document and count of each."""
+def _load(blocks: list[tuple[int, bytes]]) -> tuple[Part, np.ndarray, dict]:
+    """The part that blocks (of one part, by slice) hold, its contexts' hashes in
+    order, and its entries: the type, document and count of each."""
     got = [(name, *_unpack(data)) for name, data in sorted(blocks)]
     keys = [_unplanes(x[2]) for x in got]
     words, place = np.unique(np.concatenate(keys), return_inverse=True)
     number = np.zeros(len(words), np.int32)
     number[place] = np.concatenate([x[3] for x in got])
     word = np.repeat(place, np.concatenate([x[4] for x in got]).astype(np.int64))
-    ctx = np.concatenate([x[5] for x in got])
-    n = np.concatenate([x[7].astype(np.int64) for x in got])
-    doc = np.concatenate([x[6] for x in got])
-    sizes = [len(x[6]) for x in got]
+    named = [_unplanes(x[5]) for x in got]
+    contexts, place = np.unique(np.concatenate(named), return_inverse=True)
+    first = np.cumsum([0, *map(len, named)])
+    ctx = np.concatenate([place[a + x[6].astype(np.int64)] for a, x in zip(first, got, strict=False)])
+    n = np.concatenate([x[8].astype(np.int64) for x in got])
+    doc = np.concatenate([x[7] for x in got])
+    sizes = [len(x[7]) for x in got]
     train = doc < np.repeat([int(x[1][1]) for x in got], sizes)
-    types, kind = np.unique(word.astype(np.uint64) << np.uint64(16) | ctx.astype(np.uint64), return_inverse=True)
+    types, kind = np.unique(word.astype(np.int64) << 32 | ctx.astype(np.int64), return_inverse=True)
     count = np.bincount(kind, weights=n * train, minlength=len(types)).astype(np.int64)
-    part = Part(number, (types >> np.uint64(16)).astype(np.int64), (types & np.uint64(0xFFFF)).astype(np.int64), count)
-    return part, {"slices": [x[0] for x in got], "docs": [int(x[1][0]) for x in got], "sizes": sizes, "kind": kind, "doc": doc, "n": n}
+    part = Part(number, types >> 32, (types & 0xFFFFFFFF) + 1, count)
+    return part, contexts, {"slices": [x[0] for x in got], "docs": [int(x[1][0]) for x in got], "sizes": sizes, "kind": kind, "doc": doc, "n": n}
 
 
-def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """Blocks of each part from batches in order of part."""
+def _by_part(batches: Iterable[pa.RecordBatch], key: str = "part", name: str = "slice") -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """Blocks of each part (or ``key``) from batches in order of it."""
     part, held = None, []
     for batch in batches:
-        for p, s, data in zip(batch.column("part").to_pylist(), batch.column("slice").to_pylist(), batch.column("data").to_pylist(), strict=True):
+        for p, s, data in zip(batch.column(key).to_pylist(), batch.column(name).to_pylist(), batch.column("data").to_pylist(), strict=True):
             if p != part and held:
                 yield part, held
                 held = []
@@ -522,45 +542,91 @@ def _by_part(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield part, held
 
 
-#: Keys of sums that parts return, beside contexts and, from FREQUENT on, the
-#: root customers of frequent words.
+#: Keys of sums that parts return, beside the root customers of frequent words
+#: by their places.
 ROOT_CUSTOMERS, ROOT_TABLES, ONES, TWOS, ROOT_ONES, ROOT_TWOS = range(-6, 0)
-FREQUENT = 1 << 20
-CONTEXT_SIZE = 1 << 21
 
 
-def _sums_batch(sums: dict[int, int], part: int, data: bytes | None) -> pa.RecordBatch:
+def _sums_batch(sums: dict[int, int], part: int, data: bytes | None, by_bucket: list[bytes]) -> pa.Table:
+    """Rows of a part: its sums by key, blocks of its contexts by bucket, data."""
     keys = [k for k, v in sums.items() if v]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([part] * (len(keys) + 1), pa.int32()), pa.array([None, *keys], pa.int32()), pa.array([None, *(int(sums[k]) for k in keys)], pa.int64()), pa.array([data] + [None] * len(keys), pa.binary())],
-        names=["part", "key", "value", "data"])
+    n, m = len(keys), len(by_bucket)
+    return pa.Table.from_arrays(
+        [pa.array([part] * (n + m + 1), pa.int32()), pa.array([*keys] + [None] * (m + 1), pa.int32()), pa.array([int(sums[k]) for k in keys] + [None] * (m + 1), pa.int64()),
+         pa.array([None] * n + [*range(m), None], pa.int32()), pa.array([None] * n + by_bucket + [data], pa.binary())],
+        names=["part", "key", "value", "bucket", "data"])
+
+
+_SUMS = "part int, key int, value long, bucket int, data binary"
+
+
+def _by_bucket(buckets: int, contexts: np.ndarray, *values: np.ndarray) -> list[bytes]:
+    """Blocks of a part's contexts and their values by the hashes' high bits."""
+    bits = 64 - (buckets.bit_length() - 1)
+    cut = np.append(np.searchsorted(contexts, np.arange(buckets, dtype=np.uint64) << np.uint64(bits)), len(contexts)) if buckets > 1 else np.array([0, len(contexts)])
+    return [_pack(_planes(contexts[a:b]), *(x[a:b].astype(_least(x[a:b])) for x in values)) for a, b in zip(cut, cut[1:], strict=False)]
+
+
+def _least(x: np.ndarray) -> type:
+    """The smallest type of integer for the values of ``x``."""
+    top = int(x.max()) if len(x) else 0
+    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64
+
 
+def context_totals(rows: DataFrame, buckets: int, sweep: int) -> DataFrame:
+    """``part, sweep, bucket, data``: for each block of a part's contexts the sums
+    of the values over all parts."""
 
-_SUMS = "part int, key int, value long, data binary"
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in _by_part(batches, "bucket", "part"):
+            got = [_unpack(data) for _, data in held]
+            keys = [_unplanes(x[0]) for x in got]
+            _, place = np.unique(np.concatenate(keys), return_inverse=True)
+            sums = [np.bincount(place, weights=np.concatenate([x[i] for x in got])).astype(np.int64) for i in range(1, len(got[0]))]
+            cut = np.cumsum([0, *map(len, keys)])
+            for (part, _), a, b in zip(held, cut, cut[1:], strict=False):
+                out = [x[place[a:b]] for x in sums]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([sweep], pa.int32()), pa.array([bucket], pa.int32()), pa.array([_pack(*(x.astype(_least(x)) for x in out))], pa.binary())],
+                    names=["part", "sweep", "bucket", "data"])
+
+    dealt = rows.where("bucket is not null").select("bucket", "part", "data").repartition(buckets, "bucket").sortWithinPartitions("bucket", "part")
+    return cut_lineage(dealt.mapInArrow(run, "part int, sweep int, bucket int, data binary"))
+
+
+def _local(totals: pa.Table, setting: Setting, states: list[State]) -> tuple[Setting, list[State]]:
+    """Setting and states with the totals of one part's contexts."""
+    got: dict[int, list[tuple[int, tuple]]] = {}
+    for sweep, bucket, data in zip(*(totals.column(c).to_pylist() for c in ("sweep", "bucket", "data")), strict=True):
+        got.setdefault(sweep, []).append((bucket, _unpack(data)))
 
+    def vector(sweep: int, i: int) -> np.ndarray:
+        return np.concatenate([[0], *(x[i] for _, x in sorted(got[sweep], key=lambda x: x[0]))]).astype(np.int64)
 
-def _add(sums: dict[int, int], keys: np.ndarray, values: np.ndarray, offset: int) -> None:
+    return (Setting(setting.types, vector(0, 1), setting.discounts),
+            [State(vector(s, 0), x.customers, x.tables, x.frequent_p) for s, x in enumerate(states)])
+
+
+def _add(sums: dict[int, int], keys: np.ndarray, values: np.ndarray) -> None:
     total = np.bincount(keys, weights=values)
     for k in np.flatnonzero(total).tolist():
-        sums[offset + k] = sums.get(offset + k, 0) + int(total[k])
+        sums[k] = sums.get(k, 0) + int(total[k])
 
 
-def _part_sums(part: Part, tables: np.ndarray, customers: np.ndarray, root_tables: np.ndarray) -> dict[int, int]:
+def _part_sums(part: Part, customers: np.ndarray, root_tables: np.ndarray) -> dict[int, int]:
     sums: dict[int, int] = {}
-    has = part.ctx > 0
-    _add(sums, part.ctx[has], tables[has], 0)
-    _add(sums, part.number[~part.rare] - 1, customers[~part.rare], FREQUENT)
+    _add(sums, part.number[~part.rare] - 1, customers[~part.rare])
     sums[ROOT_CUSTOMERS], sums[ROOT_TABLES] = int(customers[part.rare].sum()), int(root_tables[part.rare].sum())
     return sums
 
 
 def _collect(rows: DataFrame) -> dict[int, int]:
-    """Sums by key over all parts: at most three times the contexts."""
+    """Sums by key over all parts: at most the frequent words and a few."""
     return {r.key: r.total for r in rows.where("key is not null").groupBy("key").agg(F.sum("value").alias("total")).collect()}
 
 
-def _vector(sums: dict[int, int], offset: int, n: int) -> np.ndarray:
-    return np.array([sums.get(offset + i, 0) for i in range(n)], np.int64)
+def _vector(sums: dict[int, int], n: int) -> np.ndarray:
+    return np.array([sums.get(i, 0) for i in range(n)], np.int64)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -568,20 +634,20 @@ def _discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.05, 0.95)) if ones else 0.5
 
 
-def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State]]:
+def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State], DataFrame]:
     """Seat the training tokens and return the states before each sweep and
-    after the last."""
+    after the last; what they tell of contexts comes as ``context_totals``."""
     spark = blocks.sparkSession
+    buckets = vocab.buckets
 
     def counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in _by_part(batches):
-            part, _ = _load(held)
-            seen = part.count > 0
+            part, contexts, _ = _load(held)
             customers = part.fixed + np.bincount(part.word[part.seated], minlength=len(part.number))
-            sums = _part_sums(part, np.where(seen, 1, 0), customers, np.minimum(customers, 1))
-            _add(sums, part.ctx[part.ctx > 0], part.count[part.ctx > 0], CONTEXT_SIZE)
-            own = part.count[part.ctx > 0]
-            sums[ONES], sums[TWOS] = int((own == 1).sum()), int((own == 2).sum())
+            sums = _part_sums(part, customers, np.minimum(customers, 1))
+            size = np.bincount(part.ctx - 1, weights=part.count, minlength=len(contexts))
+            tables = np.bincount(part.ctx - 1, weights=part.count > 0, minlength=len(contexts))
+            sums[ONES], sums[TWOS] = int((part.count == 1).sum()), int((part.count == 2).sum())
             sums[ROOT_ONES], sums[ROOT_TWOS] = int((customers[part.rare] == 1).sum()), int((customers[part.rare] == 2).sum())
             # What seating needs: types of two customers or more, and words that
             # have such a type or two root customers. Others have one table.
@@ -590,22 +656,23 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State]]:
             keep |= part.rare & (customers > 1)
             place = np.cumsum(keep) - 1
             t = part.seated
-            lone = (part.ctx > 0) & (part.count == 1)
-            rest = [np.bincount(part.ctx[lone], minlength=0), int(customers[part.rare & ~keep].sum()), np.bincount(part.number[~part.rare & ~keep], weights=customers[~part.rare & ~keep]).astype(np.int64)]
-            yield _sums_batch(sums, name, _pack(part.number[keep], place[part.word[t]].astype(np.int32), part.ctx[t].astype(np.uint16), part.count[t], part.fixed[keep], part.total[keep], *map(np.asarray, rest)))
+            lone = np.bincount(part.ctx[part.count == 1] - 1, minlength=len(contexts))
+            rest = [int(customers[part.rare & ~keep].sum()), np.bincount(part.number[~part.rare & ~keep], weights=customers[~part.rare & ~keep]).astype(np.int64)]
+            data = _pack(part.number[keep], place[part.word[t]].astype(np.int32), part.ctx[t].astype(np.int32), part.count[t], part.fixed[keep], part.total[keep], _planes(contexts), lone.astype(_least(lone)), *map(np.asarray, rest))
+            yield from _sums_batch(sums, name, data, _by_bucket(buckets, contexts, tables.astype(np.int64), size.astype(np.int64))).to_batches()
 
     grouped = blocks.where("part >= 0").sortWithinPartitions("part", "slice")
     first = cut_lineage(grouped.mapInArrow(counts, _SUMS))
     sums = _collect(first)
-    n_ctx, n_freq = vocab.contexts, len(vocab.frequent)
-    setting = Setting(vocab.types, _vector(sums, CONTEXT_SIZE, n_ctx), (_discount(sums.get(ROOT_ONES, 0), sums.get(ROOT_TWOS, 0)), _discount(sums.get(ONES, 0), sums.get(TWOS, 0))))
+    n_freq = len(vocab.frequent)
+    setting = Setting(vocab.types, np.empty(0), (_discount(sums.get(ROOT_ONES, 0), sums.get(ROOT_TWOS, 0)), _discount(sums.get(ONES, 0), sums.get(TWOS, 0))))
     frequent: Tables | None = None
 
     def state_of(sums: dict[int, int], s: int) -> State:
         """Seat the root dishes of the frequent words and sum up the root."""
         nonlocal frequent
         rng = np.random.default_rng([13, s])
-        c = _vector(sums, FREQUENT, n_freq)
+        c = _vector(sums, n_freq)
         rare = sums.get(ROOT_TABLES, 0)
         weight = np.full(n_freq, setting.root_weight(rare + (int(frequent.t.sum()) if frequent else n_freq)))
         if frequent is None:
@@ -613,83 +680,87 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State]]:
         else:
             frequent.resize(c, weight, setting.discounts[0], rng)
         frequent.sweep(weight, setting.discounts[0], rng)
-        state = State(_vector(sums, 0, n_ctx), sums.get(ROOT_CUSTOMERS, 0) + int(c.sum()), rare + int(frequent.t.sum()), np.empty(0))
+        state = State(np.empty(0), sums.get(ROOT_CUSTOMERS, 0) + int(c.sum()), rare + int(frequent.t.sum()), np.empty(0))
         return State(state.context_tables, state.customers, state.tables, setting.root_p(frequent.c, frequent.t, state))
 
+    def seater(shared: Broadcast) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        def seat(stats: pa.Table, totals: pa.Table) -> pa.Table:
+            number, word, ctx, count, fixed, total, contexts, lone, others, frequent_rest = _unpack(stats.column("data")[0].as_py())
+            name = stats.column("part")[0].as_py()
+            part = Part(number, word.astype(np.int64), ctx.astype(np.int64), count)
+            part.fixed, part.total = fixed, total
+            for tables, customers, root_tables in part.sweeps(name, *_local(totals, *shared.value)):
+                pass
+            sums = _part_sums(part, customers, root_tables)
+            _add(sums, np.arange(max(0, len(frequent_rest) - 1)), frequent_rest[1:])
+            sums[ROOT_CUSTOMERS] += int(others)
+            sums[ROOT_TABLES] += int(others)  # one customer, one table each
+            by_context = lone + np.bincount(part.ctx - 1, weights=tables, minlength=len(lone)).astype(np.int64)
+            return _sums_batch(sums, name, None, _by_bucket(buckets, _unplanes(contexts), by_context))
+
+        return seat
+
     states = [state_of(sums, 0)]
-    stats = first.where("key is null").select("part", "data")
+    totals = context_totals(first, buckets, 0)
+    stats = cut_lineage(first.where("key is null and bucket is null").select("part", "data").repartition(vocab.parts, "part"))
     for s in range(SWEEPS):
         shared = spark.sparkContext.broadcast((setting, states))
+        seated = cut_lineage(stats.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(seater(shared), _SUMS))
+        states.append(state_of(_collect(seated), s + 1))
+        totals = totals.unionAll(context_totals(seated, buckets, s + 1))
+    return setting, states, totals
 
-        def seat(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            setting, states = shared.value
-            for batch in batches:
-                for name, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                    number, word, ctx, count, fixed, total, lone, others, frequent_rest = _unpack(data)
-                    part = Part(number, word.astype(np.int64), ctx.astype(np.int64), count)
-                    part.fixed, part.total = fixed, total
-                    for tables, customers, root_tables in part.sweeps(name, setting, states):
-                        pass
-                    sums = _part_sums(part, tables, customers, root_tables)
-                    _add(sums, np.arange(len(lone)), lone, 0)
-                    _add(sums, np.arange(max(0, len(frequent_rest) - 1)), frequent_rest[1:], FREQUENT)
-                    sums[ROOT_CUSTOMERS] += int(others)
-                    sums[ROOT_TABLES] += int(others)  # one customer, one table each
-                    yield _sums_batch(sums, name, None)
-
-        states.append(state_of(_collect(stats.mapInArrow(seat, _SUMS)), s + 1))
-    return setting, states
-
-
-def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states: list[State]) -> DataFrame:
+
+def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states: list[State], totals: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, base_score, score`` of every
     document in ``blocks``."""
     shared = blocks.sparkSession.sparkContext.broadcast((vocab, setting, states))
 
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, setting, states = shared.value
-        for name, held in _by_part(batches):
-            if name < 0:
-                for s, data in held:
-                    yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([data], pa.binary()), pa.array([True])], names=["slice", "data", "docs"])
+    def score(blocks: pa.Table, totals: pa.Table) -> pa.Table:
+        name, names, blobs = blocks.column("part")[0].as_py(), blocks.column("slice").to_pylist(), blocks.column("data").to_pylist()
+        if name >= 0:
+            names, blobs = zip(*part_scores(name, list(zip(names, blobs, strict=True)), totals), strict=True)
+        return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array([name < 0] * len(names))], names=["slice", "data", "docs"])
+
+    def part_scores(name: int, held: list[tuple[int, bytes]], totals: pa.Table) -> Iterator[tuple[int, bytes]]:
+        v = shared.value[0]
+        setting, states = _local(totals, *shared.value[1:])
+        part, _, entries = _load(held)
+        d1 = setting.discounts[1]
+        # The types and words that seating keeps, in its order.
+        customers = part.fixed + np.bincount(part.word[part.seated], minlength=len(part.number))
+        keep = np.zeros(len(part.number), bool)
+        keep[part.word[part.seated]] = True
+        keep |= part.rare & (customers > 1)
+        place = np.cumsum(keep) - 1
+        seating = Part(part.number[keep], place[part.word[part.seated]], part.ctx[part.seated], part.count[part.seated])
+        seating.fixed, seating.total = part.fixed[keep], part.total[keep]
+        mean, samples = np.zeros(len(part.word)), 0
+        t = np.where((part.ctx > 0) & (part.count > 0), 1, 0)
+        root_c, root_t = customers.copy(), np.minimum(customers, 1)
+        for s, (tables, c, tables0) in enumerate(seating.sweeps(name, setting, states[:-1])):
+            if s < BURN_IN:
                 continue
-            part, entries = _load(held)
-            d1 = setting.discounts[1]
-            # The types and words that seating keeps, in its order.
-            customers = part.fixed + np.bincount(part.word[part.seated], minlength=len(part.number))
-            keep = np.zeros(len(part.number), bool)
-            keep[part.word[part.seated]] = True
-            keep |= part.rare & (customers > 1)
-            place = np.cumsum(keep) - 1
-            seating = Part(part.number[keep], place[part.word[part.seated]], part.ctx[part.seated], part.count[part.seated])
-            seating.fixed, seating.total = part.fixed[keep], part.total[keep]
-            mean, samples = np.zeros(len(part.word)), 0
-            t = np.where((part.ctx > 0) & (part.count > 0), 1, 0)
-            root_c, root_t = customers.copy(), np.minimum(customers, 1)
-            for s, (tables, c, tables0) in enumerate(seating.sweeps(name, setting, states[:-1])):
-                if s < BURN_IN:
-                    continue
-                state = states[s + 1]
-                t[part.seated], root_c[keep], root_t[keep] = tables, c, tables0
-                p = setting.root_p(root_c, root_t, state)
-                if len(state.frequent_p):
-                    p = np.where(part.rare, p, state.frequent_p[np.maximum(part.number - 1, 0)])
-                p = p[part.word]
-                size = setting.context_customers[part.ctx]
-                inner = (part.count - d1 * t + (STRENGTH + d1 * state.context_tables[part.ctx]) * p) / (STRENGTH + size)
-                mean += np.where((part.ctx > 0) & (size > 0), inner, p)
-                samples += 1
-            log_p = np.log10(mean / samples)
-            c = np.where(part.rare, part.total, v.counts[np.maximum(part.number - 1, 0)] if len(v.counts) else 0)
-            log_base = np.log10((c + 1) / (v.tokens + v.types + 1))[part.word]
-            known = (c > 0)[part.word]
-            at, n, doc, kind = 0, entries["n"], entries["doc"].astype(np.int64), entries["kind"]
-            for s, docs, size in zip(entries["slices"], entries["docs"], entries["sizes"], strict=True):
-                d, k, m = doc[at:at + size], kind[at:at + size], n[at:at + size]
-                at += size
-                sums = [np.bincount(d, weights=w, minlength=docs) for w in (m * log_base[k], m * log_p[k], m * known[k])]
-                data = _pack(sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([data], pa.binary()), pa.array([False])], names=["slice", "data", "docs"])
+            state = states[s + 1]
+            t[part.seated], root_c[keep], root_t[keep] = tables, c, tables0
+            p = setting.root_p(root_c, root_t, state)
+            if len(state.frequent_p):
+                p = np.where(part.rare, p, state.frequent_p[np.maximum(part.number - 1, 0)])
+            p = p[part.word]
+            size = setting.context_customers[part.ctx]
+            inner = (part.count - d1 * t + (STRENGTH + d1 * state.context_tables[part.ctx]) * p) / (STRENGTH + size)
+            mean += np.where((part.ctx > 0) & (size > 0), inner, p)
+            samples += 1
+        log_p = np.log10(mean / samples)
+        c = np.where(part.rare, part.total, v.counts[np.maximum(part.number - 1, 0)] if len(v.counts) else 0)
+        log_base = np.log10((c + 1) / (v.tokens + v.types + 1))[part.word]
+        known = (c > 0)[part.word]
+        at, n, doc, kind = 0, entries["n"], entries["doc"].astype(np.int64), entries["kind"]
+        for s, docs, size in zip(entries["slices"], entries["docs"], entries["sizes"], strict=True):
+            d, k, m = doc[at:at + size], kind[at:at + size], n[at:at + size]
+            at += size
+            sums = [np.bincount(d, weights=w, minlength=docs) for w in (m * log_base[k], m * log_p[k], m * known[k])]
+            yield s, _pack(sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(docs: tuple, sums: list[np.ndarray]) -> pa.RecordBatch:
@@ -713,7 +784,7 @@ def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states:
         if docs is not None:
             yield done(docs, sums)
 
-    scored = blocks.sortWithinPartitions("part", "slice").mapInArrow(score, "slice long, data binary, docs boolean")
+    scored = blocks.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(score, "slice long, data binary, docs boolean")
     return scored.repartition("slice").sortWithinPartitions("slice").mapInArrow(
         gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
@@ -732,6 +803,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     vocab = vocabulary(docs.where(crc_mod("doc_id", 7) != 2).select(F.col("text").cast("string").alias("text")))
     blocks = occurrences(docs, vocab).repartition(vocab.parts, "part")
     blocks = cut_lineage(blocks)
-    setting, states = sample(blocks, vocab)
-    scored = score_blocks(blocks, vocab, setting, states)
+    setting, states, totals = sample(blocks, vocab)
+    scored = score_blocks(blocks, vocab, setting, states, totals)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")

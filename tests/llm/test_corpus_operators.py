@@ -100,6 +100,17 @@ def test_scores_base_and_held_out_perplexity(spark):
     assert again == {(r.doc_id, r.score) for r in got}
 
 
+def test_words_seen_a_few_times_are_contexts(spark):
+    # 20,000 words seen four times in 160,000 tokens, each before the same word.
+    rnd = random.Random(8)
+    pairs = [f"a{i} b{i}" for i in range(20_000)] * 4
+    rnd.shuffle(pairs)
+    rows = [(i, " ".join(pairs[i * 400:(i + 1) * 400]), "en", "s") for i in range(200)]
+    held = [r for r in pitman_yor.score_documents(docs(spark, rows)).collect() if r.held_out]
+    # Without contexts every word takes 4.6 or more.
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -3.2
+
+
 def test_model_probabilities_sum_to_one():
     # The formulas of scoring on a small seating, over all words and one unknown.
     rng = np.random.default_rng(2)
