@@ -143,6 +143,14 @@ def test_added_spans_checksums_and_context(spark):
     assert [x[0] for x in got[11]] == ["ssn", "ssn"] and got[12] == []  # only its context makes an ssn
 
 
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "GB82WEST12345698765432", "MT84MALT011000012345MTLCAST001S"]
+    rows = [(i, f"x {iban} {tail}", None, None) for i, (iban, tail) in enumerate((x, t) for x in ibans for t in ("300 EUR", "EUR", "1234", "", "OK 5."))]
+    for r in pii.find_spans(docs(spark, rows)).collect():
+        iban = ibans[r.doc_id // 5]
+        assert [(s.start, s.end) for s in r.spans if s.kind == "iban"] == [(2, 2 + len(iban))], rows[r.doc_id]
+
+
 def test_pii_query_digests(spark, tmp_path):
     docs(spark, [(i, t, None, None) for i, t in enumerate(PII_TEXTS)]).write.parquet(str(tmp_path / "documents.parquet"))
     for r in op4_pii(spark, str(tmp_path)).collect():
