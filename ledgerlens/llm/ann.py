@@ -257,6 +257,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, search_ratio
         member = np.zeros((len(v), len(names)), bool)
         member[np.repeat(np.arange(len(v)), stored_pdf["lists"].map(len)), number] = True
         member = member.T.astype(np.float32)
+        longest = float(np.sqrt((v * v).sum(axis=1).max()))
         place = {x: i for i, x in enumerate(names.tolist())}
         parts = []
         for a in range(0, len(wanted_pdf), 256):
@@ -266,12 +267,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, search_ratio
             for i, xs in enumerate(some["lists"]):
                 reads[i, [place[x] for x in xs if x in place]] = 1
             scores = np.where(reads @ member > 0, q @ v.T, -np.inf)
-            # A few more than needed, so that rounding cannot cut off a tie.
-            k = min(scores.shape[1], top + 9)
-            best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            row, col = np.nonzero(np.take_along_axis(scores, best, axis=1) > -np.inf)
-            at = best[row, col]
-            parts.append(pd.DataFrame({"q": some["id"].to_numpy()[row], "rep": rep[at], "score": (q[row] * v[at]).sum(axis=1)}))
+            # All that rounding could lift to the last place; then cut exactly.
+            k = min(scores.shape[1], top + 1)
+            last = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+            margin = 1e-9 * np.sqrt((q * q).sum(axis=1, keepdims=True)) * longest
+            row, at = np.nonzero((scores >= last - margin) & (scores > -np.inf))
+            score = np.concatenate([np.empty(0), *((q[row[i:i + 50_000]] * v[at[i:i + 50_000]]).sum(axis=1) for i in range(0, len(row), 50_000))])
+            order = np.lexsort((rep[at], -score, row))
+            first = np.searchsorted(row, np.arange(len(q)))
+            best = order[np.arange(len(row)) - first[row[order]] < top + 1]
+            parts.append(pd.DataFrame({"q": some["id"].to_numpy()[row[best]], "rep": rep[at[best]], "score": score[best]}))
         return pd.concat(parts)
 
     met = wanted.groupBy("group", "block").cogroup(stored.groupBy("group", "block")).applyInPandas(

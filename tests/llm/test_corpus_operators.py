@@ -64,6 +64,15 @@ def test_copies_ties_and_unusable_vectors(spark):
     assert ann.nearest(alone, alone).count() == 0
 
 
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    # Half of 4,096 sign vectors tie, far more than any group's share of an answer.
+    ids = random.Random(4).sample(range(1, 9000), 4096)
+    rows = [(0, [1.0] + [0.0] * 11)] + [(ids[i], [1.0 if i >> b & 1 else -1.0 for b in range(12)]) for i in range(4096)]
+    df = vectors(spark, rows)
+    got = ann.nearest(df, df.where("vec_id = 0"), list_rows=5000).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [i for _, i in brute(rows, [0], 20)[0]]
+
+
 # ---------------------------------------------------------------- 3
 
 
