@@ -11,14 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, chat_preferences, decontaminate, langid, mixing, pii, pitman_yor, quality, simhash_dedup, token_store
+from ledgerlens.llm import (
+    ann, chat_preferences, decontaminate, hard_negatives, langid, mixing, pii, pitman_yor, quality, quality_rules, simhash_dedup, token_alignment, token_store)
 from ledgerlens.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path("word_bpe_49k.json"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +85,25 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors: vec_id divisible by 100. Where vec_id is divisible by 7 the label
+    is the next of ten, so that some negatives are near."""
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, label=label)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_ann, op3_pitman_yor, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid)
+    f.__name__: f for f in (op1_decontaminate, op2_ann, op3_pitman_yor, op4_pii, op5_token_shards, op6_simhash_dedup, op7_chat_preferences, op8_quality, op9_mixing, op10_langid,
+                              op11_hard_negatives, op12_token_alignment, op13_quality_rules)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -156,5 +174,71 @@ ordered AS (
 SELECT doc_id, size, source_size, target, o.source, CAST(epochs + (size > 0 AND 2 * reached - size <= 2 * rest)::INT AS INTEGER) AS times,
        CAST(size * times AS BIGINT) AS taken
 FROM ordered o JOIN targets t ON o.source IS NOT DISTINCT FROM t.source
+""",
+    "op11_hard_negatives": """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op13_quality_rules": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+  FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM texts),
+repeated AS (SELECT r, p FROM places QUALIFY count(*) OVER (PARTITION BY r, w[p:p + 7]) > 1),
+covered AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS q FROM repeated) GROUP BY r),
+counts AS (
+  SELECT doc_id, lang, source, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, len(lines) AS n_lines,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+         len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+  FROM texts LEFT JOIN covered USING (r)),
+rates AS (
+  SELECT *, unnest([{'rate': 'word_length', 'value': 100 * word_chars // n_words}, {'rate': 'symbols', 'value': 1000 * n_symbols // n_words},
+                    {'rate': 'dup_lines', 'value': 1000 * n_dup_lines // greatest(n_lines, 1)},
+                    {'rate': 'repeat_words', 'value': 1000 * n_repeat_words // n_words}], recursive := true)
+  FROM counts WHERE NOT base_failed),
+sketch AS (
+  SELECT lang, source, rate, (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS bucket, count(*) AS n
+  FROM rates GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source, rate FROM sketch),
+-- Each group's own sketch, that of its language and that of all texts.
+levels AS (
+  SELECT g.lang, g.source, g.rate, 1 AS level, s.bucket, s.n FROM groups g JOIN sketch s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang AND g.source IS NOT DISTINCT FROM s.source
+  UNION ALL SELECT g.lang, g.source, g.rate, 2, s.bucket, s.n FROM groups g JOIN sketch s ON g.rate = s.rate AND g.lang IS NOT DISTINCT FROM s.lang
+  UNION ALL SELECT g.lang, g.source, g.rate, 3, s.bucket, s.n FROM groups g JOIN sketch s ON g.rate = s.rate),
+reached AS (
+  SELECT lang, source, rate, level, bucket, sum(n) OVER (PARTITION BY lang, source, rate, level ORDER BY bucket) AS up_to,
+         sum(n) OVER (PARTITION BY lang, source, rate, level) AS total
+  FROM levels),
+quartiles AS (
+  SELECT lang, source, rate, level, total, min(bucket) FILTER (4 * up_to >= total) AS q1, min(bucket) FILTER (4 * up_to >= 2 * total) AS q2,
+         min(bucket) FILTER (4 * up_to >= 3 * total) AS q3
+  FROM reached GROUP BY ALL),
+chosen AS (
+  SELECT * FROM quartiles WHERE level = 3 OR total >= 200 QUALIFY row_number() OVER (PARTITION BY lang, source, rate ORDER BY level) = 1),
+fences AS (
+  SELECT lang, source, rate, q3 + reach * greatest(q3 - q2, unit) AS high, CASE WHEN rate = 'word_length' THEN q1 - reach * greatest(q2 - q1, unit) END AS low
+  FROM chosen JOIN (VALUES ('word_length', 15, 10), ('symbols', 25, 4), ('dup_lines', 100, 4), ('repeat_words', 50, 4)) AS r (rate, unit, reach) USING (rate)),
+wide AS (
+  SELECT lang, source, max(low) AS low, max(high) FILTER (rate = 'word_length') AS h1, max(high) FILTER (rate = 'symbols') AS h2,
+         max(high) FILTER (rate = 'dup_lines') AS h3, max(high) FILTER (rate = 'repeat_words') AS h4
+  FROM fences GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 100 * word_chars // n_words BETWEEN low AND h1 AND 1000 * n_symbols // n_words <= h2
+         AND 1000 * n_dup_lines // greatest(n_lines, 1) <= h3 AND 1000 * n_repeat_words // n_words <= h4 AS kept
+FROM counts c LEFT JOIN wide f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source
 """,
 }
