@@ -56,7 +56,8 @@ def headline(src: Sources) -> dict:
         "conversion_funnel": lambda: reports.conversion_funnel_report(src, DEFAULT_AS_OF),
         "latest_transaction_per_payment": lambda: ws.latest_transactions,
         "latest_transaction_per_payment__first_values": lambda: newest_by_window_values(ws.transactions),
-        "fee_next_payment": lambda: churn.fee_next_payment(ws.fee_payments),
+        "fee_next_payment": lambda: churn.fee_next_payment(
+            ws.fee_payments, hot=churn.hot_payers(ws.payments, ws.fee_payments, churn.hot_transactions(ws.card_ach))),
         "fee_next_payment__plain_window": lambda: next_payment_by_plain_window(ws.fee_payments),
         "revenue_from_payments": lambda: revenue.revenue_from_payments(src.payments),
     }

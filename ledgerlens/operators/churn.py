@@ -16,6 +16,9 @@ Plan notes for scale:
 * A16's LEAD per user is computed in three levels (see
   :func:`ledgerlens.plans.windows.lead_in_order`) so that one user with a
   large share of all payments does not end up in a single window task.
+* Both protections cost time where no key is hot. The report measures hot
+  transactions and payers first (:func:`hot_transactions`, :func:`hot_payers`)
+  and protects those alone; callers that name none protect every key.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import as_of_lit, month_start
-from ledgerlens.plans.joins import left_join_fanout
-from ledgerlens.plans.windows import lead_in_order
+from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
+from ledgerlens.plans.joins import left_join_fanout, left_join_measured
+from ledgerlens.plans.windows import lead_in_order, lead_measured
 
 # Transaction types that are not the payment's own transfer.
 SIDE_TRANSACTION_TYPES = ("ach-push-tip", "ach-push-fee")
@@ -137,11 +141,28 @@ _PAYMENT_COLUMNS = (
 )
 
 
+def hot_transactions(card_ach: DataFrame, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """Transactions with more than ``hot_rows`` card/ACH attempts."""
+    return hot_keys(card_ach, ["transaction_id"], hot_rows=hot_rows)[0]
+
+
+def hot_payers(payments_clean: DataFrame, fee_payments: DataFrame, transactions: Sequence[tuple],
+               hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """Users with more than ``hot_rows`` subscription-fee payments. A hot
+    transaction gives one payment very many rows; where there is one, the joined
+    rows are counted instead of the payments."""
+    fees = payments_clean.where(F.col("payment_type") == "voluntary-fee")
+    return hot_keys(fee_payments if transactions else fees, ["user_id"], hot_rows=hot_rows)[0]
+
+
 def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
-                      card_ach: DataFrame, funds_clean: DataFrame) -> DataFrame:
+                      card_ach: DataFrame, funds_clean: DataFrame,
+                      hot: Sequence[tuple] | None = None) -> DataFrame:
     """A10 (with A11-A14): each payment with its newest transaction, every
     card/ACH attempt of that transaction (one row per attempt, payments
-    without attempts kept once) and its fund's plan manager and LPOA status."""
+    without attempts kept once) and its fund's plan manager and LPOA status.
+    ``hot`` lists the transactions with very many attempts, where known; without
+    it any transaction may be one."""
     attempts = card_ach.select(
         "transaction_id",
         F.col("transaction_type").alias("cc_ach_transaction_type"),
@@ -153,8 +174,11 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
     # One transaction may carry very many attempts (the non-preserved side),
     # and payments without a transaction have a NULL key: the fan-out form
     # splits the first and deals the second by payment.
-    joined = (left_join_fanout(with_tx, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
-              .join(funds, F.col("fund_id") == F.col("__fund"), "left"))
+    if hot is None:
+        attempted = left_join_fanout(with_tx, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
+    else:
+        attempted = left_join_measured(with_tx, attempts, ["transaction_id"], hot)
+    joined = attempted.join(funds, F.col("fund_id") == F.col("__fund"), "left")
     c = F.col
     return joined.select(
         *_PAYMENT_COLUMNS,
@@ -173,11 +197,12 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
 
 def fee_payments_per_user(users_clean: DataFrame, payments_clean: DataFrame,
                           latest_transactions: DataFrame, card_ach: DataFrame,
-                          funds_clean: DataFrame) -> DataFrame:
+                          funds_clean: DataFrame, hot: Sequence[tuple] | None = None) -> DataFrame:
     """Subscription-fee payments (category 'operational') of known users,
-    one row per attempt, with the PST month of the payment."""
+    one row per attempt, with the PST month of the payment. ``hot``: see
+    :func:`payments_extended`."""
     fees = payments_clean.where(F.col("payment_type") == "voluntary-fee")
-    extended = payments_extended(fees, latest_transactions, card_ach, funds_clean)
+    extended = payments_extended(fees, latest_transactions, card_ach, funds_clean, hot)
     joined = users_clean.select("user_id").join(extended, "user_id", "inner")
     return joined.select(
         "user_id", "payment_id", "transaction_id", "transaction_created_at", "payment_created_at",
@@ -195,13 +220,16 @@ _NEXT_VALUES = {
 }
 
 
-def fee_next_payment(fee_payments: DataFrame, id_bits: int = PAYMENT_ID_BUCKET_BITS) -> DataFrame:
+def fee_next_payment(fee_payments: DataFrame, id_bits: int = PAYMENT_ID_BUCKET_BITS,
+                     hot: Sequence[tuple] | None = None) -> DataFrame:
     """The expected next month and the user's next fee payment.
 
     The next payment is the following row per user in order of payment month
     (NULL months last), then payment id, then attempt id; the source orders by
     month only, which leaves ties between payments of one month undefined.
-    Payment ids are dealt in ranges of ``2**id_bits`` within a month.
+    Payment ids are dealt in ranges of ``2**id_bits`` within a month. ``hot``
+    lists the users with very many rows, where known (see :func:`hot_payers`);
+    without it any user may be one.
     """
     month = F.col("payment_created_at_month")
     prepared = fee_payments.select(
@@ -213,8 +241,8 @@ def fee_next_payment(fee_payments: DataFrame, id_bits: int = PAYMENT_ID_BUCKET_B
         F.coalesce(F.year(month) * 12 + F.month(month), F.lit(2 ** 31 - 1)).alias("__month_key"),
         F.shiftright(F.col("payment_id"), id_bits).alias("__id_key"),
     )
-    led = lead_in_order(prepared, ["user_id"], ["__month_key", "__id_key"],
-                        ["payment_id", "cc_or_ach_transaction_id"], _NEXT_VALUES)
+    shape = (["user_id"], ["__month_key", "__id_key"], ["payment_id", "cc_or_ach_transaction_id"], _NEXT_VALUES)
+    led = lead_in_order(prepared, *shape) if hot is None else lead_measured(prepared, *shape, hot)
     return led.select(
         "user_id", "payment_id", "transaction_id", "cc_or_ach_transaction_id", "payment_workflow_state",
         F.col("payment_created_at_month").alias("current_payment_created_at_month"),

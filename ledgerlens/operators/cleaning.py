@@ -8,6 +8,8 @@ every column a later operator does not read straight down to the parquet scan.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,8 @@ from pyspark.sql import types as T
 from ledgerlens.functions import (
     age_parts, as_of_lit, collapse_blanks, concat_pg, date_to_pst, to_pst, usd, usd_or_zero,
 )
-from ledgerlens.plans.joins import left_join_fanout
+from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
+from ledgerlens.plans.joins import left_join_fanout, left_join_measured
 
 # Payment type lists of the payment method classes.
 LEGACY_TYPES = ("authorize-net", "uesp")
@@ -293,13 +296,19 @@ def clean_users(users: DataFrame, as_of: str, admin_ids=ADMIN_USER_IDS,
 INACTIVE_CONTRIBUTION_STATES = ("cancelled", "invalid", "edited")
 
 
-def clean_contributions(contributors: DataFrame, contributions: DataFrame) -> DataFrame:
+def hot_contributions(contributions: DataFrame, hot_rows: int = HOT_ROWS) -> list[tuple]:
+    """(user, fund) pairs with more than ``hot_rows`` contributions."""
+    return hot_keys(contributions, ["userID", "collegeFundID"], hot_rows=hot_rows)[0]
+
+
+def clean_contributions(contributors: DataFrame, contributions: DataFrame, hot: Sequence[tuple] | None = None) -> DataFrame:
     """Every contributor with each of its contributions to the same fund
     (LEFT JOIN on user and fund; contributors without one are kept).
 
     One (user, fund) pair may own a large share of the contributions, and the
     contributions are the non-preserved side, which adaptive execution cannot
-    split; the join therefore goes through the skew-safe fan-out form.
+    split; the join therefore goes through the skew-safe fan-out form, or, where
+    ``hot`` lists such pairs (see :func:`hot_contributions`), treats those apart.
     """
     c = contributors.select(
         F.col("userID").alias("__user"), F.col("fundID").alias("__fund"),
@@ -309,7 +318,8 @@ def clean_contributions(contributors: DataFrame, contributions: DataFrame) -> Da
         F.col("userID").alias("__user"), F.col("collegeFundID").alias("__fund"),
         *[F.col(n).alias(f"cc_{n}") for n in contributions.columns
           if n not in ("userID", "collegeFundID")])
-    joined = left_join_fanout(c, cc, ["__user", "__fund"])
+    keys = ["__user", "__fund"]
+    joined = left_join_fanout(c, cc, keys, spread_nulls_by=F.col("c_id")) if hot is None else left_join_measured(c, cc, keys, hot)
     return joined.select(
         F.col("c_id").alias("contributor_id"),
         F.col("c_userID").alias("contributor_user_id"),

@@ -3,12 +3,14 @@ create funds, upgrade them, and contribute?"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.plans.joins import left_join_fanout
+from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
+from ledgerlens.plans.joins import left_join_fanout, left_join_measured
 
 # The boost promotion's payment type and amount (USD).
 BOOST_TYPE = "boost"
@@ -17,8 +19,24 @@ BOOST_AMOUNT_USD = 529
 EXCLUDED_CONTRIBUTION_STATES = ("cancelled", "edited")
 
 
+def _boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: int | Decimal) -> DataFrame:
+    boosts = payments_clean.where((F.col("payment_type") == BOOST_TYPE)
+                                  & (F.col("payment_amount_usd") == amount_usd))
+    owners = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_owner_user_id")
+    return boosts.join(owners, F.col("fund_id") == F.col("__fund"), "left")
+
+
+def hot_boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: int | Decimal = BOOST_AMOUNT_USD,
+               hot_rows: int = HOT_ROWS) -> tuple[bool, list[tuple]]:
+    """Whether some fund (or having none) holds more than ``hot_rows`` boost
+    payments, and the owners that do."""
+    rows = _boosts(payments_clean, funds_clean, amount_usd).select(F.coalesce("fund_id", F.lit(-1)).alias("fund"), "fund_owner_user_id")
+    funds, owners = hot_keys(rows, ["fund"], ["fund_owner_user_id"], hot_rows=hot_rows)
+    return bool(funds), owners
+
+
 def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
-                   amount_usd: int | Decimal = BOOST_AMOUNT_USD) -> DataFrame:
+                   amount_usd: int | Decimal = BOOST_AMOUNT_USD, hot_fund: bool = True) -> DataFrame:
     """A5: distinct boost payments of exactly the promotion amount with the
     fund's owner and a state: Clawed (deleted), Unconfirmed (never initiated)
     or Redeemed. The source's 'Settled' and 'Anomaly' arms come after two arms
@@ -27,11 +45,9 @@ def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
     The rows are dealt by all columns before the DISTINCT. Without that it would
     reuse the join's partitioning by fund, and adaptive execution could not
     split a fund (or the payments without one) that holds many of the rows.
+    ``hot_fund`` says whether there may be one (see :func:`hot_boosts`).
     """
-    boosts = payments_clean.where((F.col("payment_type") == BOOST_TYPE)
-                                  & (F.col("payment_amount_usd") == amount_usd))
-    owners = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_owner_user_id")
-    joined = boosts.join(owners, F.col("fund_id") == F.col("__fund"), "left")
+    joined = _boosts(payments_clean, funds_clean, amount_usd)
     state = (F.when(F.col("payment_deleted_at").isNotNull(), "Clawed")
              .when(F.col("payment_initiated_at").isNull(), "Unconfirmed")
              .otherwise("Redeemed"))
@@ -41,7 +57,7 @@ def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
         F.col("payment_initiated_at").alias("payment_redeemed_at"),
         state.alias("boost_payment_state"),
     )
-    return out.repartition(*out.columns).distinct()
+    return (out.repartition(*out.columns) if hot_fund else out).distinct()
 
 
 def fund_conversion_rates(funds_clean: DataFrame) -> DataFrame:
@@ -94,7 +110,7 @@ def contribution_conversion_rates(contributions_clean: DataFrame) -> DataFrame:
 
 
 def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: DataFrame,
-                      contribution_rates: DataFrame) -> DataFrame:
+                      contribution_rates: DataFrame, hot: Sequence[tuple] | None = None) -> DataFrame:
     """Active non-admin users with each boost on their funds (or one row
     without), fund and contribution conversion, missing values as FALSE / 0.
 
@@ -102,7 +118,9 @@ def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: Dat
     The two one-row-per-user relations are joined to the filtered users first,
     while a user is still one row. The boosts, which may concentrate on one
     owner, come last through the skew-safe fan-out join, so that no later join
-    relies on its partitioning and adaptive execution can split it.
+    relies on its partitioning and adaptive execution can split it. Where ``hot``
+    lists the owners with very many boosts (see :func:`hot_boosts`), those are
+    joined apart and all others by one plain join.
     """
     zero = F.lit(Decimal("0.00"))
     users = users_clean.where(F.col("user_is_active") & ~F.col("user_is_admin")).select(
@@ -113,7 +131,8 @@ def conversion_funnel(users_clean: DataFrame, boosts: DataFrame, fund_rates: Dat
                       F.col("fund_id").alias("__boost_fund"),
                       "boost_payment_created_at", "boost_payment_state")
     rated = users.join(f, "user_id", "left").join(c, "user_id", "left")
-    joined = left_join_fanout(rated, b, ["user_id"])
+    joined = left_join_fanout(rated, b, ["user_id"], spread_nulls_by=F.xxhash64("user_email")) if hot is None \
+        else left_join_measured(rated, b, ["user_id"], hot)
     n_all = F.coalesce(F.col("num_contributions"), F.lit(0).cast("bigint"))
     n_rec = F.coalesce(F.col("num_contributions_recurring"), F.lit(0).cast("bigint"))
     n_one = F.coalesce(F.col("num_contributions_onetime"), F.lit(0).cast("bigint"))

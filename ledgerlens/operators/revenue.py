@@ -124,7 +124,7 @@ def paying_users(dimension: DataFrame, revenue: DataFrame, revenue_users: DataFr
     are kept once with NULL revenue columns. ``revenue_users`` (see
     :func:`ledger_user_ids`) spares the search for users without revenue the
     second read of the amounts."""
-    joined = left_join_fanout(dimension, revenue, ["user_id"], many_keys=revenue_users)
+    joined = left_join_fanout(dimension, revenue, ["user_id"], spread_nulls_by=F.xxhash64("utm_source", "is_owner"), many_keys=revenue_users)
     return joined.select(
         "user_id", "is_owner", "utm_source", "revenue_stream", "payment_created_at",
         F.coalesce(F.col("utm_source") == "foundation", F.lit(False)).alias("is_foundation"),

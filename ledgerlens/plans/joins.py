@@ -8,6 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.plans.hotkeys import is_hot
+
+def left_join_measured(one: DataFrame, many: DataFrame, keys: Sequence[str], hot: Sequence[tuple]) -> DataFrame:
+    """``one LEFT JOIN many USING (keys)`` for a left side that holds each key
+    at most once and a right side whose ``hot`` keys are known (see
+    :mod:`ledgerlens.plans.hotkeys`).
+
+    Rows of the hot keys are joined apart: the left side has at most one row for
+    each of the keys in the list, so it is broadcast, and the right side's many
+    rows stay where they are read. All others take one plain LEFT JOIN, in which
+    no key of the right side is hot; adaptive execution can split the left side,
+    which covers many rows with a NULL key. A key that is listed but does not
+    occur in ``many`` keeps its NULL-padded row.
+    """
+    keys = list(keys)
+    right_only = [c for c in many.columns if c not in keys]
+    renamed = many.select(*[F.col(k).cast(one.schema[k].dataType).alias(f"__key_{i}") for i, k in enumerate(keys)], *right_only)
+    names = [f"__key_{i}" for i in range(len(keys))]
+    on = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        on = on & (F.col(k) == F.col(n))
+    if not hot:
+        return one.join(renamed, on, "left").select(*one.columns, *right_only)
+    hot_one, hot_many = is_hot(keys, hot), is_hot(names, hot)
+    cold = one.where(~hot_one).join(renamed.where(~hot_many), on, "left").select(*one.columns, *right_only)
+    apart = renamed.where(hot_many).join(F.broadcast(one.where(hot_one)), on, "inner").select(*one.columns, *right_only)
+    missing = one.where(hot_one).join(renamed.where(hot_many).select(*names).distinct(), on, "left_anti")
+    padding = [F.lit(None).cast(many.schema[c].dataType).alias(c) for c in right_only]
+    return cold.unionByName(apart).unionByName(missing.select(*one.columns, *padding))
+
 
 #: Values of the hashed second join key; it carries no information of its own.
 _SPREAD = 1023

@@ -7,6 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.plans.hotkeys import is_hot
+
+def lead_measured(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequence[str], order_by: Sequence[str],
+                  values: dict[str, str], hot: Sequence[tuple]) -> DataFrame:
+    """:func:`lead_in_order` for the rows of the ``hot`` partition keys (see
+    :mod:`ledgerlens.plans.hotkeys`) and one plain window for all others. The
+    split is a filter on the key, which reaches the scans of either branch."""
+    def plain(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_last() for c in [*bucket_by, *order_by]])
+        return rows.select("*", *[F.lead(F.col(v), 1).over(w).alias(o) for o, v in values.items()])
+
+    if not hot:
+        return plain(df)
+    apart = is_hot(list(partition_by), hot)
+    return plain(df.where(~apart)).unionByName(lead_in_order(df.where(apart), partition_by, bucket_by, order_by, values))
+
 
 def lead_in_order(df: DataFrame, partition_by: Sequence[str], bucket_by: Sequence[str],
                   order_by: Sequence[str], values: dict[str, str]) -> DataFrame:
