@@ -28,3 +28,25 @@ def collapse_blanks(s) -> Column:
     step = F.replace(step, F.lit("><"), F.lit(""))
     step = F.replace(step, F.lit("<>"), F.lit(" "))
     return F.trim(step)
+
+
+def json_items(text) -> tuple[Column, Column]:
+    """What JSON ``text`` holds (``array``, ``object``, ``scalar``, ``null`` or
+    ``malformed``; NULL for a NULL text) and how many items: an array's length, 1
+    for an object or a scalar that stands for a list of itself, 0 for JSON null,
+    NULL for text that is not JSON.
+
+    PostgreSQL's ``JSON_ARRAY_LENGTH`` raises an error for all but arrays, and
+    Spark's gives NULL for them alike, which hides broken text.
+    """
+    text = as_col(text)
+    value = F.try_parse_json(text)
+    length = F.array_size(F.try_variant_get(value, "$", "array<variant>"))
+    kind = F.schema_of_variant(value)
+    what = (F.when(text.isNull(), F.lit(None).cast("string"))
+            .when(value.isNull(), "malformed")
+            .when(F.is_variant_null(value), "null")
+            .when(kind.startswith("ARRAY"), "array")
+            .when(kind.startswith("OBJECT"), "object")
+            .otherwise("scalar"))
+    return what, F.when(what == "array", length).when(what.isin("object", "scalar"), 1).when(what == "null", 0)

@@ -74,6 +74,35 @@ def age_parts(later, earlier) -> tuple[Column, Column]:
     return years.cast("int"), months.cast("int")
 
 
+def age_intervals(later, earlier) -> tuple[Column, Column]:
+    """PostgreSQL ``AGE(later, earlier)`` as two interval columns that can be
+    stored: years and months (``INTERVAL YEAR TO MONTH``), and days and time of
+    day (``INTERVAL DAY TO SECOND``). NULL where either side is.
+
+    The day part counts from the earlier instant's day; where it would be
+    negative, a month is taken and its days are those of the earlier instant's
+    month, as PostgreSQL does. An ``earlier`` after ``later`` negates both.
+    """
+    a = as_col(later).cast("timestamp_ntz")
+    b = as_col(earlier).cast("timestamp_ntz")
+    hi, lo = F.greatest(a, b), F.least(a, b)
+
+    def micros(ts: Column) -> Column:
+        seconds = F.hour(ts) * F.lit(3600) + F.minute(ts) * F.lit(60)
+        return seconds.cast("long") * 1_000_000 + (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+    time = micros(hi) - micros(lo)
+    early = time < 0
+    time = F.when(early, time + 86_400_000_000).otherwise(time)
+    days = F.dayofmonth(hi) - F.dayofmonth(lo) - F.when(early, 1).otherwise(0)
+    borrow = days < 0
+    days = F.when(borrow, days + F.dayofmonth(F.last_day(lo.cast("date")))).otherwise(days)
+    months = (F.year(hi) - F.year(lo)) * 12 + F.month(hi) - F.month(lo) - F.when(borrow, 1).otherwise(0)
+    sign = F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(a >= b, 1).otherwise(-1)
+    span = F.make_dt_interval(days=sign * days, secs=(sign * time).cast("decimal(18, 0)") / F.lit(1_000_000).cast("decimal(18, 0)"))
+    return F.make_ym_interval(months=sign * months), span
+
+
 def age_months(later, earlier) -> Column:
     """``EXTRACT(year FROM AGE(..)) * 12 + EXTRACT(month FROM AGE(..))``."""
     years, months = age_parts(later, earlier)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions import as_of_lit, month_start
 from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
 from ledgerlens.plans.joins import left_join_fanout, left_join_measured
+from ledgerlens.plans.lookups import LookupChecks, left_lookup
 from ledgerlens.plans.windows import lead_in_order, lead_measured
 
 # Transaction types that are not the payment's own transfer.
@@ -157,12 +158,13 @@ def hot_payers(payments_clean: DataFrame, fee_payments: DataFrame, transactions:
 
 def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
                       card_ach: DataFrame, funds_clean: DataFrame,
-                      hot: Sequence[tuple] | None = None) -> DataFrame:
+                      hot: Sequence[tuple] | None = None, checks: LookupChecks | None = None) -> DataFrame:
     """A10 (with A11-A14): each payment with its newest transaction, every
     card/ACH attempt of that transaction (one row per attempt, payments
     without attempts kept once) and its fund's plan manager and LPOA status.
     ``hot`` lists the transactions with very many attempts, where known; without
-    it any transaction may be one."""
+    it any transaction may be one. ``checks`` observes whether a payment has
+    several newest transactions or a fund id is repeated."""
     attempts = card_ach.select(
         "transaction_id",
         F.col("transaction_type").alias("cc_ach_transaction_type"),
@@ -170,7 +172,8 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
         F.col("transaction_amount_usd").alias("cc_or_ach_transaction_amount_usd"),
         "ach_file_id", "ach_transaction_routing_number", "cc_or_ach_transaction_succeeded")
     funds = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_plan_manager", "fund_lpoa_status")
-    with_tx = payments_clean.join(latest_transactions, "payment_id", "left")
+    newest = latest_transactions.withColumnRenamed("payment_id", "__payment")
+    with_tx = left_lookup(payments_clean, newest, "payment_id", "__payment", "payment_transactions", checks).drop("__payment")
     # One transaction may carry very many attempts (the non-preserved side),
     # and payments without a transaction have a NULL key: the fan-out form
     # splits the first and deals the second by payment.
@@ -178,7 +181,7 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
         attempted = left_join_fanout(with_tx, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
     else:
         attempted = left_join_measured(with_tx, attempts, ["transaction_id"], hot)
-    joined = attempted.join(funds, F.col("fund_id") == F.col("__fund"), "left")
+    joined = left_lookup(attempted, funds, "fund_id", "__fund", "payment_funds", checks)
     c = F.col
     return joined.select(
         *_PAYMENT_COLUMNS,
@@ -197,12 +200,13 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
 
 def fee_payments_per_user(users_clean: DataFrame, payments_clean: DataFrame,
                           latest_transactions: DataFrame, card_ach: DataFrame,
-                          funds_clean: DataFrame, hot: Sequence[tuple] | None = None) -> DataFrame:
+                          funds_clean: DataFrame, hot: Sequence[tuple] | None = None,
+                          checks: LookupChecks | None = None) -> DataFrame:
     """Subscription-fee payments (category 'operational') of known users,
-    one row per attempt, with the PST month of the payment. ``hot``: see
-    :func:`payments_extended`."""
+    one row per attempt, with the PST month of the payment. ``hot`` and
+    ``checks``: see :func:`payments_extended`."""
     fees = payments_clean.where(F.col("payment_type") == "voluntary-fee")
-    extended = payments_extended(fees, latest_transactions, card_ach, funds_clean, hot)
+    extended = payments_extended(fees, latest_transactions, card_ach, funds_clean, hot, checks)
     joined = users_clean.select("user_id").join(extended, "user_id", "inner")
     return joined.select(
         "user_id", "payment_id", "transaction_id", "transaction_created_at", "payment_created_at",
@@ -249,6 +253,33 @@ def fee_next_payment(fee_payments: DataFrame, id_bits: int = PAYMENT_ID_BUCKET_B
         "next_expected_payment_created_at_month", *_NEXT_VALUES)
 
 
+def refreshed_next_payments(stored: DataFrame, changed: DataFrame, users_clean: DataFrame, payments_clean: DataFrame,
+                            transactions_clean: DataFrame, card_ach: DataFrame, funds_clean: DataFrame,
+                            id_bits: int = PAYMENT_ID_BUCKET_BITS, hot: Sequence[tuple] | None = None) -> DataFrame:
+    """A16 after some payments changed, from its ``stored`` result.
+
+    ``changed`` has the payment_id of every payment that is new or gone, or whose
+    row, transactions, attempts or fund changed. Only the users of those payments,
+    now or in the stored result, are computed again; the rows of all others stay
+    as they are, since a payment's next one is a payment of the same user. The
+    other tables are given whole and joined to the touched users' payments, so
+    transactions and attempts of others are dropped before they are ranked or
+    joined. The churn class (A18) depends on the reporting instant and is a
+    projection over the result.
+
+    Repeated and NULL ids in ``changed`` do no harm.
+    """
+    ids = changed.select("payment_id").where(F.col("payment_id").isNotNull()).distinct()
+    now = payments_clean.join(ids, "payment_id", "left_semi").select("user_id")
+    before = stored.join(ids, "payment_id", "left_semi").select("user_id")
+    touched = now.unionByName(before).where(F.col("user_id").isNotNull()).distinct()
+    fees = payments_clean.where(F.col("payment_type") == "voluntary-fee").join(touched, "user_id", "left_semi")
+    newest = latest_transaction_per_payment(transactions_clean.join(fees.select("payment_id"), "payment_id", "left_semi"))
+    attempts = card_ach.join(newest.select("transaction_id"), "transaction_id", "left_semi")
+    fresh = fee_next_payment(fee_payments_per_user(users_clean, fees, newest, attempts, funds_clean), id_bits, hot)
+    return stored.join(touched, "user_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+
+
 def next_expected_month(state: Column, expected: Column, next_month: Column, next_state: Column,
                         success: Sequence[str] = SUCCESS_STATES) -> Column:
     """Expected month moved to the next successful payment's month when

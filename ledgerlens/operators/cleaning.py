@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions import (
-    age_parts, as_of_lit, collapse_blanks, concat_pg, date_to_pst, to_pst, usd, usd_or_zero,
+    age_parts, as_of_lit, collapse_blanks, concat_pg, date_to_pst, json_items, to_pst, usd, usd_or_zero,
 )
 from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
 from ledgerlens.plans.joins import left_join_fanout, left_join_measured
@@ -213,9 +213,10 @@ def clean_funds(funds: DataFrame, as_of: str) -> DataFrame:
         f("gender").alias("fund_gender"),
         (f("status") != "inactive").alias("fund_is_active"),
         f("coverUrl").alias("fund_cover_photo"),
-        # Stored as an array or as JSON text of one.
+        # Stored as an array or as JSON text, in which a lone object or scalar
+        # is one backer and broken text has no number.
         (f("backers") if json_backers else F.to_json(f("backers"))).alias("fund_backers"),
-        (F.json_array_length(f("backers")) if json_backers else F.array_size(f("backers"))).alias("num_fund_backers"),
+        (json_items(f("backers"))[1] if json_backers else F.array_size(f("backers"))).alias("num_fund_backers"),
         f("fromGift").isNotNull().alias("fund_is_from_gift"),
         f("fromGift").alias("from_gift_id"),
         f("planId").alias("fund_plan_id"),

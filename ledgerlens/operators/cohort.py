@@ -77,7 +77,7 @@ def window_months(as_of: str, start: str = ACTIVITY_START) -> int:
 
 
 class _Masks:
-    def __init__(self, payments_clean: DataFrame, as_of: str, start: str, states: Sequence[str]):
+    def __init__(self, payments_clean: DataFrame, as_of: str, start: str, states: Sequence[str], stored: DataFrame | None = None):
         self.months = window_months(as_of, start)
         self.words = max(1, math.ceil(self.months / MASK_BITS))
         self.cols = [f"mask{w}" for w in range(self.words)]
@@ -85,6 +85,10 @@ class _Masks:
         self.first_month = F.lit(f"{first.year:04d}-{first.month:02d}-01").cast("date")
         created = F.col("payment_created_at")
         idx = ((F.year(created) - first.year) * 12 + F.month(created) - first.month).cast("int")
+        if stored is not None:
+            known = [c for c in self.cols if c in stored.columns]
+            self.df = stored.select("user_id", *[F.col(c) if c in known else F.lit(0).cast("bigint").alias(c) for c in self.cols])
+            return
         aggs = []
         for w, name in enumerate(self.cols):
             lo, hi = w * MASK_BITS, (w + 1) * MASK_BITS
@@ -119,6 +123,51 @@ class _Masks:
                 .select("user_id", "a", "r"))
 
 
+def activity_state(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START,
+                   states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
+    """The month masks of every user as a table to keep: ``user_id, mask0, ...``,
+    bit i of the masks standing for month i after ``start`` (:data:`MASK_BITS`
+    to a mask). Payments without an owner are the row with a NULL user."""
+    return _Masks(payments_clean, as_of, start, states).df
+
+
+def merge_states(*tables: DataFrame) -> DataFrame:
+    """Masks of several tables of one ``start`` in one. OR is idempotent, so the
+    tables may cover the same payments; a table of an earlier date may have fewer
+    masks."""
+    cols = sorted({c for t in tables for c in t.columns if c != "user_id"}, key=lambda c: int(c.removeprefix("mask")))
+    out = None
+    for t in tables:
+        one = t.select("user_id", *[F.col(c) if c in t.columns else F.lit(0).cast("bigint").alias(c) for c in cols])
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("user_id").agg(*[F.bit_or(c).alias(c) for c in cols])
+
+
+def advance_state(stored: DataFrame, payments_clean: DataFrame, since: str, as_of: str, start: str = ACTIVITY_START,
+                  states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
+    """The state as of ``as_of`` from the one stored as of ``since``.
+
+    Only payments created from the last month of the stored window on are read
+    (its upper bound is the month's first instant); the range reaches the scan.
+    Older payments that became settled or initiated since are not seen: give
+    those rows to :func:`activity_state` and merge its table too.
+    """
+    last = month_start(to_pst(as_of_lit(since))) + F.make_dt_interval(hours=F.lit(PST_OFFSET_HOURS))
+    recent = payments_clean.where(F.col("payment_created_at_utc") >= last)
+    return merge_states(stored, activity_state(recent, as_of, start, states))
+
+
+def counts_from_state(state: DataFrame, as_of: str, start: str = ACTIVITY_START) -> DataFrame:
+    """A21 from a stored state, which must not be newer than ``as_of``."""
+    return _count(_Masks(state, as_of, start, (), stored=state))
+
+
+def _count(m: _Masks) -> DataFrame:
+    return (m.pairs()
+            .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
+            .agg(F.count("user_id").alias("retained")))
+
+
 def activity_pairs(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_START,
                    states: Sequence[str] = ACTIVE_PAYMENT_STATES) -> DataFrame:
     """Each (user, active month) with each same-or-later active month of
@@ -135,10 +184,7 @@ def cohort_counts(payments_clean: DataFrame, as_of: str, start: str = ACTIVITY_S
     """Distinct users per (cohort month, offset). A month with ownerless
     payments also gets the row (month, NULL, 0): counting user ids skips the
     ownerless group's NULL id."""
-    m = _Masks(payments_clean, as_of, start, states)
-    return (m.pairs()
-            .groupBy(m.month("a").alias("activity"), (F.col("r") - F.col("a")).alias("diff"))
-            .agg(F.count("user_id").alias("retained")))
+    return _count(_Masks(payments_clean, as_of, start, states))
 
 
 def cohort_retention(counts: DataFrame) -> DataFrame:

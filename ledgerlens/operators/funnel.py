@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
 from ledgerlens.plans.joins import left_join_fanout, left_join_measured
+from ledgerlens.plans.lookups import LookupChecks, left_lookup
 
 # The boost promotion's payment type and amount (USD).
 BOOST_TYPE = "boost"
@@ -19,11 +20,11 @@ BOOST_AMOUNT_USD = 529
 EXCLUDED_CONTRIBUTION_STATES = ("cancelled", "edited")
 
 
-def _boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: int | Decimal) -> DataFrame:
+def _boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: int | Decimal, checks: LookupChecks | None = None) -> DataFrame:
     boosts = payments_clean.where((F.col("payment_type") == BOOST_TYPE)
                                   & (F.col("payment_amount_usd") == amount_usd))
     owners = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_owner_user_id")
-    return boosts.join(owners, F.col("fund_id") == F.col("__fund"), "left")
+    return left_lookup(boosts, owners, "fund_id", "__fund", "boost_funds", checks)
 
 
 def hot_boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: int | Decimal = BOOST_AMOUNT_USD,
@@ -36,7 +37,8 @@ def hot_boosts(payments_clean: DataFrame, funds_clean: DataFrame, amount_usd: in
 
 
 def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
-                   amount_usd: int | Decimal = BOOST_AMOUNT_USD, hot_fund: bool = True) -> DataFrame:
+                   amount_usd: int | Decimal = BOOST_AMOUNT_USD, hot_fund: bool = True,
+                   checks: LookupChecks | None = None) -> DataFrame:
     """A5: distinct boost payments of exactly the promotion amount with the
     fund's owner and a state: Clawed (deleted), Unconfirmed (never initiated)
     or Redeemed. The source's 'Settled' and 'Anomaly' arms come after two arms
@@ -46,8 +48,9 @@ def boost_payments(payments_clean: DataFrame, funds_clean: DataFrame,
     reuse the join's partitioning by fund, and adaptive execution could not
     split a fund (or the payments without one) that holds many of the rows.
     ``hot_fund`` says whether there may be one (see :func:`hot_boosts`).
+    ``checks`` observes whether a fund id is repeated.
     """
-    joined = _boosts(payments_clean, funds_clean, amount_usd)
+    joined = _boosts(payments_clean, funds_clean, amount_usd, checks)
     state = (F.when(F.col("payment_deleted_at").isNotNull(), "Clawed")
              .when(F.col("payment_initiated_at").isNull(), "Unconfirmed")
              .otherwise("Redeemed"))
