@@ -5,9 +5,10 @@ that space itself) over the text. Byte offsets where tokens of both end cut the
 tokens into groups; tokens whose byte ranges overlap are links.
 
 Both tokenizers are known to end a token before a *cut*: a space or line feed
-between two characters that are not white space. The bytes between two cuts, a
+between two characters that are not white space, or a full stop or comma between
+a letter and one of those. The bytes between two cuts, a
 chunk, can therefore be encoded and aligned by themselves, and equal chunks are
-aligned once a task.
+aligned once until a task knows too many.
 
 Fragments. Any range of a text's bytes, cut anywhere, is a fragment:
 
@@ -40,8 +41,11 @@ encoded in one task, however long.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import pickle
+import re
+import string
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -59,8 +63,14 @@ PART_BYTES = 1 << 16
 FANOUT = 8
 #: Text that a block holds.
 BLOCK_BYTES = 4 << 20
-#: Chunks that a task remembers before it starts anew.
-KNOWN_CHUNKS = 100_000
+#: Chunks that are encoded as one text, and the length of a chunk that is
+#: encoded by itself.
+LINE_CHUNKS = 100
+LONG_CHUNK = 1000
+#: Chunks that a task remembers before it starts anew (some 80 MB).
+KNOWN_CHUNKS = 200_000
+# Fixed value: how byte-level BPE cuts a text before its merges.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _BLOCK = "block long, pairs array<long>, holders array<int>, payload binary"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -78,25 +88,75 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Encoders:
+    """Both tokenizers, the bytes of all their tokens and their sizes.
+
+    Where the file of A is byte-level BPE whose ids follow its merges, its
+    vocabulary as ranks gives the same ids several times faster; runs of more than
+    ``LONG_CHUNK`` bytes without a cut still go through the file's own merges,
+    whose cost grows less with their length.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        symbol = _byte_of_symbol()
+        vocabulary = self.a.get_vocab()
+        bytes_a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            bytes_a[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        if wrong := [p for i, p in enumerate(pieces) if not self.b.is_byte(i) and ("\n" in p or "▁" in p.lstrip("▁") or re.search("[A-Za-z][.,]", p))]:
+            raise ValueError(f"pieces reach across a cut: {wrong[:5]}")
+        bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = bytes_a, bytes_b
+        self.sizes = [np.array(list(map(len, x)), np.int64) for x in self.bytes]
+        self.lead = [self.b.piece_to_id("▁"), self.b.piece_to_id("<0x0A>")]
+        self.ranks = self._ranks(path_a, vocabulary, bytes_a)
+
+    @staticmethod
+    def _ranks(path_a: str, vocabulary: dict[str, int], bytes_a: list[bytes]):
+        import tiktoken
+
+        with open(path_a, encoding="utf-8") as f:
+            held = json.load(f)
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in held["model"]["merges"]]
+        first = held["pre_tokenizer"]
+        special = {t["content"] for t in held["added_tokens"]}
+        if (held["normalizer"] or first["type"] != "ByteLevel" or not first.get("use_regex", True) or first["add_prefix_space"]
+                or [vocabulary[m] for m in merges] != list(range(256, 256 + len(merges)))):
+            return None
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks={bytes_a[i]: i for t, i in vocabulary.items() if t not in special}, special_tokens={})
+
+    def encode(self, texts: list[str], ranks: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids by A and by B of every text. B puts a space before a text; where the
+        text has none of its own, it comes after a line feed, and both are dropped."""
+        if ranks and self.ranks:
+            found_a = map(self.ranks.encode_ordinary, texts)
+        else:
+            found_a = (e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
+        spaced = [t[0] == " " for t in texts]
+        found_b = self.b.encode([t[1:] if s else "\n" + t for t, s in zip(texts, spaced, strict=True)], num_threads=1)
+        for is_spaced, ids_a, ids_b in zip(spaced, found_a, found_b, strict=True):
+            if not is_spaced:
+                ids_b = ids_b[2:] if ids_b[:2] == self.lead else []
+            yield np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+
+
+@lru_cache(maxsize=1)
+def _encoders(path_a: str, path_b: str) -> Encoders:
+    return Encoders(path_a, path_b)
+
+
 @lru_cache(maxsize=1)
-def _tokenizers(path_a: str, path_b: str):
-    """Both tokenizers and the bytes of all their tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import sentencepiece
-    from tokenizers import Tokenizer
-
-    a = Tokenizer.from_file(path_a)
-    a.encode_special_tokens = True
-    symbol = _byte_of_symbol()
-    bytes_a = [b""] * a.get_vocab_size()
-    for token, i in a.get_vocab().items():
-        bytes_a[i] = bytes(symbol[c] for c in token) if all(c in symbol for c in token) else token.encode()
-    b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-    pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
-    if wrong := [p for p in pieces if "\n" in p or "▁" in p.lstrip("▁")]:
-        raise ValueError(f"pieces reach across a cut: {wrong[:5]}")
-    bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return a, b, bytes_a, bytes_b, b.piece_to_id("▁")
+def _words(n: int) -> list[bytes]:
+    """Every id below ``n`` in decimal, followed by a comma, a bar or a semicolon."""
+    return [b"%d%c" % (i, c) for i in range(n) for c in b",|;"]
 
 
 @dataclass
@@ -118,61 +178,126 @@ class Summary:
         return Summary(self.n_a + other.n_a, self.n_b + other.n_b, self.n_groups + other.n_groups, self.groups + other.groups, links, self.sound and other.sound)
 
 
-def align(ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> Summary:
-    """Groups and links of tokens that cover the same bytes."""
-    links: dict[int, int] = {}
-    groups, i, j, from_i, from_j = [], 0, 0, 0, 0
-    end_a, end_b = len(bytes_a[ids_a[0]]), len(bytes_b[ids_b[0]])
-    while True:
-        pair = ids_a[i] << 32 | ids_b[j]
-        links[pair] = links.get(pair, 0) + 1
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        i, j = i + step_a, j + step_b
-        if step_a and step_b:
-            groups.append(b"%s|%s" % (b",".join(b"%d" % x for x in ids_a[from_i:i]), b",".join(b"%d" % x for x in ids_b[from_j:j])))
-            if i == len(ids_a):
-                return Summary(i, j, len(groups), [b";".join(groups)], links)
-            from_i, from_j = i, j
-        if step_a:
-            end_a += len(bytes_a[ids_a[i]])
-        if step_b:
-            end_b += len(bytes_b[ids_b[j]])
+@dataclass
+class Chunks:
+    """Aligned chunks in columns: for each its numbers of tokens, groups and
+    links, its ids in order (every group ends in a semicolon) and its links, those
+    of chunk k from ``first[k]`` on in ``pairs`` (a pair may stand there
+    repeatedly)."""
+
+    numbers: np.ndarray  # n_a, n_b, n_groups, n_links
+    sound: np.ndarray
+    groups: list[bytes]
+    first: np.ndarray
+    pairs: np.ndarray
+
+    def plus(self, more: Chunks) -> Chunks:
+        return Chunks(*(np.concatenate([x, y]) for x, y in ((self.numbers, more.numbers), (self.sound, more.sound))), self.groups + more.groups,
+                      np.r_[self.first, more.first + len(self.pairs)], np.concatenate([self.pairs, more.pairs]))
+
+    def summary(self, at: np.ndarray) -> Summary:
+        """Summary of the chunks ``at``, in order."""
+        n = self.numbers[at].sum(axis=0).tolist()
+        pairs, times = np.unique(np.concatenate([self.pairs[self.first[k]:self.first[k] + self.numbers[k, 3]] for k in at]), return_counts=True)
+        links = dict(zip(pairs.tolist(), times.tolist(), strict=True))
+        return Summary(n[0], n[1], n[2], [self.groups[k] for k in at], links, bool(self.sound[at].all()))
 
 
 class Aligner:
-    """Aligns chunks, each distinct one once until too many are known."""
+    """Encodes and aligns distinct chunks, many at a time, and remembers some.
+
+    Chunks that begin and end at cuts are encoded in lines of many, which both
+    tokenizers treat as they treat each of them; a token belongs to the chunk
+    that its bytes lie in. Other chunks (with white space at an end, or a
+    character that B replaces) are encoded one by one.
+    """
 
     def __init__(self, path_a: str, path_b: str):
-        self.paths, self.known = (path_a, path_b), {}
+        self.paths = path_a, path_b
+        self.known: dict[bytes, int] = {}
+        self.columns: Chunks | None = None
 
-    def learn(self, chunks: Iterable[bytes]) -> None:
+    def look_up(self, chunks: list[bytes]) -> tuple[Chunks, np.ndarray]:
+        """Chunks known so far, among them all ``chunks``, and the place of each.
+        When many are known, the next call starts anew."""
         if len(self.known) > KNOWN_CHUNKS:
-            self.known.clear()
+            self.known, self.columns = {}, None
         new = [c for c in set(chunks) if c not in self.known]
-        if not new:
-            return
-        a, b, bytes_a, bytes_b, space = _tokenizers(*self.paths)
-        texts = [c.decode("utf-8", "replace") for c in new]
-        spaced = [t[0] == " " for t in texts]
-        for chunk, is_spaced, e, ids_b in zip(
-                new, spaced, a.encode_batch_fast(texts, add_special_tokens=False), b.encode([t[s:] for t, s in zip(texts, spaced, strict=True)], num_threads=1), strict=True):
-            ids_a = e.ids
-            if not is_spaced:  # the space that B puts before it belongs to no text
-                ids_b = ids_b[1:] if ids_b[0] == space else []
-            same = b"".join([bytes_a[i] for i in ids_a]) == chunk == b"".join([bytes_b[i] for i in ids_b])
-            self.known[chunk] = align(ids_a, ids_b, bytes_a, bytes_b) if same else Summary(sound=False)
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            more = self.align(new)
+            self.columns = more if self.columns is None else self.columns.plus(more)
+        return self.columns, np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def _tokens(self, chunks: list[bytes]) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """An order of the chunks; in that order the ids of all by A and by B, and
+        how many each chunk has by either, -1 where it is not given back."""
+        encoders = _encoders(*self.paths)
+        ids, counts = ([np.empty(0, np.int64)], [np.empty(0, np.int64)]), ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+        starts = np.cumsum([0, *map(len, chunks)])
+        joined = np.frombuffer(b"".join(chunks), np.uint8)
+        good = np.zeros(len(joined) + 1, bool)
+        good[cuts(joined)] = True
+        good = good[starts]
+        good[-1] = len(chunks) > 0 and bool(chunks[-1][-1:].isalnum())
+        plain = [k for k in np.flatnonzero(good[:-1] & good[1:]).tolist() 
+                 if chunks[k][0] in b" \n" and len(chunks[k]) <= LONG_CHUNK and b"\xe2\x96\x81" not in chunks[k]]
+        lines = [plain[x:x + LINE_CHUNKS] for x in range(0, len(plain), LINE_CHUNKS)]
+        found = list(encoders.encode([b"".join([chunks[k] for k in line]).decode("utf-8", "replace") for line in lines], ranks=True))
+        raw, ends = b"".join([chunks[k] for k in plain]), np.cumsum([len(chunks[k]) for k in plain], dtype=np.int64)
+        for k in (0, 1) if plain else ():
+            which = np.concatenate([x[k] for x in found])
+            stops = np.cumsum(encoders.sizes[k][which])
+            at = np.searchsorted(stops, ends) + 1
+            if b"".join(map(encoders.bytes[k].__getitem__, which.tolist())) != raw or not np.array_equal(stops[at - 1], ends):
+                plain, ids, counts = [], ([np.empty(0, np.int64)], [np.empty(0, np.int64)]), ([np.empty(0, np.int64)], [np.empty(0, np.int64)])
+                break  # something is not given back: chunk by chunk
+            ids[k].append(which)
+            counts[k].append(np.diff(at, prepend=0))
+        order = list(plain)
+        others = sorted(set(range(len(chunks))).difference(plain))
+        for k, found in zip(others, encoders.encode([chunks[k].decode("utf-8", "replace") for k in others], ranks=False), strict=True):
+            same = all(b"".join([pieces[i] for i in which.tolist()]) == chunks[k] for which, pieces in zip(found, encoders.bytes, strict=True))
+            order.append(k)
+            for out, n, which in zip(ids, counts, found, strict=True):
+                out.append(which[:len(which) * same])
+                n.append(np.array([len(which) if same else -1]))
+        return order, [np.concatenate(x) for x in ids], [np.concatenate(x) for x in counts]
+
+    def align(self, chunks: list[bytes]) -> Chunks:
+        """All ``chunks``, which are not empty, at once.
+
+        With the tokens of all chunks laid end to end, the places where tokens of
+        both end close groups, and the range between two neighbouring ends of
+        either lies in one token of each: it is a link.
+        """
+        sizes = _encoders(*self.paths).sizes
+        dealt, (ids_a, ids_b), counts = self._tokens(chunks)
+        sound = counts[0] >= 0
+        counts = np.maximum(counts[0], 0), np.maximum(counts[1], 0)
+        end_a, end_b = (np.cumsum(size[i]) for size, i in zip(sizes, (ids_a, ids_b), strict=True))
+        either = np.sort(np.r_[end_a, end_b], kind="stable")
+        both, either = either[1:][either[1:] == either[:-1]], either[np.r_[True, either[1:] != either[:-1]][:len(either)]]
+        stops = np.cumsum(np.where(sound, [len(chunks[k]) for k in dealt], 0)) if chunks else np.empty(0, np.int64)
+        pairs = ids_a[np.searchsorted(end_a, either)] << 32 | ids_b[np.searchsorted(end_b, either)]
+        first = np.r_[0, np.searchsorted(either, stops, side="right")]
+        closed = np.r_[0, np.searchsorted(both, stops, side="right")]
+        numbers = np.stack([counts[0], counts[1], np.diff(closed), np.diff(first)], axis=1)
+        # Ids of a group: those of A, then those of B, each with what follows it.
+        group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+        last_a, last_b = (np.r_[g[1:] != g[:-1], True][:len(g)] for g in (group_a, group_b))
+        order = np.argsort(np.r_[2 * group_a, 2 * group_b + 1], kind="stable")
+        after = np.r_[np.where(last_a, 1, 0), np.where(last_b, 2, 0)]
+        words = _words(max(map(len, sizes)))
+        written = [words[k] for k in (np.r_[ids_a, ids_b] * 3 + after)[order].tolist()]
+        cut = np.r_[0, np.cumsum(counts[0] + counts[1])].tolist()
+        groups = [b"".join(written[x:y]) for x, y in zip(cut, cut[1:], strict=False)]
+        back = np.argsort(dealt)
+        return Chunks(numbers[back], sound[back], [groups[k] for k in back.tolist()], first[back], pairs)
 
     def run(self, chunks: list[bytes]) -> Summary:
         """Summary of chunks in order."""
-        self.learn(chunks)
-        out = Summary()
-        for c in chunks:
-            s = self.known[c]
-            out.n_a, out.n_b, out.n_groups, out.sound = out.n_a + s.n_a, out.n_b + s.n_b, out.n_groups + s.n_groups, out.sound and s.sound
-            out.groups += s.groups
-            for pair, n in s.links.items():
-                out.links[pair] = out.links.get(pair, 0) + n
-        return out
+        return self.look_up(chunks)[0].summary(self.look_up(chunks)[1]) if chunks else Summary()
 
 
 # --- Cuts and fragments ---------------------------------------------------
@@ -183,12 +308,17 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 _BLANK_LEAD = _BLANK.copy()
 _BLANK_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+_LETTER, _MARK = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (string.ascii_letters.encode(), b".,"))
 
 
 def cuts(raw: np.ndarray) -> np.ndarray:
     """Places of ``raw`` (bytes) that are cuts by what ``raw`` itself shows: a
     space or line feed, before it the end of a character, after it the start of
-    one, neither of them white space."""
+    one, neither of them white space; or a mark of punctuation between an ASCII
+    letter and a space or line feed."""
+    mark = np.flatnonzero(_MARK[raw])
+    mark = mark[(mark > 0) & (mark < len(raw) - 1)]
+    mark = mark[_LETTER[raw[mark - 1]] & ((raw[mark + 1] == 0x20) | (raw[mark + 1] == 0x0A))]
     at = np.flatnonzero((raw == 0x20) | (raw == 0x0A))
     at = at[(at > 0) & (at < len(raw) - 1)]
     at = at[~_BLANK_LEAD[raw[at + 1]] & ~_BLANK[raw[at - 1]]]
@@ -199,7 +329,8 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     two = (before[1] > 0xC2) & (before[1] < 0xE0)
     three = rest[1] & ((before[2] == 0xE0) | (before[2] > 0xE3) & (before[2] < 0xF0))
     four = rest[1] & rest[2] & (before[3] >= 0xF0)
-    return at[(before[0] < 0x80) | rest[0] & (two | three | four)]
+    at = at[(before[0] < 0x80) | rest[0] & (two | three | four)]
+    return np.sort(np.r_[at, mark])
 
 
 def _split(raw: bytes) -> list[bytes]:
@@ -258,11 +389,12 @@ def _unpack(value: bytes):
 def _block(number: int, doc_ids: list, numbers: np.ndarray, digests: list[str], doc: np.ndarray, pair: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
     """One row: a block of texts with entries (text, pair, times), in which a
     text may hold a pair several times."""
-    pairs, place = np.unique(pair, return_inverse=True)
-    key = doc.astype(np.int64) * max(1, len(pairs)) + place
-    order = np.argsort(key, kind="stable")
+    pairs = np.sort(pair)
+    pairs = pairs[np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]][:len(pairs)])]
+    key = doc.astype(np.int64) * max(1, len(pairs)) + np.searchsorted(pairs, pair)
+    order = np.argsort(key)
     key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
     times = np.add.reduceat(times[order], first) if len(key) else np.empty(0, np.int64)
     doc, place = np.divmod(key[first], max(1, len(pairs)))
     holders = np.bincount(place, minlength=len(pairs)).astype(np.int32)
@@ -271,6 +403,11 @@ def _block(number: int, doc_ids: list, numbers: np.ndarray, digests: list[str],
     return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([pairs], kind.field(1).type), pa.array([holders], kind.field(2).type), pa.array([payload], pa.binary())], schema=kind)
 
 
+def digest(groups: list[bytes]) -> str:
+    """SHA-256 of groups that each end in a semicolon, without the last one."""
+    return hashlib.sha256(b"".join(groups)[:-1]).hexdigest()
+
+
 def _block_number(source: int, n: int) -> int:
     return source << 60 | TaskContext.get().partitionId() << 30 | n
 
@@ -287,35 +424,30 @@ def _align_texts(path_a: str, path_b: str):
         raw = b" " + b" ".join([texts[i] for i in whole])
         starts = np.cumsum([0, *(len(texts[i]) + 1 for i in whole[:-1])])
         # A text begins at the space before it, whatever stands around it.
-        at = np.union1d(cuts(np.frombuffer(raw, np.uint8)), starts)
+        at = np.sort(np.r_[cuts(np.frombuffer(raw, np.uint8)), starts])
+        at = at[np.r_[True, at[1:] != at[:-1]]]
         begin = np.searchsorted(at, starts)
         edges = [*at.tolist(), len(raw)]
         chunks = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        kinds = {c: k for k, c in enumerate(set(chunks))}
-        aligner.learn(kinds)
-        found = [aligner.known[c] for c in kinds]
-        kind = np.fromiter(map(kinds.__getitem__, chunks), np.int64, len(chunks))
-        each = np.array([(s.n_a, s.n_b, s.n_groups, sum(s.links.values()), not s.sound) for s in found], np.int64)
-        sums = np.add.reduceat(each[kind], begin, axis=0)
+        found, kind = aligner.look_up(chunks)
+        sums = np.add.reduceat(np.c_[found.numbers, ~found.sound][kind], begin, axis=0)
         sound = sums[:, 4] == 0
-        texts_of = [s.groups[0] if s.groups else b"" for s in found]
         kind_list, ends = kind.tolist(), [*begin[1:].tolist(), len(chunks)]
         for n, (i, a, b) in enumerate(zip(whole, begin.tolist(), ends, strict=True)):
             if sound[n]:
                 numbers[i] = sums[n, :4]
-                digests[i] = hashlib.sha256(b";".join([texts_of[k] for k in kind_list[a:b]])).hexdigest()
+                digests[i] = digest([found.groups[k] for k in kind_list[a:b]])
         # Distinct chunks of each text, then the links of those.
         owner = np.repeat(np.arange(len(whole)), np.diff(np.r_[begin, len(chunks)]))
-        key, count = np.unique(owner * len(found) + kind, return_counts=True)
-        owner, kind = np.divmod(key, len(found))
+        key = np.sort(owner * len(found.groups) + kind)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, count = key[first], np.diff(np.r_[first, len(key)])
+        owner, kind = np.divmod(key, len(found.groups))
         keep = sound[owner]
         owner, kind, count = owner[keep], kind[keep], count[keep]
-        held = np.array([len(s.links) for s in found], np.int64)
-        pairs = np.fromiter((p for s in found for p in s.links), np.int64, int(held.sum()))
-        times = np.fromiter((n for s in found for n in s.links.values()), np.int64, int(held.sum()))
-        n = held[kind]
-        at = np.repeat((np.cumsum(held) - held)[kind] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return _block(number, doc_ids, numbers, digests, np.repeat(np.array(whole)[owner], n), pairs[at], times[at] * np.repeat(count, n))
+        n = found.numbers[kind, 3]
+        at = np.repeat(found.first[kind] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return _block(number, doc_ids, numbers, digests, np.repeat(np.array(whole)[owner], n), found.pairs[at], np.repeat(count, n))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(path_a, path_b)
@@ -365,8 +497,7 @@ def _close_texts(path_a: str, path_b: str):
                 s = close(_unpack(value.as_py()), aligner)
                 s = s if s.sound else Summary(sound=False)
                 pair, times = (np.fromiter(x, np.int64, len(s.links)) for x in (s.links.keys(), s.links.values()))
-                digest = hashlib.sha256(b";".join(s.groups)).hexdigest() if s.sound else ""
-                yield _block(_block_number(1, n), [doc_id], np.array([[s.n_a, s.n_b, s.n_groups, times.sum()]], np.int64), [digest], np.zeros(len(pair), np.int64), pair, times)
+                yield _block(_block_number(1, n), [doc_id], np.array([[s.n_a, s.n_b, s.n_groups, times.sum()]], np.int64), [digest(s.groups) if s.sound else ""], np.zeros(len(pair), np.int64), pair, times)
                 n += 1
 
     return run
