@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -11,7 +13,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: what lies between spaces, tabs, line feeds, vertical tabs, form
@@ -38,13 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests), a new folder on this machine;
-    a cluster must set it to a folder that all executors see.
+    Where the setting is absent, a new folder on this machine if Spark runs on
+    this machine alone (tests); on a cluster that raises, since executors would
+    not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     if not root:
         root = tempfile.mkdtemp(prefix="checkpoint-")
     if not sc.getCheckpointDir():
@@ -72,6 +77,39 @@ def crc_mod(key: str, modulus: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def sample_hash(rows: DataFrame, bound: int, salt: int, *columns: str) -> tuple[Column, Column]:
+    """A hash of ``columns`` and the condition that it is among the ``bound``
+    least distinct ones of ``rows`` (all, where there are fewer).
+
+    Rows that repeat their columns share a hash, so a caller that wants at most
+    ``bound`` rows drops repeats of the hash; no id that a third of all rows
+    share can crowd others out. Only hashes below a threshold that about four
+    times the bound fall under are made distinct; it is raised as long as repeats
+    leave too few.
+    """
+    scale = 1 << 40
+    h = F.abs(F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(salt)) % F.lit(scale))
+    hashes = rows.select(h.alias("h"))
+    n = rows.count()
+    below = min(scale, max(1, 4 * bound * scale // max(1, n)))
+    while True:
+        found = hashes.where(F.col("h") < below).distinct().orderBy("h").limit(bound).agg(F.count("h"), F.max("h")).first()
+        if found[0] >= bound or below >= scale:
+            return h, h <= F.lit(-1 if found[1] is None else found[1])
+        below = min(scale, below * 16)
+
+
+def release_memory() -> None:
+    """Give what a task held back to the system. Python workers live on after a
+    task, and an executor counts what they keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column, nulls as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -16,11 +16,12 @@ reader of one plane unpacks that one.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, shared_path, slices
+from ledgerlens.llm.common import as_bytes, release_memory, shared_path, slices
 
 END_ID = 2
 BLOCK = 512
 #: Tokens that a shard gathers before it is closed (its last document may go
 #: past that): bounds a worker's memory whatever the input's size.
-SHARD_TOKENS = 2_000_000
-#: Characters of text that a partition of the range exchange aims at.
-PART_CHARS = 12_000_000
+SHARD_TOKENS = 1_000_000
+#: Characters of text that a partition of the range exchange aims at: a task
+#: encodes them in slices, and the more it has, the fewer chunks are new to it.
+PART_CHARS = 48_000_000
 
 SCHEMA = ("first_doc long, part int, seq int, n_tokens long, doc_ids binary, doc_sizes binary, alphabet binary, "
           "zeros array<long>, planes array<binary>, ranks array<binary>")
@@ -141,18 +143,14 @@ class WaveletMatrix:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer, which of its ids end a word, and the chunks that this
-    process has encoded so far."""
+    """The tokenizer, and which of its ids end a word."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    return tokenizer, ends_word, [{}, {}]
-
-
-#: Chunks a worker remembers: when half of them are new, the other half goes.
-CACHE_CHUNKS = 1_000_000
+    return tokenizer, ends_word
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -195,25 +193,80 @@ def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
     return out
 
 
+#: Bytes that a task spends on chunks it remembers before it starts anew, and
+#: what a chunk takes besides its characters and ids.
+KNOWN_BYTES = 96 << 20
+CHUNK_BYTES = 160
+
+
+class Encoder:
+    """Encodes texts chunk by chunk; a chunk goes through the tokenizers library
+    once, until the remembered ones take ``KNOWN_BYTES``. Chunks have numbers,
+    and the ids of chunk k are ``sizes[k]`` from ``starts[k]`` on in ``ids``."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.n_ids = self.n_bytes = 0
+
+    def _learn(self, new: set[bytes]) -> None:
+        # A full stop or comma after a letter or digit is a word of its own.
+        ended = [c for c in new if c[-1] in b".," and c[-2:-1].isalnum()]
+        whole = list({c for c in new.difference(ended) | {c[:-1] for c in ended} | {b".", b","} if c not in self.known})
+        found = _encode(*_tokenizer(self.path), [c.decode("utf-8", "replace") for c in whole])
+        number = dict(zip(whole, found, strict=True))
+
+        def ids_of(c: bytes) -> bytes:
+            if (ids := number.get(c)) is not None:
+                return ids
+            k = self.known[c]
+            return self.ids[self.starts[k]:self.starts[k] + self.sizes[k]].tobytes()
+
+        marks = {c: ids_of(c) for c in (b".", b",")}
+        self._append(whole + ended, found + [ids_of(c[:-1]) + marks[c[-1:]] for c in ended])
+
+    def _append(self, chunks: list[bytes], found: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        n, total = len(self.known), int(sizes.sum())
+        # Room doubles, so that what is held is copied a fixed number of times.
+        if n + len(chunks) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.empty(len(x) + len(chunks), np.int64)]) for x in (self.starts, self.sizes))
+        if self.n_ids + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + total, np.uint32)])
+        self.sizes[n:n + len(chunks)] = sizes
+        self.starts[n:n + len(chunks)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.ids[self.n_ids:self.n_ids + total] = np.frombuffer(b"".join(found), "<u4")
+        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.n_ids += total
+        self.n_bytes += sum(map(len, chunks)) + 4 * total + CHUNK_BYTES * len(chunks)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row (without end ids), and how many each has."""
+        if self.n_bytes > KNOWN_BYTES:
+            self._clear()
+        chunks = [chunks_of(t) for t in texts]
+        row = list(chain.from_iterable(chunks))
+        at = np.fromiter(map(self.known.get, row, repeat(-1)), np.int64, len(row))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [row[i] for i in missing.tolist()]
+            self._learn(set(new))
+            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        n = self.sizes[at]
+        stops = np.cumsum(n)
+        ids = self.ids[np.repeat(self.starts[at] - (stops - n), n) + np.arange(int(n.sum()))]
+        ends = np.r_[0, stops][np.cumsum([0, *map(len, chunks)])]
+        return ids, np.diff(ends)
+
+
 def encode(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids of each text (without the end id) as little-endian unsigned 32-bit;
-    a chunk goes through the tokenizers library once a worker."""
-    tokenizer, ends_word, caches = _tokenizer(path)
-    if len(caches[0]) > CACHE_CHUNKS // 2:
-        caches[:] = {}, caches[0]
-    known, older = caches
-    chunks = [chunks_of(t) for t in texts]
-    new = set(chain.from_iterable(chunks)).difference(known)
-    again = new.intersection(older)
-    known.update((c, older[c]) for c in again)
-    new -= again
-    # A full stop or comma after a letter or digit is a word of its own.
-    ended = {c for c in new if c[-1] in b".," and c[-2:-1].isalnum()}
-    whole = list((new - ended) | {c[:-1] for c in ended if c[:-1] not in known} | ({b".", b","} - known.keys()))
-    known.update(zip(whole, _encode(tokenizer, ends_word, [c.decode("utf-8", "replace") for c in whole]), strict=True))
-    known.update((c, known[c[:-1]] + known[c[-1:]]) for c in ended)
-    get = known.__getitem__
-    return [b"".join(map(get, cs)) for cs in chunks]
+    """Ids of each text (without the end id) as little-endian unsigned 32-bit."""
+    ids, sizes = Encoder(path).encode(texts)
+    return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])] if texts else []
 
 
 def _pack(array: np.ndarray) -> bytes:
@@ -221,32 +274,43 @@ def _pack(array: np.ndarray) -> bytes:
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
-    end = np.array([end_id], dtype="<u4").tobytes()
-
-    def shard(part: int, seq: int, doc_ids: list, ids: list[bytes]) -> dict:
-        sizes = np.array([len(x) // 4 for x in ids], dtype="<i8")
-        m = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4"))
+    def shard(part: int, seq: int, doc_ids: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray]) -> dict:
+        doc_ids = np.concatenate(doc_ids)
+        m = WaveletMatrix.build(np.concatenate(ids))
         return {
-            "first_doc": doc_ids[0], "part": part, "seq": seq, "n_tokens": m.n, "doc_ids": _pack(np.array(doc_ids, dtype="<i8")),
-            "doc_sizes": _pack(sizes), "alphabet": _pack(m.alphabet.astype("<u4")), "zeros": m.zeros,
+            "first_doc": int(doc_ids[0]), "part": part, "seq": seq, "n_tokens": m.n, "doc_ids": _pack(doc_ids.astype("<i8")),
+            "doc_sizes": _pack(np.concatenate(sizes).astype("<i8")), "alphabet": _pack(m.alphabet.astype("<u4")), "zeros": m.zeros,
             "planes": [_pack(p) for p in m.planes], "ranks": [_pack(r.astype("<u4")) for r in m.ranks]}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, doc_ids, ids, held = None, 0, [], [], 0
+        encoder, part, seq, held = Encoder(path), None, 0, 0
+        doc_ids, sizes, ids = [], [], []
         names = ["first_doc", "part", "seq", "n_tokens", "doc_ids", "doc_sizes", "alphabet", "zeros", "planes", "ranks"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
         for some in slices(batches, "text"):
             part = some.column("part")[0].as_py()
-            for d, x in zip(some.column("doc_id").to_pylist(), encode(as_bytes(some.column("text")), path), strict=True):
-                doc_ids.append(d)
-                ids.append(x + end)
-                held += len(x) // 4 + 1
+            found, n = encoder.encode(as_bytes(some.column("text")))
+            docs = some.column("doc_id").to_numpy(zero_copy_only=False)
+            found = np.insert(found, np.cumsum(n), end_id)
+            n = n + 1
+            # Whole documents up to the one that fills the shard, again and again.
+            a, stops = 0, np.cumsum(n)
+            while a < len(n):
+                before = int(stops[a - 1]) if a else 0
+                b = min(len(n), int(np.searchsorted(stops, before + shard_tokens - held)) + 1)
+                doc_ids.append(docs[a:b])
+                sizes.append(n[a:b])
+                ids.append(found[before:stops[b - 1]])
+                held += int(stops[b - 1]) - before
+                a = b
                 if held >= shard_tokens:
-                    yield pa.RecordBatch.from_pylist([shard(part, seq, doc_ids, ids)], schema=schema)
-                    seq, doc_ids, ids, held = seq + 1, [], [], 0
+                    yield pa.RecordBatch.from_pylist([shard(part, seq, doc_ids, sizes, ids)], schema=schema)
+                    seq, held, doc_ids, sizes, ids = seq + 1, 0, [], [], []
         if doc_ids:
-            yield pa.RecordBatch.from_pylist([shard(part, seq, doc_ids, ids)], schema=schema)
+            yield pa.RecordBatch.from_pylist([shard(part, seq, doc_ids, sizes, ids)], schema=schema)
+        del encoder, doc_ids, sizes, ids
+        release_memory()
 
     return run
 
