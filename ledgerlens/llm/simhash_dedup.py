@@ -19,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,16 +60,23 @@ def simhash(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp``: one row per row of ``docs`` (null text: empty), fp as a
-    signed long. Other columns, whatever their names, are not read."""
+    """``doc_id, text_hash, fp``: one row per row of ``docs`` (null text: empty),
+    fp as a signed long, text_hash as :func:`_text_hash`. Other columns, whatever
+    their names, are not read."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             fps = np.array([simhash(t, shingle_words) for t in as_bytes(part.column("text"))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(fps)], names=["doc_id", "text_hash", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, "doc_id long, text_hash long, fp long")
+
+
+def _text_hash(text_col: str = "text") -> Column:
+    """A hash that tells texts of one doc_id apart, null from empty too."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(text.isNull(), text)
 
 
 def grid_cells(fps: DataFrame) -> DataFrame:
@@ -218,24 +225,37 @@ def dedup_components(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bi
     component its component_id is null. Repeated rows give repeated rows; an
     empty table gives an empty result.
     """
+    return _labelled(docs, shingle_words, max_bits).select("doc_id", "fp", "component_id")
+
+
+def _labelled(docs: DataFrame, shingle_words: int, max_bits: int) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id, root`` of every row; root is the
+    least fingerprint of the row's component."""
     fps = cut_lineage(fingerprints(docs, shingle_words))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected(fingerprint_links(first.select("fp"), max_bits))
     labels = first.join(roots, first.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = labels.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = labels.join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = labels.join(least, "root").select("fp", "component_id", "root")
+    return fps.join(labels, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group one, that of the smallest
-    doc_id (of equal rows with that id, one). Rows without doc_id cannot be
-    named by a group and stay."""
-    found = dedup_components(docs.select("doc_id", "text"), shingle_words, max_bits)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    # doc_id names a document; of rows that repeat it one stays. The row limit
-    # works before the shuffle, and the join reuses the partitioning by doc_id.
-    pick = W.partitionBy("doc_id").orderBy("text")
-    rows = docs.where("doc_id is not null").select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    once = rows.withColumn("nth", F.row_number().over(pick)).where("nth = 1").join(kept, "doc_id", "left_semi")
-    return once.select("row.*").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` that stay: of each component exactly one, that of the
+    smallest doc_id. Rows without doc_id belong to components like others, and
+    one stays where a component has no other. Of rows that share the smallest
+    doc_id with several texts the one of least hash stays, of equal rows one.
+    """
+    found = _labelled(docs.select("doc_id", "text"), shingle_words, max_bits)
+    # Partial minima before the shuffle: a component of a third of all rows
+    # sends one row a task.
+    chosen = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("row"))
+    chosen = chosen.select(F.coalesce("row.doc_id", F.lit(0)).alias("kept_id"), F.col("row.no_id").alias("kept_no_id"), F.col("row.text_hash").alias("kept_hash"))
+    keys = ["kept_id", "kept_no_id", "kept_hash"]
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("kept_id"), F.col("doc_id").isNull().alias("kept_no_id"), _text_hash().alias("kept_hash"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(chosen, keys, "left_semi")
+    # Only equal rows (of one id and text) still repeat; the row limit works
+    # before the shuffle.
+    once = rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("row")))).where("nth = 1")
+    return once.select("row.*")
