@@ -15,21 +15,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ledgerlens.llm.common import as_bytes, cut_lineage, slices
+from ledgerlens.llm.common import as_bytes, cut_lineage, release_memory, sample_hash, slices
 
-#: Bounds of the samples of labelled rows (for the word lists of labellers) and
-#: of documents (for the scorer), by smallest hash of the document's id.
+#: Bounds of the samples of labelled rows of either class (for the word lists of
+#: labellers) and of documents (for the scorer), by smallest hash of id and text;
+#: rows that repeat both count once.
 LABELLED_DOCS = 10_000
 TRAIN_DOCS = 10_000
 BUCKETS = 1 << 20
 #: A posterior above which a document is rejected.
 REJECT = 0.5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 # Votes.
 YES, NO, ABSTAIN = 1, 0, 2
@@ -116,14 +117,17 @@ _MEASURES = np.array([xxhash.xxh32_intdigest(b"m" + name.encode()) % BUCKETS for
 
 
 class Words:
-    """The words a worker has met, with what ``analyse`` says, by number."""
+    """The words a task has met, with what ``analyse`` says, by number, and which
+    of their terms are in ``lists``. Arrays have room beyond the known words."""
 
-    def __init__(self):
+    def __init__(self, lists: np.ndarray | None = None):
+        self.lists = np.empty(0, np.int64) if lists is None else lists
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[bytes, int] = {}
         self.terms, self.flags, self.forms = np.zeros((0, 3), np.int64), np.zeros((0, 4), bool), np.zeros(0, np.int64)
+        self.listed = np.zeros((0, 3), bool)
 
     def number(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts in a row, and how many each text has."""
@@ -132,8 +136,14 @@ class Words:
         tokens = [t.split() for t in texts]
         new = list(set(chain.from_iterable(tokens)).difference(self.known))
         if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.terms, self.flags, self.forms = (np.concatenate(x) for x in zip((self.terms, self.flags, self.forms), analyse(new), strict=True))
+            n, stop = len(self.known), len(self.known) + len(new)
+            self.known.update(zip(new, range(n, stop), strict=True))
+            terms, flags, forms = analyse(new)
+            if stop > len(self.forms):  # twice the room, so that copies stay in proportion
+                self.terms, self.flags, self.forms, self.listed = (
+                    np.concatenate([x, np.zeros((stop, *x.shape[1:]), x.dtype)]) for x in (self.terms, self.flags, self.forms, self.listed))
+            self.terms[n:stop], self.flags[n:stop], self.forms[n:stop] = terms, flags, forms
+            self.listed[n:stop] = np.isin(terms, self.lists)
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(tokens)), np.int64, int(sizes.sum())), sizes
 
@@ -154,14 +164,6 @@ class Words:
         return np.stack([upper, marked, lone, np.array(again), long, share(runs)], axis=1)
 
 
-def _by_hash(rows: DataFrame, bound: int, salt: int) -> Column:
-    """Condition on ``doc_id`` that holds for about ``bound`` of the ids in
-    ``rows``, those of smallest hash, and for all if there are fewer."""
-    h = F.abs(F.xxhash64(F.col("doc_id").cast("string"), F.lit(salt)) % F.lit(1 << 40))
-    top = rows.select(h.alias("h")).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    return h <= F.lit(-1 if top is None else top)
-
-
 @arrow_udf(T.LongType())
 def copy_key(texts: pa.Array) -> pa.Array:
     """Least hash of a text's runs of five words: near copies mostly agree."""
@@ -176,8 +178,15 @@ def copy_key(texts: pa.Array) -> pa.Array:
 def word_lists(labelled: DataFrame, bound: int = LABELLED_DOCS) -> np.ndarray:
     """Terms over-represented in the toxic texts of a bounded sample of rows
     ``doc_id, text, toxic``, of near copies one: each in five or more of them
-    and in two of a hundred, and at ten times the rate in the others."""
-    sample = labelled.where(_by_hash(labelled, bound, 5)).select("text", "toxic", copy_key("text").alias("key"))
+    and in two of a hundred, and at ten times the rate in the others. The bound
+    holds for either class by itself, so rare toxic texts are all used; of rows
+    that repeat an id and a text one counts."""
+    classes = []
+    for toxic in (0, 1):
+        mine = labelled.where(F.col("toxic") == toxic)
+        h, chosen = sample_hash(mine, bound, 5, "doc_id", "text")
+        classes.append(mine.where(chosen).withColumn("h", h).dropDuplicates(["h"]))
+    sample = classes[0].unionByName(classes[1]).select("text", "toxic", copy_key("text").alias("key"))
     # Of copies any may stand for the others; the least text makes it the same.
     sample = sample.groupBy("key", "toxic").agg(F.min("text").alias("text"))
 
@@ -290,19 +299,19 @@ def _votes(lists: np.ndarray):
     low, high = (np.array([r[k] for r in STYLE_RULES]) for k in (1, 2))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
+        words = Words(lists)
         for part in slices(batches, "text"):
             texts = as_bytes(part.column("text"))
             numbers, sizes = words.number(texts)
             measures = words.measures(texts, numbers, sizes)
             doc, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes)
-            listed = np.isin(words.terms, lists)
-            hit = np.stack([np.bincount(doc[listed[numbers, k]], minlength=len(texts)) > 0 for k in range(len(LIST_RULES))], axis=1)
+            hit = np.stack([np.bincount(doc[words.listed[numbers, k]], minlength=len(texts)) > 0 for k in range(len(LIST_RULES))], axis=1)
             row = np.concatenate([
                 np.where(measures >= high, YES, ABSTAIN), np.where((measures <= low).all(axis=1), NO, ABSTAIN)[:, None],
                 np.where(hit, YES, ABSTAIN), np.where(hit.any(axis=1) | (not len(lists)), ABSTAIN, NO)[:, None]], axis=1)
             terms, forms, shares = [], [], []
-            for i, sampled in enumerate(part.column("sampled").to_pylist()):
+            for i, chosen in enumerate(part.column("sampled").to_pylist()):
+                sampled = chosen is not None
                 mine = np.unique(numbers[ends[i] - sizes[i]:ends[i]]) if sampled else numbers[:0]
                 t = words.terms[mine]
                 at, x = _style_features(words.forms[numbers[ends[i] - sizes[i]:ends[i]]], measures[i]) if sampled else (mine, mine.astype(float))
@@ -311,6 +320,8 @@ def _votes(lists: np.ndarray):
                 shares.append(x.tolist())
             votes = ["".join(map(str, r)) for r in row.tolist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("sampled"), pa.array(votes, pa.string()), pa.array(terms, pa.list_(pa.int32())), pa.array(forms, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "sampled", "votes", "terms", "forms", "shares"])
+        del words
+        release_memory()
 
     return run
 
@@ -329,9 +340,13 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     gold = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = gold.where("toxic in (0, 1)")
-    lists = word_lists(text.join(marked.where(_by_hash(marked, labelled_docs, 5)), "doc_id"), labelled_docs)
-    rows = text.select("doc_id", "text", _by_hash(text, train_docs, 9).alias("sampled"))
-    voted = rows.mapInArrow(_votes(lists), "doc_id long, sampled boolean, votes string, terms array<int>, forms array<int>, shares array<double>")
+    # Ids first, so that only texts of the sample are read for the word lists.
+    some = [marked.where(F.col("toxic") == k) for k in (0, 1)]
+    some = [m.where(sample_hash(m, labelled_docs, 5, "doc_id")[1]) for m in some]
+    lists = word_lists(text.join(some[0].unionByName(some[1]), "doc_id"), labelled_docs)
+    h, chosen = sample_hash(text, train_docs, 9, "doc_id", "text")
+    rows = text.select("doc_id", "text", F.when(chosen, h).alias("sampled"))
+    voted = rows.mapInArrow(_votes(lists), "doc_id long, sampled long, votes string, terms array<int>, forms array<int>, shares array<double>")
     voted = cut_lineage(voted)
     said = lambda c, bad: F.when(F.col(c) == bad, str(YES)).when(F.col(c) == 1 - bad, str(NO)).otherwise(str(ABSTAIN))
     # One row a pattern: at most three to the number of labellers.
@@ -347,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
         post, accuracy = estimate(table, sums.to_numpy(float), prior)
         posterior.append(dict(zip(sums.index, post, strict=True)))
         accuracies.append(accuracy)
-    train = voted.where("sampled").join(gold, "doc_id", "left").select("doc_id", "votes", said("quality", 0).alias("q"), said("toxic", 1).alias("t"), "terms", "forms", "shares") \
+    train = voted.where("sampled is not null").dropDuplicates(["sampled"]).join(gold, "doc_id", "left").select("doc_id", "votes", said("quality", 0).alias("q"), said("toxic", 1).alias("t"), "terms", "forms", "shares") \
         .toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     votes = train.column("votes").to_pylist()
     bad_style = np.array([posterior[0][v[:n_style] + q] for v, q in zip(votes, train.column("q").to_pylist(), strict=True)])
@@ -379,13 +394,16 @@ def scorer(docs: DataFrame, model: QualityModel):
                 formed = np.bincount(doc, weights=m.style[words.forms[numbers]], minlength=len(texts)) / np.maximum(sizes, 1)
                 bad = m.style_bias + _SHARE * (formed + words.measures(texts, numbers, sizes) @ m.style[_MEASURES])
                 # Most words weigh nothing; each bucket counts once a text.
-                weigh = (m.toxic[words.terms % BUCKETS] != 0) & (words.terms >= 0)
-                rows = np.unique(np.concatenate([(words.terms[numbers, k] % BUCKETS << 24 | doc)[weigh[numbers, k]] for k in range(3)]))
+                here = words.terms[numbers]
+                weigh = (m.toxic[here % BUCKETS] != 0) & (here >= 0)
+                rows = np.unique(np.concatenate([(here[:, k] % BUCKETS << 24 | doc)[weigh[:, k]] for k in range(3)]))
                 toxic = np.bincount(rows & 0xFFFFFF, weights=m.toxic[rows >> 24], minlength=len(texts))
                 quality.append(1 / (1 + np.exp(np.clip(bad, -30, 30))))
                 toxicity.append(1 / (1 + np.exp(-np.clip(m.toxic_bias + toxic, -30, 30))))
             join = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0))
             yield pa.StructArray.from_arrays([join(quality), join(toxicity)], names=["quality", "toxicity"])
+        del words
+        release_memory()
 
     return score
 
