@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import crc_mod, slices
+from ledgerlens.llm.common import crc_mod, sample_hash, slices
 
 #: Bound of the labelled sample that the model is fitted on, by smallest hash of
-#: the document's id.
+#: the document's id, text and language.
 TRAIN_DOCS = 12_000
 BUCKETS = 1 << 16
 SWITCH_PENALTY = 6.0
@@ -28,6 +28,8 @@ SMOOTHING = 0.05
 #: A language is a candidate for a script that this share of its letters is in.
 MIN_SCRIPT_SHARE = 0.002
 UNKNOWN = "und"
+#: Score of a word in a language that is no candidate for its script.
+NEVER = -1e9
 CACHE_WORDS = 200_000
 
 # Scripts by ranges of code points.
@@ -81,22 +83,32 @@ class LanguageModel:
     allowed: np.ndarray
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Scores of words by languages; a language that is no candidate for a
-        word's script loses 50, unless none is."""
+        """Scores of words by languages. Words are scored by the candidates for
+        their script alone (by all languages, where a script has none); the others
+        are out of the question: no text is long enough to make one worth it."""
         at, starts, scripts = trigrams(words)
-        scores = np.add.reduceat(self.log_p.T[at], starts, axis=0)
-        may = self.allowed.T[scripts]
-        return np.where(may | ~may.any(axis=1, keepdims=True), scores, scores - 50.0)
+        sizes = np.diff(np.r_[starts, len(at)])
+        out = np.full((len(words), len(self.langs)), NEVER, np.float32)
+        for script in np.unique(scripts):
+            mine = np.flatnonzero(scripts == script)
+            candidates = np.flatnonzero(self.allowed[:, script])
+            candidates = candidates if len(candidates) else np.arange(len(self.langs))
+            n = sizes[mine]
+            first = np.cumsum(n) - n
+            grams = at[np.repeat(starts[mine] - first, n) + np.arange(int(n.sum()))]
+            out[mine[:, None], candidates] = np.add.reduceat(self.log_p[candidates][:, grams].T, first, axis=0)
+        return out
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> LanguageModel:
     """The model of the texts and non-null languages of ``docs``, from a sample
-    of at most ``train_docs`` rows (smallest hash of doc_id). Trigram counts are
-    summed by Spark; the driver gets at most languages x buckets of them."""
+    of at most ``train_docs`` rows (smallest hash of doc_id and text, of rows
+    that repeat both one). Trigram counts are summed by Spark; the driver gets at
+    most languages x buckets of them."""
     sample = docs.where("text is not null and lang is not null").select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    # Ids first: only the sample's texts are moved.
-    bound = sample.select(F.xxhash64(F.col("d").cast("string"), F.lit(11)).alias("h")).orderBy("h").limit(train_docs).agg(F.max("h")).first()[0]
-    sample = sample.where(F.xxhash64(F.col("d").cast("string"), F.lit(11)) <= F.lit(bound)) if bound is not None else sample.limit(0)
+    # Hashes first: only the sample's texts are moved.
+    h, chosen = sample_hash(sample, train_docs, 11, "d", "text", "lang")
+    sample = sample.where(chosen).withColumn("h", h).dropDuplicates(["h"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
