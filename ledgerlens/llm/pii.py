@@ -56,6 +56,8 @@ SSN_WORDS = r"(?i)\b(?:ssn|social security|social insurance|tax id)\b"
 #: they add to its score.
 NEAR = 48
 CONTEXT_GAIN = 0.25
+#: Proposals that are walked through at a time.
+STEP = 256
 #: A span that the method adds needs this score; base spans stay at any score.
 MIN_SCORE = 0.5
 
@@ -132,20 +134,34 @@ _SPAN = "array<struct<rank:int,start:int,end:int,kind:string,score:double>>"
 
 
 def _spans(text: Column, kind: Kind) -> Column:
-    """Confirmed spans of a kind: code points, end exclusive, in order."""
+    """Confirmed spans of a kind: code points, end exclusive, in order.
+
+    Proposals are walked through in blocks of ``STEP``, each from place 0, and only
+    confirmed ones are kept; then the blocks are moved to their places. Appending
+    to one array for the whole text would copy it at every span.
+    """
     pieces, hits = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<start:int,end:int,hit:string>>").alias("found"))
+    state = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<struct<start:int,end:int>>").alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc.getField("at") + F.length(x.getField("p"))
         end = start + F.length(x.getField("h"))
-        return F.struct(end.alias("at"), F.concat(acc.getField("found"), F.array(
-            F.struct(start.alias("start"), end.alias("end"), x.getField("h").alias("hit")))).alias("found"))
+        more = F.concat(acc.getField("found"), F.array(F.struct(start.alias("start"), end.alias("end"))))
+        if kind.confirm is not None:
+            more = F.when(kind.confirm(x.getField("h")), more).otherwise(acc.getField("found"))
+        return F.struct(end.alias("at"), more.alias("found"))
+
+    def moved(acc: Column, x: Column) -> Column:
+        part = F.transform(x.getField("found"), lambda s: F.struct((s.getField("start") + acc.getField("at")).alias("start"), (s.getField("end") + acc.getField("at")).alias("end")))
+        return F.struct((acc.getField("at") + x.getField("at")).alias("at"), F.concat(acc.getField("parts"), F.array(part)).alias("parts"))
+
+    def walked(ps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(ps) - 1, F.lit(0)), F.lit(STEP)), lambda i: F.aggregate(F.slice(ps, i + 1, F.lit(STEP)), state, step))
+        start = F.struct(F.lit(0).alias("at"), F.lit([]).cast("array<array<struct<start:int,end:int>>>").alias("parts"))
+        return F.aggregate(blocks, start, moved, lambda acc: F.flatten(acc.getField("parts")))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("p"), h.alias("h")))
-    found = F.aggregate(pairs, state, step, lambda acc: acc.getField("found"))
-    if kind.confirm is not None:
-        found = F.filter(found, lambda s: kind.confirm(s.getField("hit")))
+    found = F.element_at(F.transform(F.array(pairs), walked), 1)  # proposals are found once
     rank = ORDER.index(kind.name)
 
     def scored(s: Column) -> Column:
