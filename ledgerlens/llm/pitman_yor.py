@@ -759,28 +759,30 @@ def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states:
         for s, docs, size in zip(entries["slices"], entries["docs"], entries["sizes"], strict=True):
             d, k, m = doc[at:at + size], kind[at:at + size], n[at:at + size]
             at += size
-            sums = [np.bincount(d, weights=w, minlength=docs) for w in (m * log_base[k], m * log_p[k], m * known[k])]
-            yield s, _pack(sums[0], sums[1].astype(np.float32), sums[2].astype(np.uint32))
+            # Sums of the documents that hold words of this part, no others.
+            held_docs, d = np.unique(d, return_inverse=True)
+            sums = [np.bincount(d, weights=w) for w in (m * log_base[k], m * log_p[k], m * known[k])]
+            yield s, _pack(held_docs.astype(np.uint16), sums[0], sums[1], sums[2].astype(np.uint32))
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(docs: tuple, sums: list[np.ndarray]) -> pa.RecordBatch:
             ids, missing, out, tokens = docs
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=missing), pa.array(out), pa.array(tokens.astype(np.int64)), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                [pa.array(ids, mask=missing), pa.array(out), pa.array(tokens.astype(np.int64)), pa.array(sums[2, :len(ids)].astype(np.int64)), pa.array(sums[0, :len(ids)]), pa.array(sums[1, :len(ids)])],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-        now, docs, sums = None, None, []
+        now, docs, sums = None, None, np.zeros((3, 65_536))
         for batch in batches:
             for s, data, is_docs in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist(), batch.column("docs").to_pylist(), strict=True):
                 if s != now and docs is not None:
                     yield done(docs, sums)
-                    docs, sums = None, []
+                    docs, sums = None, np.zeros((3, 65_536))
                 now = s
                 got = _unpack(data)
                 if is_docs:
                     docs = got
                 else:
-                    sums = [a + b for a, b in zip(sums, got, strict=True)] if sums else [x.astype(np.float64) for x in got]
+                    sums[:, got[0]] += np.stack(got[1:])  # a part names a document once
         if docs is not None:
             yield done(docs, sums)
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from test_text_operators import LONG, ODD, docs
 
 import corpus_pipeline
-from ledgerlens.llm import ann, mixing, pitman_yor, quality, simhash_dedup
-from ledgerlens.llm.common import table
-from ledgerlens.llm.queries import ORACLE_SQL, QUERIES
+from ledgerlens.llm import ann, mixing, pitman_yor, quality, simhash_dedup, token_store
+from ledgerlens.llm.common import sample_hash, table
+from ledgerlens.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 # ---------------------------------------------------------------- 2
 
@@ -454,3 +454,39 @@ def test_pipeline_stages_take_effect(spark):
     assert n[0] > 0.6 * len(before) and n[3] == n[4] > 0
     final = corpus_pipeline.run(spark, SMALL)
     assert final.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and final.count() == n[4]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b = " ".join(f"word{i}" for i in range(80)), " ".join(f"other{i}" for i in range(80))
+    rows = [(2, a, "en", "s"), (5, a, "en", "s"), (5, b, "en", "s"), (None, a, "en", "s"), (None, a, "en", "s"), (None, "only here " + b[::-1], "en", "s"),
+            (9, None, "en", "s"), (9, "", "en", "s"), (9, "", "en", "s")]
+    got = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(docs(spark, rows)).collect()]
+    assert Counter(got) - Counter([(9, None), (9, "")]) == Counter([(2, a), (5, b), (None, "only here " + b[::-1])])
+    assert len(got) == 4
+    assert simhash_dedup.keep_one(docs(spark, [])).count() == 0
+
+
+def test_samples_hold_their_bound_and_no_id_crowds_others_out(spark):
+    hot = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same text").alias("text"))
+    other = spark.range(2_000).select((F.col("id") + 10).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = hot.unionByName(other)
+    h, chosen = sample_hash(rows, 1000, 9, "doc_id", "text")
+    picked = rows.where(chosen).withColumn("h", h).dropDuplicates(["h"])
+    assert picked.count() == 1000 and picked.select("doc_id").distinct().count() >= 999
+    h, chosen = sample_hash(rows, 5000, 9, "doc_id", "text")
+    assert rows.where(chosen).withColumn("h", h).dropDuplicates(["h"]).count() == 2001
+    assert rows.limit(0).where(sample_hash(rows.limit(0), 10, 1, "doc_id")[1]).count() == 0
+
+
+def test_shards_of_slices_equal_shards_of_texts(spark):
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["word", "Word.", "x,", "12.5", "naïve", "日本", "a" * 40, "<|endoftext|>", "end.."]) + str(rnd.randint(0, 30)) for _ in range(rnd.randint(0, 60))).encode() for _ in range(200)]
+    whole = token_store.encode(texts, tokenizer_path())
+    encoder = token_store.Encoder(tokenizer_path())
+    parts = []
+    for a in range(0, 200, 7):
+        if a % 3 == 0:
+            encoder.n_bytes = token_store.KNOWN_BYTES + 1  # starts anew
+        ids, sizes = encoder.encode(texts[a:a + 7])
+        parts += [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert parts == whole == [token_store.encode([t], tokenizer_path())[0] for t in texts]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -288,3 +289,31 @@ def test_languages_of_odd_rows_and_nothing_learned(spark):
     none = langid.identify(docs(spark, [(i, "some words", None, "s") for i in range(20)])).collect()
     assert len(none) == 20 and {r.lang_pred for r in none} == {"und"}
     assert langid.identify(docs(spark, [])).count() == 0
+
+
+def test_many_proposals_in_one_text_cost_in_proportion(spark):
+    text = "".join(f"{i % 90 + 10}.{i % 7} x " for i in range(40_000)) + "mail a@b.cd ip 10.0.0.1 card 4111 1111 1111 1111 call +49 30 1234567"
+    df = spark.createDataFrame([(1, text), (2, "a@b.cd " * 3000)], "doc_id long, text string")
+    begun = time.monotonic()
+    got = {r.doc_id: r for r in pii.find_spans(df).collect()}
+    assert time.monotonic() - begun < 60  # a quadratic walk takes minutes
+    assert [text[s.start:s.end] for s in got[1].base] == ["a@b.cd", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567"]
+    assert [(s.start, s.end) for s in got[2].base] == [(7 * i, 7 * i + 6) for i in range(3000)]
+
+
+def test_scripts_narrow_long_words_too(spark):
+    rnd = random.Random(11)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    latin, cyrillic = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
+    rows = [(i, " ".join(word(cyrillic if i % 2 else latin, rnd.randint(3, 9)) for _ in range(40)), "ru" if i % 2 else "en", "s") for i in range(200)]
+    model = langid.fit(docs(spark, rows))
+    scores = dict(zip(("qxzqxzqxzw" * 4, "щыэщыэщыэъ" * 4), model.word_scores(["qxzqxzqxzw" * 4, "щыэщыэщыэъ" * 4]), strict=True))
+    assert [model.langs[int(s.argmax())] for s in scores.values()] == ["en", "ru"]
+    mixed = docs(spark, [(1, "qxzqxzqxzw" * 4 + " " + "щыэщыэщыэъ" * 4, None, None)])
+    assert [s.lang for s in langid.label_spans(mixed, model).first().spans] == ["en", "ru"]
+
+
+def test_language_sample_is_not_crowded_out_by_one_document(spark):
+    rows = [(7, "dasselbe wort immer wieder", "de", "s")] * 600 + [(100 + i, f"the word number {i} here", "en", "s") for i in range(300)]
+    model = langid.fit(docs(spark, rows), train_docs=50)
+    assert set(model.langs) <= {"de", "en"} and "en" in model.langs
