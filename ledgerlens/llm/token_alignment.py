@@ -57,18 +57,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, shared_path, slices
+from ledgerlens.llm.common import as_bytes, release_memory, shared_path, slices
 
 PART_BYTES = 1 << 16
 FANOUT = 8
 #: Text that a block holds.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 #: Chunks that are encoded as one text, and the length of a chunk that is
 #: encoded by itself.
 LINE_CHUNKS = 100
 LONG_CHUNK = 1000
-#: Chunks that a task remembers before it starts anew (some 80 MB).
-KNOWN_CHUNKS = 200_000
+#: Chunks that a task remembers before it starts anew (some 50 MB).
+KNOWN_CHUNKS = 120_000
 # Fixed value: how byte-level BPE cuts a text before its merges.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -453,6 +453,8 @@ def _align_texts(path_a: str, path_b: str):
         aligner = Aligner(path_a, path_b)
         for n, some in enumerate(slices(batches, "text", BLOCK_BYTES)):
             yield block(_block_number(0, n), some.column("doc_id").to_pylist(), as_bytes(some.column("text")), aligner)
+        del aligner
+        release_memory()
 
     return run
 
