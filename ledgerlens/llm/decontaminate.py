@@ -5,23 +5,24 @@ share no word shingle with an item cannot be similar to it and are passed over;
 the others get SimHash fingerprints from running sums over the document. Each
 byte of an item's fingerprint is a block of a multi-index: if two fingerprints
 differ in at most 23 bits, one of their eight bytes differs in at most two, so
-looking up all bytes within two bits finds every fingerprint within the radius.
-Candidates are verified by the exact weighted similarity of their shingles.
+looking up all bytes within two bits finds every fingerprint within the radius,
+and the exact distance leaves those alone. A window is compared with the items
+that share a shingle with its text. Candidates are verified by the exact weighted similarity of their shingles.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ledgerlens.llm.common import as_bytes
+from ledgerlens.llm.common import as_bytes, shared_path
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
@@ -110,40 +111,48 @@ class Index:
         self.groups: dict[int, list[Item]] = defaultdict(list)  # by number of words
         for item in held:
             self.groups[item.n].append(item)
-        by_k: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        for item in held:
-            for h in item.hashes.tolist():
-                by_k[item.k][h].add(item.n)
-        #: By shingle length: sorted hashes, the items' lengths of each, a filter.
+        by_k: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        for n, items_of in self.groups.items():
+            for j, item in enumerate(items_of):
+                by_k[item.k].update((h, n, j) for h in item.hashes.tolist())
+        #: By shingle length: sorted hashes, where the items of each begin, those
+        #: items (number of words, place in its group), a filter.
         self.known = {}
-        for k, lengths in by_k.items():
-            keys = np.array(sorted(lengths), np.uint64)
+        for k, held_by in by_k.items():
+            rows = sorted(held_by)
+            keys, first = np.unique(np.array([h for h, _, _ in rows], np.uint64), return_index=True)
             seen = np.zeros(1 << 18, bool)
             seen[keys >> np.uint64(46)] = True
-            self.known[k] = (keys, [lengths[int(h)] for h in keys], seen)
+            self.known[k] = (keys, np.append(first, len(rows)), np.array([(n, j) for _, n, j in rows], np.int64), seen)
         self.fingerprints = {n: np.array([x.fingerprint for x in xs], np.uint64) for n, xs in self.groups.items()}
         #: By number of words: [block, byte, item] tells a block within its radius.
         self.blocks = {n: np.stack([_NEAR[:, row] for row in f.astype("<u8").view(np.uint8).reshape(-1, _BLOCKS).T]) for n, f in self.fingerprints.items()}
 
-    def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """Positions of shingles of items, by the items' numbers of words."""
-        out: dict[int, list[int]] = defaultdict(list)
-        for k, (keys, lengths, seen) in self.known.items():
+    def hits(self, words: np.ndarray) -> np.ndarray:
+        """Rows (position, item's number of words, item's place in its group) of
+        all shingles of items, by position."""
+        out = [np.empty((0, 3), np.int64)]
+        for k, (keys, first, items, seen) in self.known.items():
             h = shingle_hashes(words, k)
             at = np.flatnonzero(seen[h >> np.uint64(46)])
             if not len(at):
                 continue
             place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
             ok = keys[place] == h[at]
-            for p, i in zip(at[ok].tolist(), place[ok].tolist(), strict=True):
-                for n in lengths[i]:
-                    out[n].append(p)
-        return {n: np.array(sorted(p)) for n, p in out.items()}
-
-    def matches(self, words: np.ndarray, sizes: np.ndarray, hits: dict[int, np.ndarray]) -> list[dict]:
-        """The best window of each item that some window is similar to."""
+            at, place = at[ok], place[ok]
+            many = first[place + 1] - first[place]
+            of = np.repeat(first[place] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            out.append(np.column_stack([np.repeat(at, many), items[of]]))
+        rows = np.concatenate(out)
+        return rows[np.lexsort(rows.T[::-1])]
+
+    def matches(self, words: np.ndarray, sizes: np.ndarray, hits: np.ndarray) -> list[dict]:
+        """The best window of each item that some window is similar to; an item
+        without a shingle in the text is similar to none."""
         best: dict[int, dict] = {}
-        for n, at in hits.items():
+        for n in np.unique(hits[:, 1]).tolist():
+            mine = hits[hits[:, 1] == n]
+            at, items = np.unique(mine[:, 0]), np.unique(mine[:, 2])
             k = min(SHINGLE_WORDS, n)
             span = min(n, len(words))  # a shorter document is one window
             last = len(words) - span
@@ -157,23 +166,27 @@ class Index:
             for a in range(0, len(starts), WINDOWS):
                 some = starts[a:a + WINDOWS]
                 for run in np.split(some, np.flatnonzero(np.diff(some) > span) + 1):
-                    self._verify(n, k, width, run, words, sizes, best)
+                    self._verify(n, k, width, run, items, words, sizes, best)
         return list(best.values())
 
-    def _verify(self, n: int, k: int, width: int, starts: np.ndarray, words: np.ndarray, sizes: np.ndarray, best: dict[int, dict]) -> None:
+    def _verify(self, n: int, k: int, width: int, starts: np.ndarray, items: np.ndarray, words: np.ndarray, sizes: np.ndarray, best: dict[int, dict]) -> None:
+        """Windows from ``starts`` against ``items`` of n words: the blocks leave
+        those that may lie within the radius, exact bits those that do, and their
+        shingles decide."""
         first, stop = int(starts[0]), int(starts[-1]) + width + k - 1
         h, w = shingle_hashes(words[first:stop], k), _sums(sizes[first:stop], k)
         total = np.concatenate([np.zeros((1, _BITS), np.int64), np.cumsum(_signed(h, w), axis=0)])
         at = starts - first
         prints = _packed(total[at + width] - total[at])
         parts = prints.astype("<u8").view(np.uint8).reshape(-1, _BLOCKS)
-        near = np.zeros((len(starts), len(self.groups[n])), bool)
+        near = np.zeros((len(starts), len(items)), bool)
         for b in range(_BLOCKS):
-            near |= self.blocks[n][b][parts[:, b]]
-        for i, j in zip(*np.nonzero(near), strict=True):
-            bits = int(prints[i] ^ self.fingerprints[n][j]).bit_count()
-            if bits > RADIUS:
-                continue
+            near |= self.blocks[n][b][:, items][parts[:, b]]
+        i, j = np.nonzero(near)
+        j = items[j]
+        distance = np.bitwise_count(prints[i] ^ self.fingerprints[n][j])
+        close = distance <= RADIUS
+        for i, j, bits in zip(i[close].tolist(), j[close].tolist(), distance[close].tolist(), strict=True):
             item, s = self.groups[n][j], int(at[i])
             likeness = item.similarity(h[s:s + width], w[s:s + width])
             if likeness >= MIN_SIMILARITY and ((old := best.get(item.id)) is None or likeness > old["similarity"]):
@@ -201,18 +214,16 @@ def _matcher(items: list[tuple[int, bytes]]):
                 hashes = word_hashes(flat)
                 # One search over the slice; what crosses a document's end goes.
                 where = index.hits(hashes)
-                per: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-                for n, at in where.items():
-                    doc = np.searchsorted(bounds, at, side="right") - 1
-                    ok = at + min(SHINGLE_WORDS, n) <= bounds[doc + 1]
-                    for d, p in zip(doc[ok].tolist(), at[ok].tolist(), strict=True):
-                        per[d][n].append(p - int(bounds[d]))
-                for d, ws in enumerate(held):
-                    if d in per:
-                        sizes = np.fromiter(map(len, ws), np.int64, len(ws))
-                        out.append(index.matches(hashes[bounds[d]:bounds[d + 1]], sizes, {n: np.array(p) for n, p in per[d].items()}))
-                    else:
+                doc = np.searchsorted(bounds, where[:, 0], side="right") - 1
+                inside = where[:, 0] + np.minimum(SHINGLE_WORDS, where[:, 1]) <= bounds[np.minimum(doc + 1, len(held))]
+                where, doc = where[inside], doc[inside]
+                edge = np.searchsorted(doc, np.arange(len(held) + 1))
+                for d, (ws, a, b) in enumerate(zip(held, edge, edge[1:], strict=False)):
+                    if a == b:
                         out.append([])
+                        continue
+                    sizes = np.fromiter(map(len, ws), np.int64, len(ws))
+                    out.append(index.matches(hashes[bounds[d]:bounds[d + 1]], sizes, where[a:b] - [int(bounds[d]), 0, 0]))
                 held.clear()
 
             for text in as_bytes(texts):
@@ -227,25 +238,19 @@ def _matcher(items: list[tuple[int, bytes]]):
     return found
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterable[list[tuple[int, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[int, bytes]], bool]]:
     """The items in blocks of about ``block_bytes`` of text, one at a time on the
-    driver; repeated rows and rows without item_id or text are left out."""
+    driver, each with whether it is the last; repeated rows and rows without
+    item_id or text are left out."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for b in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else rows
-        yield sorted((r.item_id, r.text.encode()) for r in part.toLocalIterator())
-
+        yield sorted((r.item_id, r.text.encode()) for r in part.toLocalIterator()), b == blocks - 1
 
-def matches(benchmark: DataFrame, text: Column) -> Column:
-    """Column of all matches of a text with ``benchmark``: ``(item_id,
-    similarity, start, end, bits)``, the best window of each item in words."""
-    parts = [_matcher(items)(text) for items in benchmark_blocks(benchmark) if items]
-    return F.concat(*parts) if parts else F.lit([]).cast(_MATCH_SQL)
 
-
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, item_id, similarity, start, end, bits``: one row for each row of
     ``docs`` and item that a window of its text is similar to at 0.8 or more.
 
@@ -253,11 +258,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of fewer than five words is one shingle. Null and empty texts, items without
     words and empty tables match nothing. Repeated rows match alike; two items
     of equal text both match. Other columns are not read.
-    """
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).select("doc_id", matches(benchmark, F.col("text")).alias("m"))
-    return found.select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
 
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that match no item."""
-    return docs.where(F.size(matches(benchmark, F.col("text").cast("string"))) == 0)
+    A benchmark beyond ``block_bytes`` is held against all documents block by
+    block, each block's rows written before the next one is loaded: driver and
+    tasks hold one block whatever its size.
+    """
+    spark = docs.sparkSession
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    path = None
+    for items, last in benchmark_blocks(benchmark, block_bytes):
+        found = rows.select("doc_id", F.explode(_matcher(items)(F.col("text"))).alias("m")).select("doc_id", "m.*")
+        if last and path is None:
+            return found
+        path = path or shared_path(spark, "matches")
+        found.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that match no item; what one
+    block of a large benchmark leaves is written before the next is loaded."""
+    for items, last in benchmark_blocks(benchmark, block_bytes):
+        docs = docs.where(F.size(_matcher(items)(F.col("text").cast("string"))) == 0)
+        if not last:
+            path = shared_path(docs.sparkSession, "clean")
+            docs.write.parquet(path)
+            docs = docs.sparkSession.read.parquet(path)
+    return docs

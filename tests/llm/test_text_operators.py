@@ -5,6 +5,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,13 +91,66 @@ def test_decontamination_of_odd_rows_and_empty_tables(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).count() == 0
 
 
-def test_benchmark_in_blocks_gives_the_same(spark, monkeypatch):
+def slow_contaminated(rows, bench):
+    """All windows of all items' lengths, one by one, by shingle multisets."""
+    found = {}
+    for d, text, *_ in rows:
+        words = text.lower().split()
+        for i, item in bench:
+            item = item.lower().split()
+            k, span = min(5, len(item)), min(len(item), len(words))
+            if span < k:
+                continue
+            grams = lambda ws: Counter(tuple(ws[a:a + k]) for a in range(len(ws) - k + 1))
+            weight = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+            mine = grams(item)
+            best = max(weight(mine & w) / weight(mine | w) for w in (grams(words[a:a + span]) for a in range(len(words) - span + 1)))
+            if best >= 0.8:
+                found[d, i] = best
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    rnd = random.Random(15)
+    word = lambda: rnd.choice("abcdef") * rnd.randint(1, 4) + rnd.choice("xyz")
+    bench = [(i, " ".join(word() for _ in range(rnd.choice([3, 6, 12, 12, 25, 25, 25])))) for i in range(60)]
+    bench += [(100 + i, bench[i][1]) for i in range(5)]  # items of equal text
+    rows = []
+    for d in range(80):
+        words = [word() for _ in range(rnd.randint(0, 120))]
+        for _ in range(rnd.randint(0, 3)):  # passages, some with changed, lost or doubled words
+            passage = rnd.choice(bench)[1].split()
+            for _ in range(rnd.choice([0, 0, 1, 2])):
+                at = rnd.randrange(len(passage))
+                passage[at:at + 1] = rnd.choice([[word()], [], [passage[at]] * 2])
+            at = rnd.randint(0, len(words))
+            words[at:at] = passage
+        rows.append((d, " ".join(words), "en", "s"))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs(spark, rows), items(spark, bench)).collect()}
+    want = slow_contaminated(rows, bench)
+    assert got.keys() == want.keys() and len(want) > 50
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    kept = {r.doc_id for r in decontaminate.clean(docs(spark, rows), items(spark, bench), block_bytes=900).collect()}
+    assert kept == {r[0] for r in rows} - {d for d, _ in want}
+
+
+def test_a_common_shingle_does_not_meet_all_items_of_its_length():
+    rnd = random.Random(3)
+    index = decontaminate.Index([(i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(20)).encode()) for i in range(2000)])
+    words = [f"v{i}".encode() for i in range(1800)]
+    words[900:920] = index_words = " ".join(f"w{i}" for i in range(20)).encode().split()
+    assert not len(index.hits(decontaminate.word_hashes(words)))
+    some = decontaminate.Index([(7, b" ".join(index_words)), *[(i, f"{i} x ".encode() * 10) for i in range(100, 300)]])
+    hits = some.hits(decontaminate.word_hashes(words))
+    assert set(hits[:, 2].tolist()) == {0} and len(hits) == 16
+
+
+def test_benchmark_in_blocks_gives_the_same(spark):
     bench = items(spark, [(i, " ".join(f"a{i}b{j}" for j in range(20))) for i in range(20)])
     rows = [(d, " ".join(f"a{d}b{j}" for j in range(20)), "en", "s") for d in range(40)]
     whole = sorted(map(tuple, decontaminate.contaminated(docs(spark, rows), bench).collect()))
     assert len(whole) == 20
-    monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (700,))
-    assert sorted(map(tuple, decontaminate.contaminated(docs(spark, rows), bench).collect())) == whole
+    assert sorted(map(tuple, decontaminate.contaminated(docs(spark, rows), bench, block_bytes=700).collect())) == whole
 
 
 # ---------------------------------------------------------------- 4
