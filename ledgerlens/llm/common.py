@@ -63,6 +63,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle files, and checkpoints where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, that nothing
+    refers to any more. It learns of them from the driver's garbage collection,
+    which a driver with little to do may not run for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared checkpoint folder, for a written table."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, crc_mod, cut_lineage, slices
+from ledgerlens.llm.common import as_bytes, crc_mod, cut_lineage, drop_unused, slices
 
 #: A word with this share of a part's training tokens is dealt by context.
 DEAL_SHARE = 1 / 8
@@ -47,7 +47,7 @@ SWEEPS, BURN_IN = 4, 2
 #: customers move, in so many groups.
 DIRECT, VISITS = 2048, 8
 #: Tokens of a slice of documents, and of a part of the vocabulary.
-SLICE_TOKENS, PART_TOKENS = 1_000_000, 4_000_000
+SLICE_TOKENS, PART_TOKENS = 2_000_000, 4_000_000
 MIN_PARTS = 64
 #: Most buckets of contexts.
 BUCKETS = 1024
@@ -76,6 +76,20 @@ def _unplanes(planes: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
 
 
+def _apart(x: np.ndarray) -> np.ndarray:
+    """Integers byte by byte: each byte's values compress by themselves."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+
+
+def _together(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(f"<u{len(planes)}")[:, 0]
+
+
+#: Contexts are known by the high 48 bits of their hash: of 100 million words
+#: some 20 pairs share a restaurant.
+_CONTEXT = np.uint64(0xFFFF_FFFF_FFFF_0000)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -178,6 +192,7 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             ctx = np.empty(len(h), np.uint64)
             ctx[1:] = h[:-1]
             ctx[np.append(0, ends[:-1] + 1)] = _START
+            ctx &= _CONTEXT
             contexts, ctx_place = np.unique(ctx, return_inverse=True)
             doc = np.repeat(np.arange(len(held), dtype=np.uint64), lengths + 1)
             key = np.where(own > 0, _mix(h + ctx * np.uint64(0x9E3779B97F4A7C15)), h)
@@ -204,7 +219,7 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     parts.append(p)
                     data.append(_pack(
                         np.array([len(held), n_train]), _planes(words[a:b]), own[first[a:b]], per_word[a:b].astype(np.uint32 if per_word[a:b].max() > 65535 else np.uint16),
-                        _planes(contexts[here.astype(np.int64)]), at.astype(np.uint16 if len(here) < 65_536 else np.uint32), row_doc[some].astype(np.uint16), n.astype(np.uint8 if n.max() < 256 else np.uint32)))
+                        _planes(contexts[here.astype(np.int64)]), _apart(at.astype(np.uint16 if len(here) < 65_536 else np.uint32)), _apart(row_doc[some].astype(np.uint16)), n.astype(np.uint8 if n.max() < 256 else np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([name] * len(parts), pa.int64()), pa.array(data, pa.binary())], names=["part", "slice", "data"])
 
         for some in slices(batches, "text"):
@@ -509,6 +524,7 @@ def _load(blocks: list[tuple[int, bytes]]) -> tuple[Part, np.ndarray, dict]:
     """The part that blocks (of one part, by slice) hold, its contexts' hashes in
     order, and its entries: the type, document and count of each."""
     got = [(name, *_unpack(data)) for name, data in sorted(blocks)]
+    got = [(*x[:6], _together(x[6]), _together(x[7]), *x[8:]) for x in got]
     keys = [_unplanes(x[2]) for x in got]
     words, place = np.unique(np.concatenate(keys), return_inverse=True)
     number = np.zeros(len(words), np.int32)
@@ -703,11 +719,15 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State],
     states = [state_of(sums, 0)]
     totals = context_totals(first, buckets, 0)
     stats = cut_lineage(first.where("key is null and bucket is null").select("part", "data").repartition(vocab.parts, "part"))
+    del first
+    drop_unused(spark)
     for s in range(SWEEPS):
         shared = spark.sparkContext.broadcast((setting, states))
         seated = cut_lineage(stats.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(seater(shared), _SUMS))
         states.append(state_of(_collect(seated), s + 1))
         totals = totals.unionAll(context_totals(seated, buckets, s + 1))
+        del seated
+        drop_unused(spark)
     return setting, states, totals
 
 
@@ -803,8 +823,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(docs.where(crc_mod("doc_id", 7) != 2).select(F.col("text").cast("string").alias("text")))
-    blocks = occurrences(docs, vocab).repartition(vocab.parts, "part")
-    blocks = cut_lineage(blocks)
+    drop_unused(docs.sparkSession)
+    blocks = cut_lineage(occurrences(docs, vocab).repartition(vocab.parts, "part"))
+    drop_unused(docs.sparkSession)
     setting, states, totals = sample(blocks, vocab)
     scored = score_blocks(blocks, vocab, setting, states, totals)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
