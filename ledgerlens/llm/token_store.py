@@ -39,7 +39,7 @@ BLOCK = 512
 SHARD_TOKENS = 1_000_000
 #: Characters of text that a partition of the range exchange aims at: a task
 #: encodes them in slices, and the more it has, the fewer chunks are new to it.
-PART_CHARS = 48_000_000
+PART_CHARS = 16_000_000
 
 SCHEMA = ("first_doc long, part int, seq int, n_tokens long, doc_ids binary, doc_sizes binary, alphabet binary, "
           "zeros array<long>, planes array<binary>, ranks array<binary>")
@@ -143,14 +143,17 @@ class WaveletMatrix:
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer, and which of its ids end a word."""
+    """The tokenizer; the same without the steps that do nothing to a word of
+    lower-case letters; and which of its ids end a word."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, short = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    short.normalizer = normalizers.Sequence([])
+    short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     ends_word = np.zeros(tokenizer.get_vocab_size(), bool)
     ends_word[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-    return tokenizer, ends_word
+    return tokenizer, short, ends_word
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -162,12 +165,12 @@ def chunks_of(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else text.lower().split()
 
 
-def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
+def _encode(tokenizer, short, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
     """Ids of each of ``texts``, encoded in lines of many."""
-    # Words of letters that no normal form changes are one word to the tokenizer
-    # as well, and it marks the last token of a word. A token of another text
-    # belongs to it by its first character.
-    plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100"]
+    # Words of lower-case letters that no normal form changes are one word to the
+    # tokenizer as well, and it marks the last token of a word. A token of another
+    # text belongs to it by its first character.
+    plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100" and t.lower() == t]
     rest = sorted(set(range(len(texts))).difference(plain))
     out: list[bytes] = [b""] * len(texts)
 
@@ -181,7 +184,7 @@ def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
         for i, a, b in zip(line, cuts, cuts[1:], strict=False):
             out[i] = raw[a:b]
 
-    for line, _, ids in lines(plain, tokenizer.encode_batch_fast):
+    for line, _, ids in lines(plain, short.encode_batch_fast):
         ends = np.flatnonzero(ends_word[ids]) + 1
         if len(ends) == len(line):
             put(line, ids, ends)
@@ -195,7 +198,7 @@ def _encode(tokenizer, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
 
 #: Bytes that a task spends on chunks it remembers before it starts anew, and
 #: what a chunk takes besides its characters and ids.
-KNOWN_BYTES = 96 << 20
+KNOWN_BYTES = 64 << 20
 CHUNK_BYTES = 160
 
 
