@@ -17,6 +17,7 @@ reader of one plane unpacks that one.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
@@ -165,13 +166,19 @@ def chunks_of(text: bytes) -> list[bytes]:
     return text.split() if b"<|" in text else text.lower().split()
 
 
-def _encode(tokenizer, short, ends_word: np.ndarray, texts: list[str]) -> list[bytes]:
-    """Ids of each of ``texts``, encoded in lines of many."""
-    # Words of lower-case letters that no normal form changes are one word to the
-    # tokenizer as well, and it marks the last token of a word. A token of another
-    # text belongs to it by its first character.
-    plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0100" and t.lower() == t]
-    rest = sorted(set(range(len(texts))).difference(plain))
+# A chunk whose pieces are known without the tokenizer's own
+# patterns (printable ASCII without capitals and apostrophes, and small Latin-1
+# letters, none of which a normal form changes), and those pieces.
+_SIMPLE = re.compile("[!-&(-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """Ids of ``pieces`` (see ``_PIECES``) and of other ``texts``, encoded in lines
+    of many. A piece is a word of its own to the tokenizer, which marks the last
+    token of a word; a token of another text belongs to it by its first character."""
+    texts, n = pieces + texts, len(pieces)
+    plain, rest = list(range(n)), list(range(n, len(texts)))
     out: list[bytes] = [b""] * len(texts)
 
     def lines(some: list[int], run) -> Iterator[tuple[list[int], list, np.ndarray]]:
@@ -193,7 +200,7 @@ def _encode(tokenizer, short, ends_word: np.ndarray, texts: list[str]) -> list[b
     for line, e, ids in lines(rest, tokenizer.encode_batch):
         first = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
         put(line, ids, np.searchsorted(first, np.cumsum([len(texts[i]) + 1 for i in line])))
-    return out
+    return out[:n], out[n:]
 
 
 #: Bytes that a task spends on chunks it remembers before it starts anew, and
@@ -217,11 +224,21 @@ class Encoder:
         self.n_ids = self.n_bytes = 0
 
     def _learn(self, new: set[bytes]) -> None:
-        # A full stop or comma after a letter or digit is a word of its own.
-        ended = [c for c in new if c[-1] in b".," and c[-2:-1].isalnum()]
-        whole = list({c for c in new.difference(ended) | {c[:-1] for c in ended} | {b".", b","} if c not in self.known})
-        found = _encode(*_tokenizer(self.path), [c.decode("utf-8", "replace") for c in whole])
-        number = dict(zip(whole, found, strict=True))
+        pieces: set[bytes] = set()
+        rest, split = [], []
+        for c in new:
+            t = c.decode("utf-8", "replace")
+            if not _SIMPLE.fullmatch(t) or "<|" in t:
+                rest.append(c)
+            elif len(found := _PIECES.findall(t)) == 1:
+                pieces.add(c)
+            else:
+                split.append((c, parts := [p.encode() for p in found]))
+                pieces.update(parts)
+        words = [p for p in pieces if p not in self.known]
+        as_text = lambda some: [c.decode("utf-8", "replace") for c in some]
+        of_words, of_rest = _encode(*_tokenizer(self.path), as_text(words), as_text(rest))
+        number = dict(zip(words, of_words, strict=True))
 
         def ids_of(c: bytes) -> bytes:
             if (ids := number.get(c)) is not None:
@@ -229,8 +246,8 @@ class Encoder:
             k = self.known[c]
             return self.ids[self.starts[k]:self.starts[k] + self.sizes[k]].tobytes()
 
-        marks = {c: ids_of(c) for c in (b".", b",")}
-        self._append(whole + ended, found + [ids_of(c[:-1]) + marks[c[-1:]] for c in ended])
+        joined = [(c, b"".join(map(ids_of, parts))) for c, parts in split]
+        self._append(words + rest + [c for c, _ in joined], of_words + of_rest + [x for _, x in joined])
 
     def _append(self, chunks: list[bytes], found: list[bytes]) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
