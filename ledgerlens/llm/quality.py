@@ -340,10 +340,14 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     gold = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = gold.where("toxic in (0, 1)")
-    # Ids first, so that only texts of the sample are read for the word lists.
+    # Ids first: at most labelled_docs of either class (two numbers each), so they
+    # go to the texts, which stay where they are. Rows that repeat an id and a text
+    # are one before they move.
     some = [marked.where(F.col("toxic") == k) for k in (0, 1)]
-    some = [m.where(sample_hash(m, labelled_docs, 5, "doc_id")[1]) for m in some]
-    lists = word_lists(text.join(some[0].unionByName(some[1]), "doc_id"), labelled_docs)
+    some = [m.where(sample_hash(m, labelled_docs, 5, "doc_id")[1]).select("doc_id", "toxic") for m in some]
+    chosen_texts = text.join(F.broadcast(some[0].unionByName(some[1])), "doc_id")
+    chosen_texts = chosen_texts.withColumn("same", F.xxhash64("doc_id", "text")).dropDuplicates(["same"]).drop("same")
+    lists = word_lists(cut_lineage(chosen_texts), labelled_docs)
     h, chosen = sample_hash(text, train_docs, 9, "doc_id", "text")
     rows = text.select("doc_id", "text", F.when(chosen, h).alias("sampled"))
     voted = rows.mapInArrow(_votes(lists), "doc_id long, sampled long, votes string, terms array<int>, forms array<int>, shares array<double>")
