@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -63,12 +64,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_dealt(df: DataFrame, partitions: int, key: str) -> DataFrame:
+    """``df`` dealt by ``key``, from reliable checkpoint files that count as dealt:
+    to group them by ``key`` writes no other shuffle of them. An adaptive plan
+    does not tell how its result is dealt, so this one plan is a plain one."""
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(partitions, key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def drop_unused(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files, and checkpoints where
     ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set, that nothing
     refers to any more. It learns of them from the driver's garbage collection,
-    which a driver with little to do may not run for long."""
+    which a driver with little to do may not run for long. What Python lets go of
+    is let go in the JVM by a thread of py4j that looks every second."""
     gc.collect()
+    time.sleep(2)
     spark.sparkContext._jvm.System.gc()
 
 

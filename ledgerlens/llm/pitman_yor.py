@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import as_bytes, crc_mod, cut_lineage, drop_unused, slices
+from ledgerlens.llm.common import as_bytes, checkpoint_dealt, crc_mod, cut_lineage, drop_unused, release_memory, slices
 
 #: A word with this share of a part's training tokens is dealt by context.
 DEAL_SHARE = 1 / 8
@@ -122,6 +122,8 @@ def unigrams(texts: DataFrame) -> DataFrame:
                 held, docs = Counter(), 0
         if docs:
             yield flush()
+        held.clear()
+        release_memory()
 
     return texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -186,7 +188,7 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             h = np.empty(int(lengths.sum()) + len(held), np.uint64)
             inner = np.ones(len(h), bool)
             inner[ends] = False
-            h[inner] = word_hashes([w for x in held for w in x[3]])
+            h[inner] = np.concatenate([x[3] for x in held])
             h[ends] = _END
             own = v.number(h)
             ctx = np.empty(len(h), np.uint64)
@@ -231,7 +233,7 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     seq, size = seq + 1, 0
                     held.clear()
                 # Third: not learned from. A null id is in neither remainder.
-                held.append((d, bool(out), out is None or out, words))
+                held.append((d, bool(out), out is None or out, word_hashes(words)))
                 size += len(words) + 1
                 if size >= SLICE_TOKENS or len(held) >= 65_535:
                     yield flush()
@@ -239,6 +241,8 @@ def occurrences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     held.clear()
         if held:
             yield flush()
+        held.clear()
+        release_memory()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (crc_mod("doc_id", 7) == 2).alias("held_out")) \
         .withColumn("task", F.spark_partition_id().cast("long"))
@@ -676,6 +680,9 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State],
             rest = [int(customers[part.rare & ~keep].sum()), np.bincount(part.number[~part.rare & ~keep], weights=customers[~part.rare & ~keep]).astype(np.int64)]
             data = _pack(part.number[keep], place[part.word[t]].astype(np.int32), part.ctx[t].astype(np.int32), part.count[t], part.fixed[keep], part.total[keep], _planes(contexts), lone.astype(_least(lone)), *map(np.asarray, rest))
             yield from _sums_batch(sums, name, data, _by_bucket(buckets, contexts, tables.astype(np.int64), size.astype(np.int64))).to_batches()
+            held.clear()
+            del part, contexts, _, customers, size, tables, keep, place, lone, data
+            release_memory()
 
     grouped = blocks.where("part >= 0").sortWithinPartitions("part", "slice")
     first = cut_lineage(grouped.mapInArrow(counts, _SUMS))
@@ -718,7 +725,7 @@ def sample(blocks: DataFrame, vocab: Vocabulary) -> tuple[Setting, list[State],
 
     states = [state_of(sums, 0)]
     totals = context_totals(first, buckets, 0)
-    stats = cut_lineage(first.where("key is null and bucket is null").select("part", "data").repartition(vocab.parts, "part"))
+    stats = checkpoint_dealt(first.where("key is null and bucket is null").select("part", "data"), vocab.parts, "part")
     del first
     drop_unused(spark)
     for s in range(SWEEPS):
@@ -740,6 +747,7 @@ def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states:
         name, names, blobs = blocks.column("part")[0].as_py(), blocks.column("slice").to_pylist(), blocks.column("data").to_pylist()
         if name >= 0:
             names, blobs = zip(*part_scores(name, list(zip(names, blobs, strict=True)), totals), strict=True)
+            release_memory()
         return pa.table([pa.array(names, pa.int64()), pa.array(blobs, pa.binary()), pa.array([name < 0] * len(names))], names=["slice", "data", "docs"])
 
     def part_scores(name: int, held: list[tuple[int, bytes]], totals: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -805,6 +813,7 @@ def score_blocks(blocks: DataFrame, vocab: Vocabulary, setting: Setting, states:
                     sums[:, got[0]] += np.stack(got[1:])  # a part names a document once
         if docs is not None:
             yield done(docs, sums)
+        release_memory()
 
     scored = blocks.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(score, "slice long, data binary, docs boolean")
     return scored.repartition("slice").sortWithinPartitions("slice").mapInArrow(
@@ -824,7 +833,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     vocab = vocabulary(docs.where(crc_mod("doc_id", 7) != 2).select(F.col("text").cast("string").alias("text")))
     drop_unused(docs.sparkSession)
-    blocks = cut_lineage(occurrences(docs, vocab).repartition(vocab.parts, "part"))
+    blocks = checkpoint_dealt(occurrences(docs, vocab), vocab.parts, "part")
     drop_unused(docs.sparkSession)
     setting, states, totals = sample(blocks, vocab)
     scored = score_blocks(blocks, vocab, setting, states, totals)

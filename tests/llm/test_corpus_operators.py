@@ -14,7 +14,7 @@ from test_text_operators import LONG, ODD, docs
 
 import corpus_pipeline
 from ledgerlens.llm import ann, mixing, pitman_yor, quality, simhash_dedup, token_store
-from ledgerlens.llm.common import sample_hash, table
+from ledgerlens.llm.common import checkpoint_dealt, drop_unused, sample_hash, table
 from ledgerlens.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 
 # ---------------------------------------------------------------- 2
@@ -206,6 +206,21 @@ def test_scoring_odd_and_empty_tables(spark):
 # ---------------------------------------------------------------- 6
 
 
+def test_dealt_checkpoints_are_not_dealt_again(spark):
+    left = checkpoint_dealt(spark.range(500).select((F.col("id") % 16).alias("part"), "id"), 16, "part")
+    both = left.groupBy("part").cogroup(left.sparkSession.range(16).select(F.col("id").alias("part")).groupBy("part")) \
+        .applyInArrow(lambda a, b: a.select(["id"]), "id long")
+    text = both._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1  # of the other side alone
+    assert both.count() == 500 and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def test_unused_frames_are_let_go_at_once(spark):
+    weak = spark.sparkContext._jvm.java.lang.ref.WeakReference(spark.range(3)._jdf)
+    drop_unused(spark)
+    assert weak.get() is None
+
+
 def slow_simhash(text):
     words = text.encode().lower().split()
     if not words:
