@@ -254,11 +254,11 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, prior: float, expected: f
     return post, agree / np.maximum(1e-9, np.einsum("p,pjv->j", counts, votes[:, :, :ABSTAIN]))
 
 
-def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 8, step: float = 0.3, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
+def train_linear(rows: list[tuple[np.ndarray, np.ndarray | None]], target: np.ndarray, epochs: int = 8, step: float = 0.3, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer over hashed features, by proximal
     AdaGrad on soft targets in a fixed order. Every step shrinks the weights it
     touches towards zero, so words that tell nothing weigh nothing however many
-    of them a long text holds."""
+    of them a long text holds. Features without values (None) count once."""
     w, g, gb = np.zeros(BUCKETS), np.full(BUCKETS, 1e-3), 1e-3
     if not len(rows):
         return w, 0.0
@@ -268,7 +268,7 @@ def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray,
         for a in range(0, len(order), 128):
             some = order[a:a + 128]
             at = np.concatenate([rows[i][0] for i in some])
-            x = np.concatenate([rows[i][1] for i in some])
+            x = np.concatenate([np.ones(len(rows[i][0])) if rows[i][1] is None else rows[i][1] for i in some])
             row = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
             z = np.bincount(row, weights=w[at] * x, minlength=len(some)) + b
             err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[some]
@@ -371,11 +371,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_docs: int = LABELLED_DOCS,
     votes = train.column("votes").to_pylist()
     bad_style = np.array([posterior[0][v[:n_style] + q] for v, q in zip(votes, train.column("q").to_pylist(), strict=True)])
     bad_words = np.array([posterior[1][v[n_style:] + t] for v, t in zip(votes, train.column("t").to_pylist(), strict=True)])
-    as_rows = lambda name: [np.asarray(x.values if hasattr(x, "values") else x) for x in train.column(name)]
-    terms = [(t.astype(np.int64), np.ones(len(t))) for t in as_rows("terms")]
-    forms = [(f.astype(np.int64), s.astype(float)) for f, s in zip(as_rows("forms"), as_rows("shares"), strict=True)]
+    # Views of the collected columns: the driver holds a sampled feature once.
+    def as_rows(name: str) -> list[np.ndarray]:
+        flat = train.column(name).combine_chunks()
+        return np.split(flat.flatten().to_numpy(), np.cumsum(flat.value_lengths().to_numpy())[:-1]) if len(flat) else []
+
+    terms = [(t, None) for t in as_rows("terms")]
+    forms = list(zip(as_rows("forms"), as_rows("shares"), strict=True))
+    del train
     toxic, toxic_bias = train_linear(terms, bad_words)
     shapes, style_bias = train_linear(forms, bad_style)
+    del terms, forms
+    release_memory()
     return QualityModel(toxic, toxic_bias, shapes, style_bias, *accuracies)
 
 

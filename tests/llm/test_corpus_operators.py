@@ -206,6 +206,15 @@ def test_scoring_odd_and_empty_tables(spark):
 # ---------------------------------------------------------------- 6
 
 
+def test_features_without_values_count_once():
+    rnd = np.random.default_rng(5)
+    rows = [np.unique(rnd.integers(0, 500, 40)).astype(np.int32) for _ in range(300)]
+    target = np.array([float((r < 50).any()) for r in rows])
+    got = quality.train_linear([(r, None) for r in rows], target)
+    want = quality.train_linear([(r.astype(np.int64), np.ones(len(r))) for r in rows], target)
+    assert (got[0] == want[0]).all() and got[1] == want[1] and got[0].any()
+
+
 def test_dealt_checkpoints_are_not_dealt_again(spark):
     left = checkpoint_dealt(spark.range(500).select((F.col("id") % 16).alias("part"), "id"), 16, "part")
     both = left.groupBy("part").cogroup(left.sparkSession.range(16).select(F.col("id").alias("part")).groupBy("part")) \
