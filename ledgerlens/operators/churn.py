@@ -12,7 +12,9 @@ Plan notes for scale:
 * The joins of A10 are LEFT joins with the payments as the preserved side.
   The newest transaction and the fund are unique per key; the card/ACH
   attempts are not, so that join uses the skew-safe fan-out form, whose two
-  branches share one exchange of payments with their newest transaction.
+  branches share one exchange of payments with their newest transaction and
+  fund. It comes last, and payment columns that follow from others (PST times)
+  are computed after it, so that no exchange carries them.
 * A16's LEAD per user is computed in three levels (see
   :func:`ledgerlens.plans.windows.lead_in_order`) so that one user with a
   large share of all payments does not end up in a single window task.
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions import as_of_lit, month_start
+from ledgerlens.operators.cleaning import payment_derived
 from ledgerlens.plans.hotkeys import HOT_ROWS, hot_keys
 from ledgerlens.plans.joins import left_join_fanout, left_join_measured
 from ledgerlens.plans.lookups import LookupChecks, left_lookup
@@ -173,17 +176,20 @@ def payments_extended(payments_clean: DataFrame, latest_transactions: DataFrame,
         "ach_file_id", "ach_transaction_routing_number", "cc_or_ach_transaction_succeeded")
     funds = funds_clean.select(F.col("fund_id").alias("__fund"), "fund_plan_manager", "fund_lpoa_status")
     newest = latest_transactions.withColumnRenamed("payment_id", "__payment")
-    with_tx = left_lookup(payments_clean, newest, "payment_id", "__payment", "payment_transactions", checks).drop("__payment")
+    # Three joins exchange the payments: columns that follow from others are
+    # left out of them, and the fund comes before attempts multiply the rows.
+    derived = payment_derived()
+    with_tx = left_lookup(payments_clean.drop(*derived), newest, "payment_id", "__payment", "payment_transactions", checks)
+    with_fund = left_lookup(with_tx.drop("__payment"), funds, "fund_id", "__fund", "payment_funds", checks).drop("__fund")
     # One transaction may carry very many attempts (the non-preserved side),
     # and payments without a transaction have a NULL key: the fan-out form
     # splits the first and deals the second by payment.
     if hot is None:
-        attempted = left_join_fanout(with_tx, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
+        attempted = left_join_fanout(with_fund, attempts, ["transaction_id"], spread_nulls_by=F.col("payment_id"))
     else:
-        attempted = left_join_measured(with_tx, attempts, ["transaction_id"], hot)
-    joined = left_lookup(attempted, funds, "fund_id", "__fund", "payment_funds", checks)
+        attempted = left_join_measured(with_fund, attempts, ["transaction_id"], hot)
     c = F.col
-    return joined.select(
+    return attempted.withColumns(derived).select(
         *_PAYMENT_COLUMNS,
         payment_category(c("payment_type"), c("fund_plan_manager"), c("fund_lpoa_status"))
         .alias("payment_category"),

@@ -126,6 +126,24 @@ def clean_payments(payments: DataFrame) -> DataFrame:
     return payments.select(*cols)
 
 
+# UTC columns of clean payments (times, and days), each with a PST
+# column of the same name without "_utc".
+_PAYMENT_TIMES_UTC = ("payment_created_at_utc", "payment_updated_at_utc", "payment_deleted_at_utc",
+                      *(dst + "_utc" for _, dst in PAYMENT_ACH_TIMESTAMPS))
+_PAYMENT_DAYS_UTC = ("payment_transaction_date_utc", "payment_due_date_utc")
+
+
+def payment_derived() -> dict[str, Column]:
+    """Columns of :func:`clean_payments` that follow from its other columns. An
+    operator may leave them out of its exchanges and compute them again."""
+    return {
+        **{c.removesuffix("_utc"): to_pst(c) for c in _PAYMENT_TIMES_UTC},
+        **{c.removesuffix("_utc"): date_to_pst(c) for c in _PAYMENT_DAYS_UTC},
+        "payment_method_type": payment_method_type(F.col("payment_type")),
+        "payment_is_for": payment_is_for(F.col("payment_type"), F.col("contribution_id")),
+    }
+
+
 def fund_description_class(description: Column) -> Column:
     """Template label, else the trimmed lower-case text."""
     out = None

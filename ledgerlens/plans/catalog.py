@@ -88,6 +88,13 @@ class Workspace:
         return churn.payments_extended(self.payments, self.latest_transactions, self.card_ach,
                                        self.funds)
 
+    @cached_property
+    def payments_extended_measured(self) -> DataFrame:
+        """The same rows; transactions with very many attempts are measured
+        first and protected alone."""
+        return churn.payments_extended(self.payments, self.latest_transactions, self.card_ach,
+                                       self.funds, churn.hot_transactions(self.card_ach))
+
     @cached_property
     def fee_payments(self) -> DataFrame:
         return churn.fee_payments_per_user(self.users, self.payments, self.latest_transactions,
@@ -290,30 +297,30 @@ def q_latest_transaction_per_payment(spark, sf_dir):
 
 @register("payments_extended")
 def q_payments_extended(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).payments_extended)
+    return report(Workspace(spark, sf_dir).payments_extended_measured)
 
 
 @register("payment_category")
 def q_payment_category(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).payments_extended.select(
+    return report(Workspace(spark, sf_dir).payments_extended_measured.select(
         *_ATTEMPT_KEY, "payment_type", "fund_plan_manager", "fund_lpoa_status", "payment_category"))
 
 
 @register("cma_subtype")
 def q_cma_subtype(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).payments_extended.select(
+    return report(Workspace(spark, sf_dir).payments_extended_measured.select(
         *_ATTEMPT_KEY, "payment_category", "payment_category_cma_type"))
 
 
 @register("payment_workflow_state")
 def q_payment_workflow_state(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).payments_extended.select(
+    return report(Workspace(spark, sf_dir).payments_extended_measured.select(
         *_ATTEMPT_KEY, "payment_state", "transaction_state", "payment_workflow_state"))
 
 
 @register("cancel_issue_flag")
 def q_cancel_issue_flag(spark, sf_dir):
-    return report(Workspace(spark, sf_dir).payments_extended.select(
+    return report(Workspace(spark, sf_dir).payments_extended_measured.select(
         *_ATTEMPT_KEY, "payment_type", "cc_or_ach_error_code", "payment_counts_cancel_issue"))
 
 

@@ -235,10 +235,15 @@ def _attempts(lineitem: DataFrame) -> DataFrame:
     # inside its (order, line) group for a unique id.
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
         "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    # The window stands alone: what is computed beside it would go through its
+    # exchange as columns of their own.
     k, n, p = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
-    return lineitem.select(
+    ranked = lineitem.select(
+        "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity",
+        F.row_number().over(w).alias("__rank"))
+    return ranked.select(
         "l_orderkey", "l_suppkey",
-        (k * 1000 + n * 100 + F.row_number().over(w)).alias("id"),
+        (k * 1000 + n * 100 + F.col("__rank")).alias("id"),
         (k * 10 + n).alias("tx"),
         F.col("l_shipdate").alias("createdAt"),
         _if(p % 9 == 0, F.concat(F.lit("E"), (p % 5).cast("string"))).alias("code"),

@@ -67,6 +67,31 @@ def test_payments_extended_exchanges_payments_once_for_the_attempts(without_broa
         assert f"hashpartitioning({key}" not in text
 
 
+def test_derived_payment_columns_equal_the_clean_ones(spark):
+    payments = Workspace(spark, SMALL).payments
+    derived = cleaning.payment_derived()
+    again = payments.drop(*derived).withColumns(derived).select(*payments.columns)
+    assert again.schema == payments.schema
+    assert rows_of(again) == rows_of(payments)
+
+
+def test_payments_extended_exchanges_neither_derived_columns_nor_attempts_by_fund(without_broadcast):
+    ws = Workspace(without_broadcast, SMALL)
+    key = "spark.sql.debug.maxToStringFields"
+    without_broadcast.conf.set(key, "1000")
+    try:
+        text = plan(churn.payments_extended(ws.payments, ws.latest_transactions, ws.card_ach, ws.funds, hot=[]))
+        above, below = text.split("Join ", 1)  # the topmost join, of the attempts
+        assert all(f"AS {c}#" in above and f"AS {c}#" not in below for c in cleaning.payment_derived())
+        assert "__key_0#" in below.splitlines()[0]
+    finally:
+        without_broadcast.conf.unset(key)
+    checks = LookupChecks()
+    extended = churn.payments_extended(ws.payments, ws.latest_transactions, ws.card_ach, ws.funds, hot=[], checks=checks)
+    assert extended.count() > ws.payments.count() == checks.verify()["payment_funds"]["rows_in"]
+    assert rows_of(ws.payments_extended_measured) == rows_of(ws.payments_extended)
+
+
 def test_reports_over_buckets_are_the_same(spark, bucketed):
     src = fixture_sources(spark, SMALL)
     assert rows_of(reports.churn_report(bucketed, DEFAULT_AS_OF)) == rows_of(reports.churn_report(src, DEFAULT_AS_OF))
