@@ -22,7 +22,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ BLOCK = 512
 #: past that): bounds a worker's memory whatever the input's size.
 SHARD_TOKENS = 1_000_000
 #: Characters of text that a partition of the range exchange aims at: a task
-#: encodes them in slices, and the more it has, the fewer chunks are new to it.
+#: encodes them in slices, and the more it has, the fewer pieces are new to it.
 PART_CHARS = 16_000_000
 
 SCHEMA = ("first_doc long, part int, seq int, n_tokens long, doc_ids binary, doc_sizes binary, alphabet binary, "
@@ -157,24 +157,53 @@ def _tokenizer(path: str):
     return tokenizer, short, ends_word
 
 
-def chunks_of(text: bytes) -> list[bytes]:
-    """Chunks of a text between ASCII white space, A-Z lower-cased.
-
-    The tokenizer lower-cases letters, drops white space and never reaches
-    across it, so chunks are encoded one by one. Texts that may spell a special
-    token, whose case counts, keep their letters."""
-    return text.split() if b"<|" in text else text.lower().split()
-
-
 # A chunk whose pieces are known without the tokenizer's own
 # patterns (printable ASCII without capitals and apostrophes, and small Latin-1
-# letters, none of which a normal form changes), and those pieces.
+# letters, none of which a normal form changes); the kind of each byte, and the
+# second bytes of those letters, whose first one is 0xC3.
 _SIMPLE = re.compile("[!-&(-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
-_PIECES = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_SECOND = np.zeros(256, bool)
+_SECOND[0x9F:0xB7] = _SECOND[0xB8:0xC0] = True
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x27] = _KIND[0x28:0x41] = _KIND[0x5B:0x7F] = _MARK
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x61:0x7B] = _KIND[0xC3] = _KIND[_SECOND] = _LETTER
+_KIND[0x09:0x0E] = _KIND[0x20] = _SPACE
+
+
+def pieces_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts in a row, and how many each text has.
+
+    The tokenizer lower-cases letters, drops white space and never reaches
+    across it, so chunks between ASCII white space are encoded one by one, A-Z
+    lower-cased; texts that may spell a special token, whose case counts, keep
+    their letters. A simple chunk is cut further, as the tokenizer does, into
+    runs of letters, single digits and runs of other marks."""
+    texts = [t if b"<|" in t else t.lower() for t in texts]
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    kind, first = _KIND[raw], raw == 0xC3
+    other = kind == _OTHER
+    odd = first[:-1] != _SECOND[raw[1:]]  # half a letter
+    special = (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    other[1:] |= odd
+    other[:-1] |= odd & first[:-1] | special
+    before = np.concatenate([np.zeros(min(1, len(kind)), np.uint8), kind[:-1]])
+    solid = kind != _SPACE
+    cut = solid & ((kind != before) | (kind == _DIGIT))
+    if other.any():
+        chunk = np.flatnonzero(solid & (before == _SPACE))
+        whole = np.logical_or.reduceat(other, chunk)
+        cut[chunk[0]:] &= ~np.repeat(whole, np.diff(chunk, append=len(raw)))
+        cut[chunk] = True
+    counts = np.diff(np.searchsorted(np.flatnonzero(cut), np.cumsum([0, *[len(t) + 1 for t in texts]])))
+    held, offsets = raw[solid], np.flatnonzero(cut[solid])
+    buffers = [None, pa.py_buffer(np.append(offsets, len(held)).astype(np.int32)), pa.py_buffer(held)]
+    return pa.Array.from_buffers(pa.binary(), len(offsets), buffers), counts
 
 
 def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-    """Ids of ``pieces`` (see ``_PIECES``) and of other ``texts``, encoded in lines
+    """Ids of ``pieces`` of simple chunks and of other ``texts``, encoded in lines
     of many. A piece is a word of its own to the tokenizer, which marks the last
     token of a word; a token of another text belongs to it by its first character."""
     texts, n = pieces + texts, len(pieces)
@@ -203,16 +232,16 @@ def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: l
     return out[:n], out[n:]
 
 
-#: Bytes that a task spends on chunks it remembers before it starts anew, and
-#: what a chunk takes besides its characters and ids.
+#: Bytes that a task spends on pieces it remembers before it starts anew, and
+#: what a piece takes besides its characters and ids.
 KNOWN_BYTES = 64 << 20
-CHUNK_BYTES = 160
+PIECE_BYTES = 160
 
 
 class Encoder:
-    """Encodes texts chunk by chunk; a chunk goes through the tokenizers library
-    once, until the remembered ones take ``KNOWN_BYTES``. Chunks have numbers,
-    and the ids of chunk k are ``sizes[k]`` from ``starts[k]`` on in ``ids``."""
+    """Encodes texts piece by piece; a piece goes through the tokenizers library
+    once, until the remembered ones take ``KNOWN_BYTES``. Pieces have numbers,
+    and the ids of piece k are ``sizes[k]`` from ``starts[k]`` on in ``ids``."""
 
     def __init__(self, path: str):
         self.path = path
@@ -223,63 +252,49 @@ class Encoder:
         self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.n_ids = self.n_bytes = 0
 
-    def _learn(self, new: set[bytes]) -> None:
-        pieces: set[bytes] = set()
-        rest, split = [], []
+    def _learn(self, new: list[bytes]) -> None:
+        plain, rest = ([], []), ([], [])
         for c in new:
             t = c.decode("utf-8", "replace")
-            if not _SIMPLE.fullmatch(t) or "<|" in t:
-                rest.append(c)
-            elif len(found := _PIECES.findall(t)) == 1:
-                pieces.add(c)
-            else:
-                split.append((c, parts := [p.encode() for p in found]))
-                pieces.update(parts)
-        words = [p for p in pieces if p not in self.known]
-        as_text = lambda some: [c.decode("utf-8", "replace") for c in some]
-        of_words, of_rest = _encode(*_tokenizer(self.path), as_text(words), as_text(rest))
-        number = dict(zip(words, of_words, strict=True))
-
-        def ids_of(c: bytes) -> bytes:
-            if (ids := number.get(c)) is not None:
-                return ids
-            k = self.known[c]
-            return self.ids[self.starts[k]:self.starts[k] + self.sizes[k]].tobytes()
-
-        joined = [(c, b"".join(map(ids_of, parts))) for c, parts in split]
-        self._append(words + rest + [c for c, _ in joined], of_words + of_rest + [x for _, x in joined])
-
-    def _append(self, chunks: list[bytes], found: list[bytes]) -> None:
+            chunks, texts = plain if _SIMPLE.fullmatch(t) and "<|" not in t else rest
+            chunks.append(c)
+            texts.append(t)
+        of_plain, of_rest = _encode(*_tokenizer(self.path), plain[1], rest[1])
+        self._append(plain[0] + rest[0], of_plain + of_rest)
+
+    def _append(self, pieces: list[bytes], found: list[bytes]) -> None:
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         n, total = len(self.known), int(sizes.sum())
         # Room doubles, so that what is held is copied a fixed number of times.
-        if n + len(chunks) > len(self.sizes):
-            self.starts, self.sizes = (np.concatenate([x, np.empty(len(x) + len(chunks), np.int64)]) for x in (self.starts, self.sizes))
+        if n + len(pieces) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.empty(len(x) + len(pieces), np.int64)]) for x in (self.starts, self.sizes))
         if self.n_ids + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + total, np.uint32)])
-        self.sizes[n:n + len(chunks)] = sizes
-        self.starts[n:n + len(chunks)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.sizes[n:n + len(pieces)] = sizes
+        self.starts[n:n + len(pieces)] = self.n_ids + np.cumsum(sizes) - sizes
         self.ids[self.n_ids:self.n_ids + total] = np.frombuffer(b"".join(found), "<u4")
-        self.known.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.n_ids += total
-        self.n_bytes += sum(map(len, chunks)) + 4 * total + CHUNK_BYTES * len(chunks)
+        self.n_bytes += sum(map(len, pieces)) + 4 * total + PIECE_BYTES * len(pieces)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (without end ids), and how many each has."""
         if self.n_bytes > KNOWN_BYTES:
             self._clear()
-        chunks = [chunks_of(t) for t in texts]
-        row = list(chain.from_iterable(chunks))
-        at = np.fromiter(map(self.known.get, row, repeat(-1)), np.int64, len(row))
-        missing = np.flatnonzero(at < 0)
+        pieces, counts = pieces_of(texts)
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(number < 0)
         if len(missing):
-            new = [row[i] for i in missing.tolist()]
-            self._learn(set(new))
-            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+            new = [distinct[i] for i in missing.tolist()]
+            self._learn(new)
+            number[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        at = number[coded.indices.to_numpy()]
         n = self.sizes[at]
         stops = np.cumsum(n)
         ids = self.ids[np.repeat(self.starts[at] - (stops - n), n) + np.arange(int(n.sum()))]
-        ends = np.r_[0, stops][np.cumsum([0, *map(len, chunks)])]
+        ends = np.r_[0, stops][np.cumsum([0, *counts.tolist()])]
         return ids, np.diff(ends)
 
 

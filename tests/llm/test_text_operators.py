@@ -246,6 +246,23 @@ def test_chunks_encode_like_whole_texts():
         assert np.frombuffer(g, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_pieces_of_texts_are_learned_once():
+    simple = re.compile("[!-&(-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+    cuts = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    rnd = random.Random(6)
+    texts = ["", " \n", "<|A", "É x", "a÷b ÿ9ß.", "it's a, b."] + ["".join(rnd.choice("aBz.,'é́ \n<|>9ß÷ÿÉ日 \t\x7f") for _ in range(rnd.randint(0, 40))) for _ in range(2000)]
+    want = []
+    for t in texts:
+        chunks = [c.decode() for c in (t if "<|" in t else "".join(c.lower() if c.isascii() else c for c in t)).encode().split()]
+        want.append([p.encode() for c in chunks for p in (cuts.findall(c) if simple.fullmatch(c) and "<|" not in c else [c])])
+    pieces, counts = token_store.pieces_of([t.encode() for t in texts])
+    assert counts.tolist() == [len(w) for w in want]
+    assert pieces.to_pylist() == [p for w in want for p in w]
+    encoder = token_store.Encoder(tokenizer_path())
+    encoder.encode([b"word, word. word! (word) word7 other's"])
+    assert set(encoder.known) == {b"word", b",", b".", b"!", b"(", b")", b"7", b"other's"}
+
+
 @pytest.mark.parametrize("partitions, shard_tokens", [(1, 10**6), (5, 40)])
 def test_documents_read_back_from_shards(spark, tmp_path, partitions, shard_tokens):
     from tokenizers import Tokenizer
