@@ -22,7 +22,6 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +65,9 @@ class WaveletMatrix:
             packed = np.packbits(bits, bitorder="little")
             planes.append(packed)
             ranks.append(cls._directory(packed))
-            low = codes[~bits]
+            low = codes.compress(~bits)
             zeros.append(len(low))
-            codes = np.concatenate([low, codes[bits]])
+            codes = np.concatenate([low, codes.compress(bits)])
         return cls(len(ids), alphabet.astype(np.uint32), zeros, planes, ranks)
 
     @staticmethod
@@ -136,8 +135,8 @@ class WaveletMatrix:
         for step, (row, z) in enumerate(zip(reversed(self.planes), reversed(self.zeros), strict=True)):
             bits = np.unpackbits(row, count=self.n, bitorder="little").view(bool)
             up = np.empty(self.n, kind)
-            up[~bits] = codes[:z]
-            up[bits] = codes[z:] | kind(1 << step)
+            up[np.flatnonzero(~bits)] = codes[:z]
+            up[np.flatnonzero(bits)] = codes[z:] | kind(1 << step)
             codes = up
         return self.alphabet[codes] if self.n else np.empty(0, np.uint32)
 
@@ -170,6 +169,7 @@ _KIND[0x21:0x27] = _KIND[0x28:0x41] = _KIND[0x5B:0x7F] = _MARK
 _KIND[0x30:0x3A] = _DIGIT
 _KIND[0x61:0x7B] = _KIND[0xC3] = _KIND[_SECOND] = _LETTER
 _KIND[0x09:0x0E] = _KIND[0x20] = _SPACE
+_SPACES = bytes(np.flatnonzero(_KIND == _SPACE).tolist())
 
 
 def pieces_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
@@ -180,35 +180,41 @@ def pieces_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     lower-cased; texts that may spell a special token, whose case counts, keep
     their letters. A simple chunk is cut further, as the tokenizer does, into
     runs of letters, single digits and runs of other marks."""
-    texts = [t if b"<|" in t else t.lower() for t in texts]
-    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    kind, first = _KIND[raw], raw == 0xC3
+    joined = b" ".join([*texts, b""])
+    joined = b" ".join([*[t if b"<|" in t else t.lower() for t in texts], b""]) if b"<|" in joined else joined.lower()
+    raw, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_KIND.tobytes()), np.uint8)
+    first, second = raw == 0xC3, np.frombuffer(joined.translate(_SECOND.tobytes()), bool)
     other = kind == _OTHER
-    odd = first[:-1] != _SECOND[raw[1:]]  # half a letter
+    odd = first[:-1] != second[1:]  # half a letter
     special = (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    other[:1] |= second[:1]
     other[1:] |= odd
     other[:-1] |= odd & first[:-1] | special
     before = np.concatenate([np.zeros(min(1, len(kind)), np.uint8), kind[:-1]])
     solid = kind != _SPACE
-    cut = solid & ((kind != before) | (kind == _DIGIT))
-    if other.any():
-        chunk = np.flatnonzero(solid & (before == _SPACE))
-        whole = np.logical_or.reduceat(other, chunk)
-        cut[chunk[0]:] &= ~np.repeat(whole, np.diff(chunk, append=len(raw)))
-        cut[chunk] = True
-    counts = np.diff(np.searchsorted(np.flatnonzero(cut), np.cumsum([0, *[len(t) + 1 for t in texts]])))
-    held, offsets = raw[solid], np.flatnonzero(cut[solid])
-    buffers = [None, pa.py_buffer(np.append(offsets, len(held)).astype(np.int32)), pa.py_buffer(held)]
-    return pa.Array.from_buffers(pa.binary(), len(offsets), buffers), counts
-
-
-def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-    """Ids of ``pieces`` of simple chunks and of other ``texts``, encoded in lines
-    of many. A piece is a word of its own to the tokenizer, which marks the last
-    token of a word; a token of another text belongs to it by its first character."""
-    texts, n = pieces + texts, len(pieces)
-    plain, rest = list(range(n)), list(range(n, len(texts)))
-    out: list[bytes] = [b""] * len(texts)
+    at = np.flatnonzero(solid & ((kind != before) | (kind == _DIGIT)))
+    other &= solid
+    others = np.flatnonzero(other & ~np.concatenate([np.zeros(min(1, len(other)), bool), other[:-1]]))  # where a run of them starts
+    if len(others):
+        starts = before[at] == _SPACE
+        whole = np.zeros(np.count_nonzero(starts), bool)
+        whole[np.searchsorted(at.compress(starts), others, "right") - 1] = True
+        at = at.compress(starts | ~whole[np.cumsum(starts) - 1])
+    counts = np.diff(np.searchsorted(at, np.cumsum([0, *[len(t) + 1 for t in texts]])))
+    held = joined.translate(None, _SPACES)
+    buffers = [None, pa.py_buffer(np.append(np.cumsum(solid, dtype=np.int32)[at] - 1, len(held)).astype(np.int32)), pa.py_buffer(held)]
+    return pa.Array.from_buffers(pa.binary(), len(at), buffers), counts
+
+
+def _encode(tokenizer, short, ends_word: np.ndarray, texts: list[str]) -> pa.Array:
+    """Ids of each text, as little-endian unsigned 32-bit, encoded in lines of many.
+    A simple chunk is here a piece, a word of its own to the tokenizer, which marks
+    the last token of a word; a token of another text belongs to it by its first
+    character."""
+    simple = [_SIMPLE.fullmatch(t) is not None and "<|" not in t for t in texts]
+    plain, rest = [i for i, x in enumerate(simple) if x], [i for i, x in enumerate(simple) if not x]
+    done: list[int] = []
+    sizes, found = [np.zeros(1, np.int64)], [np.empty(0, "<u4")]
 
     def lines(some: list[int], run) -> Iterator[tuple[list[int], list, np.ndarray]]:
         cut = [some[a:a + 500] for a in range(0, len(some), 500)]
@@ -216,9 +222,9 @@ def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: l
             yield line, e, np.array(e.ids, dtype="<u4")
 
     def put(line: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
-        raw, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-        for i, a, b in zip(line, cuts, cuts[1:], strict=False):
-            out[i] = raw[a:b]
+        done.extend(line)
+        sizes.append(np.diff(ends, prepend=0))
+        found.append(ids)
 
     for line, _, ids in lines(plain, short.encode_batch_fast):
         ends = np.flatnonzero(ends_word[ids]) + 1
@@ -229,73 +235,69 @@ def _encode(tokenizer, short, ends_word: np.ndarray, pieces: list[str], texts: l
     for line, e, ids in lines(rest, tokenizer.encode_batch):
         first = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
         put(line, ids, np.searchsorted(first, np.cumsum([len(texts[i]) + 1 for i in line])))
-    return out[:n], out[n:]
+    at = np.empty(len(texts), np.int64)
+    at[done] = np.arange(len(texts))
+    buffers = [None, pa.py_buffer(4 * np.cumsum(np.concatenate(sizes))), pa.py_buffer(np.concatenate(found))]
+    return pa.Array.from_buffers(pa.large_binary(), len(texts), buffers).take(pa.array(at))
 
 
-#: Bytes that a task spends on pieces it remembers before it starts anew, and
-#: what a piece takes besides its characters and ids.
+#: Bytes that a worker spends on pieces it remembers, beyond which it starts anew, and
+#: what a piece takes besides its characters and ids (hash tables, while texts
+#: are encoded).
 KNOWN_BYTES = 64 << 20
-PIECE_BYTES = 160
+PIECE_BYTES = 48
+#: Bytes of text that are cut into pieces at a time, and that are told apart at
+#: a time (whole texts beyond that): the remembered pieces are hashed once each.
+CUT_BYTES = 1 << 20
+GROUP_BYTES = 8 << 20
 
 
 class Encoder:
     """Encodes texts piece by piece; a piece goes through the tokenizers library
-    once, until the remembered ones take ``KNOWN_BYTES``. Pieces have numbers,
-    and the ids of piece k are ``sizes[k]`` from ``starts[k]`` on in ``ids``."""
+    once, until the remembered ones take ``KNOWN_BYTES``. Pieces have numbers:
+    piece k is ``pieces[k]``, and its ids are ``found[k]``."""
 
     def __init__(self, path: str):
         self.path = path
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.n_ids = self.n_bytes = 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, rest = ([], []), ([], [])
-        for c in new:
-            t = c.decode("utf-8", "replace")
-            chunks, texts = plain if _SIMPLE.fullmatch(t) and "<|" not in t else rest
-            chunks.append(c)
-            texts.append(t)
-        of_plain, of_rest = _encode(*_tokenizer(self.path), plain[1], rest[1])
-        self._append(plain[0] + rest[0], of_plain + of_rest)
-
-    def _append(self, pieces: list[bytes], found: list[bytes]) -> None:
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        n, total = len(self.known), int(sizes.sum())
-        # Room doubles, so that what is held is copied a fixed number of times.
-        if n + len(pieces) > len(self.sizes):
-            self.starts, self.sizes = (np.concatenate([x, np.empty(len(x) + len(pieces), np.int64)]) for x in (self.starts, self.sizes))
-        if self.n_ids + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + total, np.uint32)])
-        self.sizes[n:n + len(pieces)] = sizes
-        self.starts[n:n + len(pieces)] = self.n_ids + np.cumsum(sizes) - sizes
-        self.ids[self.n_ids:self.n_ids + total] = np.frombuffer(b"".join(found), "<u4")
-        self.known.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.n_ids += total
-        self.n_bytes += sum(map(len, pieces)) + 4 * total + PIECE_BYTES * len(pieces)
+        self.pieces, self.found, self.n_bytes = pa.array([], pa.binary()), pa.array([], pa.large_binary()), 0
+
+    @property
+    def known(self) -> list[bytes]:
+        return self.pieces.to_pylist()
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Remember ``pieces``: those known, and new ones after them."""
+        new = [c.decode("utf-8", "replace") for c in pieces[len(self.pieces):].to_pylist()]
+        self.pieces, self.found = pieces, pa.concat_arrays([self.found, _encode(*_tokenizer(self.path), new)])
+        self.n_bytes = pieces.nbytes + self.found.nbytes + PIECE_BYTES * len(pieces)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (without end ids), and how many each has."""
+        if not texts:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        n = len(self.pieces)
+        group = np.cumsum([len(t) for t in texts]) // CUT_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        pieces, counts = zip(*[pieces_of(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
+        coded = pa.concat_arrays([self.pieces, *pieces]).dictionary_encode()
+        if len(coded.dictionary) > n:
+            self._learn(coded.dictionary)
+        taken = self.found.take(coded.indices[n:])
         if self.n_bytes > KNOWN_BYTES:
             self._clear()
-        pieces, counts = pieces_of(texts)
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        number = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            new = [distinct[i] for i in missing.tolist()]
-            self._learn(new)
-            number[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
-        at = number[coded.indices.to_numpy()]
-        n = self.sizes[at]
-        stops = np.cumsum(n)
-        ids = self.ids[np.repeat(self.starts[at] - (stops - n), n) + np.arange(int(n.sum()))]
-        ends = np.r_[0, stops][np.cumsum([0, *counts.tolist()])]
-        return ids, np.diff(ends)
+        _, offsets, held = taken.buffers()
+        stops = np.frombuffer(offsets, np.int64, len(taken) + 1)[np.cumsum([0, *np.concatenate(counts).tolist()])] // 4
+        return np.frombuffer(held, "<u4", int(stops[-1])) if stops[-1] else np.empty(0, "<u4"), np.diff(stops)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of this process: the tasks of a worker, one after the other,
+    share the pieces it remembers."""
+    return Encoder(path)
 
 
 def encode(texts: list[bytes], path: str) -> list[bytes]:
@@ -308,6 +310,19 @@ def _pack(array: np.ndarray) -> bytes:
     return zstandard.compress(array.tobytes(), 1)
 
 
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of ``batches`` in order, about ``GROUP_BYTES`` of text at a time."""
+    group, n = [], 0
+    for some in slices(batches, "text"):
+        group.append(some)
+        n += some.column("text").nbytes
+        if n >= GROUP_BYTES:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 def _shards(path: str, end_id: int, shard_tokens: int):
     def shard(part: int, seq: int, doc_ids: list[np.ndarray], sizes: list[np.ndarray], ids: list[np.ndarray]) -> dict:
         doc_ids = np.concatenate(doc_ids)
@@ -318,15 +333,15 @@ def _shards(path: str, end_id: int, shard_tokens: int):
             "planes": [_pack(p) for p in m.planes], "ranks": [_pack(r.astype("<u4")) for r in m.ranks]}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, held = Encoder(path), None, 0, 0
+        encoder, part, seq, held = _encoder(path), None, 0, 0
         doc_ids, sizes, ids = [], [], []
         names = ["first_doc", "part", "seq", "n_tokens", "doc_ids", "doc_sizes", "alphabet", "zeros", "planes", "ranks"]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary())]
         schema = pa.schema(list(zip(names, kinds, strict=True)))
-        for some in slices(batches, "text"):
-            part = some.column("part")[0].as_py()
-            found, n = encoder.encode(as_bytes(some.column("text")))
-            docs = some.column("doc_id").to_numpy(zero_copy_only=False)
+        for group in _groups(batches):
+            part = group[0].column("part")[0].as_py()
+            found, n = encoder.encode([t for some in group for t in as_bytes(some.column("text"))])
+            docs = np.concatenate([some.column("doc_id").to_numpy(zero_copy_only=False) for some in group])
             found = np.insert(found, np.cumsum(n), end_id)
             n = n + 1
             # Whole documents up to the one that fills the shard, again and again.
@@ -344,7 +359,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                     seq, held, doc_ids, sizes, ids = seq + 1, 0, [], [], []
         if doc_ids:
             yield pa.RecordBatch.from_pylist([shard(part, seq, doc_ids, sizes, ids)], schema=schema)
-        del encoder, doc_ids, sizes, ids
+        del doc_ids, sizes, ids
         release_memory()
 
     return run

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,6 +264,36 @@ def test_pieces_of_texts_are_learned_once():
     assert set(encoder.known) == {b"word", b",", b".", b"!", b"(", b")", b"7", b"other's"}
 
 
+def test_tasks_of_a_worker_share_learned_pieces(monkeypatch):
+    sent, encode = [], token_store._encode
+    monkeypatch.setattr(token_store, "_encode", lambda a, b, c, *new: (sent.extend(x for some in new for x in some), encode(a, b, c, *new))[1])
+
+    def task(texts):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts, "part": pa.array([0] * len(texts), pa.int32())})
+        sent.clear()
+        return [m for b in token_store._shards(tokenizer_path(), token_store.END_ID, 10**6)(iter([batch])) for m in b.to_pylist()], list(sent)
+
+    first, new = task(["sharedpiece otherpiece, it's", None, "sharedpiece"])
+    assert {"sharedpiece", "otherpiece", "it's"} <= set(new)
+    again, new = task(["sharedpiece otherpiece, it's", None, "sharedpiece"])
+    assert again == first and not new
+    assert task(["latepiece otherpiece"])[1] == ["latepiece"]
+    monkeypatch.setattr(token_store, "KNOWN_BYTES", 0)  # a worker keeps no more than that after a task
+    task(["x"])
+    assert not token_store._encoder(tokenizer_path()).known
+
+
+def test_ids_do_not_depend_on_how_texts_are_cut(monkeypatch):
+    rnd = random.Random(3)
+    texts = ["", *["".join(rnd.choice("aBz.,'é́ \n<|>9ß÷É日") for _ in range(rnd.randint(0, 40))) for _ in range(300)], "<|endoftext|>A", "x" * 500]
+    texts = [t.encode() for t in texts] + [b"\xa9. a", b"a \xc3"]  # halves of a letter
+    want = [token_store.encode([t, b"a"], tokenizer_path())[0] for t in texts]
+    for cut in (1, 60, 1 << 20):
+        monkeypatch.setattr(token_store, "CUT_BYTES", cut)
+        assert token_store.encode(texts, tokenizer_path()) == want
+        assert token_store.encode(texts[::-1], tokenizer_path()) == want[::-1]
+
+
 @pytest.mark.parametrize("partitions, shard_tokens", [(1, 10**6), (5, 40)])
 def test_documents_read_back_from_shards(spark, tmp_path, partitions, shard_tokens):
     from tokenizers import Tokenizer
