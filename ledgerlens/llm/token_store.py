@@ -244,12 +244,12 @@ def _encode(tokenizer, short, ends_word: np.ndarray, texts: list[str]) -> pa.Arr
 #: Bytes that a worker spends on pieces it remembers, beyond which it starts anew, and
 #: what a piece takes besides its characters and ids (hash tables, while texts
 #: are encoded).
-KNOWN_BYTES = 64 << 20
+KNOWN_BYTES = 32 << 20
 PIECE_BYTES = 48
 #: Bytes of text that are cut into pieces at a time, and that are told apart at
 #: a time (whole texts beyond that): the remembered pieces are hashed once each.
 CUT_BYTES = 1 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 2 << 20
 
 
 class Encoder:
@@ -282,7 +282,10 @@ class Encoder:
         group = np.cumsum([len(t) for t in texts]) // CUT_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
         pieces, counts = zip(*[pieces_of(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
-        coded = pa.concat_arrays([self.pieces, *pieces]).dictionary_encode()
+        pieces = pa.concat_arrays([self.pieces, *pieces])
+        coded = pieces.dictionary_encode()
+        del pieces
+        pa.default_memory_pool().release_unused()  # of hash tables
         if len(coded.dictionary) > n:
             self._learn(coded.dictionary)
         taken = self.found.take(coded.indices[n:])
